@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import suffix_dedup
+from . import quality_rules, sharding, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_suffix_dedup": suffix_dedup.op5_suffix_dedup}
+    return {
+        "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_sharding": sharding.op4_sharding,
+        "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": quality_rules.SQL, "op4_sharding": sharding.SQL}
