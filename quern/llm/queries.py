@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, packing, quality_rules, sharding, suffix_dedup, token_counts
+from . import license_scan, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_sharding": sharding.op4_sharding,
         "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+        "op6_quality_classifier": quality_classifier.op6_quality_classifier,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_packing": packing.op8_packing,
         "op9_license_scan": license_scan.op9_license_scan,
         "op10_token_counts": token_counts.op10_token_counts,

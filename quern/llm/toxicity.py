@@ -1,0 +1,32 @@
+"""Toxicity: a factorization machine over hashed terms.  Pairs of terms, such as
+an insult with the mention of a group, get weights through the factors that no
+sum over single terms has."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .factorization import Model, Settings, held_out, learn, score
+
+SETTINGS = Settings(buckets=1 << 18, factors=4, counted=True, stems=(4, 5, 6, 7, 8), screen=600, sample=8_000, epochs=10, rate=0.02, decay=1e-4, seed=13)
+THRESHOLD = 0.5
+
+
+def train(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS) -> Model:
+    return learn(docs, labels, "toxic", settings, structure=False)
+
+
+def classify(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Every row of docs with score (0 to 1, higher: toxic is likelier) and predicted.
+
+    Null and empty texts get the score of a text without terms; equal texts score
+    equal; other columns stay and are no inputs; an empty table gives an empty
+    table."""
+    return score(docs, model, text=text).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def op7_toxicity(spark, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return classify(docs, train(docs, labels)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
