@@ -1,15 +1,73 @@
-"""The corpus pipeline: documents through the operators of quern.llm."""
+"""The corpus pipeline: documents through five operators of quern.llm.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
+All but the last return the columns of documents, whatever they are.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm.common import Table
+from quern.llm.decontamination import decontaminate
+from quern.llm.minhash_dedup import deduplicate
+from quern.llm.packing import pack
+from quern.llm.quality_classifier import classify, train
+from quern.llm.suffix_dedup import remove_repeats
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    score, verdict = (f"__{n}_{uuid.uuid4().hex[:8]}" for n in ("score", "verdict"))
+    model = train(docs, labels)
+    return classify(docs, model, score=score, predicted=verdict).where(F.col(verdict) == 1).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays."""
+    return deduplicate(docs).select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Characters covered by a repeated string of 200 bytes go; n_chars follows."""
+    found = remove_repeats(docs, whole_characters=True, into="__repeats")
+    changed = found.withColumn("text", F.when(F.col("__repeats.n_removed") == 0, F.col("text")).otherwise(F.col("__repeats.kept").cast("string")))
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.when(F.col("__repeats.n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return changed.select(*docs.columns)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents left."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("minhash_near_dedup", near_duplicates),
+    ("suffix_array_dedup", repeated_passages),
+    ("decontamination", benchmark_leaks),
+    ("packing", packed),
+]
 
-STAGES: list = []
+#: SQL has no trained classifier, signatures or tokenizer; tests/llm hold the stages
+#: against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each one's result written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        docs = Table(out).read() if k < len(STAGES) - 1 else out
     return docs

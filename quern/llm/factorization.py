@@ -253,7 +253,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, settings: Settings, *,
     return fit(start - start[0], flat_index, flat_value, np.asarray(table.column("label")).astype(float), settings, structure)
 
 
-def score(docs: DataFrame, model: Model, *, text: str = "text", into: str = "score") -> DataFrame:
+def scored(docs: DataFrame, model: Model, *, text: str = "text", into: str = "score") -> DataFrame:
     """Every row of docs with its score in 0 to 1; null text scores as empty.  The
     model (a few megabytes, set by its settings) goes to each executor once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .factorization import Model, Settings, held_out, learn, score
+from .factorization import Model, Settings, held_out, learn, scored
 
 SETTINGS = Settings(buckets=1 << 14, factors=4, sample=8_000, epochs=8, rate=0.02, decay=1e-4, seed=11)
 THRESHOLD = 0.3
@@ -16,13 +16,13 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS) ->
     return learn(docs, labels, "quality", settings, structure=True)
 
 
-def classify(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Every row of docs with score (0 to 1, higher: label 1 likelier) and predicted.
+def classify(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = THRESHOLD, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """Every row of docs with a score (0 to 1, higher: label 1 likelier) and the prediction.
 
     Null and empty texts get the score of a text without words; equal texts score
     equal; other columns stay and are no inputs; an empty table gives an empty
     table."""
-    return score(docs, model, text=text).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    return scored(docs, model, text=text, into=score).withColumn(predicted, F.when(F.col(score) >= threshold, 1).otherwise(0))
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, toxicity
+from . import decontamination, license_scan, minhash_dedup, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": decontamination.op1_decontamination,
+        "op2_minhash_dedup": minhash_dedup.op2_minhash_dedup,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_sharding": sharding.op4_sharding,
         "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,

@@ -229,8 +229,8 @@ def _whole_characters(raw: Column, spans: Column) -> Column:
     return F.filter(inward, lambda s: s["from"] < s["to"])
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 200, text: str = "text", doc_id: str = "doc_id", whole_characters: bool = False) -> DataFrame:
-    """Every row of docs with `repeats`: a struct of n_bytes, n_removed, n_spans,
+def remove_repeats(docs: DataFrame, *, length: int = 200, text: str = "text", doc_id: str = "doc_id", whole_characters: bool = False, into: str = "repeats") -> DataFrame:
+    """Every row of docs with a struct `into` of n_bytes, n_removed, n_spans,
     spans and kept (the remaining bytes).
 
     Null or empty text: 0 bytes, nothing removed.  Texts shorter than `length`
@@ -256,7 +256,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, text: str = "text", do
             F.when(F.size(x["spans"]) == 0, x["raw"]).otherwise(_kept(x["raw"], x["spans"])).alias("kept"),
         ),
     )
-    return joined.withColumn("repeats", result).drop("__key1", "__key2", "__k1", "__k2", "__spans")
+    return joined.withColumn(into, result).drop("__key1", "__key2", "__k1", "__k2", "__spans")
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
