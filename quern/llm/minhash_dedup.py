@@ -7,11 +7,14 @@ soon as its next arrival is later than all registers of its document (early
 termination).  Two documents agree in a register with probability equal to their
 probability Jaccard similarity.
 
-Banding: rows of the signature form bands; documents that agree in a band are
-candidates.  Within a bucket each document is compared with the bucket's first one;
-whatever is then still in another class than another member is compared again, in
-rounds, until every bucket is of one class or fully compared.  No bucket is
-expanded into all pairs unless at most `small` members are left unresolved.
+Banding: rows of the signature form bands; documents that agree in a band share a
+bucket.  Each bucket is represented by its most central member, the one with the
+most bucket mates in all, and every member is compared with that hub.
+
+The rest: members that the hub's class doesn't hold are compared with all other
+members of the hub's buckets.  This goes by blocks of bounded size, whose signatures
+meet in one numpy comparison; only pairs whose estimate comes near the threshold
+become rows.  So no bucket is expanded into pairs and none is cut short.
 
 Verification: the Jaccard similarity of the two documents' shingle sets, exactly.
 Classes are the connected components of the verified links, found by alternating
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesnp import SPACE_FOLDED, U64, combine, flat, mix, pieces, window_names, words
@@ -79,7 +82,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
-_SIGNED = "node long, c1 long, c2 long, n int, bands array<long>"
+_SIGNED = "node long, c1 long, c2 long, n int, bands array<long>, signature binary"
 
 
 def _signed(size: int, bands: int, rows_per_band: int, max_weight: int):
@@ -96,7 +99,8 @@ def _signed(size: int, bands: int, rows_per_band: int, max_weight: int):
             has = n > 0
             offs = np.concatenate([[0], np.cumsum(has * bands)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(u64(keys[has].ravel())))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "c1", "c2")], pa.array(n.astype(np.int32)), lists], names=["node", "c1", "c2", "n", "bands"])
+            short = pa.array([row.tobytes() for row in (signature >> U64(48)).astype(np.uint16)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "c1", "c2")], pa.array(n.astype(np.int32)), lists, short], names=["node", "c1", "c2", "n", "bands", "signature"])
 
     return rows
 
@@ -154,7 +158,7 @@ def _node(docs: DataFrame, text: str, doc_id: str):
     return F.coalesce(F.col(doc_id).cast("long"), -F.shiftrightunsigned(F.xxhash64(text_or_empty(text)), 1) - 2)
 
 
-def _labels(docs: DataFrame, text: str, doc_id: str, size: int, similarity: float, bands: int, rows_per_band: int, max_weight: int, small: int) -> Table:
+def _labels(docs: DataFrame, text: str, doc_id: str, size: int, similarity: float, bands: int, rows_per_band: int, max_weight: int, margin: float) -> Table:
     """node, label of all documents: label is the smallest node of the class."""
     keyed = docs.select(_node(docs, text, doc_id).alias("node"), text_or_empty(text).alias("text"))
     checksum = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 15), 16, 10).cast("long")
@@ -162,45 +166,39 @@ def _labels(docs: DataFrame, text: str, doc_id: str, size: int, similarity: floa
     signed = Table(checks.mapInArrow(_signed(size, bands, rows_per_band, max_weight), _SIGNED))
     rep = Table(signed.read().groupBy("c1", "c2").agg(F.min("node").alias("rep")))
     member = Table(signed.read().select("node", "c1", "c2").join(rep.read(), ["c1", "c2"]).select("node", "rep").distinct())
-    first = signed.read().join(rep.read(), ["c1", "c2"]).where("node = rep").select("node", "n", "bands").dropDuplicates(["node"])
-    banded = first.select("node", "n", F.posexplode("bands").alias("band", "key"))
-    hubs = banded.groupBy("band", "key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    buckets = Table(banded.join(hubs, ["band", "key"]).select("band", "key", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), "members"))
-    signed.drop()
-    rep.drop()
-    fits = F.least("n", "hub_n") >= F.greatest("n", "hub_n") * similarity
-    pairs = buckets.read().where((F.col("node") != F.col("hub")) & fits).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    first = signed.read().join(rep.read(), ["c1", "c2"]).where("node = rep").dropDuplicates(["node"])
 
-    asked = buckets.read().select("node").distinct()
+    banded = first.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    counts = banded.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = Table(banded.join(counts, ["band", "key"]))
+    mates = shared.read().groupBy("node").agg(F.sum("members").alias("mates"))
+    scored = shared.read().join(mates, "node")
+    hubs = scored.groupBy("band", "key").agg(F.max(F.struct("mates", (-F.col("node")).alias("minus"), "n")).alias("h"))
+    hub = scored.join(hubs, ["band", "key"]).select("node", "n", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n"))
+    grouped = Table(hub.distinct())
+    shared.drop()
+
+    asked = grouped.read().select("node").distinct()
     sets = Table(keyed.join(asked, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_sets(size), "node long, set array<int>"))
-    links = [Table(_verified(pairs, sets.read(), similarity))]
-    done = 1
-    while True:
-        known = links[0].read()
-        for table in links[1:]:
-            known = known.unionAll(table.read())
-        labels = components(known.where("linked"))
-        open_buckets = _unresolved(buckets.read(), labels.read(), done, small)
-        fresh = Table(_more_pairs(open_buckets, done, small, similarity).join(known, ["a", "b"], "left_anti"))
-        finished = fresh.read().isEmpty() and open_buckets.where(F.col("members") > max(2 * done + 2, small)).isEmpty()
-        labels.drop()
-        if finished:
-            fresh.drop()
-            break
-        links.append(Table(_verified(fresh.read(), sets.read(), similarity)))
-        fresh.drop()
-        done = 2 * done + 1
+    fits = F.least("n", "hub_n") >= F.greatest("n", "hub_n") * similarity
+    pairs = grouped.read().where((F.col("node") != F.col("hub")) & fits).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    links = Table(_verified(pairs, sets.read(), similarity))
+    labels = components(links.read())
+    signatures = first.select("node", "signature")
+    rest = Table(_rest(grouped.read(), labels.read(), signatures, similarity, margin, bands * rows_per_band))
+    fresh = rest.read().join(links.read(), ["a", "b"], "left_anti")
+    more = Table(_verified(fresh, sets.read(), similarity))
     copies = member.read().select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    classes = components(copies.unionAll(known.where("linked").select("a", "b")))
+    classes = components(copies.unionAll(links.read()).unionAll(more.read()))
     nodes = member.read().select("node").distinct()
     out = Table(nodes.join(classes.read(), "node", "left").select("node", F.coalesce("label", "node").alias("label")))
-    for table in (member, buckets, sets, classes, *links):
+    for table in (signed, rep, member, grouped, sets, links, labels, rest, more, classes):
         table.drop()
     return out
 
 
 def near_duplicates(
-    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = 5, similarity: float = 0.8, bands: int = 25, rows_per_band: int = 5, max_weight: int = 2, small: int = 48
+    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = 5, similarity: float = 0.8, bands: int = 25, rows_per_band: int = 5, max_weight: int = 2, margin: float = 0.12
 ) -> DataFrame:
     """doc_id, class_id, class_size (documents): one row per row of docs; class_id
     is the smallest doc_id of its class.
@@ -210,7 +208,7 @@ def near_duplicates(
     a single shingle.  Rows of one doc_id are one document.  A row without doc_id
     is named by its text and gets class_id from the rows of its class that have
     one, or null.  An empty table gives an empty table."""
-    labels = _labels(docs, text, doc_id, size, similarity, bands, rows_per_band, max_weight, small)
+    labels = _labels(docs, text, doc_id, size, similarity, bands, rows_per_band, max_weight, margin)
     # ids of rows without doc_id are below -1
     named = labels.read().groupBy("label").agg(F.min(F.when(F.col("node") > -2, F.col("node"))).alias("class_id"), F.count("*").alias("class_size"))
     result = labels.read().join(named, "label").select("node", "class_id", "class_size")
@@ -220,42 +218,70 @@ def near_duplicates(
 
 def deduplicate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
     """One row of docs for each class: a row of its smallest doc_id, all columns."""
-    defaults = dict(size=5, similarity=0.8, bands=25, rows_per_band=5, max_weight=2, small=48)
+    defaults = dict(size=5, similarity=0.8, bands=25, rows_per_band=5, max_weight=2, margin=0.12)
     labels = _labels(docs, text, doc_id, **(defaults | settings))
     stay = labels.read().where("node = label").select(F.col("node").alias("__node"))
     return docs.withColumn("__node", _node(docs, text, doc_id)).join(stay, "__node", "left_semi").dropDuplicates(["__node"]).drop("__node")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b, linked: whether the shingle sets' Jaccard similarity reaches it."""
+    """The pairs a, b whose shingle sets' Jaccard similarity reaches it."""
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("a_set"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("b_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     union = F.size(F.array_distinct("a_set")) + F.size(F.array_distinct("b_set")) - both
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (both >= similarity * union).alias("linked"))
-
-
-def _unresolved(buckets: DataFrame, labels: DataFrame, done: int, small: int) -> DataFrame:
-    """The members, with their classes, of the buckets that hold more than one
-    class and where not yet all members have been compared with all others: done
-    of each, and after the first turn all of the small buckets."""
-    left = buckets.where(F.col("members") > (done + 1 if done == 1 else max(done + 1, small)))
-    labelled = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("band", "key")
-    return labelled.join(mixed, ["band", "key"], "left_semi")
-
-
-def _more_pairs(members: DataFrame, done: int, small: int, similarity: float) -> DataFrame:
-    """Pairs of different classes still to compare: within a bucket of at most
-    `small` members all, else those of the next done + 1 members with the rest."""
-    order = Window.partitionBy("band", "key").orderBy("node")
-    ranked = members.withColumn("rank", F.row_number().over(order))
-    left = ranked.select("band", "key", "members", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_label"), F.col("rank").alias("a_rank"))
-    right = ranked.where((F.col("members") <= small) | F.col("rank").between(done + 1, 2 * done + 1)).select(
-        "band", "key", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("label").alias("b_label"), F.col("rank").alias("b_rank")
-    )
-    pairs = left.join(right, ["band", "key"]).where("a_rank > b_rank AND a_label != b_label")
-    return pairs.where(F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * similarity).select("a", "b").distinct()
+    return pairs.join(left, "a").join(right, "b").where(both >= similarity * union).select("a", "b")
+
+
+#: Members of a block: odd ones against all.
+_ODD, _ALL = 256, 2048
+
+
+def _rest(grouped: DataFrame, labels: DataFrame, signatures: DataFrame, similarity: float, margin: float, registers: int) -> DataFrame:
+    """Pairs a, b still to verify: of each hub's group, members outside of the hub's
+    class (odd ones) with any other member of another class, where the estimate is
+    at least similarity - margin (some 3.5 deviations of a signature)."""
+    named = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+    with_label = grouped.select("node", "n", "hub").join(labels, "node", "left").join(named, "hub", "left")
+    labelled = with_label.select("node", "n", "hub", F.coalesce("label", "node").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
+    odd = (F.col("label") != F.col("hub_label")).alias("odd")
+    marked = labelled.where("node != hub").select("node", "n", "hub", "label", odd)
+    sizes = marked.groupBy("hub").agg(F.count("*").alias("size"), F.count_if("odd").alias("n_odd")).where("n_odd > 0 AND size > 1")
+    open_groups = marked.join(sizes, "hub").join(signatures, "node")
+    row = F.struct("node", "n", "label", "signature")
+
+    def blocks(rows: DataFrame, size: str, most: int, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col(size) / most)).cast("int")
+        return rows.groupBy("hub", block.alias(f"{name}_block")).agg(F.collect_list(row).alias(name))
+
+    left = blocks(open_groups.where("odd"), "n_odd", _ODD, "odd")
+    right = blocks(open_groups, "size", _ALL, "all")
+    return left.join(right, "hub").select("odd", "all").mapInArrow(_compared(similarity, margin, registers), "a long, b long").distinct()
+
+
+def _compared(similarity: float, margin: float, registers: int):
+    def side(column):
+        rows = column.flatten()
+        offsets = np.asarray(column.offsets) - column.offsets[0].as_py()
+        field = {k: rows.field(k) for k in ("node", "n", "label", "signature")}
+        signature = np.frombuffer(b"".join(field["signature"].to_pylist()), np.uint16).reshape(-1, registers)
+        return offsets, np.asarray(field["node"]), np.asarray(field["n"]), np.asarray(field["label"]), signature
+
+    def rows(batches):
+        for whole in batches:
+            for k in range(whole.num_rows):
+                batch = whole.slice(k, 1)
+                _, node, n, label, signature = side(batch.column("odd"))
+                _, node2, n2, label2, signature2 = side(batch.column("all"))
+                found = []
+                for i in range(len(node)):
+                    near = np.flatnonzero((label2 != label[i]) & (np.minimum(n2, n[i]) >= np.maximum(n2, n[i]) * similarity))
+                    alike = (signature2[near] == signature[i]).sum(axis=1) >= (similarity - margin) * registers
+                    found.append(np.stack([np.full(alike.sum(), node[i]), node2[near[alike]]], axis=1))
+                pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1)), pa.array(pairs.min(axis=1))], names=["a", "b"])
+
+    return rows
 
 
 def op2_minhash_dedup(spark, sf_dir: str) -> DataFrame:
