@@ -16,8 +16,12 @@ decide that; its buckets are:
    identifiers of all the later offsets that they reach (the run's whole block of
    bytes).  A class of two or more is repeated in full.  A bucket with a single
    class is finished.
-5. Otherwise the strings of one run of each class are refined to `length`
-   bytes, again by identifiers at later offsets, and regrouped one by one.
+5. Otherwise one run of each class is cut, at fixed distances from its suffix, into
+   stretches of 16 strings.  The bytes that a stretch's strings have in common are
+   its bucket, its whole block of bytes is its class, and steps 3 and 4 are repeated
+   with them.
+6. What is still open is refined to single strings, named by the identifiers at
+   later offsets up to `length` bytes, and regrouped one by one.
 
 Every regrouping is a count with map-side combination, followed by a join on the
 group's key whose large side Spark may split; no group is gathered anywhere.
@@ -119,24 +123,70 @@ def _run_rows(length: int):
     return rows
 
 
+#: Strings of a stretch.
+STRETCH = 16
+
+_STRETCH = "bucket long, block long, alone boolean, k1 long, k2 long, base int, low int, n int"
+
+
+def _block_arrays(batch: pa.RecordBatch):
+    raw, offsets = flat(batch.column("block_bytes").cast(pa.binary()).view(pa.utf8()))
+    return raw, offsets, {k: np.asarray(batch.column(k)) for k in batch.schema.names if k not in ("block_bytes", "inner")}
+
+
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, number within it) for n things of each owner."""
+    owner = np.repeat(np.arange(len(n)), n)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _stretch_rows(length: int):
+    """The stretches of each asked run."""
+
+    def rows(batches):
+        for batch in pieces(batches, "block_bytes"):
+            raw, offsets, c = _block_arrays(batch)
+            b64, b96 = _buckets(raw)
+            owner, place = _spread(np.diff(offsets))
+            owner, place = owner[: len(b96)], place[: len(b96)]
+            bucket = c["bucket"].view(U64)
+            at = np.flatnonzero((b96 == bucket[owner]) & (place <= length - Q))
+            suffix = place[at[np.unique(owner[at], return_index=True)[1]]]
+            last = suffix - (c["n"].astype(np.int64) - 1)
+            first_part, parts = last // STRETCH, suffix // STRETCH - last // STRETCH + 1
+            of, part = _spread(parts)
+            part = part + first_part[of]
+            far, near = np.minimum(suffix[of], part * STRETCH + STRETCH - 1), np.maximum(last[of], part * STRETCH)
+            start = suffix[of] - far
+            core = _uniform_names(b64, offsets[of] + suffix[of] - part * STRETCH, length - STRETCH + 1)
+            name = combine(combine(bucket[of], part.astype(U64)), core)
+            n = far - near + 1
+            block = _span_names(b64, offsets[of] + start, offsets[of] + start + n - 1 + length)
+            arrays = [u64(name), u64(block), c["members"][of] == 1, c["k1"][of], c["k2"][of], c["low"][of], (c["low"][of] + start).astype(np.int32), n.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=[x.split()[0] for x in _STRETCH.split(", ")])
+
+    return rows
+
+
 _STRING = "bucket long, name long, alone boolean, k1 long, k2 long, low int"
 
 
 def _string_rows(length: int):
-    """Of each asked run (low, n), a row for each of its strings."""
+    """The strings of each open stretch, from its run's block of bytes."""
 
     def rows(batches):
         for batch in pieces(batches, "block_bytes"):
-            raw, offsets = flat(batch.column("block_bytes").cast(pa.binary()).view(pa.utf8()))
-            n = np.asarray(batch.column("n")).astype(np.int64)
-            of = np.repeat(np.arange(len(n)), n)
-            inner = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            raw, offsets, c = _block_arrays(batch)
+            inner = batch.column("inner")
+            block = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(inner.offsets)))
+            field = {k: np.asarray(inner.flatten().field(k)) for k in ("bucket", "low", "n")}
+            alone = np.asarray(inner.flatten().field("alone").cast(pa.int8())).astype(bool)
+            of, step = _spread(field["n"].astype(np.int64))
+            low = field["low"][of] + step
+            own = block[of]
             b64, _ = _buckets(raw)
-            name = _uniform_names(b64, offsets[of] + inner, length)
-            columns = {k: np.asarray(batch.column(k))[of] for k in ("bucket", "k1", "k2")}
-            alone = np.asarray(batch.column("members"))[of] == 1
-            low = np.asarray(batch.column("low"))[of] + inner.astype(np.int32)
-            arrays = [columns["bucket"], u64(name), alone, columns["k1"], columns["k2"], low.astype(np.int32)]
+            name = _uniform_names(b64, offsets[own] + low - c["low"][own], length)
+            arrays = [field["bucket"][of], u64(name), alone[of], c["k1"][own], c["k2"][own], low.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=[x.split()[0] for x in _STRING.split(", ")])
 
     return rows
@@ -175,18 +225,27 @@ def repeated_spans(docs: DataFrame, *, length: int = 200, text: str = "text", do
     )
     blocks = Table(blocks)
 
-    strings = blocks.read().mapInArrow(_string_rows(length), _STRING)
+    stretches = Table(blocks.read().mapInArrow(_stretch_rows(length), _STRETCH))
+    rep = F.min(F.struct(F.col("alone").alias("alone"), "k1", "k2", "base", "low", "n")).alias("rep")
+    parts = Table(stretches.read().groupBy("bucket", "block").agg(F.count("*").alias("members"), rep))
+    mixed = parts.read().groupBy("bucket").agg(F.count("*").alias("classes")).where("classes > 1").select("bucket")
+    still = parts.read().join(mixed, "bucket", "left_semi").select("bucket", "rep.k1", "rep.k2", "rep.base", "rep.low", "rep.n", (F.col("rep.alone") & (F.col("members") == 1)).alias("alone"))
+    of_block = still.groupBy("k1", "k2", F.col("base").alias("low")).agg(F.collect_list(F.struct("bucket", "low", "n", "alone")).alias("inner"))
+    opened = Table(blocks.read().select("k1", "k2", "low", "block_bytes").join(of_block, ["k1", "k2", "low"]))
+    strings = opened.read().mapInArrow(_string_rows(length), _STRING)
     twice = strings.groupBy("bucket", "name").agg(F.count("*").alias("times")).where("times > 1").select("bucket", "name")
-    single = blocks.read().where("members = 1").mapInArrow(_string_rows(length), _STRING)
-    singles = single.join(twice, ["bucket", "name"], "left_semi").select("k1", "k2", "low", (F.col("low") + length).alias("high"))
+    singles = strings.where("alone").join(twice, ["bucket", "name"], "left_semi").select("k1", "k2", "low", (F.col("low") + length).alias("high"))
+    end = (F.col("low") + F.col("n") + (length - 1)).alias("high")
+    several = parts.read().where("members > 1").select("bucket", "block")
+    stretched = stretches.read().where("alone").join(several, ["bucket", "block"], "left_semi").select("k1", "k2", "low", end)
     full = classes.read().where("members > 1").select("bucket", "block")
-    whole = candidates.read().join(full, ["bucket", "block"], "left_semi").select("k1", "k2", "low", (F.col("low") + F.col("n") + (length - 1)).alias("high"))
+    whole = candidates.read().join(full, ["bucket", "block"], "left_semi").select("k1", "k2", "low", end)
 
     row = Window.partitionBy("k1", "k2").orderBy("low")
     reach = F.max("high").over(row.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum("opens").over(row.rowsBetween(Window.unboundedPreceding, 0))
     merged = (
-        whole.unionByName(singles)
+        whole.unionByName(stretched).unionByName(singles)
         .groupBy("k1", "k2", "low")
         .agg(F.max("high").alias("high"))
         .withColumn("opens", F.when(F.col("low") <= reach, 0).otherwise(1))
@@ -197,7 +256,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 200, text: str = "text", do
         .agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("spans"))
     )
     out = Table(merged)
-    for table in (candidates, classes, blocks):
+    for table in (candidates, classes, blocks, stretches, parts, opened):
         table.drop()
     return out.read()
 
