@@ -110,8 +110,10 @@ def _sets(size: int):
         for batch in pieces(batches, "text"):
             raw, offsets = flat(batch.column("text"))
             doc, name, _ = shingles(raw, offsets, size)
+            key = np.unique(doc.astype(U64) << U64(32) | name >> U64(32))
+            doc = (key >> U64(32)).astype(np.int64)
             offs = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(offsets) - 1))]).astype(np.int32)
-            names = pa.array((name >> U64(32)).astype(np.uint32).view(np.int32))
+            names = pa.array(key.astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(offs), names)], names=["node", "set"])
 
     return rows
@@ -179,20 +181,19 @@ def _labels(docs: DataFrame, text: str, doc_id: str, size: int, similarity: floa
     shared.drop()
 
     asked = grouped.read().select("node").distinct()
-    sets = Table(keyed.join(asked, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_sets(size), "node long, set array<int>"))
+    # the ids of candidates grow with the corpus, so they are merged, not broadcast
+    sets = Table(keyed.join(asked.hint("merge"), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_sets(size), "node long, set array<int>"))
     fits = F.least("n", "hub_n") >= F.greatest("n", "hub_n") * similarity
     pairs = grouped.read().where((F.col("node") != F.col("hub")) & fits).select(F.col("node").alias("a"), F.col("hub").alias("b"))
     links = Table(_verified(pairs, sets.read(), similarity))
     labels = components(links.read())
-    signatures = first.select("node", "signature")
-    rest = Table(_rest(grouped.read(), labels.read(), signatures, similarity, margin, bands * rows_per_band))
-    fresh = rest.read().join(links.read(), ["a", "b"], "left_anti")
-    more = Table(_verified(fresh, sets.read(), similarity))
+    compared = first.select("node", "signature").join(sets.read(), "node")
+    more = Table(_rest(grouped.read(), labels.read(), compared, similarity, margin, bands * rows_per_band))
     copies = member.read().select(F.col("node").alias("a"), F.col("rep").alias("b"))
     classes = components(copies.unionAll(links.read()).unionAll(more.read()))
     nodes = member.read().select("node").distinct()
     out = Table(nodes.join(classes.read(), "node", "left").select("node", F.coalesce("label", "node").alias("label")))
-    for table in (signed, rep, member, grouped, sets, links, labels, rest, more, classes):
+    for table in (signed, rep, member, grouped, sets, links, labels, more, classes):
         table.drop()
     return out
 
@@ -229,57 +230,65 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("a_set"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("b_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
-    union = F.size(F.array_distinct("a_set")) + F.size(F.array_distinct("b_set")) - both
+    union = F.size("a_set") + F.size("b_set") - both
     return pairs.join(left, "a").join(right, "b").where(both >= similarity * union).select("a", "b")
 
 
-#: Members of a block: odd ones against all.
-_ODD, _ALL = 256, 2048
+#: Shingles of a block, about.
+_BLOCK = 200_000
 
 
-def _rest(grouped: DataFrame, labels: DataFrame, signatures: DataFrame, similarity: float, margin: float, registers: int) -> DataFrame:
-    """Pairs a, b still to verify: of each hub's group, members outside of the hub's
-    class (odd ones) with any other member of another class, where the estimate is
-    at least similarity - margin (some 3.5 deviations of a signature)."""
+def _rest(grouped: DataFrame, labels: DataFrame, compared: DataFrame, similarity: float, margin: float, registers: int) -> DataFrame:
+    """The further links a, b: in each hub's group, of members outside of the hub's
+    class (odd ones) with any other member of another class.  A pair is looked at if
+    its estimate is at least similarity - margin (some 3.5 deviations of a signature),
+    and is a link if its sets say so."""
     named = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
     with_label = grouped.select("node", "n", "hub").join(labels, "node", "left").join(named, "hub", "left")
     labelled = with_label.select("node", "n", "hub", F.coalesce("label", "node").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
     odd = (F.col("label") != F.col("hub_label")).alias("odd")
     marked = labelled.where("node != hub").select("node", "n", "hub", "label", odd)
-    sizes = marked.groupBy("hub").agg(F.count("*").alias("size"), F.count_if("odd").alias("n_odd")).where("n_odd > 0 AND size > 1")
-    open_groups = marked.join(sizes, "hub").join(signatures, "node")
-    row = F.struct("node", "n", "label", "signature")
+    sizes = marked.groupBy("hub").agg(F.count("*").alias("size"), F.sum("n").alias("all_n"), F.sum(F.when(F.col("odd"), F.col("n"))).alias("odd_n")).where("odd_n > 0 AND size > 1")
+    open_groups = marked.join(sizes, "hub").join(compared, "node")
+    row = F.struct("node", "n", "label", "signature", "set")
 
-    def blocks(rows: DataFrame, size: str, most: int, name: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col(size) / most)).cast("int")
+    def blocks(rows: DataFrame, total: str, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col(total) / _BLOCK)).cast("int")
         return rows.groupBy("hub", block.alias(f"{name}_block")).agg(F.collect_list(row).alias(name))
 
-    left = blocks(open_groups.where("odd"), "n_odd", _ODD, "odd")
-    right = blocks(open_groups, "size", _ALL, "all")
+    left, right = blocks(open_groups.where("odd"), "odd_n", "odd"), blocks(open_groups, "all_n", "all")
     return left.join(right, "hub").select("odd", "all").mapInArrow(_compared(similarity, margin, registers), "a long, b long").distinct()
 
 
 def _compared(similarity: float, margin: float, registers: int):
     def side(column):
         rows = column.flatten()
-        offsets = np.asarray(column.offsets) - column.offsets[0].as_py()
-        field = {k: rows.field(k) for k in ("node", "n", "label", "signature")}
+        field = {k: rows.field(k) for k in ("node", "n", "label", "signature", "set")}
         signature = np.frombuffer(b"".join(field["signature"].to_pylist()), np.uint16).reshape(-1, registers)
-        return offsets, np.asarray(field["node"]), np.asarray(field["n"]), np.asarray(field["label"]), signature
+        sets = field["set"]
+        return *(np.asarray(field[k]) for k in ("node", "n", "label")), signature, np.asarray(sets.offsets), np.asarray(sets.values)
+
+    def links(batch):
+        node, n, label, signature, first, names = side(batch.column("odd"))
+        node2, n2, label2, signature2, first2, names2 = side(batch.column("all"))
+        for i in range(len(node)):
+            near = np.flatnonzero((label2 != label[i]) & (np.minimum(n2, n[i]) >= np.maximum(n2, n[i]) * similarity))
+            alike = near[(signature2[near] == signature[i]).sum(axis=1) >= (similarity - margin) * registers]
+            if not len(alike):
+                continue
+            own = np.sort(names[first[i] : first[i + 1]])
+            size = first2[alike + 1] - first2[alike]
+            start = np.cumsum(size) - size
+            theirs = names2[np.repeat(first2[alike] - start, size) + np.arange(size.sum())]
+            same = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+            both = np.add.reduceat(same.astype(np.int64), start)
+            yield from ((node[i], node2[k]) for k in alike[both >= similarity * (len(own) + size - both)])
 
     def rows(batches):
         for whole in batches:
             for k in range(whole.num_rows):
-                batch = whole.slice(k, 1)
-                _, node, n, label, signature = side(batch.column("odd"))
-                _, node2, n2, label2, signature2 = side(batch.column("all"))
-                found = []
-                for i in range(len(node)):
-                    near = np.flatnonzero((label2 != label[i]) & (np.minimum(n2, n[i]) >= np.maximum(n2, n[i]) * similarity))
-                    alike = (signature2[near] == signature[i]).sum(axis=1) >= (similarity - margin) * registers
-                    found.append(np.stack([np.full(alike.sum(), node[i]), node2[near[alike]]], axis=1))
-                pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1)), pa.array(pairs.min(axis=1))], names=["a", "b"])
+                found = np.array(list(links(whole.slice(k, 1))), dtype=np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(found.max(axis=1)), pa.array(found.min(axis=1))], names=["a", "b"])
 
     return rows
 
