@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import instruct as I
@@ -51,7 +51,9 @@ def _q(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
-t = F.col("text")
+def _text() -> Column:
+    return F.col("text")
+
 
 # SQL fragments
 WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda x: length(x) > 0)"
@@ -124,69 +126,69 @@ def document_status(spark, sf_dir):
 
 @query(f"SELECT doc_id, {DETECT} AS language FROM documents")
 def detect_language(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.detect_language(t).alias("language"))
+    return _docs(spark, sf_dir).select("doc_id", T.detect_language(_text()).alias("language"))
 
 
 @query("SELECT doc_id, length(text)::INT AS length FROM documents WHERE length(text) BETWEEN 50 AND 5000")
 def filter_length(spark, sf_dir):
-    return _docs(spark, sf_dir).where(F.length(t).between(50, 5000)).select("doc_id", F.length(t).alias("length"))
+    return _docs(spark, sf_dir).where(F.length(_text()).between(50, 5000)).select("doc_id", F.length(_text()).alias("length"))
 
 
 @query(f"SELECT doc_id, {MIN_WORDS.format('text', 'lang')} AS enough FROM documents")
 def filter_min_words(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.enough_words(t, F.col("lang")).alias("enough"))
+    return _docs(spark, sf_dir).select("doc_id", T.enough_words(_text(), F.col("lang")).alias("enough"))
 
 
 @query(f"SELECT doc_id, {URLS.format('text')}::INT AS urls, {URLS.format('text')} <= 3 AS kept FROM documents")
 def filter_url(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.url_count(t).alias("urls"), (T.url_count(t) <= 3).alias("kept"))
+    return _docs(spark, sf_dir).select("doc_id", T.url_count(_text()).alias("urls"), (T.url_count(_text()) <= 3).alias("kept"))
 
 
 @query(f"SELECT doc_id, round({DIGITS.format('text')}, 6) AS digit_ratio FROM documents")
 def filter_digit_ratio(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.round(T.digit_ratio(t), 6).alias("digit_ratio"))
+    return _docs(spark, sf_dir).select("doc_id", F.round(T.digit_ratio(_text()), 6).alias("digit_ratio"))
 
 
 @query(f"SELECT doc_id, {R1.format('text')} AS repeated FROM documents")
 def repeated_sentence(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.repeated_sentence(t).alias("repeated"))
+    return _docs(spark, sf_dir).select("doc_id", T.repeated_sentence(_text()).alias("repeated"))
 
 
 @query(f"WITH {RUNS} SELECT doc_id, coalesce(run, false) AS repeated FROM documents LEFT JOIN runs USING (doc_id)")
 def repeated_word_run(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.repeated_word_run(t).alias("repeated"))
+    return _docs(spark, sf_dir).select("doc_id", T.repeated_word_run(_text()).alias("repeated"))
 
 
 @query(f"SELECT doc_id, round({SPECIAL.format('text')}, 6) AS special_ratio, {SPECIAL.format('text')} > 0.3 AS dropped FROM documents")
 def special_char_ratio(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.round(T.special_char_ratio(t), 6).alias("special_ratio"), (T.special_char_ratio(t) > 0.3).alias("dropped"))
+    return _docs(spark, sf_dir).select("doc_id", F.round(T.special_char_ratio(_text()), 6).alias("special_ratio"), (T.special_char_ratio(_text()) > 0.3).alias("dropped"))
 
 
 @query(f"SELECT doc_id, round({DIVERSE.format('text')}, 6) AS diversity FROM documents")
 def lexical_diversity(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.round(T.lexical_diversity(t), 6).alias("diversity"))
+    return _docs(spark, sf_dir).select("doc_id", F.round(T.lexical_diversity(_text()), 6).alias("diversity"))
 
 
 @query(r"""SELECT doc_id, length(text) >= 10 AND coalesce(length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::DOUBLE / nullif(length(regexp_replace(text, '[^\pL]', '', 'g')), 0), 0) > 0.8 AS english FROM documents""")
 def english_text(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.is_english(t).alias("english"))
+    return _docs(spark, sf_dir).select("doc_id", T.is_english(_text()).alias("english"))
 
 
 @query(r"SELECT doc_id, n, n >= 3 AS three, n >= 2 AS two FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[.!?]\s+'), lambda x: length(trim(regexp_replace(x, '\s', ' ', 'g'))) > 0))::INT AS n FROM documents)")
 def min_sentences(spark, sf_dir):
-    n = F.size(F.filter(T.sentences(t), lambda s: F.length(T.strip(s)) > 0))
-    return _docs(spark, sf_dir).select("doc_id", n.alias("n"), T.min_sentences(t, 3).alias("three"), T.min_sentences(t, 2).alias("two"))
+    n = F.size(F.filter(T.sentences(_text()), lambda s: F.length(T.strip(s)) > 0))
+    return _docs(spark, sf_dir).select("doc_id", n.alias("n"), T.min_sentences(_text(), 3).alias("three"), T.min_sentences(_text(), 2).alias("two"))
 
 
 @query(f"SELECT doc_id, round(1 - {DIVERSE.format('text')}, 6) AS repetition, 1 - {DIVERSE.format('text')} <= 0.3 AS kept FROM documents")
 def max_repetition(spark, sf_dir):
-    share = T.repetition_share(t)
+    share = T.repetition_share(_text())
     return _docs(spark, sf_dir).select("doc_id", F.round(share, 6).alias("repetition"), (share <= 0.3).alias("kept"))
 
 
 @query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n+', chr(10), 'g')) AS h FROM documents""")
 def normalize_whitespace(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.md5(T.normalize_whitespace(t)).alias("h"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.normalize_whitespace(_text())).alias("h"))
 
 
 @query(
@@ -202,7 +204,7 @@ def html_strip(spark, sf_dir):
 @query("SELECT doc_id, 'strict' AS level FROM documents WHERE length(text) BETWEEN 100 AND 5000 UNION ALL SELECT doc_id, 'permissive' FROM documents WHERE length(text) BETWEEN 20 AND 20000")
 def quality_levels(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    parts = [docs.where(F.length(t).between(T.LEVELS[k].min_length, T.LEVELS[k].max_length)).select("doc_id", F.lit(k).alias("level")) for k in ("strict", "permissive")]
+    parts = [docs.where(F.length(_text()).between(T.LEVELS[k].min_length, T.LEVELS[k].max_length)).select("doc_id", F.lit(k).alias("level")) for k in ("strict", "permissive")]
     return parts[0].unionByName(parts[1])
 
 
@@ -219,8 +221,8 @@ SELECT id, source, length(x)::INT AS n FROM (SELECT id, source, regexp_replace(C
 )
 def extract_text_by_source(spark, sf_dir):
     docs, none = _docs(spark, sf_dir), F.lit(None).cast("string")
-    even = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.concat(F.lit("news_"), "source").alias("source"), none.alias("text"), t.alias("content"), none.alias("body"), none.alias("title"))
-    odd = docs.where("doc_id % 2 = 1").select(F.col("doc_id").alias("id"), F.concat(F.lit("petitions_"), "source").alias("source"), t.alias("text"), t.alias("content"), none.alias("body"), none.alias("title"))
+    even = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.concat(F.lit("news_"), "source").alias("source"), none.alias("text"), _text().alias("content"), none.alias("body"), none.alias("title"))
+    odd = docs.where("doc_id % 2 = 1").select(F.col("doc_id").alias("id"), F.concat(F.lit("petitions_"), "source").alias("source"), _text().alias("text"), _text().alias("content"), none.alias("body"), none.alias("title"))
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("reddit_pages").alias("source"), none.alias("text"), none.alias("content"), F.col("html").alias("body"), none.alias("title"))
     raw = even.unionByName(odd).unionByName(pages)
     return readers.corpus_records(raw).select("id", "source", F.length("text").alias("n"))
@@ -234,7 +236,7 @@ def generic_extract(spark, sf_dir):
 
 @query(r"""SELECT doc_id, md5(x) AS h, length(x)::INT AS n FROM (SELECT doc_id, lang, substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 1000) AS x FROM documents) WHERE contains(lower(lang), 'e') AND length(x) >= 100""")
 def config_extract_truncate(spark, sf_dir):
-    docs = _docs(spark, sf_dir).where(language_matches(F.col("lang"), "E")).select("doc_id", configured_text(t, 1000).alias("x"))
+    docs = _docs(spark, sf_dir).where(language_matches(F.col("lang"), "E")).select("doc_id", configured_text(_text(), 1000).alias("x"))
     return docs.where(F.length("x") >= 100).select("doc_id", F.md5("x").alias("h"), F.length("x").alias("n"))
 
 
@@ -254,7 +256,7 @@ def fixed_sources(spark, sf_dir):
 def tokenizer_sample(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     heads = [docs.where(test).orderBy("doc_id").limit(50) for test in ("lang <> 'en'", "lang = 'en'")]
-    return heads[0].unionByName(heads[1]).where(F.length(t) > 100).select("doc_id")
+    return heads[0].unionByName(heads[1]).where(F.length(_text()) > 100).select("doc_id")
 
 
 _SPECS = [specs.SourceSpec(f"src{k}", priority=(k * 7) % 5, enabled=k % 4 != 3, license_type="cc" if k % 2 else "mit", commercial_use=k % 3 != 0, description=f"source {k}") for k in range(20)]
@@ -284,24 +286,24 @@ def license_manifest(spark, sf_dir):
 
 @query(f"SELECT doc_id, copies FROM (SELECT doc_id, row_number() OVER o AS rn, count(*) OVER (PARTITION BY {HASH.format('text')}) AS copies FROM documents WINDOW o AS (PARTITION BY {HASH.format('text')} ORDER BY source, doc_id)) WHERE rn = 1")
 def exact_dedup(spark, sf_dir):
-    docs = _docs(spark, sf_dir).select("doc_id", "source", T.text_hash(t).alias("h"))
+    docs = _docs(spark, sf_dir).select("doc_id", "source", T.text_hash(_text()).alias("h"))
     return dedup.keep_first(docs, [F.col("h")], ["source", "doc_id"], "copies").select("doc_id", "copies")
 
 
 @query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang, md5(text) ORDER BY source, doc_id) AS rn FROM documents) WHERE rn = 1")
 def dedup_per_language(spark, sf_dir):
-    docs = _docs(spark, sf_dir).select("doc_id", "lang", "source", T.raw_hash(t).alias("h"))
+    docs = _docs(spark, sf_dir).select("doc_id", "lang", "source", T.raw_hash(_text()).alias("h"))
     return dedup.keep_first(docs, [F.col("lang"), F.col("h")], ["source", "doc_id"]).select("doc_id", "lang")
 
 
 @query(f"SELECT source, count(*) AS seen, count(DISTINCT {HASH.format('text')}) AS \"unique\", count(*) - count(DISTINCT {HASH.format('text')}) AS removed FROM documents GROUP BY source")
 def dedup_by_source_stats(spark, sf_dir):
-    return dedup.duplicate_statistics(_docs(spark, sf_dir), T.text_hash(t), "source")
+    return dedup.duplicate_statistics(_docs(spark, sf_dir), T.text_hash(_text()), "source")
 
 
 @query(f"SELECT count(*) AS n, count(DISTINCT md5(text)) AS raw_unique, count(DISTINCT {HASH.format('text')}) AS normalized_unique FROM documents")
 def raw_vs_normalized_dup(spark, sf_dir):
-    kinds = F.array(F.struct(F.lit("raw").alias("kind"), T.raw_hash(t).alias("h")), F.struct(F.lit("normalized").alias("kind"), T.text_hash(t).alias("h")))
+    kinds = F.array(F.struct(F.lit("raw").alias("kind"), T.raw_hash(_text()).alias("h")), F.struct(F.lit("normalized").alias("kind"), T.text_hash(_text()).alias("h")))
     keys = _docs(spark, sf_dir).select(F.explode(kinds).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
     one = lambda kind, value: F.sum(F.when(F.col("k.kind") == kind, value).otherwise(0))
     return keys.agg(one("raw", F.col("n")).alias("n"), one("raw", F.lit(1)).alias("raw_unique"), one("normalized", F.lit(1)).alias("normalized_unique"))
@@ -447,7 +449,7 @@ def chat_prompt_last5(spark, sf_dir):
 
 @query("SELECT conv_id, turn, md5(trim(split_part(text, chr(10), 1))) AS h FROM conversations")
 def first_line(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(I.first_line(t)).alias("h"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(I.first_line(_text())).alias("h"))
 
 
 def _pick(n: int) -> str:
@@ -516,7 +518,7 @@ _COUNTS = f"counts AS (SELECT token, count(*) AS freq FROM (SELECT unnest({W}) A
 
 
 def _counts(spark, sf_dir):
-    return tokens.word_counts(_docs(spark, sf_dir), T.words(t))
+    return tokens.word_counts(_docs(spark, sf_dir), T.words(_text()))
 
 
 @query(f"WITH {_COUNTS} SELECT token, freq FROM counts ORDER BY freq DESC, token LIMIT 100")
@@ -545,7 +547,7 @@ def bpe_pair_counts(spark, sf_dir):
 @query(f"WITH {_COUNTS}, v AS (SELECT token FROM counts ORDER BY freq DESC, token LIMIT 896) SELECT sum(freq)::BIGINT AS total, sum(CASE WHEN token IN (SELECT token FROM v) THEN freq ELSE 0 END)::BIGINT AS covered, round(sum(CASE WHEN token IN (SELECT token FROM v) THEN freq ELSE 0 END)::DOUBLE / sum(freq), 6) AS ratio FROM counts")
 def vocab_coverage(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    return tokens.coverage(docs, T.words(t), tokens.vocabulary(_counts(spark, sf_dir), 1000, 4))
+    return tokens.coverage(docs, T.words(_text()), tokens.vocabulary(_counts(spark, sf_dir), 1000, 4))
 
 
 _ID = "(('0x' || substr(md5({0}), 1, 8))::BIGINT % 65535 + 1)"
@@ -553,7 +555,7 @@ _IDS = f"ids AS (SELECT doc_id, list_transform({W}, lambda x: {_ID.format('x')})
 
 
 def _ids(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", tokens.hash_ids(t).alias("ids"))
+    return _docs(spark, sf_dir).select("doc_id", tokens.hash_ids(_text()).alias("ids"))
 
 
 @query(f"WITH {_IDS} SELECT doc_id, len(ids)::INT AS n, coalesce(list_sum(ids), 0)::BIGINT AS total, ids[1]::BIGINT AS first FROM ids")
@@ -594,41 +596,41 @@ def batch_padding(spark, sf_dir):
 
 @query(r"""SELECT doc_id, len(x)::INT AS n, len(list_filter(x, lambda y: regexp_matches(y, '^[.!?,:;"''()\[\]{}]$')))::INT AS marks FROM (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '([.!?,:;"''()\[\]{}])', ' \1 ', 'g'), '\s+'), lambda x: length(x) > 0) AS x FROM documents)""")
 def punctuation_tokens(spark, sf_dir):
-    x = _docs(spark, sf_dir).select("doc_id", tokens.punctuation_tokens(t).alias("x"))
+    x = _docs(spark, sf_dir).select("doc_id", tokens.punctuation_tokens(_text()).alias("x"))
     return x.select("doc_id", F.size("x").alias("n"), F.size(F.filter("x", lambda y: y.rlike(f"^{tokens.SPLIT_PUNCTUATION}$"))).alias("marks"))
 
 
 @query(r"""SELECT doc_id, length(text)::INT AS n, length(regexp_replace(text, '[a-zA-Z0-9가-힣 .,!?:;_()\[\]{}"''-]', '', 'g'))::INT AS unknown FROM documents""")
 def char_token_ids(spark, sf_dir):
-    ids = _docs(spark, sf_dir).select("doc_id", tokens.char_ids(t).alias("ids"))
+    ids = _docs(spark, sf_dir).select("doc_id", tokens.char_ids(_text()).alias("ids"))
     return ids.select("doc_id", F.size("ids").alias("n"), F.size(F.filter("ids", lambda x: x == 1)).alias("unknown"))
 
 
 @query()
 def bpe_encode(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id", "text")
-    counts = tokens.word_counts(docs, tokens.pre_tokens(tokens.nfd(t)))
+    counts = tokens.word_counts(docs, tokens.pre_tokens(tokens.nfd(_text())))
     vocab, merges = tokens.train_bpe(counts, 600)
-    made = docs.select("doc_id", tokens.bpe_encode(t, vocab, merges).alias("ids"))
+    made = docs.select("doc_id", tokens.bpe_encode(_text(), vocab, merges).alias("ids"))
     return made.select("doc_id", F.size("ids").alias("n"), F.size(F.filter("ids", lambda x: x == 1)).alias("unknown"), F.md5(tokens.bpe_decode(F.col("ids"), vocab)).alias("h"))
 
 
 @query()
 def morpheme_tokenize(spark, sf_dir):
-    m = _docs(spark, sf_dir).select("doc_id", tokens.morphemes(t).alias("m"))
+    m = _docs(spark, sf_dir).select("doc_id", tokens.morphemes(_text()).alias("m"))
     return m.select("doc_id", F.size("m").alias("n"), F.md5(tokens.morpheme_join(F.col("m"))).alias("h"))
 
 
 @query()
 def nfd_normalize(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.md5(tokens.nfd(t)).alias("h"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(tokens.nfd(_text())).alias("h"))
 
 
 @query()
 def subword_fallback(spark, sf_dir):
     # a vocabulary of a fixed size
     vocab = {r["token"] for r in tokens.vocabulary(_counts(spark, sf_dir), 1000, 4).select("token").collect()}
-    parts = _docs(spark, sf_dir).select("doc_id", tokens.subwords(tokens.punctuation_tokens(t), vocab).alias("p"))
+    parts = _docs(spark, sf_dir).select("doc_id", tokens.subwords(tokens.punctuation_tokens(_text()), vocab).alias("p"))
     return parts.select("doc_id", F.size("p").alias("n"))
 
 
@@ -657,7 +659,7 @@ def quality_issues(spark, sf_dir):
 
 @query(f"SELECT lang, count(*) AS n, sum(length(text))::BIGINT AS chars, count(*) >= 100 AS achieved, round(count(*) * 100.0::DOUBLE / 100, 1) AS achievement FROM documents GROUP BY lang")
 def corpus_totals(spark, sf_dir):
-    totals = _docs(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length(t)).cast("long").alias("chars"))
+    totals = _docs(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length(_text())).cast("long").alias("chars"))
     return metrics.achievement(totals, "n", 100)
 
 
@@ -677,7 +679,7 @@ def distinct_bigrams(spark, sf_dir):
 
 @query(f"SELECT round(exp(sum(loss * n) / sum(n)), 6) AS perplexity, round(exp(avg(loss)), 6) AS batch_perplexity FROM (SELECT 1 + (doc_id % 100) / 50.0::DOUBLE AS loss, len({W}) AS n FROM documents) WHERE n >= 10")
 def perplexity_weighted(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select((F.lit(1) + (F.col("doc_id") % 100) / F.lit(50.0)).alias("loss"), F.size(T.words(t)).alias("n")).where("n >= 10")
+    rows = _docs(spark, sf_dir).select((F.lit(1) + (F.col("doc_id") % 100) / F.lit(50.0)).alias("loss"), F.size(T.words(_text())).alias("n")).where("n >= 10")
     return metrics.perplexity(rows, "loss", "n")
 
 
