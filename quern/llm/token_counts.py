@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesnp import pieces
+from .common import Table
 from .encode import default_path, encoder
 
 
@@ -43,7 +44,8 @@ def histogram(docs: DataFrame, *, text: str = "text", tokenizer: str | None = No
     Null and empty texts have length 0; repeated rows count each; an empty table
     gives an empty table; other columns are not read."""
     counts = encoded_lengths(docs, text=text, tokenizer=tokenizer).groupBy("length").agg(F.sum("documents").alias("documents"))
-    return suffix_sums(counts, block=block)
+    # written once: the sums below read the counts twice, the texts are encoded once
+    return suffix_sums(Table(counts).read(), block=block)
 
 
 def suffix_sums(counts: DataFrame, *, block: int = 1024) -> DataFrame:
