@@ -294,3 +294,80 @@ def subwords(tokens: Column, vocab: set[str]) -> Column:
 
     return split(tokens)
 
+
+
+# ------------------------------------------------- encoders with specials, choice
+
+#: Ids of the specials of the word-level encoders.
+SPECIAL_IDS = {"<pad>": 0, "<s>": 1, "</s>": 2, "<unk>": 3}
+
+
+def _framed(ids: Column, max_length: int | None) -> Column:
+    """Begin and end marks around; a cut may take the end mark."""
+    out = F.concat(F.array(F.lit(1).cast("long")), ids, F.array(F.lit(2).cast("long")))
+    return F.slice(out, 1, max_length) if max_length else out
+
+
+def hash_encode(t: Column, max_length: int | None = None) -> Column:
+    """Whitespace tokens by their stable ids; specials in the text keep theirs."""
+    special = F.create_map(*[F.lit(x) for k, v in SPECIAL_IDS.items() for x in (k, v)])
+    one = lambda w: F.coalesce(F.try_element_at(special, w).cast("long"), stable_id(w))
+    return _framed(F.transform(words(t), one), max_length)
+
+
+def hash_decode(ids: Column, known: dict[int, str] | None = None, guessed: dict[int, str] | None = None) -> Column:
+    """Known words (guessed ones marked *), other ids as [id]; specials left out but
+    [UNK].  An id is not unique to a word, so this is for reading only."""
+    table = {**{k: f"{v}*" for k, v in (guessed or {}).items()}, **(known or {}), 0: "", 1: "", 2: "", 3: "[UNK]"}
+    names = F.create_map(*[x for k, v in table.items() for x in (F.lit(k).cast("long"), F.lit(v))])
+    shown = F.transform(ids, lambda x: F.coalesce(F.try_element_at(names, x.cast("long")), F.concat(F.lit("["), x.cast("string"), F.lit("]"))))
+    return F.array_join(F.filter(shown, lambda w: w != ""), " ")
+
+
+def vocabulary_map(vocab: dict[str, int]) -> Column:
+    """A vocabulary of a bounded size as a constant map."""
+    return F.create_map(*[x for k, v in vocab.items() for x in (F.lit(k), F.lit(v).cast("long"))])
+
+
+def morpheme_vocabulary(extra: tuple[str, ...] = ()) -> dict[str, int]:
+    """Specials, the words given, particles and endings, numbered in that order."""
+    return {**SPECIAL_IDS, **{w: k + 4 for k, w in enumerate(dict.fromkeys((*extra, *PARTICLES, *ENDINGS)))}}
+
+
+def morpheme_encode(t: Column, vocab: dict[str, int] | None = None, max_length: int | None = None, size: int = 65536) -> Column:
+    """Morphemes by vocabulary id, others by a stable id from 1,000 on."""
+    known = vocabulary_map(vocab or morpheme_vocabulary())
+    one = lambda w: F.coalesce(F.try_element_at(known, w), stable_id(w, size - 1000, 1000))
+    return _framed(F.transform(morphemes(t), one), max_length)
+
+
+def pretrained_encode(t: Column, path: str) -> Column:
+    """Ids by a vocabulary file of the tokenizers or sentencepiece library; a file is
+    opened once in each Python worker."""
+
+    @F.pandas_udf("array<int>")
+    def encode(texts):
+        if path.endswith(".model"):
+            from sentencepiece import SentencePieceProcessor
+
+            model = SentencePieceProcessor(model_file=path)
+            return texts.map(lambda x: None if x is None else model.encode(x, num_threads=1))
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(path)
+        return texts.map(lambda x: None if x is None else model.encode(x, add_special_tokens=False).ids)
+
+    return encode(t)
+
+
+def choose(kind: str, path: str | None = None):
+    """(the kind used, text column -> ids column): korean, improved_korean or
+    pretrained; an unknown kind, or a pretrained one without a readable file, falls
+    back to korean."""
+    import os
+
+    if kind == "pretrained" and path and os.path.exists(path):
+        return kind, lambda t: pretrained_encode(t, path)
+    if kind == "improved_korean":
+        return kind, lambda t: _framed(F.transform(punctuation_tokens(t), stable_id), None)
+    return "korean", morpheme_encode

@@ -17,7 +17,7 @@ from ..functions import numbers as N
 from ..functions import text as T
 from ..functions.extract import configured_text, generic_text, instruction_fields, language_matches, text_by_source
 from ..operators import dedup, instructions, metrics, order, tokens
-from ..sources import readers, specs
+from ..sources import readers, recipes, specs
 from ..streaming import clean as streaming
 from . import pipelines
 
@@ -281,6 +281,13 @@ def license_manifest(spark, sf_dir):
     return specs.license_manifest(specs.registry_frame(spark, _SPECS))
 
 
+@query("SELECT source, doc_id FROM (SELECT 'a' AS source, doc_id FROM documents WHERE lang = 'fr' UNION ALL SELECT 'a', doc_id FROM documents WHERE lang = 'fr' UNION ALL SELECT 'b', doc_id FROM documents WHERE lang = 'es')")
+def merge_weighted(spark, sf_dir):
+    docs = _docs(spark, sf_dir).select("doc_id", "lang")
+    one = lambda lang: docs.where(F.col("lang") == lang).select("doc_id")
+    return recipes.merge_weighted({"a": (one("fr"), 2.7), "b": (one("es"), 1.0), "c": (one("de"), 0.5)}).select("source", "doc_id")
+
+
 # ------------------------------------------------------------------------- dedup
 
 
@@ -606,6 +613,19 @@ def char_token_ids(spark, sf_dir):
     return ids.select("doc_id", F.size("ids").alias("n"), F.size(F.filter("ids", lambda x: x == 1)).alias("unknown"))
 
 
+@query(f"WITH {_IDS} SELECT doc_id, len(x)::INT AS n, list_sum(x)::BIGINT AS total, md5(list_aggregate(list_transform(list_filter(x, lambda y: y > 2), lambda y: CASE WHEN y = 3 THEN '[UNK]' ELSE '[' || y || ']' END), 'string_agg', ' ')) AS h FROM (SELECT doc_id, list_concat([1::BIGINT], ids, [2::BIGINT]) AS x FROM ids) WHERE len(x) > 2")
+def hash_round_trip(spark, sf_dir):
+    x = _docs(spark, sf_dir).select("doc_id", tokens.hash_encode(_text()).alias("x")).where(F.size("x") > 2)
+    total = F.aggregate("x", F.lit(0).cast("long"), lambda a, b: a + b)
+    return x.select("doc_id", F.size("x").alias("n"), total.alias("total"), F.md5(tokens.hash_decode(F.col("x"))).alias("h"))
+
+
+@query()
+def morpheme_encode(spark, sf_dir):
+    x = _docs(spark, sf_dir).select("doc_id", tokens.morpheme_encode(_text()).alias("x"))
+    return x.select("doc_id", F.size("x").alias("n"), F.size(F.filter("x", lambda y: y >= 1000)).alias("unknown"))
+
+
 @query()
 def bpe_encode(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id", "text")

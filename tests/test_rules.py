@@ -16,7 +16,7 @@ from quern.functions import text as T
 from quern.functions.extract import generic_text, instruction_fields, text_by_source
 from quern.operators import dedup, instructions, metrics, order, tokens
 from quern.plans import pipelines
-from quern.sources import readers, sinks, specs
+from quern.sources import readers, recipes, sinks, specs
 from quern.streaming import clean as streaming
 
 
@@ -279,3 +279,34 @@ def test_keep_first(spark):
     frame = spark.createDataFrame([(2, "a", None), (1, "a", "x"), (3, "b", "y")], "k int, h string, v string")
     got = {(r.k, r.copies) for r in dedup.keep_first(frame, [F.col("h")], ["k"], "copies").collect()}
     assert got == {(1, 2), (3, 1)}
+
+
+def test_encoders_with_specials(spark, tmp_path):
+    row = spark.createDataFrame([("나는 x <unk> y",)], "t string")
+    ids = row.select(tokens.hash_encode(F.col("t")).alias("i")).first().i
+    assert ids[0] == 1 and ids[3] == 3 and ids[-1] == 2 and len(ids) == 6
+    shown = row.select(tokens.hash_decode(tokens.hash_encode(F.col("t")), {ids[1]: "나는"}, {ids[2]: "guess"}).alias("s")).first().s
+    assert shown == f"나는 guess* [UNK] [{ids[4]}]"
+    vocab = tokens.morpheme_vocabulary(("나",))
+    got = row.select(tokens.morpheme_encode(F.lit("나의 zz"), vocab, 3).alias("i")).first().i
+    assert got == [1, vocab["나"], vocab["의"]]
+    assert tokens.choose("pretrained", "/missing")[0] == "korean" and tokens.choose("what")[0] == "korean" and tokens.choose("improved_korean")[0] == "improved_korean"
+    import public_tokenizers
+
+    for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"):
+        kind, encode = tokens.choose("pretrained", public_tokenizers.path(name))
+        assert kind == "pretrained" and len(row.select(encode(F.lit("hello world")).alias("i")).first().i) >= 2
+
+
+def test_recipes_ingest_and_config(spark, tmp_path):
+    text = '{"korean_component": {"target_size_gb": 3, "datasets": [{"name": "a/b", "priority": 2, "license": "mit"}]}, "english_component": {"target_size_gb": 1, "datasets": [{"name": "c"}]}}'
+    shares, found = recipes.load_recipe(text)
+    assert shares == {"ko": 0.75, "en": 0.25} and [s.name for s in found] == ["a/b", "c"]
+    spark.createDataFrame([("some text",), (None,)], "text string").write.json(f"{tmp_path}/in")
+    spec = specs.SourceSpec("a/b", path=f"{tmp_path}/in", language="en")
+    first, again = (recipes.ingest(spark, [spec], f"{tmp_path}/out").first() for _ in range(2))
+    assert first.written and not again.written and first.bytes > 0 and spark.read.json(first.path).first().language == "en"
+    config = recipes.ModelConfig.from_json(recipes.ModelConfig(n_heads=7).to_json())
+    assert config.n_heads == 7 and recipes.config_errors({"vocab_size": 0, "d_model": 8, "n_heads": 3}) == [
+        "missing: n_layers", "missing: max_seq_len", "missing: learning_rate", "missing: batch_size", "must be positive: vocab_size", "d_model must be a multiple of n_heads",
+    ]
