@@ -245,11 +245,11 @@ def head_per_source(spark, sf_dir):
     return order.head_per_source(_docs(spark, sf_dir).select("source", "doc_id"), "source", "doc_id", 7)
 
 
-@query(f"SELECT source, doc_id FROM (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE (source <> 'src1' OR rn <= 5) AND source IN ('src1', 'src2') AND length(text) > 50")
+@query("SELECT source, doc_id FROM (SELECT CASE WHEN lang = 'en' THEN 'english' ELSE 'other' END AS source, doc_id, text, row_number() OVER (PARTITION BY lang = 'en' ORDER BY doc_id) AS rn FROM documents) WHERE (source <> 'english' OR rn <= 25) AND length(text) > 50")
 def fixed_sources(spark, sf_dir):
-    docs = _docs(spark, sf_dir).select("doc_id", "text", "source")
-    frames = {s: docs.where(F.col("source") == s) for s in ("src1", "src2")}
-    return readers.fixed_sources(frames, {"src1": 5}, "doc_id").where(F.length("text") > 50).select("source", "doc_id")
+    docs = _docs(spark, sf_dir).select("doc_id", "text", "lang")
+    frames = {"english": docs.where("lang = 'en'"), "other": docs.where("lang <> 'en'")}
+    return readers.fixed_sources(frames, {"english": 25}, "doc_id").where(F.length("text") > 50).select("source", "doc_id")
 
 
 @query("SELECT doc_id FROM (SELECT * FROM (SELECT doc_id, text FROM documents WHERE lang <> 'en' ORDER BY doc_id LIMIT 50) UNION ALL SELECT * FROM (SELECT doc_id, text FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 50)) WHERE length(text) > 100")
@@ -767,11 +767,11 @@ def repetition_penalty(spark, sf_dir):
 # ----------------------------------------------------------------------- numbers
 
 
-@query("SELECT o_orderkey, CASE WHEN n < 1000 THEN n::VARCHAR WHEN n < 1e6 THEN printf('%.1fK', n / 1000.0) WHEN n < 1e9 THEN printf('%.1fM', n / 1e6) ELSE printf('%.1fB', n / 1e9) END AS number, CASE WHEN s < 60 THEN printf('%.1f초', s) WHEN s < 3600 THEN printf('%d분 %.1f초', floor(s / 60)::BIGINT, s - 60 * floor(s / 60)) ELSE printf('%d시간 %d분 %.1f초', floor(s / 3600)::BIGINT, floor((s % 3600) / 60)::BIGINT, s - 60 * floor(s / 60)) END AS time FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 900 ELSE (o_orderkey * o_orderkey * 7 + 13) * 1000 + 1 END AS n, o_orderkey * 0.25::DOUBLE + 0.125 AS s FROM orders WHERE o_orderkey < 20000)")
+@query("SELECT o_orderkey, CASE WHEN n < 1000 THEN n::VARCHAR WHEN n < 1e6 THEN printf('%.1fK', n / 1000.0) WHEN n < 1e9 THEN printf('%.1fM', n / 1e6) ELSE printf('%.1fB', n / 1e9) END AS number, CASE WHEN s < 60 THEN printf('%.1f초', s) WHEN s < 3600 THEN printf('%d분 %.1f초', floor(s / 60)::BIGINT, s - 60 * floor(s / 60)) ELSE printf('%d시간 %d분 %.1f초', floor(s / 3600)::BIGINT, floor((s % 3600) / 60)::BIGINT, s - 60 * floor(s / 60)) END AS time FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 900 ELSE (o_orderkey * o_orderkey * 7 + 13) * 1000 + 1 END AS n, o_orderkey * 0.25::DOUBLE + 0.125 AS s FROM orders)")
 def format_values(spark, sf_dir):
     k = F.col("o_orderkey")
     n = F.when(k % 4 == 0, k % 900).otherwise((k * k * 7 + 13) * 1000 + 1)
-    return table(spark, sf_dir, "orders").where("o_orderkey < 20000").select("o_orderkey", N.format_number(n).alias("number"), N.format_time(k * F.lit(0.25) + 0.125).alias("time"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.format_number(n).alias("number"), N.format_time(k * F.lit(0.25) + 0.125).alias("time"))
 
 
 @query("SELECT step, round(CASE WHEN step < 100 THEN step / 100.0::DOUBLE ELSE greatest(0, 0.5 * (1 + cos(pi() * (step - 100) / 900.0::DOUBLE))) END, 6) AS rate FROM (SELECT unnest(range(0, 1100)) AS step)")
