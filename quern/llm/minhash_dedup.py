@@ -19,6 +19,10 @@ become rows.  So no bucket is expanded into pairs and none is cut short.
 Verification: the Jaccard similarity of the two documents' shingle sets, exactly.
 Classes are the connected components of the verified links, found by alternating
 large-star and small-star steps; exact copies join their class first, by checksum.
+
+Aggregates by a key that may be hot (a bucket, a hub, a class) are written before they
+are joined back, so that both sides of the join come by a plain exchange and Spark may
+split the large one.
 """
 
 from __future__ import annotations
@@ -131,15 +135,15 @@ def components(edges: DataFrame) -> Table:
     while True:
         e = current.read()
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, both.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        least = Table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")))
+        large = both.join(least.read(), F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         stars = Table(large)
         e2 = stars.read()
-        low = e2.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        small = e2.join(low, e2.a == low.u).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        low = Table(e2.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"))
+        small = e2.join(low.read(), F.col("a") == F.col("u")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         following = Table(small.where("a > b").distinct())
-        stars.drop()
-        current.drop()
+        for table in (least, stars, low, current):
+            table.drop()
         current = following
         state = tuple(current.read().agg(F.count("*"), F.sum((F.xxhash64("a", "b") % (1 << 31)).cast("decimal(20,0)"))).first())
         if state == before:
@@ -171,14 +175,15 @@ def _labels(docs: DataFrame, text: str, doc_id: str, size: int, similarity: floa
     first = signed.read().join(rep.read(), ["c1", "c2"]).where("node = rep").dropDuplicates(["node"])
 
     banded = first.select("node", "n", F.posexplode("bands").alias("band", "key"))
-    counts = banded.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = Table(banded.join(counts, ["band", "key"]))
+    counts = Table(banded.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1"))
+    shared = Table(banded.join(counts.read(), ["band", "key"]))
     mates = shared.read().groupBy("node").agg(F.sum("members").alias("mates"))
     scored = shared.read().join(mates, "node")
-    hubs = scored.groupBy("band", "key").agg(F.max(F.struct("mates", (-F.col("node")).alias("minus"), "n")).alias("h"))
-    hub = scored.join(hubs, ["band", "key"]).select("node", "n", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n"))
+    hubs = Table(scored.groupBy("band", "key").agg(F.max(F.struct("mates", (-F.col("node")).alias("minus"), "n")).alias("h")))
+    hub = shared.read().join(hubs.read(), ["band", "key"]).select("node", "n", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n"))
     grouped = Table(hub.distinct())
-    shared.drop()
+    for table in (counts, shared, hubs):
+        table.drop()
 
     asked = grouped.read().select("node").distinct()
     # the ids of candidates grow with the corpus, so they are merged, not broadcast
@@ -188,12 +193,14 @@ def _labels(docs: DataFrame, text: str, doc_id: str, size: int, similarity: floa
     links = Table(_verified(pairs, sets.read(), similarity))
     labels = components(links.read())
     compared = first.select("node", "signature").join(sets.read(), "node")
-    more = Table(_rest(grouped.read(), labels.read(), compared, similarity, margin, bands * rows_per_band))
+    marked = Table(_marked(grouped.read(), labels.read()))
+    sizes = Table(_sizes(marked.read()))
+    more = Table(_rest(marked.read(), sizes.read(), compared, similarity, margin, bands * rows_per_band))
     copies = member.read().select(F.col("node").alias("a"), F.col("rep").alias("b"))
     classes = components(copies.unionAll(links.read()).unionAll(more.read()))
     nodes = member.read().select("node").distinct()
     out = Table(nodes.join(classes.read(), "node", "left").select("node", F.coalesce("label", "node").alias("label")))
-    for table in (signed, rep, member, grouped, sets, links, labels, more, classes):
+    for table in (signed, rep, member, grouped, sets, links, labels, marked, sizes, more, classes):
         table.drop()
     return out
 
@@ -211,8 +218,8 @@ def near_duplicates(
     one, or null.  An empty table gives an empty table."""
     labels = _labels(docs, text, doc_id, size, similarity, bands, rows_per_band, max_weight, margin)
     # ids of rows without doc_id are below -1
-    named = labels.read().groupBy("label").agg(F.min(F.when(F.col("node") > -2, F.col("node"))).alias("class_id"), F.count("*").alias("class_size"))
-    result = labels.read().join(named, "label").select("node", "class_id", "class_size")
+    named = Table(labels.read().groupBy("label").agg(F.min(F.when(F.col("node") > -2, F.col("node"))).alias("class_id"), F.count("*").alias("class_size")))
+    result = labels.read().join(named.read(), "label").select("node", "class_id", "class_size")
     ids = docs.select(F.col(doc_id).alias("doc_id"), _node(docs, text, doc_id).alias("node"))
     return ids.join(result, "node").select("doc_id", "class_id", "class_size")
 
@@ -238,17 +245,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 _BLOCK = 200_000
 
 
-def _rest(grouped: DataFrame, labels: DataFrame, compared: DataFrame, similarity: float, margin: float, registers: int) -> DataFrame:
-    """The further links a, b: in each hub's group, of members outside of the hub's
-    class (odd ones) with any other member of another class.  A pair is looked at if
-    its estimate is at least similarity - margin (some 3.5 deviations of a signature),
-    and is a link if its sets say so."""
+def _marked(grouped: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of each hub's group but the hub, with their class; odd: it isn't
+    the hub's."""
     named = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-    with_label = grouped.select("node", "n", "hub").join(labels, "node", "left").join(named, "hub", "left")
-    labelled = with_label.select("node", "n", "hub", F.coalesce("label", "node").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
-    odd = (F.col("label") != F.col("hub_label")).alias("odd")
-    marked = labelled.where("node != hub").select("node", "n", "hub", "label", odd)
-    sizes = marked.groupBy("hub").agg(F.count("*").alias("size"), F.sum("n").alias("all_n"), F.sum(F.when(F.col("odd"), F.col("n"))).alias("odd_n")).where("odd_n > 0 AND size > 1")
+    with_label = grouped.where("node != hub").join(labels, "node", "left").join(named, "hub", "left")
+    label, hub_label = F.coalesce("label", "node"), F.coalesce("hub_label", "hub")
+    return with_label.select("node", "n", "hub", label.alias("label"), (label != hub_label).alias("odd"))
+
+
+def _sizes(marked: DataFrame) -> DataFrame:
+    """Shingles of all members and of the odd ones, of the groups with something to compare."""
+    sums = marked.groupBy("hub").agg(F.count("*").alias("size"), F.sum("n").alias("all_n"), F.sum(F.when(F.col("odd"), F.col("n"))).alias("odd_n"))
+    return sums.where("odd_n > 0 AND size > 1")
+
+
+def _rest(marked: DataFrame, sizes: DataFrame, compared: DataFrame, similarity: float, margin: float, registers: int) -> DataFrame:
+    """The further links a, b: in each hub's group, of odd members with any other
+    member of another class.  A pair is looked at if its estimate is at least
+    similarity - margin (some 3.5 deviations of a signature), and is a link if its sets
+    say so."""
     open_groups = marked.join(sizes, "hub").join(compared, "node")
     row = F.struct("node", "n", "label", "signature", "set")
 

@@ -23,8 +23,8 @@ decide that; its buckets are:
 6. What is still open is refined to single strings, named by the identifiers at
    later offsets up to `length` bytes, and regrouped one by one.
 
-Every regrouping is a count with map-side combination, followed by a join on the
-group's key whose large side Spark may split; no group is gathered anywhere.
+Every regrouping is a count with map-side combination, written, and joined back on the
+group's key; Spark may split the large side.  No group is gathered anywhere.
 The removed runs of bytes are then merged within each document (bounded by its
 length) and cut out by native expressions.
 
@@ -213,8 +213,8 @@ def repeated_spans(docs: DataFrame, *, length: int = 200, text: str = "text", do
 
     rep = F.min(F.struct("k1", "k2", "low", "n")).alias("rep")
     classes = Table(candidates.read().groupBy("bucket", "block").agg(F.count("*").alias("members"), rep))
-    mixed = classes.read().groupBy("bucket").agg(F.count("*").alias("classes")).where("classes > 1").select("bucket")
-    asked = classes.read().join(mixed, "bucket", "left_semi").select("bucket", "members", "rep.*")
+    mixed = Table(classes.read().groupBy("bucket").agg(F.count("*").alias("classes")).where("classes > 1").select("bucket"))
+    asked = classes.read().join(mixed.read(), "bucket", "left_semi").select("bucket", "members", "rep.*")
     asked_of = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("bucket", "members", "low", "n")).alias("runs"))
     # A run's key may fit several equal rows; any of them has the same bytes.
     blocks = (
@@ -228,13 +228,13 @@ def repeated_spans(docs: DataFrame, *, length: int = 200, text: str = "text", do
     stretches = Table(blocks.read().mapInArrow(_stretch_rows(length), _STRETCH))
     rep = F.min(F.struct(F.col("alone").alias("alone"), "k1", "k2", "base", "low", "n")).alias("rep")
     parts = Table(stretches.read().groupBy("bucket", "block").agg(F.count("*").alias("members"), rep))
-    mixed = parts.read().groupBy("bucket").agg(F.count("*").alias("classes")).where("classes > 1").select("bucket")
-    still = parts.read().join(mixed, "bucket", "left_semi").select("bucket", "rep.k1", "rep.k2", "rep.base", "rep.low", "rep.n", (F.col("rep.alone") & (F.col("members") == 1)).alias("alone"))
+    mixed_parts = Table(parts.read().groupBy("bucket").agg(F.count("*").alias("classes")).where("classes > 1").select("bucket"))
+    still = parts.read().join(mixed_parts.read(), "bucket", "left_semi").select("bucket", "rep.k1", "rep.k2", "rep.base", "rep.low", "rep.n", (F.col("rep.alone") & (F.col("members") == 1)).alias("alone"))
     of_block = still.groupBy("k1", "k2", F.col("base").alias("low")).agg(F.collect_list(F.struct("bucket", "low", "n", "alone")).alias("inner"))
     opened = Table(blocks.read().select("k1", "k2", "low", "block_bytes").join(of_block, ["k1", "k2", "low"]))
     strings = opened.read().mapInArrow(_string_rows(length), _STRING)
-    twice = strings.groupBy("bucket", "name").agg(F.count("*").alias("times")).where("times > 1").select("bucket", "name")
-    singles = strings.where("alone").join(twice, ["bucket", "name"], "left_semi").select("k1", "k2", "low", (F.col("low") + length).alias("high"))
+    twice = Table(strings.groupBy("bucket", "name").agg(F.count("*").alias("times")).where("times > 1").select("bucket", "name"))
+    singles = strings.where("alone").join(twice.read(), ["bucket", "name"], "left_semi").select("k1", "k2", "low", (F.col("low") + length).alias("high"))
     end = (F.col("low") + F.col("n") + (length - 1)).alias("high")
     several = parts.read().where("members > 1").select("bucket", "block")
     stretched = stretches.read().where("alone").join(several, ["bucket", "block"], "left_semi").select("k1", "k2", "low", end)
@@ -256,7 +256,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 200, text: str = "text", do
         .agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("spans"))
     )
     out = Table(merged)
-    for table in (candidates, classes, blocks, stretches, parts, opened):
+    for table in (candidates, classes, mixed, blocks, stretches, parts, mixed_parts, opened, twice):
         table.drop()
     return out.read()
 

@@ -357,9 +357,11 @@ def test_encoder_equals_the_tokenizers_library():
     assert [x.ids for x in theirs.encode_batch(texts, add_special_tokens=False)] == [ours(t) for t in texts]
 
 
-def test_packing_round_trip(spark, docs, empty):
-    pieces = packing.pack(docs.withColumn("key", F.monotonically_increasing_id()), keep=("key", "doc_id"), with_ids=True).collect()
-    source = {r.key: r.text for r in docs.withColumn("key", F.monotonically_increasing_id()).collect()}
+def test_packing_round_trip(spark, docs, empty, tmp_path):
+    docs.withColumn("key", F.monotonically_increasing_id()).write.parquet(f"{tmp_path}/keyed")
+    keyed = spark.read.parquet(f"{tmp_path}/keyed")
+    pieces = packing.pack(keyed, keep=("key", "doc_id"), with_ids=True).collect()
+    source = {r.key: r.text for r in keyed.collect()}
     ours = encode.encoder(encode.default_path())
     by = defaultdict(list)
     for r in pieces:
