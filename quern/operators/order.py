@@ -2,8 +2,8 @@
 
 A global row number by a window over a whole language or corpus is one task.  Here
 rows fall into ordered buckets first; ranks are numbered inside the buckets and
-start at the rows before the bucket, taken from a table of bucket counts.  That
-table has at most `buckets` rows for each group, so it can be broadcast.
+start at the rows before the bucket, taken from a table of bucket counts of at most
+BUCKETS rows for each group.
 """
 
 from __future__ import annotations
@@ -40,7 +40,8 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column], bucket: Column
     before = counts.select(*groups, "__bucket", (F.sum("__n").over(running) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy(*groups)).alias(total))
     inside = F.row_number().over(Window.partitionBy(*groups, "__bucket").orderBy(*order))
     numbered = marked.withColumn("__inside", inside)
-    joined = numbered.join(F.broadcast(before), [*groups, "__bucket"])
+    # the numbering has dealt the rows by just these columns: no further shuffle
+    joined = numbered.join(before, [*groups, "__bucket"])
     return joined.withColumn(rank, F.col("__before") + F.col("__inside")).drop("__bucket", "__before", "__inside")
 
 
