@@ -9,7 +9,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: shuffle files go when the query ends, and Arrow
+#: batches stay small, since each task holds some of them in both processes.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,16 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffles_end_with_query(spark: SparkSession):
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _while_writing(spark: SparkSession):
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class Table:
@@ -45,7 +46,7 @@ class Table:
     def __init__(self, df: DataFrame):
         spark = df.sparkSession
         self.path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
-        with _shuffles_end_with_query(spark):
+        with _while_writing(spark):
             df.write.parquet(self.path)
         self.spark, self.schema = spark, df.schema
 
