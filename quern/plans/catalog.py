@@ -99,11 +99,7 @@ SELECT language, count(*) AS kept, sum(length(text))::BIGINT AS chars,
 FROM f WHERE rn = 1 GROUP BY language"""
 )
 def pretrain_clean_stats(spark, sf_dir):
-    docs = _docs(spark, sf_dir).select("doc_id", "text", "source")
-    kept = pipelines.clean(docs, ["source", "doc_id"])
-    counts = pipelines.counters(docs, ["source", "doc_id"]).select("total_processed", "filtered_out", "duplicates_removed", F.lit(1).alias("one"))
-    by_language = kept.groupBy("language").agg(F.count("*").alias("kept"), F.sum(F.length("text")).cast("long").alias("chars")).withColumn("one", F.lit(1))
-    return by_language.join(F.broadcast(counts), "one").drop("one")
+    return pipelines.clean_statistics(readers.spread(_docs(spark, sf_dir).select("doc_id", "text", "source")), ["source", "doc_id"])
 
 
 @query(
@@ -116,12 +112,13 @@ SELECT *, round(coalesce(korean_texts::DOUBLE / nullif(korean_texts + english_te
   round(coalesce(english_texts::DOUBLE / nullif(korean_texts + english_texts, 0), 0), 3) AS english_ratio FROM c"""
 )
 def pretrain_counters(spark, sf_dir):
-    return pipelines.counters(_docs(spark, sf_dir).withColumnRenamed("lang", "language"), ["source", "doc_id"], detect=False)
+    docs = readers.spread(_docs(spark, sf_dir).select("doc_id", "text", "source", F.col("lang").alias("language")))
+    return pipelines.counters(docs, ["source", "doc_id"], detect=False)
 
 
 @query(_marked_sql(DETECT) + " SELECT doc_id, language, coalesce(failure, 'passed') AS status FROM m")
 def document_status(spark, sf_dir):
-    return pipelines.mark(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", "language", F.coalesce("failure", F.lit("passed")).alias("status"))
+    return pipelines.mark(readers.spread(_docs(spark, sf_dir).select("doc_id", "text"))).select("doc_id", "language", F.coalesce("failure", F.lit("passed")).alias("status"))
 
 
 @query(f"SELECT doc_id, {DETECT} AS language FROM documents")
@@ -151,7 +148,7 @@ def filter_digit_ratio(spark, sf_dir):
 
 @query(f"SELECT doc_id, {R1.format('text')} AS repeated FROM documents")
 def repeated_sentence(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.repeated_sentence(_text()).alias("repeated"))
+    return readers.spread(_docs(spark, sf_dir)).select("doc_id", T.repeated_sentence(_text()).alias("repeated"))
 
 
 @query(f"WITH {RUNS} SELECT doc_id, coalesce(run, false) AS repeated FROM documents LEFT JOIN runs USING (doc_id)")
@@ -525,7 +522,7 @@ _COUNTS = f"counts AS (SELECT token, count(*) AS freq FROM (SELECT unnest({W}) A
 
 
 def _counts(spark, sf_dir):
-    return tokens.word_counts(_docs(spark, sf_dir), T.words(_text()))
+    return tokens.word_counts(readers.spread(_docs(spark, sf_dir).select("text")), T.words(_text()))
 
 
 @query(f"WITH {_COUNTS} SELECT token, freq FROM counts ORDER BY freq DESC, token LIMIT 100")
@@ -562,7 +559,7 @@ _IDS = f"ids AS (SELECT doc_id, list_transform({W}, lambda x: {_ID.format('x')})
 
 
 def _ids(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", tokens.hash_ids(_text()).alias("ids"))
+    return readers.spread(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", tokens.hash_ids(_text()).alias("ids"))
 
 
 @query(f"WITH {_IDS} SELECT doc_id, len(ids)::INT AS n, coalesce(list_sum(ids), 0)::BIGINT AS total, ids[1]::BIGINT AS first FROM ids")
@@ -637,7 +634,7 @@ def bpe_encode(spark, sf_dir):
 
 @query()
 def morpheme_tokenize(spark, sf_dir):
-    m = _docs(spark, sf_dir).select("doc_id", tokens.morphemes(_text()).alias("m"))
+    m = readers.spread(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", tokens.morphemes(_text()).alias("m"))
     return m.select("doc_id", F.size("m").alias("n"), F.md5(tokens.morpheme_join(F.col("m"))).alias("h"))
 
 
@@ -694,7 +691,7 @@ g AS (SELECT word AS a, lead(word) OVER (ORDER BY doc_id, pos) AS b FROM w)
 SELECT count(*) AS n_bigrams, count(DISTINCT (a, b)) AS n_distinct, round(count(DISTINCT (a, b))::DOUBLE / count(*), 6) AS ratio FROM g WHERE b IS NOT NULL"""
 )
 def distinct_bigrams(spark, sf_dir):
-    return metrics.distinct_bigrams(_docs(spark, sf_dir).select("doc_id", "text"), "text", "doc_id")
+    return metrics.distinct_bigrams(readers.spread(_docs(spark, sf_dir).select("doc_id", "text")), "text", "doc_id")
 
 
 @query(f"SELECT round(exp(sum(loss * n) / sum(n)), 6) AS perplexity, round(exp(avg(loss)), 6) AS batch_perplexity FROM (SELECT 1 + (doc_id % 100) / 50.0::DOUBLE AS loss, len({W}) AS n FROM documents) WHERE n >= 10")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -56,25 +56,40 @@ def clean(records: DataFrame, order: list[str], rules: T.DocumentRules = T.Docum
     return keep_first(passed, [F.col("hash")], order, "copies").where(F.col("language").isin(*SUPPORTED))
 
 
-def counters(records: DataFrame, order: list[str], rules: T.DocumentRules = T.DocumentRules(), detect: bool = True) -> DataFrame:
-    """One row of counters.  Duplicates are counted as copies of kept keys; nothing but
-    keys and counts is shuffled."""
+def _firsts(records: DataFrame, order: list[str], rules: T.DocumentRules, detect: bool) -> DataFrame:
+    """hash, n, first (its order, language and length): one row for each key that passed,
+    and one without hash for all that failed.  One pass; keys and counts are shuffled."""
     marked = mark(records, rules, detect)
-    failed = marked.where("failure IS NOT NULL").agg(F.count("*").alias("filtered_out"))
-    keys = marked.where("failure IS NULL").select("hash", F.struct(*order, "language").alias("row"))
-    firsts = keys.groupBy("hash").agg(F.min("row").alias("row"), F.count("*").alias("n"))
-    korean, supported = F.col("row.language") == "ko", F.col("row.language").isin(*SUPPORTED)
-    kept = firsts.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("passed"), F.count_if(korean).alias("korean_texts"),
-        F.count_if(~korean & supported).alias("english_texts"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates_removed"),
+    first = F.min(F.struct(*order, "language", F.length("text").alias("length"))).alias("first")
+    return marked.groupBy("hash").agg(F.count("*").alias("n"), first)
+
+
+def counters(records: DataFrame, order: list[str], rules: T.DocumentRules = T.DocumentRules(), detect: bool = True) -> DataFrame:
+    """One row of counters.  Duplicates are counted as copies of kept keys."""
+    passed, language = F.col("hash").isNotNull(), F.col("first.language")
+    sums = _firsts(records, order, rules, detect).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_processed"), F.count_if(passed & (language == "ko")).alias("korean_texts"),
+        F.count_if(passed & (language == "en")).alias("english_texts"), F.coalesce(F.sum(F.when(~passed, F.col("n"))), F.lit(0)).alias("filtered_out"),
+        F.coalesce(F.sum(F.when(passed, F.col("n") - 1)), F.lit(0)).alias("duplicates_removed"),
     )
-    both = failed.withColumn("one", F.lit(1)).join(kept.withColumn("one", F.lit(1)), "one")
     n = F.col("korean_texts") + F.col("english_texts")
     share = lambda c: F.round(F.coalesce(F.try_divide(F.col(c), n), F.lit(0.0)), 3)
-    return both.select(
-        (F.col("filtered_out") + F.col("passed")).alias("total_processed"), "korean_texts", "english_texts", "filtered_out", "duplicates_removed",
-        share("korean_texts").alias("korean_ratio"), share("english_texts").alias("english_ratio"),
+    return sums.withColumns({"korean_ratio": share("korean_texts"), "english_ratio": share("english_texts")})
+
+
+def clean_statistics(records: DataFrame, order: list[str], rules: T.DocumentRules = T.DocumentRules(), detect: bool = True) -> DataFrame:
+    """language, kept, chars of what clean() keeps, and the counters of the whole run."""
+    passed = F.col("hash").isNotNull()
+    language = F.when(passed & F.col("first.language").isin(*SUPPORTED), F.col("first.language"))
+    by_language = _firsts(records, order, rules, detect).groupBy(language.alias("language")).agg(
+        F.count_if(passed).alias("kept"), F.sum(F.col("first.length")).cast("long").alias("chars"), F.sum("n").alias("n"),
+        F.coalesce(F.sum(F.when(~passed, F.col("n"))), F.lit(0)).alias("failed"), F.coalesce(F.sum(F.when(passed, F.col("n") - 1)), F.lit(0)).alias("copies"),
     )
+    every = Window.partitionBy(F.lit(0))  # a row for each language at most
+    summed = by_language.select(
+        "language", "kept", "chars", F.sum("n").over(every).alias("total_processed"), F.sum("failed").over(every).alias("filtered_out"), F.sum("copies").over(every).alias("duplicates_removed")
+    )
+    return summed.where("language IS NOT NULL")
 
 
 def pretrain(records: DataFrame, key: str, order: list[str], config: PretrainConfig = PretrainConfig()) -> DataFrame:
@@ -122,4 +137,4 @@ def corpus(spark: SparkSession, specs: list[SourceSpec], mode: str = "full", kor
     return mix_prefix(kept.withColumn(position, F.crc32(F.col("hash").cast("binary"))), position, korean, english)
 
 
-__all__ = ["RECIPES", "InstructionConfig", "PretrainConfig", "clean", "corpus", "counters", "instruction_rows", "instructions", "mark", "pipeline_counters", "pretrain", "recipe"]
+__all__ = ["RECIPES", "InstructionConfig", "PretrainConfig", "clean", "clean_statistics", "corpus", "counters", "instruction_rows", "instructions", "mark", "pipeline_counters", "pretrain", "recipe"]

@@ -27,6 +27,13 @@ FALLBACK_TOKENIZER_TEXTS = (
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores where the scan gives fewer partitions than there are
+    cores (a single small file); a large scan stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def json_lines(spark: SparkSession, path: str, schema: str = schemas.RAW, glob: str = "*.jsonl", strip_prefix: str = "") -> DataFrame:
     """All matching files; source is the file's name without its ending (and prefix).
     Lines that aren't JSON objects are left out."""
