@@ -80,7 +80,7 @@ def distinct_bigrams(df: DataFrame, text: str, position: str) -> DataFrame:
     linked = following(spelled.select(position, F.element_at("w", 1).alias("first")), position, "first", "after")
     joined = spelled.join(linked.select(position, "after"), position)
     chain = F.array_compact(F.concat("w", F.array("after")))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("c") - 2), lambda i: F.struct(F.get("c", i).alias("a"), F.get("c", i + 1).alias("b")))
+    pairs = F.arrays_zip(F.slice("c", F.lit(1), F.size("c") - 1).alias("a"), F.slice("c", F.lit(2), F.size("c") - 1).alias("b"))
     grams = joined.select(chain.alias("c")).where(F.size("c") > 1).select(F.explode(pairs).alias("g"))
     counted = grams.groupBy("g").agg(F.count("*").alias("n"))
     return counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_bigrams"), F.count("*").alias("n_distinct")).withColumn("ratio", _share(F.col("n_distinct"), F.col("n_bigrams"), 6))
