@@ -3,8 +3,10 @@
 Fixed masks pick some tokens of a window and ignore the others, so a window still
 hits when ignored tokens were substituted.  The masked windows of all benchmark
 items form a table of seeds; documents look up theirs.  Around each hit the item is
-laid over the document at that offset, and the best-scoring stretch (a match +1, a
-substitution -2) is verified: enough tokens, at least four fifths equal.
+laid over the document at that offset, and a hit counts if any stretch there meets the
+law: enough tokens, at least four fifths equal.  Reported is the best-scoring stretch
+(a match +1, a substitution -2) or, where that one falls short, the lawful one with the
+most matches.
 
 The benchmark side is processed in blocks of bounded size, each sent to the
 executors once; a benchmark of any size takes more passes, never more memory.
@@ -14,6 +16,7 @@ Documents are not shuffled.
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -85,13 +88,27 @@ def best_stretch(equal: np.ndarray, penalty: int = 2) -> tuple[int, int, int]:
     return first, end, int(equal[first:end].sum())
 
 
+def lawful_stretch(equal: np.ndarray, share: float = 0.8) -> tuple[int, int, int]:
+    """(first, end, matches) of the stretch with the most matches of all whose tokens
+    match by at least share; it begins and ends on a match, and is the first of equals."""
+    part = Fraction(str(share)).limit_denominator(10_000)
+    # excess over the share, in whole numbers: a stretch is lawful where it doesn't fall
+    excess = np.concatenate([[0], np.cumsum(np.where(equal, part.denominator - part.numerator, -part.numerator))])
+    count = np.concatenate([[0], np.cumsum(equal)])
+    # the earliest start not above each end: where the running minimum first gets there
+    start = np.searchsorted(-np.minimum.accumulate(excess), -excess, "left")
+    end = int(np.argmax(count - count[start]))
+    matches = np.flatnonzero(equal[start[end] : end]) + start[end]
+    return (int(matches[0]), int(matches[-1]) + 1, len(matches)) if len(matches) else (0, 0, 0)
+
+
 _OVERLAP = "item int, doc_first long, item_first int, n_tokens int, n_matched int"
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", least_tokens: int = 13, share: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
     """One row per document row and benchmark item that overlap: doc_id, item_id,
     doc_first (word of the document), item_first, n_tokens and n_matched of the
-    best stretch.
+    stretch reported.
 
     A stretch counts if at least `share` of its tokens match, and matches are at
     least that share of least_tokens (of the item's tokens where it has fewer).
@@ -132,8 +149,12 @@ def _best(raw: np.ndarray, offsets: np.ndarray, seeds: _Seeds, least_tokens: int
     for doc, item, diagonal in np.unique(np.concatenate(pairs), axis=0).tolist():
         tokens = seeds.tokens[item]
         low, high = max(diagonal, w.first[doc]), min(diagonal + len(tokens), w.first[doc + 1])
-        first, end, matched = best_stretch(w.hash[low:high] == tokens[low - diagonal : high - diagonal])
-        if matched >= max(share * min(least_tokens, len(tokens)), share * (end - first)):
+        equal = w.hash[low:high] == tokens[low - diagonal : high - diagonal]
+        least = share * min(least_tokens, len(tokens))
+        first, end, matched = best_stretch(equal)
+        if matched < max(least, share * (end - first)):
+            first, end, matched = lawful_stretch(equal, share)
+        if matched >= max(least, 1):
             row = (matched, -(low + first), int(low + first - w.first[doc]), int(low + first - diagonal), end - first)
             best[doc, item] = max(row, best.get((doc, item), row))
     return best

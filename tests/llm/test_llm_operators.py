@@ -94,6 +94,26 @@ def test_best_stretch():
     assert decontamination.best_stretch(np.zeros(3, bool)) == (0, 0, 0)
 
 
+def test_lawful_stretch_against_all_stretches():
+    rng = random.Random(21)
+    for n in (0, 1, 5, 13, 20, 40):
+        for share in (0.7, 0.8, 0.9):
+            for _ in range(40):
+                equal = [rng.random() < rng.choice([0.5, 0.8, 0.9]) for _ in range(n)]
+                most = max((sum(equal[a:b]) for a in range(n) for b in range(a + 1, n + 1) if round(100 * sum(equal[a:b])) >= round(100 * share) * (b - a)), default=0)
+                first, end, matched = decontamination.lawful_stretch(np.array(equal, bool), share)
+                assert matched == most == sum(equal[first:end]) and round(100 * matched) >= round(100 * share) * (end - first)
+
+
+def test_overlaps_with_one_substitution_anywhere(spark):
+    rng = random.Random(22)
+    item = [f"p{k}" for k in range(13)]
+    rows = [(k, " ".join([*words(rng, 20), *item[:k], "zzz", *item[k + 1 :], *words(rng, 20)])) for k in range(13)]
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.n_matched) for r in decontamination.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {k: (12 if k in (0, 12) else 11 if k in (1, 11) else 13, 11 if k in (1, 11) else 12) for k in range(13)}
+
+
 # ------------------------------------------------------------------- op2
 
 
