@@ -1,9 +1,11 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks pick some tokens of a window and ignore the others, so a window still
-hits when ignored tokens were substituted.  The masked windows of all benchmark
-items form a table of seeds; documents look up theirs.  Around each hit the item is
-laid over the document at that offset, and a hit counts if any stretch there meets the
+Masks pick some tokens of a window and ignore the others, so a window still hits
+when ignored tokens were substituted.  An item gets a family of masks of which at
+least one fits every overlap that the law accepts, so no lawful overlap is missed.
+The masked windows of all benchmark items form a table of seeds; documents look up
+theirs.  Around each hit the item is laid over the document at that offset; chance
+hits go by the number of equal tokens there, and a hit counts if any stretch there meets the
 law: enough tokens, at least four fifths equal.  Reported is the best-scoring stretch
 (a match +1, a substitution -2) or, where that one falls short, the lawful one with the
 most matches.
@@ -16,20 +18,46 @@ Documents are not shuffled.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesnp import ALNUM_FOLDED, U64, flat, mix, pieces, words
+from .bytesnp import ALNUM_FOLDED, U64, Words, flat, mix, pieces, words
 from .common import text_or_empty
 
-#: The masks (1: the token counts) for all items, and for items
-#: shorter than the longest of them.
-MASKS = ("1101100111", "1110010111", "101110110101")
-SHORT_MASKS = ("11011", "11101", "10111")
+#: Items of fewer tokens match nothing; no mask has a longer run of
+#: tokens that count; so many hits or tokens are held at a time.
+LEAST_ITEM, LONGEST_RUN, AT_ONCE = 5, 4, 1 << 20
+
+
+@lru_cache(1 << 14)
+def masks(tokens: int, least_tokens: int = 13, share: float = 0.8) -> tuple[str, ...]:
+    """Masks (1: the token counts) of which one fits every lawful stretch of an item.
+
+    k substitutions leave k + 1 runs of equal tokens at most, the longest of them with
+    at least ceil(matches / (k + 1)) tokens; r is the least of these over all lawful
+    stretches.  Where a stretch has no longer run than r only if all its runs have r
+    tokens, a run of r + 1 or two runs of r around one substitution are in all."""
+    part = Fraction(str(share)).limit_denominator(10_000)
+    need, found = max(1, math.ceil(part * min(least_tokens, tokens))), []
+    for k in range(tokens + 1 if part < 1 else 1):
+        matches = max(need, -(-k * part.numerator // (part.denominator - part.numerator))) if k else need
+        if matches + k > tokens:
+            break
+        found.append((-(-matches // (k + 1)), k > 0 and matches % (k + 1) == 0))
+    if tokens < LEAST_ITEM or not found:
+        return ()
+    r = min(found)[0]
+    if r >= LONGEST_RUN:
+        return ("1" * LONGEST_RUN,)
+    if all(even for run, even in found if run == r):
+        return "1" * (r + 1), "1" * r + "0" + "1" * r
+    return ("1" * r,)
 
 
 def _masked(hashes: np.ndarray, doc: np.ndarray, mask: str, number: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,16 +77,18 @@ def _masked(hashes: np.ndarray, doc: np.ndarray, mask: str, number: int) -> tupl
 class _Seeds:
     """The seeds of one block of items: sorted, with a bit table before them."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], least_tokens: int = 13, share: float = 0.8):
         raw, offsets = flat(pa.array(texts, pa.string()))
         w = words(raw, offsets, ALNUM_FOLDED)
-        self.tokens = [w.hash[a:b] for a, b in zip(w.first, w.first[1:])]
-        short = np.diff(w.first)[w.doc] < max(map(len, MASKS)) if len(w.doc) else np.empty(0, bool)
-        found = []
-        for number, mask in enumerate([*MASKS, *SHORT_MASKS]):
+        self.hash, self.first, self.size = w.hash, w.first, np.diff(w.first)
+        self.least = share * np.minimum(least_tokens, self.size)
+        own = [masks(n, least_tokens, share) for n in self.size.tolist()]
+        self.masks = sorted({m for ms in own for m in ms})
+        found = [(np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64))]
+        for number, mask in enumerate(self.masks):
             at, seed = _masked(w.hash, w.doc, mask, number)
-            if number >= len(MASKS):
-                at, seed = at[short[at]], seed[short[at]]
+            mine = np.array([mask in ms for ms in own])[w.doc[at]]
+            at, seed = at[mine], seed[mine]
             found.append((seed, w.doc[at], at - w.first[w.doc[at]]))
         self.seed, self.item, self.place = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(self.seed, kind="stable")
@@ -67,14 +97,41 @@ class _Seeds:
         self.table = np.zeros(1 << self.bits, bool)
         self.table[(self.seed >> U64(64 - self.bits)).astype(np.int64)] = True
 
-    def hits(self, at: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position, item, place in the item) of every equal seed."""
+    def hits(self, at: np.ndarray, seed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(position, item, place in the item) of every equal seed, some at a time."""
         near = self.table[(seed >> U64(64 - self.bits)).astype(np.int64)]
         at, seed = at[near], seed[near]
         low, high = np.searchsorted(self.seed, seed, "left"), np.searchsorted(self.seed, seed, "right")
-        n = high - low
-        which = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return np.repeat(at, n), self.item[which], self.place[which]
+        for part in _slices(high - low):
+            which = _ranges(low[part], high[part])
+            yield np.repeat(at[part], high[part] - low[part]), self.item[which], self.place[which]
+
+    def likely(self, w: Words, found: np.ndarray) -> np.ndarray:
+        """The rows (document, item, diagonal) with enough equal tokens in all."""
+        doc, item, diagonal = found.T
+        low, high = np.maximum(diagonal, w.first[doc]), np.minimum(diagonal + self.size[item], w.first[doc + 1])
+        enough = np.zeros(len(found), bool)
+        for part in _slices(high - low):
+            size = high[part] - low[part]
+            at = _ranges(low[part], high[part])
+            equal = w.hash[at] == self.hash[at + np.repeat(self.first[item[part]] - diagonal[part], size)]
+            enough[part] = np.add.reduceat(equal.astype(np.int64), np.cumsum(size) - size) >= self.least[item[part]]
+        return found[enough]
+
+
+def _slices(sizes: np.ndarray) -> Iterator[slice]:
+    """Slices of the rows with some AT_ONCE in all, or one row."""
+    to, at = np.cumsum(sizes), 0
+    while at < len(to):
+        end = max(at + 1, int(np.searchsorted(to, (to[at - 1] if at else 0) + AT_ONCE, "right")))
+        yield slice(at, end)
+        at = end
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers from low to before high, row after row."""
+    n = high - low
+    return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 def best_stretch(equal: np.ndarray, penalty: int = 2) -> tuple[int, int, int]:
@@ -120,50 +177,49 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_i
     kept = source.schema["kept"].dataType.simpleString()
     item_type = benchmark.schema[item_id].dataType.simpleString()
     out = docs.sparkSession.createDataFrame([], f"doc_id {docs.schema[doc_id].dataType.simpleString()}, item_id {item_type}, doc_first long, item_first int, n_tokens int, n_matched int")
-    for seeds, own in _blocks(benchmark, item_text, block_bytes, item_id):
+    for seeds, own in _blocks(benchmark, item_text, block_bytes, least_tokens, share, item_id):
         ids = docs.sparkSession.createDataFrame(list(enumerate(own)), f"item int, item_id {item_type}")
-        found = source.mapInArrow(_finder(seeds, least_tokens, share), f"kept {kept}, {_OVERLAP}")
+        found = source.mapInArrow(_finder(seeds, share), f"kept {kept}, {_OVERLAP}")
         # ids: two numbers for each item of a block of bounded bytes
         out = out.unionByName(found.join(F.broadcast(ids), "item").select("kept.doc_id", "item_id", "doc_first", "item_first", "n_tokens", "n_matched"))
     return out
 
 
-def _blocks(benchmark: DataFrame, item_text: str, block_bytes: int, item_id: str | None = None):
+def _blocks(benchmark: DataFrame, item_text: str, block_bytes: int, least_tokens: int, share: float, item_id: str | None = None):
     """(broadcast seeds, item ids) of the benchmark, some block_bytes at a time."""
     total = benchmark.agg(F.sum(F.octet_length(F.col(item_text)))).first()[0] or 0
     blocks = math.ceil(total / block_bytes)
     items = benchmark.select(F.col(item_id).alias("item_id") if item_id else F.lit(0).alias("item_id"), text_or_empty(item_text).alias("text"))
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).toArrow()
-        yield benchmark.sparkSession.sparkContext.broadcast(_Seeds(own.column("text").to_pylist())), own.column("item_id").to_pylist()
+        yield benchmark.sparkSession.sparkContext.broadcast(_Seeds(own.column("text").to_pylist(), least_tokens, share)), own.column("item_id").to_pylist()
 
 
-def _best(raw: np.ndarray, offsets: np.ndarray, seeds: _Seeds, least_tokens: int, share: float) -> dict[tuple[int, int], tuple]:
+def _best(raw: np.ndarray, offsets: np.ndarray, seeds: _Seeds, share: float) -> dict[tuple[int, int], tuple]:
     """(document, item) -> (matches, -position, first word, first in item, tokens)."""
     w = words(raw, offsets, ALNUM_FOLDED)
-    pairs = []
-    for number, mask in enumerate([*MASKS, *SHORT_MASKS]):
-        at, item, place = seeds.hits(*_masked(w.hash, w.doc, mask, number))
-        pairs.append(np.stack([w.doc[at], item, at - place], axis=1))
+    found = [np.empty((0, 3), np.int64)]
+    for number, mask in enumerate(seeds.masks):
+        for at, item, place in seeds.hits(*_masked(w.hash, w.doc, mask, number)):
+            found.append(seeds.likely(w, np.unique(np.stack([w.doc[at], item, at - place], axis=1), axis=0)))
     best: dict[tuple[int, int], tuple] = {}
-    for doc, item, diagonal in np.unique(np.concatenate(pairs), axis=0).tolist():
-        tokens = seeds.tokens[item]
+    for doc, item, diagonal in np.unique(np.concatenate(found), axis=0).tolist():
+        tokens = seeds.hash[seeds.first[item] : seeds.first[item + 1]]
         low, high = max(diagonal, w.first[doc]), min(diagonal + len(tokens), w.first[doc + 1])
         equal = w.hash[low:high] == tokens[low - diagonal : high - diagonal]
-        least = share * min(least_tokens, len(tokens))
         first, end, matched = best_stretch(equal)
-        if matched < max(least, share * (end - first)):
+        if matched < max(seeds.least[item], share * (end - first)):
             first, end, matched = lawful_stretch(equal, share)
-        if matched >= max(least, 1):
+        if matched >= seeds.least[item]:
             row = (matched, -(low + first), int(low + first - w.first[doc]), int(low + first - diagonal), end - first)
             best[doc, item] = max(row, best.get((doc, item), row))
     return best
 
 
-def _finder(shared, least_tokens: int, share: float):
+def _finder(shared, share: float):
     def rows(batches):
         for batch in pieces(batches, "text"):
-            best = _best(*flat(batch.column("text")), shared.value, least_tokens, share)
+            best = _best(*flat(batch.column("text")), shared.value, share)
             of = [d for d, _ in best]
             columns = [[i for _, i in best], *[[r[k] for r in best.values()] for k in (2, 3, 4, 0)]]
             kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
@@ -177,11 +233,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     of overlaps(); rows without words stay.  Nothing is shuffled."""
     source = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
     schema = f"row {source.schema['row'].dataType.simpleString()}, text string"
-    for seeds in _blocks(benchmark, item_text, block_bytes):
+    for seeds in _blocks(benchmark, item_text, block_bytes, least_tokens, share):
 
         def rows(batches, shared=seeds[0]):
             for batch in pieces(batches, "text"):
-                best = _best(*flat(batch.column("text")), shared.value, least_tokens, share)
+                best = _best(*flat(batch.column("text")), shared.value, share)
                 clean = np.ones(batch.num_rows, bool)
                 clean[[d for d, _ in best]] = False
                 yield batch.filter(pa.array(clean))

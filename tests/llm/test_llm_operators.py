@@ -4,6 +4,7 @@ long texts, ties, repeated rows, empty tables, extra columns with clashing names
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import string
@@ -114,6 +115,53 @@ def test_overlaps_with_one_substitution_anywhere(spark):
     assert got == {k: (12 if k in (0, 12) else 11 if k in (1, 11) else 13, 11 if k in (1, 11) else 12) for k in range(13)}
 
 
+def test_masks_fit_every_lawful_pattern():
+    for tokens in (*range(5, 17), 20, 21):
+        fit = [re.compile(m.replace("0", ".")) for m in decontamination.masks(tokens)]
+        for n in range(1, tokens + 1):
+            for k in range(n // 5 + 1):
+                if n - k < 0.8 * min(13, tokens):
+                    continue
+                for gone in itertools.combinations(range(1, n - 1), k):
+                    pattern = "".join("01"[i not in gone] for i in range(n))
+                    assert any(f.search(pattern) for f in fit), (tokens, pattern)
+    assert decontamination.masks(4) == () and decontamination.masks(500) == ("1111", "1110111")
+
+
+def test_overlaps_find_every_lawful_substitution(spark):
+    rng = random.Random(23)
+    rows, items, expected = [], [], set()
+
+    def case(item, gone, passage=None):
+        copy = [f"z{rng.randrange(10**9)}" if k in gone else x for k, x in enumerate(passage or item)]
+        rows.append((len(rows), " ".join(["pre", *copy, "post"])))
+        expected.add((len(rows) - 1, items.index(item)))
+
+    for n, k in ((5, 1), (6, 1), (7, 1), (8, 1), (9, 1), (10, 2), (11, 2), (12, 2), (13, 2)):
+        items.append([f"i{n}x{j}" for j in range(n)])
+        for gone in itertools.combinations(range(n), k):
+            case(items[-1], gone)
+    items.append([f"long{j}" for j in range(500)])
+    for n, k in ((13, 2), (15, 3)):
+        for gone in itertools.combinations(range(n), k):
+            case(items[-1], gone, items[-1][100 : 100 + n])
+    case(items[-1], range(4, 500, 5))
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    lawful = lambda r: sum(x in r[1].split() for x in items[dict(expected)[r[0]]]) >= 0.8 * min(13, len(items[dict(expected)[r[0]]]))
+    assert all(map(lawful, rows))
+    got = {(r.doc_id, r.item_id) for r in decontamination.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == expected
+
+
+def test_overlaps_hold_few_hits_at_a_time(monkeypatch):
+    rng = random.Random(24)
+    item, texts = words(rng, 60, 3), [" ".join(words(rng, 300, 3)) for _ in range(5)] + [""]
+    seeds = decontamination._Seeds([" ".join(item), " ".join(item[:9]), ""])
+    whole = decontamination._best(*decontamination.flat(pa.array(texts)), seeds, 0.8)
+    monkeypatch.setattr(decontamination, "AT_ONCE", 50)
+    assert whole and decontamination._best(*decontamination.flat(pa.array(texts)), seeds, 0.8) == whole
+
+
 # ------------------------------------------------------------------- op2
 
 
