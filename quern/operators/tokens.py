@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -20,6 +25,7 @@ SPLIT_PUNCTUATION = r"[.!?,:;\"'()\[\]{}]"
 CHAR_PUNCTUATION = " .,!?:;-_()[]{}\"'"
 BPE_SPECIALS = {"<pad>": 0, "<unk>": 1, "<bos>": 2, "<eos>": 3}
 PAD, LABEL_IGNORED = 0, -100
+_BLOCK_WORDS = 100_000
 
 # ---------------------------------------------------------------------- native
 
@@ -177,41 +183,184 @@ def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     return symbols
 
 
-def train_bpe(counts: DataFrame, vocab_size: int, most_words: int = 50_000) -> tuple[dict[str, int], list[tuple[str, str]]]:
-    """(vocabulary, merges) from word counts: the merge loop runs on the driver over
-    the most_words most frequent words, a documented bound; the counts and the
-    alphabet are over the whole corpus."""
-    rows = counts.where("token != ''").orderBy(F.desc("freq"), "token").limit(most_words).collect()
-    spelled = [(list(r["token"]), r["freq"]) for r in rows]
+class Spelled:
+    """A block of words as one array of symbol numbers.  Word k has the places from
+    start[k] to before start[k + 1], filled with -1 behind its symbols."""
+
+    def __init__(self, symbols: np.ndarray, start: np.ndarray, freq: np.ndarray):
+        self.symbols, self.start, self.freq = symbols, start, freq
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, codes: np.ndarray) -> Spelled:
+        """From token and freq; codes: the sorted code points that have the symbols 0, 1, ..."""
+        text = batch.column("token").to_pylist()
+        size = np.array([len(t) for t in text], np.int64)
+        start = np.concatenate([[0], np.cumsum(size + 1)])
+        symbols = np.full(start[-1], -1, np.int32)
+        symbols[np.arange(size.sum()) + np.repeat(np.arange(len(text)), size)] = np.searchsorted(codes, np.frombuffer("".join(text).encode("utf-32-le"), np.uint32))
+        return cls(symbols, start, batch.column("freq").to_numpy(zero_copy_only=False).astype(np.int64))
+
+    def pairs(self) -> dict[int, int]:
+        return _pairs(self.symbols, np.repeat(self.freq, np.diff(self.start)))
+
+    def merge(self, a: int, b: int, new: int) -> dict[int, int]:
+        """Replaces the pair wherever it stands, from the left; how the counts change."""
+        at = np.flatnonzero((self.symbols[:-1] == a) & (self.symbols[1:] == b))
+        if a == b and len(at):
+            opens = np.concatenate([[True], np.diff(at) > 1])
+            at = at[(at - at[np.maximum.accumulate(np.where(opens, np.arange(len(at)), 0))]) % 2 == 0]
+        if not len(at):
+            return {}
+        word, of = np.unique(np.searchsorted(self.start, at, "right") - 1, return_inverse=True)
+        low, size = self.start[word], self.start[word + 1] - self.start[word]
+        first = np.cumsum(size) - size
+        owner = np.repeat(np.arange(len(word)), size)
+        place = np.arange(size.sum()) + (low - first)[owner]
+        symbols, weight = self.symbols[place], self.freq[word][owner]
+        change = {p: -n for p, n in _pairs(symbols, weight).items()}
+        here = at - low[of] + first[of]
+        symbols[here] = new
+        keep = np.ones(len(symbols), bool)
+        keep[here + 1] = False
+        rank = np.cumsum(keep) - keep
+        out = np.full(len(symbols), -1, np.int32)
+        out[(first[owner] + rank - rank[first][owner])[keep]] = symbols[keep]
+        self.symbols[place] = out
+        return _add(change, _pairs(out, weight))
+
+
+def _pairs(symbols: np.ndarray, weight: np.ndarray) -> dict[int, int]:
+    """The summed weights of neighbours, by first symbol << 32 | second."""
+    inside = (symbols[:-1] >= 0) & (symbols[1:] >= 0)
+    key, of = np.unique(symbols[:-1][inside].astype(np.int64) << 32 | symbols[1:][inside], return_inverse=True)
+    total = np.zeros(len(key), np.int64)
+    np.add.at(total, of, weight[:-1][inside])
+    return dict(zip(key.tolist(), total.tolist()))
+
+
+def _add(to: dict[int, int], more: dict[int, int]) -> dict[int, int]:
+    for p, n in more.items():
+        to[p] = to.get(p, 0) + n
+    return to
+
+
+class _OnDriver:
+    """The words in the driver's memory."""
+
+    def __init__(self, counts: DataFrame, codes: np.ndarray):
+        self.blocks = [Spelled.of(x, codes) for x in counts.toArrow().to_batches(_BLOCK_WORDS)]
+
+    def pairs(self) -> dict[int, int]:
+        return reduce(_add, (x.pairs() for x in self.blocks), {})
+
+    def merge(self, merges: list[tuple[int, int, int]]) -> dict[int, int]:
+        return reduce(_add, (x.merge(*m) for m in merges for x in self.blocks), {})
+
+
+class _OnExecutors:
+    """The words as a checkpointed table of blocks, made anew by each call of merge()."""
+
+    _SCHEMA = "symbols binary, start binary, freq binary, pair array<bigint>, n array<bigint>"
+
+    def __init__(self, counts: DataFrame, codes: np.ndarray):
+        def spell(batches):
+            for batch in batches:
+                for k in range(0, batch.num_rows, _BLOCK_WORDS):
+                    block = Spelled.of(batch.slice(k, _BLOCK_WORDS), codes)
+                    yield self._row(block, block.pairs())
+
+        self.table = _cut(counts.mapInArrow(spell, self._SCHEMA))
+
+    @staticmethod
+    def _row(block: Spelled, change: dict[int, int]) -> pa.RecordBatch:
+        row = {"symbols": block.symbols.tobytes(), "start": block.start.tobytes(), "freq": block.freq.tobytes(), "pair": list(change), "n": list(change.values())}
+        kinds = [pa.binary()] * 3 + [pa.list_(pa.int64())] * 2
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds)], names=list(row))
+
+    def pairs(self) -> dict[int, int]:
+        each = self.table.select(F.explode(F.arrays_zip("pair", "n")).alias("x")).groupBy("x.pair").agg(F.sum("x.n").alias("n"))
+        return {r["pair"]: r["n"] for r in each.collect()}
+
+    def merge(self, merges: list[tuple[int, int, int]]) -> dict[int, int]:
+        row = self._row
+
+        def step(batches):
+            for batch in batches:
+                for x in batch.select(["symbols", "start", "freq"]).to_pylist():
+                    block = Spelled(np.frombuffer(x["symbols"], np.int32).copy(), np.frombuffer(x["start"], np.int64), np.frombuffer(x["freq"], np.int64))
+                    yield row(block, reduce(_add, (block.merge(*m) for m in merges), {}))
+
+        self.table = _cut(self.table.mapInArrow(step, self._SCHEMA))
+        return self.pairs()
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Without lineage; in the checkpoint folder if there is one."""
+    spark = df.sparkSession
+    return df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def _next_merges(freq: dict[int, int], names: list[str], known: dict[str, int], most: int) -> list[int]:
+    """The pairs that are merged next, one after the other, whatever the first of them
+    change: no two share a symbol, so a pair that a merge makes is no more frequent than
+    an old one that shares a symbol with the merged, and those all come later."""
+    name = lambda p: (names[p >> 32], names[p & 0xFFFFFFFF])
+    if most == 1:
+        top = max(freq.values(), default=0)
+        return [max((p for p, n in freq.items() if n == top), key=name)] if top > 0 else []
+    out, used = [], set()
+    ranked = heapq.nlargest(4 * most, ((n, name(p), p) for p, n in freq.items() if n > 0))
+    for k, (n, made, p) in enumerate(ranked):
+        ties = [x for x in ranked if x[0] == n]
+        whole = ties[-1] is not ranked[-1] or len(ranked) < 4 * most
+        if out and (not whole or any({x[2] >> 32, x[2] & 0xFFFFFFFF} & used for x in ties)):
+            break
+        out.append(p)
+        used |= {p >> 32, p & 0xFFFFFFFF}
+        if len(out) == most or "".join(made) in known:
+            break
+        known = {**known, "".join(made): -1}
+    return out
+
+
+def train_bpe(counts: DataFrame, vocab_size: int, driver_chars: int = 32_000_000) -> tuple[dict[str, int], list[tuple[str, str]]]:
+    """(vocabulary, merges) from the counts of all words.  The driver keeps the counts
+    of pairs and picks the merges; the words themselves are there too where they have
+    driver_chars characters at most, else on the executors, who merge in rounds of
+    pairs that don't touch each other.  Both give the same."""
+    counts = counts.where("token != ''").select("token", "freq").persist(StorageLevel.DISK_ONLY)
     # the alphabet: at most all of Unicode
-    chars = sorted(r["char"] for r in alphabet(counts).collect())
+    names = sorted(r["char"] for r in alphabet(counts).collect())
+    total = counts.agg(F.sum(F.length("token"))).first()[0] or 0
+    codes = np.array([ord(c) for c in names], np.uint32)
+    small = total <= driver_chars
+    words = (_OnDriver if small else _OnExecutors)(counts, codes)
+    freq = words.pairs()
+    counts.unpersist()
     vocab = dict(BPE_SPECIALS)
-    for c in chars:
+    for c in names:
         vocab.setdefault(c, len(vocab))
-    pair_freq: dict[tuple[str, str], int] = {}
-    places: dict[tuple[str, str], set[int]] = {}
-    for k, (symbols, freq) in enumerate(spelled):
-        for p in zip(symbols, symbols[1:]):
-            pair_freq[p] = pair_freq.get(p, 0) + freq
-            places.setdefault(p, set()).add(k)
+    number = {c: k for k, c in enumerate(names)}
     merges: list[tuple[str, str]] = []
-    while len(vocab) < vocab_size and pair_freq:
-        best = max(pair_freq, key=lambda p: (pair_freq[p], p))
-        if pair_freq[best] <= 0:
+    while len(vocab) < vocab_size:
+        todo = []
+        for p in _next_merges(freq, names, number, 1 if small else 64):
+            if len(vocab) >= vocab_size:
+                break
+            a, b = p >> 32, p & 0xFFFFFFFF
+            merges.append((names[a], names[b]))
+            made = names[a] + names[b]
+            vocab.setdefault(made, len(vocab))
+            if made not in number:
+                number[made] = len(names)
+                names.append(made)
+            todo.append((a, b, number[made]))
+        if not todo:
             break
-        merges.append(best)
-        vocab.setdefault(best[0] + best[1], len(vocab))
-        for k in list(places[best]):
-            symbols, freq = spelled[k]
-            for p in zip(symbols, symbols[1:]):
-                pair_freq[p] -= freq
-                places[p].discard(k)
-            symbols = merge(symbols, {best: 0})
-            spelled[k] = (symbols, freq)
-            for p in zip(symbols, symbols[1:]):
-                pair_freq[p] = pair_freq.get(p, 0) + freq
-                places.setdefault(p, set()).add(k)
-        pair_freq = {p: n for p, n in pair_freq.items() if n > 0}
+        for p, n in words.merge(todo).items():
+            freq[p] = freq.get(p, 0) + n
+            if not freq[p]:
+                del freq[p]
     return vocab, merges
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
 import re
 import unicodedata
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -206,6 +208,41 @@ def test_bpe(spark):
     assert column(spark, ["한 é  x "], tokens.nfd) == [unicodedata.normalize("NFD", "한 é x")]
 
 
+def brute_bpe(freqs, size):
+    spelled = {w: list(w) for w in freqs}
+    vocab = dict(tokens.BPE_SPECIALS)
+    for c in sorted({c for w in freqs for c in w}):
+        vocab.setdefault(c, len(vocab))
+    merges = []
+    while len(vocab) < size:
+        pairs = Counter()
+        for w, x in spelled.items():
+            for p in zip(x, x[1:]):
+                pairs[p] += freqs[w]
+        if not pairs:
+            break
+        merges.append(max(pairs, key=lambda p: (pairs[p], p)))
+        vocab.setdefault("".join(merges[-1]), len(vocab))
+        spelled = {w: tokens.merge(x, {merges[-1]: 0}) for w, x in spelled.items()}
+    return vocab, merges
+
+
+@pytest.mark.parametrize("driver_chars", [10**9, 0])
+def test_bpe_trains_on_all_words(spark, driver_chars):
+    rng = random.Random(31)
+    freqs = {"".join(rng.choice("aaabcdé😀") for _ in range(rng.randrange(1, 12))): rng.randrange(1, 9) for _ in range(300)}
+    counts = spark.createDataFrame(list(freqs.items()) + [("", 5)], "token string, freq long").repartition(3)
+    assert tokens.train_bpe(counts, 60, driver_chars=driver_chars) == brute_bpe(freqs, 60)
+    assert tokens.train_bpe(counts.where("false"), 60, driver_chars=driver_chars) == (tokens.BPE_SPECIALS, [])
+
+
+def test_bpe_counts_pairs_of_rare_words(spark):
+    often = spark.range(50_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("token"), F.lit(2).cast("long").alias("freq"))
+    rare = spark.range(150_000).select(F.concat(F.lit("zy"), F.col("id").cast("string")).alias("token"), F.lit(1).cast("long").alias("freq"))
+    assert tokens.train_bpe(often.unionByName(rare), 18)[1][0] == ("z", "y")
+
+
+
 def test_subwords(spark):
     vocab = {"한국어", "한국", "pre", "fix", "p"}
     assert column(spark, ["한국어말 한국인 prefixes zz 한국어"], lambda t: tokens.subwords(tokens.punctuation_tokens(t), vocab)) == [["한국어", "말", "한국", "인", "pre", "fix", "e", "s", "zz", "한국어"]]
