@@ -1,11 +1,12 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
 Signature: every shingle of `words` words, weighted by how often the text has it
-(up to max_weight), is a Poisson process whose rate is its weight.  Its arrivals go
+(up to max_weight, which is 1: links are decided by sets), is a Poisson process whose rate is its weight.  Its arrivals go
 to random registers; a register keeps the earliest arrival, and a shingle stops as
 soon as its next arrival is later than all registers of its document (early
 termination).  Two documents agree in a register with probability equal to their
-probability Jaccard similarity.
+probability Jaccard similarity.  With weight 1 that is the Jaccard similarity of
+their sets; larger weights would let it fall below that.
 
 Banding: rows of the signature form bands; documents that agree in a band share a
 bucket.  Each bucket is represented by its most central member, the one with the
@@ -206,7 +207,7 @@ def _labels(docs: DataFrame, text: str, doc_id: str, size: int, similarity: floa
 
 
 def near_duplicates(
-    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = 5, similarity: float = 0.8, bands: int = 25, rows_per_band: int = 5, max_weight: int = 2, margin: float = 0.12
+    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = 5, similarity: float = 0.8, bands: int = 25, rows_per_band: int = 5, max_weight: int = 1, margin: float = 0.12
 ) -> DataFrame:
     """doc_id, class_id, class_size (documents): one row per row of docs; class_id
     is the smallest doc_id of its class.
@@ -226,7 +227,7 @@ def near_duplicates(
 
 def deduplicate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
     """One row of docs for each class: a row of its smallest doc_id, all columns."""
-    defaults = dict(size=5, similarity=0.8, bands=25, rows_per_band=5, max_weight=2, margin=0.12)
+    defaults = dict(size=5, similarity=0.8, bands=25, rows_per_band=5, max_weight=1, margin=0.12)
     labels = _labels(docs, text, doc_id, **(defaults | settings))
     stay = labels.read().where("node = label").select(F.col("node").alias("__node"))
     return docs.withColumn("__node", _node(docs, text, doc_id)).join(stay, "__node", "left_semi").dropDuplicates(["__node"]).drop("__node")

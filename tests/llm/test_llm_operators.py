@@ -247,6 +247,14 @@ def test_prob_min_hash_estimates_probability_jaccard():
     assert abs(minhash_dedup.estimate(signature[0], signature[1]) - exact) < 0.03
 
 
+def test_candidates_by_the_sets_whatever_the_counts(spark):
+    cycle = [f"c{k}" for k in range(60)]
+    rows = [(0, " ".join(cycle + cycle[:4])), (1, " ".join(cycle + cycle[:34]))]  # one set of shingles, half of them twice
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.class_id for r in minhash_dedup.near_duplicates(frame, bands=1, rows_per_band=60).collect()} == {0}
+    assert minhash_dedup.deduplicate(frame, bands=1, rows_per_band=60).count() == 1
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)] + [(500, k) for k in range(501, 560)]
