@@ -72,5 +72,11 @@ def pack(docs: DataFrame, *, longest: int = 2048, end_id: int = 1, text: str = "
     return out.select("kept.*", *[c for c in out.columns if c != "kept"])
 
 
+def write_buckets(docs: DataFrame, path: str, **settings) -> None:
+    """The pieces with their ids as Parquet under path/bucket=K: sequences of one
+    length lie together, so a batch of any bucket needs no padding."""
+    pack(docs, with_ids=True, **settings).write.partitionBy("bucket").parquet(path)
+
+
 def op8_packing(spark, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

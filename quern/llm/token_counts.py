@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesnp import pieces
@@ -34,7 +34,7 @@ def encoded_lengths(docs: DataFrame, *, text: str = "text", tokenizer: str | Non
     return docs.select(F.col(text).alias("text")).mapInArrow(rows, "length long, documents long")
 
 
-def histogram(docs: DataFrame, *, text: str = "text", tokenizer: str | None = None, block: int = 1024) -> DataFrame:
+def histogram(docs: DataFrame, *, text: str = "text", tokenizer: str | None = None, block: int = 64) -> DataFrame:
     """One row per encoded length that occurs: length, documents,
     documents_at_least and tokens_at_least (suffix sums, this length included),
     documents_total, tokens_total, truncated_total (tokens left when all documents
@@ -48,7 +48,7 @@ def histogram(docs: DataFrame, *, text: str = "text", tokenizer: str | None = No
     return suffix_sums(Table(counts).read(), block=block)
 
 
-def suffix_sums(counts: DataFrame, *, block: int = 1024) -> DataFrame:
+def suffix_sums(counts: DataFrame, *, block: int = 64) -> DataFrame:
     """The histogram's sums from (length, documents)."""
     blocked = counts.withColumn("block", F.floor(F.col("length") / block))
     tokens = F.col("length") * F.col("documents")
@@ -83,19 +83,16 @@ def _exploded(hist: DataFrame, values: list, name: str, answers) -> DataFrame:
 
 def at_limits(hist: DataFrame, limits: list[int]) -> DataFrame:
     """limit, documents_over, truncated_total and tokens_lost for any context
-    limits, whether or not a document has just that length."""
-    zero = lambda x: F.coalesce(x, F.lit(0))
-    over = lambda v: F.col("length") > v
-    return _exploded(
-        hist,
-        [int(x) for x in limits],
-        "limit",
-        lambda v: {
-            "documents_over": zero(F.sum(F.when(over(v), F.col("documents")))),
-            "truncated_total": zero(F.sum(F.col("documents") * F.least("length", F.lit(v)))),
-            "tokens_lost": zero(F.sum(F.when(over(v), F.col("documents") * (F.col("length") - v)))),
-        },
-    )
+    limits, whether or not a document has just that length: each is read off the
+    suffix sums of the next longer length that occurs."""
+
+    def answers(v: int) -> dict[str, Column]:
+        longer = F.min_by(F.struct("documents_at_least", "tokens_at_least"), F.when(F.col("length") > v, F.col("length")))
+        over, tokens = (F.coalesce(longer[c], F.lit(0)) for c in ("documents_at_least", "tokens_at_least"))
+        total = F.coalesce(F.max("tokens_total"), F.lit(0))
+        return {"documents_over": over, "truncated_total": total - tokens + over * v, "tokens_lost": tokens - over * v}
+
+    return _exploded(hist, [int(x) for x in limits], "limit", answers)
 
 
 def quantiles(hist: DataFrame, shares: list[float]) -> DataFrame:

@@ -433,6 +433,30 @@ def test_encoder_equals_the_tokenizers_library():
     assert [x.ids for x in theirs.encode_batch(texts, add_special_tokens=False)] == [ours(t) for t in texts]
 
 
+def test_encoder_on_very_long_runs(monkeypatch):
+    from tokenizers import Tokenizer
+
+    theirs, ours = Tokenizer.from_file(encode.default_path()), encode.encoder(encode.default_path())
+    long = [" " * 2_000_000 + "x", "\t" * 2_000_000, "a" + "\n" * 2_000_000 + "b", " " * 1_100_000 + "<|endoftext|> z", "\u3000" * 1_100_000 + " q", "word 's " * 600_000, "ab" * 1_500_000]
+    for text in long:
+        assert theirs.encode(text, add_special_tokens=False).ids == ours(text)
+    monkeypatch.setattr(encode, "LONG_RUN", 3)  # every run by the long way
+    rng = random.Random(31)
+    parts = [" ", "  ", "\n", "\t", "\x85", "\xa0", "\x1c", "\u2009", "a", "b1", ".", "'s", "<|endoftext|>", "é", "한"]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(40)))
+        assert theirs.encode(text, add_special_tokens=False).ids == ours(text)
+
+
+def test_encoder_leaves_other_vocabularies_to_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    text = "Some Words, and  more: ünï 12's"
+    assert encode.encoder(path)(text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_packing_round_trip(spark, docs, empty, tmp_path):
     docs.withColumn("key", F.monotonically_increasing_id()).write.parquet(f"{tmp_path}/keyed")
     keyed = spark.read.parquet(f"{tmp_path}/keyed")
@@ -451,6 +475,16 @@ def test_packing_round_trip(spark, docs, empty, tmp_path):
         assert ids == [*ours(text or ""), 1] and all(r.doc_tokens == len(ids) for r in own)
         assert [r.start for r in own] == list(np.cumsum([0, *[r.length for r in own]])[:-1])
     assert packing.pack(empty).count() == 0
+    packing.write_buckets(keyed, f"{tmp_path}/buckets")
+    assert Counter((r.doc_id, r.start, tuple(r.ids), r.bucket) for r in spark.read.parquet(f"{tmp_path}/buckets").collect()) == Counter((r.doc_id, r.start, tuple(r.ids), r.bucket) for r in pieces)
+
+
+def test_long_white_space_in_packing_and_counts(spark):
+    rows = spark.createDataFrame([(1, "a" + " " * 1_100_000 + "b"), (2, "\n" * 1_100_000)], "doc_id long, text string")
+    ours = encode.encoder(encode.default_path())
+    sizes = {r.doc_id: len(ours(r.text)) for r in rows.collect()}
+    assert {r.doc_id: r.n for r in packing.pack(rows).groupBy("doc_id").agg((F.sum("length") - 1).alias("n")).collect()} == sizes
+    assert {r.length for r in token_counts.histogram(rows).collect()} == set(sizes.values())
 
 
 def test_length_histogram(spark, docs, empty):
