@@ -1,15 +1,18 @@
 """Factorization machines over hashed words and structure statistics.
 
-score = sigmoid(b + sum_i w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2]),
-so all pairwise interactions cost time in proportion to the features present.
+score = sigmoid(b + sum_i w_i x_i + 1/2 sum_f [(sum_i v_if u_i)^2 - sum_i v_if^2 u_i^2]),
+u = x / |x|, so all pairwise interactions cost time in proportion to the features
+present, and a text of many terms has no larger sum of pairs than a short one.
 
 Words, and where asked the first bytes of words (stems), are hashed into buckets; a
 bucket's value is 1 / sqrt(buckets present), or log2(1 + its count) where single
-terms matter.  Of the buckets, a setting may keep only those whose presence in the
-training rows goes most with or against the label (`screen`).  Structure statistics are counts and
-ratios of the whole text, cut into fixed intervals, one feature each.  Training
-labels come from a bounded sample of labelled rows (`sample`, a parameter); every
-row is scored, whole text.
+terms matter.  Structure statistics are counts and ratios of the whole text, cut into
+fixed intervals, one feature each.  Every feature of the training rows has a weight
+and factors; none is chosen beforehand.  Weights are learned with an L1 penalty
+(follow the regularised leader), factors by AdaGrad with decay.
+
+Training labels come from a bounded sample of labelled rows (`sample` rows and
+`sample_bytes` of text, parameters); every row is scored, whole text.
 """
 
 from __future__ import annotations
@@ -29,12 +32,15 @@ class Settings(NamedTuple):
     factors: int = 4
     counted: bool = False  # value log2(1 + count) for each bucket present, else 1 / sqrt(present)
     stems: tuple[int, ...] = ()  # bytes of the stems that are terms besides the words
-    screen: int = 0  # buckets kept, those with the largest deviation from independence; 0: all
-    sample: int = 12_000  # labelled rows to learn from, at most
-    epochs: int = 12
-    least_steps: int = 1000  # few rows get more epochs, up to 60
-    rate: float = 0.05
-    decay: float = 2e-5
+    sample: int = 8_000  # labelled rows to learn from, at most
+    sample_bytes: int = 64 << 20  # of their texts, at most (the first row is taken anyway)
+    epochs: int = 10
+    least_steps: int = 400  # few rows get more epochs, up to 60
+    batch: int = 256
+    sparse: float = 0.1  # L1 penalty in deviations of a sum over all rows under the share of label 1
+    rate: float = 0.3  # of the weights
+    factor_rate: float = 0.5
+    factor_decay: float = 0.05
     seed: int = 7
 
 
@@ -139,80 +145,70 @@ class Model(NamedTuple):
     settings: Settings
     structure: bool
 
-    def logits(self, start: np.ndarray, index: np.ndarray, value: np.ndarray) -> np.ndarray:
+    def logits(self, start: np.ndarray, index: np.ndarray, value: np.ndarray, paired: np.ndarray | None = None) -> np.ndarray:
+        """paired: the values that the pairs take, where they are others."""
+
         def by_row(x):
             total = np.zeros((len(x) + 1, *x.shape[1:]))
             np.cumsum(x, axis=0, out=total[1:])
             return total[start[1:]] - total[start[:-1]]
 
-        vx = self.factors[index] * value[:, None]
-        pairs = (by_row(vx) ** 2 - by_row(vx * vx)).sum(axis=1) / 2
+        vu = self.factors[index] * (value if paired is None else paired)[:, None]
+        pairs = (by_row(vu) ** 2 - by_row(vu * vu)).sum(axis=1) / 2
         return self.bias + by_row(self.weights[index] * value) + pairs
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(*features(texts, self.settings, self.structure)), -30, 30)))
+        start, index, value = features(texts, self.settings, self.structure)
+        return 1 / (1 + np.exp(-np.clip(self.logits(start, index, value, _unit(start, value)), -30, 30)))
 
 
-def _screened(start: np.ndarray, index: np.ndarray, label: np.ndarray, size: int, keep: int) -> np.ndarray:
-    """1 for the features in 5 rows or more whose presence deviates most from
-    independence of the label, in standard deviations, and 0 for all others."""
-    seen = np.bincount(index, minlength=size).astype(float)
-    with_label = np.bincount(index, np.repeat(label, np.diff(start)), size)
-    share = label.mean() if len(label) else 0.0
-    z = np.abs(with_label - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
-    z[seen < 5] = 0
-    out = np.zeros(size, np.float32)
-    best = np.argsort(-z, kind="stable")[:keep]
-    out[best[z[best] > 3]] = 1
-    return out
+def _unit(start: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Values over the length of their row."""
+    total = np.concatenate([[0.0], np.cumsum(value.astype(float) ** 2)])
+    length = np.sqrt(np.maximum(total[start[1:]] - total[start[:-1]], 1e-12))
+    return value / np.repeat(length, np.diff(start))
 
 
 def fit(start: np.ndarray, index: np.ndarray, value: np.ndarray, label: np.ndarray, settings: Settings, structure: bool) -> Model:
-    """Adam on logistic loss, in small batches, with weight decay.  Without rows or
-    with one class only, the model is the (smoothed) share of label 1."""
-    size = settings.buckets + (N_STRUCTURE if structure else 0)
-    if settings.screen:
-        stays = _screened(start, index, label, size, settings.screen)[index] > 0
-        start = np.concatenate([[0], np.cumsum(stays)])[start]
-        index, value = index[stays], value[stays]
-    rng = np.random.default_rng(settings.seed)
-    n, k = len(label), settings.factors
+    """Logistic loss in small batches.  Without rows or with one class only, the model
+    is the (smoothed) share of label 1; features of no training row have no effect."""
+    size, n, k = settings.buckets + (N_STRUCTURE if structure else 0), len(label), settings.factors
     share = (label.sum() + 1) / (n + 2)
-    theta = np.zeros((size, 1 + k), np.float32)
-    theta[:, 1:] = rng.normal(0, 0.01, (size, k))
     bias = float(np.log(share / (1 - share)))
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
-    step = 0
-    epochs = max(settings.epochs, min(60, settings.least_steps * 128 // max(n, 1)))
+    seen, index = np.unique(index, return_inverse=True)
+    unit = _unit(start, value)
+    rng = np.random.default_rng(settings.seed)
+    w, lead, power = (np.zeros(len(seen)) for _ in range(3))
+    v, v_power = rng.normal(0, 0.05, (k, len(seen))), np.zeros((k, len(seen)))
+    penalty = settings.sparse * np.sqrt(n * share * (1 - share))
+    epochs = max(settings.epochs, min(60, settings.least_steps * settings.batch // max(n, 1)))
     for epoch in range(epochs if 0 < label.sum() < n else 0):
         order = rng.permutation(n)
-        rate = settings.rate * (1 - epoch / epochs)
-        for a in range(0, n, 128):
-            rows = order[a : a + 128]
+        rate = settings.factor_rate * (1 - epoch / epochs)
+        for rows in (order[a : a + settings.batch] for a in range(0, n, settings.batch)):
             lengths = start[rows + 1] - start[rows]
-            at = np.repeat(start[rows] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-            of = np.repeat(np.arange(len(rows)), lengths)
-            i, x = index[at], value[at]
-            v = theta[i, 1:] * x[:, None]
-            sums = np.stack([np.bincount(of, v[:, f], len(rows)) for f in range(k)], axis=1)
-            squares = np.bincount(of, (v * v).sum(axis=1), len(rows))
-            logit = bias + np.bincount(of, theta[i, 0] * x, len(rows)) + ((sums**2).sum(axis=1) - squares) / 2
+            at = np.repeat(start[rows] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+            of, i = np.repeat(np.arange(len(rows)), lengths), index[at]
+            vu = v[:, i] * unit[at]
+            sums = np.array([np.bincount(of, x, len(rows)) for x in vu]).reshape(k, len(rows))
+            squares = np.bincount(of, (vu * vu).sum(axis=0), len(rows))
+            logit = bias + np.bincount(of, w[i] * value[at], len(rows)) + ((sums**2).sum(axis=0) - squares) / 2
             error = 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label[rows]
-            e = (error / len(rows))[of]
-            slope = np.empty((len(i), 1 + k), np.float32)
-            slope[:, 0] = e * x
-            slope[:, 1:] = (e * x)[:, None] * (sums[of] - v)
-            unique, back = np.unique(i, return_inverse=True)
-            g = np.stack([np.bincount(back, slope[:, f], len(unique)) for f in range(1 + k)], axis=1)
-            g += settings.decay * theta[unique]
-            step += 1
-            first[unique] = 0.9 * first[unique] + 0.1 * g
-            second[unique] = 0.99 * second[unique] + 0.01 * g * g
-            theta[unique] -= rate * (first[unique] / (1 - 0.9**step)) / (np.sqrt(second[unique] / (1 - 0.99**step)) + 1e-6)
-            bias -= rate * float(error.mean())
-    if settings.screen:
-        theta[np.bincount(index, minlength=size) == 0] = 0
-    return Model(bias, theta[:, 0].copy(), theta[:, 1:].copy(), settings, structure)
+            g = np.bincount(i, error[of] * value[at], len(seen))
+            lead += g - (np.sqrt(power + g * g) - np.sqrt(power)) / settings.rate * w
+            power += g * g
+            w = np.where(np.abs(lead) <= penalty, 0, (np.sign(lead) * penalty - lead) * settings.rate / (1 + np.sqrt(power)))
+            scaled = error[of] * unit[at]
+            for f in range(k):
+                slope = np.bincount(i, scaled * (sums[f, of] - vu[f]), len(seen))
+                slope += settings.factor_decay * v[f] * (slope != 0)
+                v_power[f] += slope * slope
+                v[f] -= rate * slope / (1 + np.sqrt(v_power[f]))
+            bias -= 0.05 * float(error.mean())
+    weights, factors = np.zeros(size, np.float32), np.zeros((size, k), np.float32)
+    if 0 < label.sum() < n:
+        weights[seen], factors[seen] = w, v.T
+    return Model(bias, weights, factors, settings, structure)
 
 
 # --------------------------------------------------------------------- Spark
@@ -225,29 +221,45 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, settings: Settings, *, structure: bool, text: str = "text", doc_id: str = "doc_id") -> Model:
-    """Fits on at most settings.sample labelled rows that are not held out, drawn by
-    a hash of their id; rows without label or id teach nothing, several labels of
-    one id count by their mean."""
+    """Fits on labelled rows that are not held out, drawn by a hash of their id, as
+    many as the settings' bounds allow; the same rows however docs is partitioned.
+
+    Rows without label or id teach nothing, nor do labels without a row; several
+    labels of one id count by their mean; several rows of one id all count (the first
+    ones by a hash of their text, where they exceed the sample); null and empty texts
+    have no words.  Without usable rows, or with a single class, the model is a
+    constant.  Ids may have any type that joins; other columns are not read."""
     usable = labels.where(F.col(label).isNotNull() & ~held_out(F.col(doc_id)))
+    place = F.xxhash64("id", F.lit(settings.seed))
     drawn = (
         usable.groupBy(F.col(doc_id).alias("id")).agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("label"))
-        .orderBy(F.xxhash64("id", F.lit(settings.seed)), "id").limit(settings.sample)
+        .orderBy(place, "id").limit(settings.sample).select("id", "label", place.alias("place"))
     )
-    # at most settings.sample rows of two numbers: a proven size
-    marked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(drawn), "id")
+    # at most settings.sample rows of three numbers: a proven size
+    marked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(drawn), "id").select("place", F.xxhash64("text").alias("which"), "label", "text")
+
+    # three numbers a row: which rows come first until a bound is reached
+    ordered = marked.select("place", "which", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy("place", "which", "size").limit(settings.sample).collect()
+    total, rows_taken = 0, 0
+    for r in ordered:
+        total += r["size"]
+        if rows_taken and total > settings.sample_bytes:
+            break
+        rows_taken += 1
+    if not rows_taken:
+        return fit(np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0), settings, structure)
+    last = ordered[rows_taken - 1]
 
     def rows(batches):
         for batch in pieces(batches, "text"):
             start, index, value = features(batch.column("text"), settings, structure)
             lists = [pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(x)) for x in (index.astype(np.int32), value)]
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("label"), *lists], names=["id", "label", "index", "value"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("place", "which", "label")], *lists], names=["place", "which", "label", "index", "value"])
 
-    found = marked.withColumn("id", F.col("id").cast("long")).select("id", "label", "text").mapInArrow(rows, "id long, label int, index array<int>, value array<float>")
-    # several documents of one id: settings.sample rows in all
-    table = found.limit(settings.sample).toArrow().sort_by("id").combine_chunks()
-    columns = {c: table.column(c).combine_chunks() if table.num_rows else None for c in ("index", "value")}
-    if not table.num_rows:
-        return fit(np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0), settings, structure)
+    inside = marked.where((F.col("place") < last["place"]) | ((F.col("place") == last["place"]) & (F.col("which") <= last["which"])))
+    found = inside.mapInArrow(rows, "place long, which long, label int, index array<int>, value array<float>")
+    table = found.orderBy("place", "which").limit(rows_taken).toArrow().sort_by([("place", "ascending"), ("which", "ascending")]).combine_chunks()
+    columns = {c: table.column(c).combine_chunks() for c in ("index", "value")}
     start = np.asarray(columns["index"].offsets).astype(np.int64)
     flat_index, flat_value = (np.asarray(columns[c].values)[start[0] : start[-1]] for c in ("index", "value"))
     return fit(start - start[0], flat_index, flat_value, np.asarray(table.column("label")).astype(float), settings, structure)

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 
 from .factorization import Model, Settings, held_out, learn, scored
 
-SETTINGS = Settings(buckets=1 << 14, factors=4, sample=8_000, epochs=8, rate=0.02, decay=1e-4, seed=11)
+SETTINGS = Settings(buckets=1 << 14, epochs=8, seed=11)
 THRESHOLD = 0.3
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS) -> Model:
+    """Learned from labels (doc_id, quality) by the rules of factorization.learn: held-out
+    rows, null labels and labels without a document teach nothing; an empty table, or
+    one class only, gives a constant model."""
     return learn(docs, labels, "quality", settings, structure=True)
 
 

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from .factorization import Model, Settings, held_out, learn, scored
 
-SETTINGS = Settings(buckets=1 << 18, factors=4, counted=True, stems=(4, 5, 6, 7, 8), screen=600, sample=8_000, epochs=10, rate=0.02, decay=1e-4, seed=13)
+SETTINGS = Settings(buckets=1 << 18, counted=True, stems=(4, 5, 6, 7, 8), sparse=1.1, seed=13)
 THRESHOLD = 0.5
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS) -> Model:
+    """Learned from labels (doc_id, toxic) by the rules of factorization.learn: held-out
+    rows, null labels and labels without a document teach nothing; an empty table, or
+    one class only, gives a constant model."""
     return learn(docs, labels, "toxic", settings, structure=False)
 
 
