@@ -16,12 +16,15 @@ _WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "tr
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or where that is
-    unset (tests on one machine) a temporary folder, set as checkpoint folder."""
+    unset and the master is local (tests on one machine) a temporary folder, set as
+    checkpoint folder.  Without either a cluster has no such folder: an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -62,6 +65,12 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def text_names(text: str) -> tuple[Column, Column]:
+    """Two longs, of 64 and 60 bits of two hashes, that name a text by its bytes."""
+    value = text_or_empty(text)
+    return F.xxhash64(value), F.conv(F.substring(F.md5(value.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -1,7 +1,7 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
-Signature: every shingle of `words` words, weighted by how often the text has it
-(up to max_weight, which is 1: links are decided by sets), is a Poisson process whose rate is its weight.  Its arrivals go
+Signature: every shingle of `size` words is a Poisson process whose rate is its
+weight, 1 for each distinct shingle, since links are decided by sets.  Its arrivals go
 to random registers; a register keeps the earliest arrival, and a shingle stops as
 soon as its next arrival is later than all registers of its document (early
 termination).  Two documents agree in a register with probability equal to their
@@ -17,9 +17,10 @@ members of the hub's buckets.  This goes by blocks of bounded size, whose signat
 meet in one numpy comparison; only pairs whose estimate comes near the threshold
 become rows.  So no bucket is expanded into pairs and none is cut short.
 
-Verification: the Jaccard similarity of the two documents' shingle sets, exactly.
+Verification: the Jaccard similarity of the two texts' sets of 64-bit shingle names.
 Classes are the connected components of the verified links, found by alternating
-large-star and small-star steps; exact copies join their class first, by checksum.
+large-star and small-star steps.  All this is between different texts: rows of equal
+text are one text from the start, whatever their ids.
 
 Aggregates by a key that may be hot (a bucket, a hub, a class) are written before they
 are joined back, so that both sides of the join come by a plain exchange and Spark may
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesnp import SPACE_FOLDED, U64, combine, flat, mix, pieces, window_names, words
-from .common import Table, text_or_empty, u64
+from .common import Table, text_or_empty, text_names, u64
 
 # ---------------------------------------------------------------- signatures
 
@@ -87,16 +88,16 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
-_SIGNED = "node long, c1 long, c2 long, n int, bands array<long>, signature binary"
+_SIGNED = "n int, bands array<long>, signature binary"
 
 
-def _signed(size: int, bands: int, rows_per_band: int, max_weight: int):
+def _signed(size: int, bands: int, rows_per_band: int):
     def rows(batches):
         for batch in pieces(batches, "text"):
             raw, offsets = flat(batch.column("text"))
             n_docs = len(offsets) - 1
-            doc, name, count = shingles(raw, offsets, size)
-            signature = prob_min_hash(doc, name, np.minimum(count, max_weight).astype(float), n_docs, bands * rows_per_band)
+            doc, name, _ = shingles(raw, offsets, size)
+            signature = prob_min_hash(doc, name, np.ones(len(doc)), n_docs, bands * rows_per_band)
             n = np.bincount(doc, minlength=n_docs)
             keys = np.tile(mix(np.arange(1, bands + 1, dtype=U64)), (n_docs, 1))
             for k in range(rows_per_band):
@@ -105,7 +106,7 @@ def _signed(size: int, bands: int, rows_per_band: int, max_weight: int):
             offs = np.concatenate([[0], np.cumsum(has * bands)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(u64(keys[has].ravel())))
             short = pa.array([row.tobytes() for row in (signature >> U64(48)).astype(np.uint16)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "c1", "c2")], pa.array(n.astype(np.int32)), lists, short], names=["node", "c1", "c2", "n", "bands", "signature"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("c1", "c2", "id")], pa.array(n.astype(np.int32)), lists, short], names=["c1", "c2", "id", "n", "bands", "signature"])
 
     return rows
 
@@ -115,11 +116,8 @@ def _sets(size: int):
         for batch in pieces(batches, "text"):
             raw, offsets = flat(batch.column("text"))
             doc, name, _ = shingles(raw, offsets, size)
-            key = np.unique(doc.astype(U64) << U64(32) | name >> U64(32))
-            doc = (key >> U64(32)).astype(np.int64)
             offs = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(offsets) - 1))]).astype(np.int32)
-            names = pa.array(key.astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(offs), names)], names=["node", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(offs), pa.array(u64(name)))], names=["node", "set"])
 
     return rows
 
@@ -159,21 +157,21 @@ def components(edges: DataFrame) -> Table:
 # -------------------------------------------------------------- deduplication
 
 
-def _node(docs: DataFrame, text: str, doc_id: str):
-    """What names a row's document: its doc_id, or for a row without one a negative
-    hash of its text."""
-    return F.coalesce(F.col(doc_id).cast("long"), -F.shiftrightunsigned(F.xxhash64(text_or_empty(text)), 1) - 2)
+def _named(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    c1, c2 = text_names(text)
+    return docs.select(c1.alias("c1"), c2.alias("c2"), F.col(doc_id).alias("id"), text_or_empty(text).alias("text"))
 
 
-def _labels(docs: DataFrame, text: str, doc_id: str, size: int, similarity: float, bands: int, rows_per_band: int, max_weight: int, margin: float) -> Table:
-    """node, label of all documents: label is the smallest node of the class."""
-    keyed = docs.select(_node(docs, text, doc_id).alias("node"), text_or_empty(text).alias("text"))
-    checksum = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 15), 16, 10).cast("long")
-    checks = keyed.select("node", F.xxhash64("text").alias("c1"), checksum.alias("c2"), "text")
-    signed = Table(checks.mapInArrow(_signed(size, bands, rows_per_band, max_weight), _SIGNED))
-    rep = Table(signed.read().groupBy("c1", "c2").agg(F.min("node").alias("rep")))
-    member = Table(signed.read().select("node", "c1", "c2").join(rep.read(), ["c1", "c2"]).select("node", "rep").distinct())
-    first = signed.read().join(rep.read(), ["c1", "c2"]).where("node = rep").dropDuplicates(["node"])
+def _classes(docs: DataFrame, text: str, doc_id: str, size: int, similarity: float, bands: int, rows_per_band: int, margin: float) -> Table:
+    """c1, c2, id, rows, label of all different texts: id is the smallest doc_id that has
+    the text, label names its class."""
+    named = _named(docs, text, doc_id)
+    id_type = named.schema["id"].dataType.simpleString()
+    signed = named.mapInArrow(_signed(size, bands, rows_per_band), f"c1 long, c2 long, id {id_type}, {_SIGNED}")
+    # map-side combination: rows of a text that many share are one before the shuffle
+    each = signed.groupBy("c1", "c2").agg(F.min("id").alias("id"), F.count("*").alias("rows"), *[F.any_value(c).alias(c) for c in ("n", "bands", "signature")])
+    texts = Table(each.withColumn("node", F.monotonically_increasing_id()))
+    first = texts.read()
 
     banded = first.select("node", "n", F.posexplode("bands").alias("band", "key"))
     counts = Table(banded.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1"))
@@ -186,9 +184,12 @@ def _labels(docs: DataFrame, text: str, doc_id: str, size: int, similarity: floa
     for table in (counts, shared, hubs):
         table.drop()
 
-    asked = grouped.read().select("node").distinct()
-    # the ids of candidates grow with the corpus, so they are merged, not broadcast
-    sets = Table(keyed.join(asked.hint("merge"), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_sets(size), "node long, set array<int>"))
+    # the candidates grow with the corpus, so they are merged, not broadcast; of the rows
+    # of one text only those of its smallest id meet
+    spread = F.xxhash64("id").alias("spread")
+    asked = first.select("c1", "c2", spread, "node").join(grouped.read().select("node").distinct(), "node", "left_semi")
+    fetched = named.select("c1", "c2", spread, "text").join(asked.hint("merge"), ["c1", "c2", "spread"]).dropDuplicates(["c1", "c2", "spread"])
+    sets = Table(fetched.select("node", "text").mapInArrow(_sets(size), "node long, set array<long>"))
     fits = F.least("n", "hub_n") >= F.greatest("n", "hub_n") * similarity
     pairs = grouped.read().where((F.col("node") != F.col("hub")) & fits).select(F.col("node").alias("a"), F.col("hub").alias("b"))
     links = Table(_verified(pairs, sets.read(), similarity))
@@ -197,40 +198,44 @@ def _labels(docs: DataFrame, text: str, doc_id: str, size: int, similarity: floa
     marked = Table(_marked(grouped.read(), labels.read()))
     sizes = Table(_sizes(marked.read()))
     more = Table(_rest(marked.read(), sizes.read(), compared, similarity, margin, bands * rows_per_band))
-    copies = member.read().select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    classes = components(copies.unionAll(links.read()).unionAll(more.read()))
-    nodes = member.read().select("node").distinct()
-    out = Table(nodes.join(classes.read(), "node", "left").select("node", F.coalesce("label", "node").alias("label")))
-    for table in (signed, rep, member, grouped, sets, links, labels, marked, sizes, more, classes):
+    classes = components(links.read().unionAll(more.read()))
+    out = Table(first.select("c1", "c2", "id", "rows", "node").join(classes.read(), "node", "left").select("c1", "c2", "id", "rows", F.coalesce("label", "node").alias("label")))
+    for table in (texts, grouped, sets, links, labels, marked, sizes, more, classes):
         table.drop()
     return out
 
 
 def near_duplicates(
-    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = 5, similarity: float = 0.8, bands: int = 25, rows_per_band: int = 5, max_weight: int = 1, margin: float = 0.12
+    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = 5, similarity: float = 0.8, bands: int = 25, rows_per_band: int = 5, margin: float = 0.12
 ) -> DataFrame:
-    """doc_id, class_id, class_size (documents): one row per row of docs; class_id
-    is the smallest doc_id of its class.
+    """doc_id, class_id, class_size (rows): one row per row of docs; class_id is the
+    smallest doc_id of its class.
 
     Null text is an empty text; equal texts (empty ones too) are of one class; a
     text without words has no other near copies, one of fewer than `size` words is
-    a single shingle.  Rows of one doc_id are one document.  A row without doc_id
-    is named by its text and gets class_id from the rows of its class that have
-    one, or null.  An empty table gives an empty table."""
-    labels = _labels(docs, text, doc_id, size, similarity, bands, rows_per_band, max_weight, margin)
-    # ids of rows without doc_id are below -1
-    named = Table(labels.read().groupBy("label").agg(F.min(F.when(F.col("node") > -2, F.col("node"))).alias("class_id"), F.count("*").alias("class_size")))
-    result = labels.read().join(named.read(), "label").select("node", "class_id", "class_size")
-    ids = docs.select(F.col(doc_id).alias("doc_id"), _node(docs, text, doc_id).alias("node"))
-    return ids.join(result, "node").select("doc_id", "class_id", "class_size")
-
-
-def deduplicate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
-    """One row of docs for each class: a row of its smallest doc_id, all columns."""
-    defaults = dict(size=5, similarity=0.8, bands=25, rows_per_band=5, max_weight=1, margin=0.12)
-    labels = _labels(docs, text, doc_id, **(defaults | settings))
-    stay = labels.read().where("node = label").select(F.col("node").alias("__node"))
-    return docs.withColumn("__node", _node(docs, text, doc_id)).join(stay, "__node", "left_semi").dropDuplicates(["__node"]).drop("__node")
+    a single shingle.  Ids may have any type with an order and need not be unique: rows
+    that share an id but not the text are rows like any others.  A row without doc_id
+    gets class_id from the rows of its class that have one, or null.  An empty table
+    gives an empty table."""
+    texts = _classes(docs, text, doc_id, size, similarity, bands, rows_per_band, margin)
+    named = Table(texts.read().groupBy("label").agg(F.min("id").alias("class_id"), F.sum("rows").alias("class_size")))
+    result = texts.read().join(named.read(), "label").select("c1", "c2", "class_id", "class_size")
+    return _named(docs, text, doc_id).select("c1", "c2", F.col("id").alias("doc_id")).join(result, ["c1", "c2"]).select("doc_id", "class_id", "class_size")
+
+
+def deduplicate(
+    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = 5, similarity: float = 0.8, bands: int = 25, rows_per_band: int = 5, margin: float = 0.12
+) -> DataFrame:
+    """One row of docs for each class of near_duplicates, all columns: a row of its
+    smallest doc_id (without any, a row without; several texts of that id: the one of the
+    smaller hash; rows alike in both: any of them)."""
+    texts = _classes(docs, text, doc_id, size, similarity, bands, rows_per_band, margin)
+    stays = texts.read().groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "c1", "c2")).alias("s"))
+    stay = stays.select(F.col("s.c1").alias("__c1"), F.col("s.c2").alias("__c2"), F.xxhash64("s.id").alias("__spread"))
+    c1, c2 = text_names(text)
+    keys = ["__c1", "__c2", "__spread"]
+    rows = docs.withColumns(dict(zip(keys, (c1, c2, F.xxhash64(doc_id)))))
+    return rows.join(stay, keys, "left_semi").dropDuplicates(keys).drop(*keys)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -231,6 +231,58 @@ def test_near_duplicates_on_awkward_tables(spark, docs, empty):
     assert kept.columns == docs.columns and minhash_dedup.near_duplicates(empty).count() == 0 and minhash_dedup.deduplicate(empty).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_near_duplicates_ids_of_any_kind(spark, kind):
+    rng = random.Random(17)
+    base, other, third = (" ".join(words(rng, 150, 3000)) for _ in range(3))
+    near = edited(rng, base, 2)
+    rows = [(-5, base), (-7, near), (3, other), (3, third), (3, other), (None, near), (None, "no id at all"), (-1, "minus one"), (-(2**63), "the least")]
+    frame = spark.createDataFrame([(None if d is None else d if kind == "long" else f"k{d}", t, 1) for d, t in rows], f"doc_id {kind}, text string, c1 int").repartition(4)
+    name = lambda d: None if d is None else d if kind == "long" else f"k{d}"
+    got = Counter(tuple(r) for r in minhash_dedup.near_duplicates(frame).collect())
+    first = min(name(-5), name(-7))
+    expected = [(-5, first, 3), (-7, first, 3), (None, first, 3), (3, name(3), 2), (3, name(3), 2), (3, name(3), 1), (None, None, 1), (-1, name(-1), 1), (-(2**63), name(-(2**63)), 1)]
+    assert got == Counter((name(d), c, n) for d, c, n in expected)
+    kept = minhash_dedup.deduplicate(frame)
+    assert kept.columns == frame.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(first, base if first == name(-5) else near), (name(3), other), (name(3), third), (None, "no id at all"), (name(-1), "minus one"), (name(-(2**63)), "the least")])
+
+
+def test_recall_of_links_by_similarity(spark):
+    """Pairs alone in their family: above the threshold all must be found, below none."""
+    rng = random.Random(18)
+    rows, truth = [], {}
+    for k in range(400):
+        base = " ".join(words(rng, rng.choice([40, 120, 300]), 10**6))
+        copy = edited(rng, base, rng.randrange(1, 9))
+        a, b = shingle_set(base), shingle_set(copy)
+        truth[2 * k] = len(a & b) >= 0.8 * len(a | b)
+        rows += [(2 * k, base), (2 * k + 1, copy)]
+    got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = {k: got[k + 1] == k for k in truth}
+    assert sum(truth.values()) > 100 and not any(linked[k] for k in truth if not truth[k])
+    assert sum(linked[k] for k in truth if truth[k]) >= 0.99 * sum(truth.values())
+
+
+def test_very_long_texts(spark):
+    """Megabytes of one word, of few words, and of distinct words, through the operators."""
+    rng = random.Random(19)
+    texts = ["same " * 300_000, "a b " * 200_000, " ".join(words(rng, 250_000, 50_000)), "x" * 1_000_000, "\n" * 1_000_000]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(9, texts[2])], "doc_id long, text string")
+    classes = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(frame).collect()}
+    assert classes == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 9: 2}
+    bench = spark.createDataFrame([(0, "same " * 30), (1, " ".join(texts[2].split()[1000:1030]))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.n_matched) for r in decontamination.overlaps(frame, bench).collect()} == {(0, 0, 30), (2, 1, 30), (9, 1, 30)}
+    assert {r.doc_id: (r.quality.n_words, r.quality.base_failed) for r in quality_rules.judge(frame).collect()} == {0: (300_000, True), 1: (400_000, True), 2: (250_000, False), 3: (1, True), 4: (0, True), 9: (250_000, False)}
+    assert sum(r.size for r in sharding.shard(frame).collect()) == sum(len(t) + 8 for t in [*texts, texts[2]])
+    gone = {r.doc_id: (r.repeats.n_bytes, r.repeats.n_removed) for r in suffix_dedup.remove_repeats(frame).drop("text").collect()}
+    assert gone == {0: (1_500_000, 1_500_000), 1: (800_000, 800_000), 2: (len(texts[2]), len(texts[2])), 3: (10**6, 10**6), 4: (10**6, 10**6), 9: (len(texts[2]), len(texts[2]))}
+    assert {r.doc_id: r.n_words for r in license_scan.scan(frame).collect()} == {0: 300_000, 1: 400_000, 2: 250_000, 3: 1, 4: 0, 9: 250_000}
+    marks = spark.createDataFrame([(k, k % 2, k % 2) for k in range(6)], "doc_id long, quality int, toxic int")
+    for module in (quality_classifier, toxicity):
+        assert module.classify(frame, module.train(frame, marks)).count() == 6
+
+
 def test_prob_min_hash_estimates_probability_jaccard():
     rng = np.random.default_rng(2)
     names = rng.integers(0, 2**63, 90).astype(np.uint64)
