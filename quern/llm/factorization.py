@@ -220,13 +220,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def _whole_keys(keys: list, sizes: list[int], settings: Settings) -> int:
+    """How many of the ordered rows are within the bounds, cut between different keys."""
+    end, total = 0, 0
+    for k, size in enumerate(sizes):
+        if k and (total + size > settings.sample_bytes or k >= settings.sample):
+            return end or k
+        total += size
+        if k + 1 == len(keys) or keys[k + 1] != keys[k]:
+            end = k + 1
+    return end
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str, settings: Settings, *, structure: bool, text: str = "text", doc_id: str = "doc_id") -> Model:
     """Fits on labelled rows that are not held out, drawn by a hash of their id, as
     many as the settings' bounds allow; the same rows however docs is partitioned.
 
     Rows without label or id teach nothing, nor do labels without a row; several
-    labels of one id count by their mean; several rows of one id all count (the first
-    ones by a hash of their text, where they exceed the sample); null and empty texts
+    labels of one id count by their mean; several rows of one id all count, in order of
+    a hash of their text, and rows of one id and text count all or not at all (unless they
+    alone exceed the bounds); null and empty texts
     have no words.  Without usable rows, or with a single class, the model is a
     constant.  Ids may have any type that joins; other columns are not read."""
     usable = labels.where(F.col(label).isNotNull() & ~held_out(F.col(doc_id)))
@@ -239,16 +252,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, settings: Settings, *,
     marked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(drawn), "id").select("place", F.xxhash64("text").alias("which"), "label", "text")
 
     # three numbers a row: which rows come first until a bound is reached
-    ordered = marked.select("place", "which", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy("place", "which", "size").limit(settings.sample).collect()
-    total, rows_taken = 0, 0
-    for r in ordered:
-        total += r["size"]
-        if rows_taken and total > settings.sample_bytes:
-            break
-        rows_taken += 1
-    if not rows_taken:
+    ordered = marked.select("place", "which", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy("place", "which", "size").limit(settings.sample + 1).collect()
+    taken = _whole_keys([(r["place"], r["which"]) for r in ordered], [r["size"] for r in ordered], settings)
+    if not taken:
         return fit(np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0), settings, structure)
-    last = ordered[rows_taken - 1]
+    last = ordered[taken - 1]
 
     def rows(batches):
         for batch in pieces(batches, "text"):
@@ -258,7 +266,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, settings: Settings, *,
 
     inside = marked.where((F.col("place") < last["place"]) | ((F.col("place") == last["place"]) & (F.col("which") <= last["which"])))
     found = inside.mapInArrow(rows, "place long, which long, label int, index array<int>, value array<float>")
-    table = found.orderBy("place", "which").limit(rows_taken).toArrow().sort_by([("place", "ascending"), ("which", "ascending")]).combine_chunks()
+    table = found.limit(taken).toArrow().sort_by([("place", "ascending"), ("which", "ascending")]).combine_chunks()
     columns = {c: table.column(c).combine_chunks() for c in ("index", "value")}
     start = np.asarray(columns["index"].offsets).astype(np.int64)
     flat_index, flat_value = (np.asarray(columns[c].values)[start[0] : start[-1]] for c in ("index", "value"))
