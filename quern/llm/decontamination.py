@@ -10,9 +10,14 @@ law: enough tokens, at least four fifths equal.  Reported is the best-scoring st
 (a match +1, a substitution -2) or, where that one falls short, the lawful one with the
 most matches.
 
-The benchmark side is processed in blocks of bounded size, each sent to the
-executors once; a benchmark of any size takes more passes, never more memory.
-Documents are not shuffled.
+Hits on one diagonal are one: only those whose windows before differ on the two
+sides are listed, so a word that fills a document and an item gives a hit for each
+diagonal, not for each pair of places.  Diagonals of a pair behind a full match of the
+item can't be better and are left out.
+
+The benchmark side, each different text once, is processed in blocks of bounded size,
+one block after the other, each sent to the executors once; a benchmark of any size
+takes more passes, never more memory.  Documents are not shuffled.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesnp import ALNUM_FOLDED, U64, Words, flat, mix, pieces, words
-from .common import text_or_empty
+from .common import Table, text_names, text_or_empty
 
 #: Items of fewer tokens match nothing; no mask has a longer run of
 #: tokens that count; so many hits or tokens are held at a time.
@@ -75,48 +80,91 @@ def _masked(hashes: np.ndarray, doc: np.ndarray, mask: str, number: int) -> tupl
 
 
 class _Seeds:
-    """The seeds of one block of items: sorted, with a bit table before them."""
+    """The seeds of one block of items: sorted by seed and the seed one place before,
+    with a bit table in front."""
 
-    def __init__(self, texts: list[str], least_tokens: int = 13, share: float = 0.8):
+    def __init__(self, texts: list[str], least_tokens: int = 13, share: float = 0.8, names: tuple = ((), ())):
         raw, offsets = flat(pa.array(texts, pa.string()))
         w = words(raw, offsets, ALNUM_FOLDED)
-        self.hash, self.first, self.size = w.hash, w.first, np.diff(w.first)
+        self.hash, self.first, self.size, self.names = w.hash, w.first, np.diff(w.first), [np.array(n, np.int64) for n in names]
         self.least = share * np.minimum(least_tokens, self.size)
         own = [masks(n, least_tokens, share) for n in self.size.tolist()]
         self.masks = sorted({m for ms in own for m in ms})
-        found = [(np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64))]
+        found = [(np.empty(0, U64), np.empty(0, U64), np.empty(0, bool), np.empty(0, np.int64), np.empty(0, np.int64))]
         for number, mask in enumerate(self.masks):
             at, seed = _masked(w.hash, w.doc, mask, number)
             mine = np.array([mask in ms for ms in own])[w.doc[at]]
             at, seed = at[mine], seed[mine]
-            found.append((seed, w.doc[at], at - w.first[w.doc[at]]))
-        self.seed, self.item, self.place = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(self.seed, kind="stable")
-        self.seed, self.item, self.place = self.seed[order], self.item[order], self.place[order]
-        self.bits = max(16, (16 * max(1, len(self.seed)) - 1).bit_length())
+            has, before = _before(at, seed, w.doc[at])
+            found.append((seed, before, has, w.doc[at], at - w.first[w.doc[at]]))
+        seed, before, has, self.item, self.place = (np.concatenate(x) for x in zip(*found))
+        self.known, rank = np.unique(seed, return_inverse=True)
+        # 0: no window before in the item
+        pair = rank * (len(self.known) + 1) + np.where(has, np.searchsorted(self.known, before) + 1, 0)
+        order = np.argsort(pair, kind="stable")
+        self.pair, self.item, self.place = pair[order], self.item[order], self.place[order]
+        self.bounds = np.searchsorted(rank[order], np.arange(len(self.known) + 1))
+        self.bits = max(16, (16 * max(1, len(self.known)) - 1).bit_length())
         self.table = np.zeros(1 << self.bits, bool)
-        self.table[(self.seed >> U64(64 - self.bits)).astype(np.int64)] = True
-
-    def hits(self, at: np.ndarray, seed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(position, item, place in the item) of every equal seed, some at a time."""
-        near = self.table[(seed >> U64(64 - self.bits)).astype(np.int64)]
-        at, seed = at[near], seed[near]
-        low, high = np.searchsorted(self.seed, seed, "left"), np.searchsorted(self.seed, seed, "right")
-        for part in _slices(high - low):
-            which = _ranges(low[part], high[part])
-            yield np.repeat(at[part], high[part] - low[part]), self.item[which], self.place[which]
-
-    def likely(self, w: Words, found: np.ndarray) -> np.ndarray:
-        """The rows (document, item, diagonal) with enough equal tokens in all."""
-        doc, item, diagonal = found.T
+        self.table[(self.known >> U64(64 - self.bits)).astype(np.int64)] = True
+
+    def _rank(self, seed: np.ndarray) -> np.ndarray:
+        """The number of each seed among the known ones, or -1."""
+        at = np.minimum(np.searchsorted(self.known, seed), len(self.known) - 1)
+        return np.where(self.known[at] == seed, at, -1)
+
+    def hits(self, w: Words, mask: str, number: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(pair, diagonal) of equal seeds, some at a time, in order of their place; of
+        equal seeds one behind the other on a diagonal the first.  A pair's number is
+        its document times the items plus its item."""
+        at, seed = _masked(w.hash, w.doc, mask, number)
+        has, before = _before(at, seed, w.doc[at])
+        near = np.flatnonzero(self.table[(seed >> U64(64 - self.bits)).astype(np.int64)])
+        if not len(near) or not len(self.known):
+            return
+        rank = self._rank(seed[near])
+        near, rank = near[rank >= 0], rank[rank >= 0]
+        low, high = self.bounds[rank], self.bounds[rank + 1]
+        earlier = np.where(has[near], self._rank(before[near]), -1)
+        pair = rank * (len(self.known) + 1) + earlier + 1
+        follows = earlier >= 0
+        skip = np.where(follows, np.searchsorted(self.pair, pair, "left"), low)
+        skip_to = np.where(follows, np.searchsorted(self.pair, pair, "right"), low)
+        at, doc = at[near], w.doc[at[near]]
+        for part in _slices(skip - low + high - skip_to):
+            which = np.concatenate([_ranges(low[part], skip[part]), _ranges(skip_to[part], high[part])])
+            of = np.concatenate([np.repeat(np.arange(part.start, part.stop), n) for n in (skip[part] - low[part], high[part] - skip_to[part])])
+            yield doc[of] * len(self.size) + self.item[which], at[of] - self.place[which]
+
+    def stretches(self, w: Words, pair: np.ndarray, diagonal: np.ndarray, share: float) -> Iterator[np.ndarray]:
+        """(document, item, matches, - first word, first word, first token of the item,
+        tokens) of the pairs and diagonals with a lawful stretch."""
+        doc, item = pair // len(self.size), pair % len(self.size)
         low, high = np.maximum(diagonal, w.first[doc]), np.minimum(diagonal + self.size[item], w.first[doc + 1])
-        enough = np.zeros(len(found), bool)
         for part in _slices(high - low):
-            size = high[part] - low[part]
-            at = _ranges(low[part], high[part])
+            size, at = high[part] - low[part], _ranges(low[part], high[part])
             equal = w.hash[at] == self.hash[at + np.repeat(self.first[item[part]] - diagonal[part], size)]
-            enough[part] = np.add.reduceat(equal.astype(np.int64), np.cumsum(size) - size) >= self.least[item[part]]
-        return found[enough]
+            enough = np.add.reduceat(equal.astype(np.int64), np.cumsum(size) - size) >= self.least[item[part]]
+            equal, size, rows = equal[np.repeat(enough, size)], size[enough], np.flatnonzero(enough) + part.start
+            if not len(rows):
+                continue
+            least = self.least[item[rows]]
+            first, end, matched = best_stretches(equal, size)
+            other = matched < np.maximum(least, share * (end - first))
+            if other.any():
+                first[other], end[other], matched[other] = lawful_stretches(equal[np.repeat(other, size)], size[other], share)
+            good = matched >= least
+            rows, first, end, matched = rows[good], first[good], end[good], matched[good]
+            place = low[rows] + first - w.first[doc[rows]]
+            yield np.stack([doc[rows], item[rows], matched, -place, place, low[rows] + first - diagonal[rows], end - first], axis=1)
+
+
+def _before(at: np.ndarray, seed: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(is there one, the seed) of the window one place before, in the same text."""
+    has, before = np.zeros(len(at), bool), np.zeros(len(at), U64)
+    has[1:] = (at[1:] == at[:-1] + 1) & (doc[1:] == doc[:-1])
+    before[1:] = seed[:-1]
+    return has, before
 
 
 def _slices(sizes: np.ndarray) -> Iterator[slice]:
@@ -134,32 +182,77 @@ def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def best_stretch(equal: np.ndarray, penalty: int = 2) -> tuple[int, int, int]:
+class _Segments:
+    """Rows of tokens, one behind the other, with the boundaries between tokens: size + 1
+    of each row, numbered through."""
+
+    def __init__(self, equal: np.ndarray, size: np.ndarray):
+        self.start = np.cumsum(size + 1) - (size + 1)
+        self.row = np.repeat(np.arange(len(size)), size + 1)
+        self.token = np.ones(len(self.row), bool)  # boundaries that end a token
+        self.token[self.start] = False
+        self.equal, self.longest = equal, int(size.max(initial=0)) + 1
+        self.count = self.sums(equal.astype(np.int64))
+
+    def sums(self, of_token: np.ndarray) -> np.ndarray:
+        """The sum over the row's tokens before each boundary."""
+        step = np.zeros(len(self.row), np.int64)
+        step[self.token] = of_token
+        total = np.cumsum(step)
+        return total - total[self.start][self.row]
+
+    def falling(self, sums: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(the sums, lower in each next row than in all before; their running minimum)."""
+        apart = sums - (2 * most * self.longest + 1) * self.row
+        return apart, np.minimum.accumulate(apart)
+
+    def first_largest(self, value: np.ndarray) -> np.ndarray:
+        """The first boundary of each row with its largest value."""
+        at = np.flatnonzero(value == np.maximum.reduceat(value, self.start)[self.row])
+        return at[np.unique(self.row[at], return_index=True)[1]]
+
+
+def best_stretches(equal: np.ndarray, size: np.ndarray, penalty: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, end, matches) of the stretch with the largest matches - penalty *
-    substitutions; the first of equals."""
-    gain = np.concatenate([[0], np.cumsum(np.where(equal, 1, -penalty))])
-    rise = gain - np.minimum.accumulate(gain)
-    end = int(np.argmax(rise))
-    first = int(np.argmin(gain[: end + 1]))
-    first = end - int(np.argmax((gain[: end + 1] == gain[first])[::-1]))
-    return first, end, int(equal[first:end].sum())
+    substitutions, for each row of so many tokens; the first of equals."""
+    s = _Segments(equal, size)
+    gain, least = s.falling(s.sums(np.where(equal, 1, -penalty)), penalty)
+    end = s.first_largest(gain - least)
+    first = np.maximum.accumulate(np.where(gain == least, np.arange(len(gain)), 0))[end]
+    return first - s.start, end - s.start, s.count[end] - s.count[first]
 
 
-def lawful_stretch(equal: np.ndarray, share: float = 0.8) -> tuple[int, int, int]:
+def lawful_stretches(equal: np.ndarray, size: np.ndarray, share: float = 0.8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, end, matches) of the stretch with the most matches of all whose tokens
-    match by at least share; it begins and ends on a match, and is the first of equals."""
+    match by at least share, for each row of so many tokens; it begins and ends on a
+    match, and is the first of equals."""
     part = Fraction(str(share)).limit_denominator(10_000)
+    s = _Segments(equal, size)
     # excess over the share, in whole numbers: a stretch is lawful where it doesn't fall
-    excess = np.concatenate([[0], np.cumsum(np.where(equal, part.denominator - part.numerator, -part.numerator))])
-    count = np.concatenate([[0], np.cumsum(equal)])
+    excess, least = s.falling(s.sums(np.where(equal, part.denominator - part.numerator, -part.numerator)), part.denominator)
     # the earliest start not above each end: where the running minimum first gets there
-    start = np.searchsorted(-np.minimum.accumulate(excess), -excess, "left")
-    end = int(np.argmax(count - count[start]))
-    matches = np.flatnonzero(equal[start[end] : end]) + start[end]
-    return (int(matches[0]), int(matches[-1]) + 1, len(matches)) if len(matches) else (0, 0, 0)
+    start = np.searchsorted(-least, -excess, "left")
+    end = s.first_largest(s.count - s.count[start])
+    first, matched = start[end], s.count[end] - s.count[start[end]]
+    # trimmed to the first and the last match, in boundaries
+    match_end = np.flatnonzero(s.token)[equal]
+    to_first = np.minimum(np.searchsorted(match_end, first, "right"), max(len(match_end) - 1, 0))
+    to_last = np.maximum(np.searchsorted(match_end, end, "right") - 1, 0)
+    some = matched > 0
+    begin, stop = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+    begin[some], stop[some] = match_end[to_first[some]] - 1 - s.start[some], match_end[to_last[some]] - s.start[some]
+    return begin, stop, matched
+
 
+def best_stretch(equal: np.ndarray, penalty: int = 2) -> tuple[int, int, int]:
+    return tuple(int(x[0]) for x in best_stretches(equal, np.array([len(equal)]), penalty))
 
-_OVERLAP = "item int, doc_first long, item_first int, n_tokens int, n_matched int"
+
+def lawful_stretch(equal: np.ndarray, share: float = 0.8) -> tuple[int, int, int]:
+    return tuple(int(x[0]) for x in lawful_stretches(equal, np.array([len(equal)]), share))
+
+
+_OVERLAP = "i1 long, i2 long, doc_first long, item_first int, n_tokens int, n_matched int"
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", least_tokens: int = 13, share: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
@@ -172,47 +265,54 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_i
     Items of fewer than 5 tokens can't be told from chance and match nothing.  Null
     and empty texts overlap nothing; repeated rows and items are reported each; an
     empty table on either side gives no rows.  block_bytes bounds the benchmark
-    text held at a time."""
+    text held at a time (one item at least)."""
     source = docs.select(F.struct(F.col(doc_id).alias("doc_id")).alias("kept"), F.col(text).alias("text"))
     kept = source.schema["kept"].dataType.simpleString()
-    item_type = benchmark.schema[item_id].dataType.simpleString()
-    out = docs.sparkSession.createDataFrame([], f"doc_id {docs.schema[doc_id].dataType.simpleString()}, item_id {item_type}, doc_first long, item_first int, n_tokens int, n_matched int")
-    for seeds, own in _blocks(benchmark, item_text, block_bytes, least_tokens, share, item_id):
-        ids = docs.sparkSession.createDataFrame(list(enumerate(own)), f"item int, item_id {item_type}")
-        found = source.mapInArrow(_finder(seeds, share), f"kept {kept}, {_OVERLAP}")
-        # ids: two numbers for each item of a block of bounded bytes
-        out = out.unionByName(found.join(F.broadcast(ids), "item").select("kept.doc_id", "item_id", "doc_first", "item_first", "n_tokens", "n_matched"))
-    return out
-
-
-def _blocks(benchmark: DataFrame, item_text: str, block_bytes: int, least_tokens: int, share: float, item_id: str | None = None):
-    """(broadcast seeds, item ids) of the benchmark, some block_bytes at a time."""
-    total = benchmark.agg(F.sum(F.octet_length(F.col(item_text)))).first()[0] or 0
-    blocks = math.ceil(total / block_bytes)
-    items = benchmark.select(F.col(item_id).alias("item_id") if item_id else F.lit(0).alias("item_id"), text_or_empty(item_text).alias("text"))
+    found = docs.sparkSession.createDataFrame([], f"kept {kept}, {_OVERLAP}")
+    for seeds, last in _blocks(benchmark, item_text, block_bytes, least_tokens, share):
+        part = source.mapInArrow(_finder(seeds, share), f"kept {kept}, {_OVERLAP}")
+        if not last:
+            part = Table(part).read()
+            seeds.destroy()
+        found = found.unionByName(part)
+    i1, i2 = text_names(item_text)
+    items = benchmark.select(F.col(item_id).alias("item_id"), i1.alias("i1"), i2.alias("i2"))
+    return found.join(items, ["i1", "i2"]).select("kept.doc_id", "item_id", "doc_first", "item_first", "n_tokens", "n_matched")
+
+
+def _blocks(benchmark: DataFrame, item_text: str, block_bytes: int, least_tokens: int, share: float):
+    """(broadcast seeds, is it the last block) of the different benchmark texts, some
+    block_bytes at a time."""
+    i1, i2 = text_names(item_text)
+    texts = Table(benchmark.select(i1.alias("i1"), i2.alias("i2"), text_or_empty(item_text).alias("text")).dropDuplicates(["i1", "i2"]))
+    blocks = math.ceil((texts.read().agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes)
     for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).toArrow()
-        yield benchmark.sparkSession.sparkContext.broadcast(_Seeds(own.column("text").to_pylist(), least_tokens, share)), own.column("item_id").to_pylist()
+        own = texts.read().where(F.pmod("i1", F.lit(blocks)) == block).toArrow().sort_by([("i1", "ascending"), ("i2", "ascending")])
+        names = (own.column("i1").to_pylist(), own.column("i2").to_pylist())
+        yield benchmark.sparkSession.sparkContext.broadcast(_Seeds(own.column("text").to_pylist(), least_tokens, share, names)), block == blocks - 1
+    texts.drop()
 
 
 def _best(raw: np.ndarray, offsets: np.ndarray, seeds: _Seeds, share: float) -> dict[tuple[int, int], tuple]:
     """(document, item) -> (matches, -position, first word, first in item, tokens)."""
     w = words(raw, offsets, ALNUM_FOLDED)
-    found = [np.empty((0, 3), np.int64)]
-    for number, mask in enumerate(seeds.masks):
-        for at, item, place in seeds.hits(*_masked(w.hash, w.doc, mask, number)):
-            found.append(seeds.likely(w, np.unique(np.stack([w.doc[at], item, at - place], axis=1), axis=0)))
     best: dict[tuple[int, int], tuple] = {}
-    for doc, item, diagonal in np.unique(np.concatenate(found), axis=0).tolist():
-        tokens = seeds.hash[seeds.first[item] : seeds.first[item + 1]]
-        low, high = max(diagonal, w.first[doc]), min(diagonal + len(tokens), w.first[doc + 1])
-        equal = w.hash[low:high] == tokens[low - diagonal : high - diagonal]
-        first, end, matched = best_stretch(equal)
-        if matched < max(seeds.least[item], share * (end - first)):
-            first, end, matched = lawful_stretch(equal, share)
-        if matched >= seeds.least[item]:
-            row = (matched, -(low + first), int(low + first - w.first[doc]), int(low + first - diagonal), end - first)
-            best[doc, item] = max(row, best.get((doc, item), row))
+    n_items, width = len(seeds.size), len(w.hash) + int(seeds.size.max(initial=0)) + 1
+    full: dict[int, int] = {}  # pair -> diagonal of a full match: those behind it can't be better
+    for number, mask in enumerate(seeds.masks):
+        for pair, diagonal in seeds.hits(w, mask, number):
+            if full:
+                known = np.array(sorted(full))
+                at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+                ahead = (known[at] != pair) | (diagonal < np.array([full[p] for p in known.tolist()])[at])
+                pair, diagonal = pair[ahead], diagonal[ahead]
+            once = np.unique(pair * width + diagonal + seeds.size.max())
+            for rows in seeds.stretches(w, once // width, once % width - seeds.size.max(), share):
+                for doc, item, *row in rows.tolist():
+                    best[doc, item] = max(tuple(row), best.get((doc, item), tuple(row)))
+                    if row[0] == seeds.size[item]:
+                        diagonal = int(row[2] + w.first[doc])
+                        full[doc * n_items + item] = min(diagonal, full.get(doc * n_items + item, diagonal))
     return best
 
 
@@ -220,9 +320,9 @@ def _finder(shared, share: float):
     def rows(batches):
         for batch in pieces(batches, "text"):
             best = _best(*flat(batch.column("text")), shared.value, share)
-            of = [d for d, _ in best]
-            columns = [[i for _, i in best], *[[r[k] for r in best.values()] for k in (2, 3, 4, 0)]]
-            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+            of, items = [d for d, _ in best], [i for _, i in best]
+            columns = [*[names[items] for names in shared.value.names], *[[r[k] for r in best.values()] for k in (2, 3, 4, 0)]]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([batch.column("kept").take(pa.array(of, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=["kept", *[x.split()[0] for x in _OVERLAP.split(", ")]])
 
     return rows
@@ -230,20 +330,28 @@ def _finder(shared, share: float):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text", least_tokens: int = 13, share: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of docs, all columns, that overlap no benchmark item, by the rules
-    of overlaps(); rows without words stay.  Nothing is shuffled."""
-    source = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
-    schema = f"row {source.schema['row'].dataType.simpleString()}, text string"
-    for seeds in _blocks(benchmark, item_text, block_bytes, least_tokens, share):
+    of overlaps(); rows without words stay.  Nothing is shuffled; of a benchmark of
+    several blocks each works on what the one before it left, as a written table."""
+    left, columns, written = docs, docs.columns, None
+    for seeds, last in _blocks(benchmark, item_text, block_bytes, least_tokens, share):
+        source = left.select(F.struct("*").alias("row"), F.col(text).alias("text"))
 
-        def rows(batches, shared=seeds[0]):
+        def rows(batches, shared=seeds):
             for batch in pieces(batches, "text"):
                 best = _best(*flat(batch.column("text")), shared.value, share)
                 clean = np.ones(batch.num_rows, bool)
                 clean[[d for d, _ in best]] = False
                 yield batch.filter(pa.array(clean))
 
-        source = source.mapInArrow(rows, schema)
-    return source.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+        kept = source.mapInArrow(rows, f"row {source.schema['row'].dataType.simpleString()}, text string")
+        left = kept.select(*[F.col("row")[c].alias(c) for c in columns])
+        if not last:
+            table = Table(left)
+            if written:
+                written.drop()
+            left, written = table.read(), table
+            seeds.destroy()
+    return left
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

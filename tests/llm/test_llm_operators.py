@@ -153,6 +153,59 @@ def test_overlaps_find_every_lawful_substitution(spark):
     assert got == expected
 
 
+def plain_overlaps(texts, items, share=0.8):
+    """Every item laid over every text at every offset."""
+    out = {}
+    for d, text in enumerate(texts):
+        w = license_scan.tokens(text or "")
+        for i, item in enumerate(items):
+            t = license_scan.tokens(item or "")
+            least, rows = share * min(13, len(t)), []
+            for diagonal in range(-len(t) + 1, len(w)) if len(t) >= 5 else ():
+                low, high = max(diagonal, 0), min(diagonal + len(t), len(w))
+                equal = [w[p] == t[p - diagonal] for p in range(low, high)]
+                if sum(equal) < least:
+                    continue
+                first, end, n = decontamination.best_stretch(np.array(equal, bool))
+                if n < max(least, share * (end - first)):
+                    first, end, n = decontamination.lawful_stretch(np.array(equal, bool))
+                if n >= least:
+                    rows.append((n, -(low + first), low + first, low + first - diagonal, end - first))
+            if rows:
+                out[d, i] = max(rows)
+    return out
+
+
+@pytest.mark.parametrize("vocabulary", [1, 2, 4, 30])
+def test_overlaps_against_every_offset(vocabulary):
+    rng = random.Random(25)
+    items = [" ".join(words(rng, n, vocabulary)) for n in (4, 5, 8, 13, 20, 40, 40)]
+    texts = ["", None, items[5], " ".join([*words(rng, 30, 50), items[4], *words(rng, 10, 50)]), *[" ".join(words(rng, rng.randrange(120), vocabulary)) for _ in range(12)]]
+    seeds = decontamination._Seeds(items)
+    assert decontamination._best(*decontamination.flat(pa.array(texts)), seeds, 0.8) == plain_overlaps(texts, items)
+
+
+def test_one_word_that_fills_text_and_items_is_cheap():
+    import time
+
+    seeds = decontamination._Seeds([" ".join(["same"] * (200 + k)) for k in range(20)])
+    began = time.process_time()
+    found = decontamination._best(*decontamination.flat(pa.array([" ".join(["same"] * 2000)])), seeds, 0.8)
+    assert found == {(0, k): (200 + k, 0, 0, 0, 200 + k) for k in range(20)} and time.process_time() - began < 5
+
+
+def test_overlaps_with_the_benchmark_in_many_blocks(spark):
+    rng = random.Random(26)
+    items = [" ".join(words(rng, 30, 3000)) for _ in range(40)]
+    docs = spark.createDataFrame([(k, " ".join([*words(rng, 20), items[k % 40], *words(rng, 20)]) if k % 3 else " ".join(words(rng, 60))) for k in range(90)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k % 50, items[k % 40]) for k in range(100)], "item_id long, text string")  # items repeat
+    size = sum(len(x) for x in items)
+    for blocks in (1, 10, 50):
+        got = Counter((r.doc_id, r.item_id) for r in decontamination.overlaps(docs, bench, block_bytes=size // blocks + 1).collect())
+        assert got == Counter((k, j % 50) for k in range(90) if k % 3 for j in range(100) if j % 40 == k % 40)
+        assert {r.doc_id for r in decontamination.decontaminate(docs, bench, block_bytes=size // blocks + 1).collect()} == {k for k in range(90) if k % 3 == 0}
+
+
 def test_overlaps_hold_few_hits_at_a_time(monkeypatch):
     rng = random.Random(24)
     item, texts = words(rng, 60, 3), [" ".join(words(rng, 300, 3)) for _ in range(5)] + [""]
