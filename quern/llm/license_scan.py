@@ -1,16 +1,22 @@
 """License scan: a generalised suffix automaton over licence texts.
 
-The automaton of all templates' tokens is built once per Python worker.  Files
-are streamed through it: after each token it knows the longest suffix read so far
-that stands in some template (matching statistics).  Matches that can't grow and
-are long enough are chained along one template, and the chain's share of the
-template decides.  Tokens that no template holds reset the automaton, so only
-stretches of template tokens that are long enough to matter are streamed.
+The automaton of all templates' tokens is built once per Python worker.  Files are
+streamed through it: after each token it knows the longest suffix read so far that
+stands in some template, and by its links the longest one that stands in each
+(matching statistics, for every template and place).  Matches that can't grow and are
+long enough are chained along their template, and the chain's share of the template
+decides.  Where chains of several templates lie on the same words, the one that covers
+most tokens stays, of equals the one that covers more of its template.
+
+Only stretches of words whose windows of the least length stand in some template are
+streamed; a match can't lie anywhere else.  Words and windows are compared by 64-bit
+hashes; the places of phrases are compared byte by byte then.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 
@@ -19,22 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesnp import ALNUM_FOLDED, U64, flat, pieces, word_hash, words
+from .bytesnp import ALNUM_FOLDED, U64, flat, pieces, window_names, word_hash, words
+from .licences import TEMPLATES
 
 #: Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Operative passages of common licences, by label.
-TEMPLATES = {
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED",
-    "apache": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program.",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-    "cc": "This work is licensed under a Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/",
-}
-
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -44,16 +40,18 @@ def tokens(text: str) -> list[str]:
 
 
 class SuffixAutomaton:
-    """Generalised over several token sequences; each state keeps one place of an
-    occurrence: (sequence, end)."""
+    """Generalised over several token sequences; each state knows one place where its
+    strings stand, (sequence, end), and where asked all of them."""
 
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length, self.place = [-1], [0], [(0, 0)]
+        self._prefix = []
         for k, sequence in enumerate(sequences):
             last = 0
             for end, token in enumerate(sequence, 1):
                 last = self._extend(last, token, (k, end))
+                self._prefix.append((last, (k, end)))
 
     def _state(self, length: int, place: tuple[int, int], moves: dict[int, int] | None = None, link: int = -1) -> int:
         self.next.append(dict(moves or {}))
@@ -101,45 +99,111 @@ class SuffixAutomaton:
             yield matched, at
 
 
-def long_matches(automaton: SuffixAutomaton, stream: list[int], least: int) -> list[tuple[int, int, int, int]]:
-    """(start in the stream, length, sequence, start there) of the matches of at
-    least that many tokens that can't grow to the right."""
-    found, before = [], (0, 0)
-    for end, now in enumerate([*automaton.statistics(stream), (0, 0)]):
-        length, state = before
-        if length >= least and now[0] <= length:
-            sequence, to = automaton.place[state]
-            found.append((end - length, length, sequence, to - length))
+    def standing(self, least: int) -> list[dict[tuple[int, int], int]]:
+        """Of each state, every place (sequence, end) where a suffix of at least that
+        many tokens of its longest string stands, with the length of the longest such."""
+        order = sorted(range(1, len(self.next)), key=lambda s: self.length[s])
+        ends = defaultdict(list)
+        for state, place in self._prefix:
+            ends[state].append(place)
+        for state in reversed(order):
+            ends[self.link[state]] += ends[state]
+        out: list[dict[tuple[int, int], int]] = [{} for _ in self.next]
+        for state in order:
+            if self.length[state] >= least:
+                out[state] = out[self.link[state]] | dict.fromkeys(ends[state], self.length[state])
+        return out
+
+
+def long_matches(automaton: SuffixAutomaton, standing: list[dict], stream: list[int], least: int) -> list[tuple[int, int, int, int]]:
+    """(start in the stream, length, sequence, start there) of all matches of at
+    least that many tokens that can't grow, with every place of every sequence."""
+    found, before = [], {}
+    for end, (matched, state) in enumerate([*automaton.statistics(stream), (0, 0)]):
+        now = {place: min(matched, longest) for place, longest in standing[state].items() if matched >= least}
+        for (sequence, to), length in before.items():
+            if (sequence, to + 1) not in now:
+                found.append((end - length, length, sequence, to - length))
         before = now
     return found
 
 
 def chain(matches: list[tuple[int, int, int, int]], gap: int) -> list[tuple[int, int, int, int]]:
-    """(sequence, first token, last token, template tokens covered) of chains:
-    matches along one template, in order in both, at most `gap` tokens apart.  A
-    match that doesn't continue its template's current chain begins the next."""
-    done, current = [], {}
+    """(sequence, first token, last token, template tokens covered) of chains: matches
+    along one template, in order in both, at most `gap` tokens apart in both.  The
+    chains that cover most come first; each match is in one chain."""
+    out, by_sequence = [], defaultdict(list)
     for start, length, sequence, at in sorted(matches):
-        c = current.get(sequence)
-        if c and start - c[2] <= gap and start + length > c[2] and at + length > c[3] and at - c[3] <= gap:
-            c[4] += at + length - max(at, c[3])
-            c[2], c[3] = start + length, at + length
-        else:
-            current[sequence] = [sequence, start, start + length, at + length, length]
-            done.append(current[sequence])
-    return [(c[0], c[1], c[2] - 1, c[4]) for c in done]
+        by_sequence[sequence].append((start, length, at))
+    for sequence, own in by_sequence.items():
+        best: list[tuple[int, int | None]] = []  # covered by the best chain up to here, the match before
+        near: list[int] = []
+        for k, (start, length, at) in enumerate(own):
+            near = [j for j in near if start - own[j][0] - own[j][1] <= gap]
+            top = (length, None)
+            for j in near:
+                s, n, t = own[j]
+                if s < start and t < at and s + n < start + length and t + n < at + length and at - t - n <= gap:
+                    top = max(top, (best[j][0] + at + length - max(at, t + n), j), key=lambda x: x[0])
+            best.append(top)
+            near.append(k)
+        used: set[int] = set()
+        for k in sorted(range(len(own)), key=lambda k: -best[k][0]):
+            if k in used:
+                continue
+            last, at, covered = k, k, best[k][0]
+            used.add(k)
+            while (before := best[at][1]) is not None:
+                if before in used:
+                    covered -= best[before][0]
+                    break
+                used.add(before)
+                at = before
+            out.append((sequence, own[at][0], own[last][0] + own[last][1] - 1, covered))
+    return out
+
+
+def _settled(chains: list[tuple[int, int, int, int]], sizes: list[int], coverage: float) -> list[tuple[int, int, int, int]]:
+    """The chains that cover enough of their template and share no more than half of
+    their words with one that covers more tokens, by their first word."""
+    near = defaultdict(set)  # the chains that stay, by stretches of 256 words
+    out = []
+    for c in sorted((c for c in chains if c[3] >= coverage * sizes[c[0]]), key=lambda c: (-c[3], -c[3] / sizes[c[0]], c[0], c[1])):
+        reach = range(c[1] >> 8, (c[2] >> 8) + 1)
+        if all(2 * (min(c[2], o[2]) - max(c[1], o[1]) + 1) <= c[2] - c[1] + 1 for k in reach for o in near[k]):
+            out.append(c)
+            for k in reach:
+                near[k].add(c)
+    return sorted(out, key=lambda c: (c[1], c[0]))
 
 
 @cache
-def _compiled(templates: tuple[tuple[str, str], ...], phrases: tuple[str, ...]):
+def _compiled(templates: tuple[tuple[str, str], ...], phrases: tuple[str, ...], least: int):
     texts = [tokens(text) for _, text in templates]
     terms = {t: i for i, t in enumerate(dict.fromkeys(t for text in [*texts, *map(tokens, phrases)] for t in text))}
     hashes = np.array([word_hash(t) for t in terms], U64)
     order = np.argsort(hashes)
-    inside = np.zeros(len(terms) + 1, bool)
-    inside[[terms[t] for text in texts for t in text]] = True
     automaton = SuffixAutomaton([[terms[t] for t in text] for text in texts])
-    return automaton, [len(t) for t in texts], hashes[order], order, inside, [[terms[t] for t in tokens(p)] for p in phrases]
+    w = words(*flat(pa.array([text for _, text in templates], pa.string())), ALNUM_FOLDED)
+    windows = np.unique(window_names(w.hash, w.doc, least)[1])
+    return automaton, automaton.standing(least), [len(t) for t in texts], hashes[order], order, windows, [[t.encode() for t in tokens(p)] for p in phrases]
+
+
+def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
+def _places(raw: np.ndarray, w, phrase: list[bytes]) -> Iterator[int]:
+    """Words where the phrase's words stand one behind the other in one document."""
+    size = len(w.hash) - len(phrase) + 1
+    if size <= 0 or not phrase:
+        return
+    hit = w.doc[:size] == w.doc[len(phrase) - 1 :]
+    for k, term in enumerate(phrase):
+        hit &= w.hash[k : k + size] == U64(word_hash(term.decode()))
+    for p in np.flatnonzero(hit).tolist():
+        if all(raw[w.start[p + k] : w.end[p + k]].tobytes().lower() == term for k, term in enumerate(phrase)):
+            yield p
 
 
 _COLUMNS = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first_word:int,last_word:int,coverage:double>>"
@@ -152,7 +216,8 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
     label, first and last word, share of the template covered).
 
     A span counts where a chain of matches of `least` tokens or more, at most `gap`
-    tokens apart, covers that share of its template.  score: the largest share
+    tokens apart, covers that share of its template, and most of its words lie in no
+    span that covers more tokens.  score: the largest share
     covered, at least 0.5 where a phrase stands.  Null and empty texts have no
     words, no labels and score 0; repeated rows are scanned alike; columns outside
     of keep are dropped; an empty table gives an empty table."""
@@ -162,43 +227,30 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
     schema = f"kept {source.schema['kept'].dataType.simpleString()}, {_COLUMNS}"
 
     def rows(batches):
-        automaton, sizes, hashes, order, inside, phrase_ids = _compiled(template_items, tuple(p for p, _ in phrase_items))
-        none = len(order)
+        automaton, standing, sizes, hashes, order, windows, phrase_terms = _compiled(template_items, tuple(p for p, _ in phrase_items), least)
         for batch in pieces(batches, "text"):
             raw, offsets = flat(batch.column("text"))
             w = words(raw, offsets, ALNUM_FOLDED)
-            at = np.minimum(np.searchsorted(hashes, w.hash), none - 1)
-            ids = np.where(hashes[at] == w.hash, order[at], none)
-            n_docs, places, labels = len(offsets) - 1, {}, {}
-            for (_, label), phrase in zip(phrase_items, phrase_ids):
-                size = len(ids) - len(phrase) + 1
-                if size <= 0:
-                    continue
-                hit = np.ones(size, bool)
-                for k, term in enumerate(phrase):
-                    hit &= ids[k : k + size] == term
-                hit &= w.doc[:size] == w.doc[len(phrase) - 1 :]
-                for p in np.flatnonzero(hit):
-                    doc = int(w.doc[p])
-                    places.setdefault(doc, []).append(int(p - w.first[doc]))
-                    labels.setdefault(doc, set()).add(label)
-            known = inside[ids]
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], known.astype(np.int8), [0]])))
-            spans: dict[int, list] = {}
-            for a, b in zip(edge[::2], edge[1::2]):
-                if b - a < least:
-                    continue
-                cuts = [a, *w.first[np.searchsorted(w.first, a, "right") : np.searchsorted(w.first, b, "left")], b]
-                for x, y in zip(cuts, cuts[1:]):
-                    if y - x >= least:
-                        doc = int(w.doc[x])
-                        base = int(x - w.first[doc])
-                        for s, n, seq, t in long_matches(automaton, ids[x:y].tolist(), least):
-                            spans.setdefault(doc, []).append((s + base, n, seq, t))
+            n_docs, places, labels = len(offsets) - 1, defaultdict(list), defaultdict(set)
+            for (_, label), phrase in zip(phrase_items, phrase_terms):
+                for p in _places(raw, w, phrase):
+                    places[int(w.doc[p])].append(int(p - w.first[w.doc[p]]))
+                    labels[int(w.doc[p])].add(label)
+            at, window = window_names(w.hash, w.doc, least)
+            at = at[_among(windows, window)]
+            opens = np.ones(len(at), bool)
+            opens[1:] = (at[1:] != at[:-1] + 1) | (w.doc[at[1:]] != w.doc[at[:-1]])
+            runs = np.flatnonzero(opens)
+            spans = defaultdict(list)
+            for x, y in zip(at[runs].tolist(), (at[np.append(runs[1:], len(at)) - 1] + least).tolist() if len(at) else ()):
+                doc = int(w.doc[x])
+                stream = order[np.searchsorted(hashes, w.hash[x:y])].tolist()
+                base = int(x - w.first[doc])
+                spans[doc] += [(start + base, length, sequence, t) for start, length, sequence, t in long_matches(automaton, standing, stream, least)]
             out: list[tuple] = []
             for doc in range(n_docs):
                 own = sorted(places.get(doc, ()))
-                mine = [{"label": template_items[k][0], "first_word": a, "last_word": b, "coverage": c / sizes[k]} for k, a, b, c in chain(spans.get(doc, []), gap) if c >= coverage * sizes[k]]
+                mine = [{"label": template_items[k][0], "first_word": a, "last_word": b, "coverage": c / sizes[k]} for k, a, b, c in _settled(chain(spans.get(doc, []), gap), sizes, coverage)]
                 base_labels = sorted(labels.get(doc, ()))
                 every = sorted({*base_labels, *(s["label"] for s in mine)})
                 score = max([0.5 if own else 0.0, *(min(1.0, s["coverage"]) for s in mine)])

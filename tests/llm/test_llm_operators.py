@@ -639,6 +639,51 @@ def test_suffix_automaton_matching_statistics():
             assert sequences[sequence][to - length : to] == stream[end - length : end]
 
 
+def plain_matches(stream, sequences, least):
+    """All pairs of places: equal runs that can't grow."""
+    out = set()
+    for k, s in enumerate(sequences):
+        for i in range(len(stream)):
+            for j in range(len(s)):
+                if stream[i] == s[j] and not (i and j and stream[i - 1] == s[j - 1]):
+                    n = 0
+                    while i + n < len(stream) and j + n < len(s) and stream[i + n] == s[j + n]:
+                        n += 1
+                    if n >= least:
+                        out.add((i, n, k, j))
+    return out
+
+
+def test_matches_at_every_place_of_every_template():
+    rng = random.Random(33)
+    for _ in range(40):
+        sequences = [[rng.randrange(3) for _ in range(rng.randrange(40))] for _ in range(4)]
+        sequences[1] += sequences[0][5:25] + sequences[0][:15]
+        automaton = license_scan.SuffixAutomaton(sequences)
+        stream = [rng.randrange(4) for _ in range(60)] + sequences[0][3:20] + sequences[1][2:30]
+        for least in (2, 4, 6):
+            found = license_scan.long_matches(automaton, automaton.standing(least), stream, least)
+            assert len(found) == len(set(found)) and set(found) == plain_matches(stream, sequences, least)
+
+
+def test_every_template_is_told_from_those_it_shares_text_with(spark):
+    rng = random.Random(34)
+    rows = []
+    for label, text in license_scan.TEMPLATES.items():
+        w = text.split()
+        for put in (None, len(w) // 3, len(w) // 2):
+            body = w if put is None else [*w[:put], "inserted", *w[put:]]
+            rows.append((label, len(rows) % 7, " ".join([*words(rng, len(rows) % 7), *body, *words(rng, 30)])))
+    frame = spark.createDataFrame(rows, "doc_id string, before int, text string")
+    for r in license_scan.scan(frame, keep=("doc_id", "before")).collect():
+        assert r.labels.split(",") == sorted({r.doc_id, *filter(None, r.base_labels.split(","))}), r
+        assert [(s.label, s.first_word) for s in r.spans] == [(r.doc_id, r.before)] and r.score > 0.95
+    shared = {"a": " ".join(f"s{k}" for k in range(30)) + " " + " ".join(f"a{k}" for k in range(20)), "b": " ".join(f"s{k}" for k in range(30)) + " " + " ".join(f"b{k}" for k in range(20))}
+    text = shared["b"].replace("s15", "s15 inserted")
+    one = license_scan.scan(spark.createDataFrame([(0, text)], "doc_id long, text string"), templates=shared).first()
+    assert one.labels == "b" and one.score == 1.0
+
+
 def test_license_templates_are_found(spark, docs, empty):
     body = license_scan.TEMPLATES["bsd"].replace("binary", "object", 1)
     rows = [(0, "intro words here " + body + " and more"), (1, "nothing of that kind"), (2, license_scan.TEMPLATES["mit"] + " " + license_scan.TEMPLATES["mpl"])]
