@@ -196,7 +196,7 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """k1, k2 name a row by content: they don't change when a lost scan is redone.
     Rows that agree in both hold the same text and so lose the same bytes."""
     value = text_or_empty(text)
-    return docs.select(F.xxhash64(value).alias("k1"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("k2"), value.alias("text"))
+    return docs.select(F.xxhash64(value).alias("k1"), F.xxhash64(doc_id).alias("k2"), value.alias("text"))
 
 
 def repeated_spans(docs: DataFrame, *, length: int = 200, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -205,10 +205,11 @@ def repeated_spans(docs: DataFrame, *, length: int = 200, text: str = "text", do
     if not 2 * Q <= length + 64 or length < 128:
         raise ValueError("length must be 128 or more")
     keyed = _keyed(docs, text, doc_id)
-    runs = keyed.where(F.octet_length("text") >= length).mapInArrow(_run_rows(length), _RUN)
-
-    shared = Table(runs.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket"))
-    candidates = Table(runs.join(shared.read(), "bucket", "left_semi"))
+    # written, so that the texts are named once
+    runs = Table(keyed.where(F.octet_length("text") >= length).mapInArrow(_run_rows(length), _RUN))
+    shared = Table(runs.read().groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket"))
+    candidates = Table(runs.read().join(shared.read(), "bucket", "left_semi"))
+    runs.drop()
     shared.drop()
 
     rep = F.min(F.struct("k1", "k2", "low", "n")).alias("rep")
@@ -231,10 +232,11 @@ def repeated_spans(docs: DataFrame, *, length: int = 200, text: str = "text", do
     mixed_parts = Table(parts.read().groupBy("bucket").agg(F.count("*").alias("classes")).where("classes > 1").select("bucket"))
     still = parts.read().join(mixed_parts.read(), "bucket", "left_semi").select("bucket", "rep.k1", "rep.k2", "rep.base", "rep.low", "rep.n", (F.col("rep.alone") & (F.col("members") == 1)).alias("alone"))
     of_block = still.groupBy("k1", "k2", F.col("base").alias("low")).agg(F.collect_list(F.struct("bucket", "low", "n", "alone")).alias("inner"))
-    opened = Table(blocks.read().select("k1", "k2", "low", "block_bytes").join(of_block, ["k1", "k2", "low"]))
-    strings = opened.read().mapInArrow(_string_rows(length), _STRING)
-    twice = Table(strings.groupBy("bucket", "name").agg(F.count("*").alias("times")).where("times > 1").select("bucket", "name"))
-    singles = strings.where("alone").join(twice.read(), ["bucket", "name"], "left_semi").select("k1", "k2", "low", (F.col("low") + length).alias("high"))
+    opened = blocks.read().select("k1", "k2", "low", "block_bytes").join(of_block, ["k1", "k2", "low"])
+    strings = Table(opened.mapInArrow(_string_rows(length), _STRING))
+    blocks.drop()
+    twice = Table(strings.read().groupBy("bucket", "name").agg(F.count("*").alias("times")).where("times > 1").select("bucket", "name"))
+    singles = strings.read().where("alone").join(twice.read(), ["bucket", "name"], "left_semi").select("k1", "k2", "low", (F.col("low") + length).alias("high"))
     end = (F.col("low") + F.col("n") + (length - 1)).alias("high")
     several = parts.read().where("members > 1").select("bucket", "block")
     stretched = stretches.read().where("alone").join(several, ["bucket", "block"], "left_semi").select("k1", "k2", "low", end)
@@ -256,7 +258,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 200, text: str = "text", do
         .agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("spans"))
     )
     out = Table(merged)
-    for table in (candidates, classes, mixed, blocks, stretches, parts, mixed_parts, opened, twice):
+    for table in (candidates, classes, mixed, stretches, parts, mixed_parts, strings, twice):
         table.drop()
     return out.read()
 
@@ -299,7 +301,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, text: str = "text", do
     are then valid UTF-8).  An empty table gives an empty table."""
     spans = repeated_spans(docs, length=length, text=text, doc_id=doc_id).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans"))
     value = text_or_empty(text)
-    keyed = docs.withColumns({"__key1": F.xxhash64(value), "__key2": F.coalesce(F.col(doc_id).cast("long"), F.lit(-1))})
+    keyed = docs.withColumns({"__key1": F.xxhash64(value), "__key2": F.xxhash64(doc_id)})
     joined = keyed.join(spans, (F.col("__key1") == F.col("__k1")) & (F.col("__key2") == F.col("__k2")), "left")
     raw = value.cast("binary")
     found = F.coalesce("__spans", F.array().cast("array<struct<from:int,to:int>>"))
