@@ -54,14 +54,21 @@ def _range_of(splitters: list) -> Column:
     return F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(below(at, step), at + step).otherwise(at))
 
 
+def _order_of(docs: DataFrame, doc_id: str) -> Column:
+    """The id as a long: itself, or of other types a hash; null comes first."""
+    whole = docs.schema[doc_id].dataType.typeName() in ("byte", "short", "integer", "long")
+    return F.coalesce(F.col(doc_id).cast("long") if whole else F.when(F.col(doc_id).isNotNull(), F.xxhash64(doc_id)), F.lit(-(1 << 63)))
+
+
 def shard(
-    docs: DataFrame, *, shards: int = 24, ranges_per_shard: int = 16, sample_per_range: int = 32, overfull: float = 2.0, text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = ()
+    docs: DataFrame, *, shards: int = 24, ranges_per_shard: int = 16, rows_per_range: int = 2_000_000, sample_per_range: int = 32, overfull: float = 2.0, text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """doc_id, size (UTF-8 bytes of the text plus 8), text_crc32, shard, slot, and
     a struct `carried` of the columns named in carry.
 
-    The sample and all tables on the driver are bounded by shards *
-    ranges_per_shard and the two factors.  Null text has no bytes (checksum 0), a
+    There are ranges_per_shard ranges to a shard, and more where a range would hold more
+    than rows_per_range rows of mean size; sample and tables on the driver are bounded by
+    that number and the two factors.  Ids may have any type.  Null text has no bytes (checksum 0), a
     null doc_id sorts first, repeated rows are separate rows, and fewer rows than
     shards leave shards empty.  An empty table gives an empty table."""
     body = text_or_empty(text)
@@ -71,22 +78,22 @@ def shard(
         F.crc32(body.cast("binary")).alias("text_crc32"),
         F.struct(*carry).alias("carried") if carry else F.lit(None).cast("string").alias("carried"),
         F.conv(F.substring(F.md5(body.cast("binary")), 1, 15), 16, 10).cast("long").alias("__hash"),
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("__id"),
+        _order_of(docs, doc_id).alias("__id"),
         F.xxhash64(F.monotonically_increasing_id()).alias("__tie"),
     )
     rows = Table(base)
-    ranges = shards * ranges_per_shard
+    ranges = max(shards * ranges_per_shard, -(-rows.read().count() // rows_per_range))
     splitters = _splitters(rows.read(), ranges, ranges * sample_per_range, 1)
-    last_worst = None
+    last_full = None
     while True:
         ranged = rows.read().withColumn("__range", _range_of(splitters))
         totals = {r["__range"]: (r["bytes"], r["n"]) for r in ranged.groupBy("__range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
         total = sum(b for b, _ in totals.values())
         full = {k: b for k, (b, n) in totals.items() if n > 1 and b * ranges > overfull * total}
-        worst = max(full.values(), default=0)
-        if not full or worst == last_worst:
+        # until none is overfull, or none of them could be divided
+        if not full or sorted(full.values()) == last_full:
             break
-        last_worst = worst
+        last_full = sorted(full.values())
         parts = sum(-(-b * ranges // total) for b in full.values())
         inside = ranged.where(F.col("__range").isin(list(full)))
         splitters = sorted({*splitters, *_splitters(inside, 2 * parts, 2 * parts * sample_per_range, 1 + len(splitters))})
