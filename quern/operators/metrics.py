@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lexical_diversity, strip, words
+from ..shared import written
 from .order import following
 
 
@@ -77,12 +78,14 @@ def distinct_bigrams(df: DataFrame, text: str, position: str) -> DataFrame:
     """n_bigrams, n_distinct and their ratio over all texts in a row: bigrams cross from
     one text to the next that has words."""
     spelled = df.select(position, words(F.col(text)).alias("w")).where(F.size("w") > 0)
-    linked = following(spelled.select(position, F.element_at("w", 1).alias("first")), position, "first", "after")
-    joined = spelled.join(linked.select(position, "after"), position)
-    chain = F.array_compact(F.concat("w", F.array("after")))
-    pairs = F.arrays_zip(F.slice("c", F.lit(1), F.size("c") - 1).alias("a"), F.slice("c", F.lit(2), F.size("c") - 1).alias("b"))
-    grams = joined.select(chain.alias("c")).where(F.size("c") > 1).select(F.explode(pairs).alias("g"))
-    counted = grams.groupBy("g").agg(F.count("*").alias("n"))
+    # words hold no blanks, so a pair is one string
+    pair = lambda a, b: F.concat(a, F.lit(" "), b)
+    inside = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), pair)
+    within = spelled.where(F.size("w") > 1).select(F.explode(inside).alias("g"))
+    # two words of each text, as a table: they are bucketed and numbered
+    ends = written(spelled.select(position, F.element_at("w", 1).alias("first"), F.element_at("w", -1).alias("last")))
+    across = following(ends, position, "first", "after").where("after IS NOT NULL").select(pair(F.col("last"), F.col("after")).alias("g"))
+    counted = within.unionAll(across).groupBy("g").agg(F.count("*").alias("n"))
     return counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_bigrams"), F.count("*").alias("n_distinct")).withColumn("ratio", _share(F.col("n_distinct"), F.col("n_bigrams"), 6))
 
 

@@ -25,19 +25,29 @@ def hash_bucket(key: Column) -> Column:
 
 
 def position_bucket(df: DataFrame, position: str, buckets: int = BUCKETS) -> Column:
-    """Equal intervals between the smallest and the largest position."""
-    low, high = df.agg(F.min(position), F.max(position)).first()
-    if low is None or high == low:
+    """Intervals between quantiles of the positions, so that each holds about as many rows
+    however they lie; a driver's table of at most `buckets` numbers."""
+    shares = [k / buckets for k in range(1, buckets)]
+    found = df.agg(F.percentile_approx(position, shares, 4 * buckets).alias("q")).first()["q"]
+    bounds = sorted(set(found or ()))
+    if not bounds:
         return F.lit(0)
-    return F.floor((F.col(position) - low) * float(buckets - 1) / (high - low)).cast("int")
+    table, n = F.array(*[F.lit(b) for b in bounds]), len(bounds)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+    # how many bounds are at or below the position, by binary search
+    below = lambda at, step: (at + step <= n) & (F.get(table, at + step - 1) <= F.col(position))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(below(at, step), at + step).otherwise(at))
 
 
-def ranked(df: DataFrame, groups: list[str], order: list[Column], bucket: Column, rank: str = "rank", total: str = "total") -> DataFrame:
-    """df with each row's rank (from 1) in its group and the group's total."""
+def ranked(df: DataFrame, groups: list[str], order: list[Column], bucket: Column, rank: str = "rank", total: str = "total", overall: str | None = None) -> DataFrame:
+    """df with each row's rank (from 1) in its group, the group's total, and if asked the
+    total of all groups.  df is computed twice: it should be a scan or a written table."""
     marked = df.withColumn("__bucket", bucket)
     counts = marked.groupBy(*groups, "__bucket").agg(F.count("*").alias("__n"))
     running = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = counts.select(*groups, "__bucket", (F.sum("__n").over(running) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy(*groups)).alias(total))
+    # windows over the table of counts, at most BUCKETS rows for each group
+    totals = [F.sum("__n").over(Window.partitionBy(*groups)).alias(total)] + ([F.sum("__n").over(Window.partitionBy(F.lit(0))).alias(overall)] if overall else [])
+    before = counts.select(*groups, "__bucket", (F.sum("__n").over(running) - F.col("__n")).alias("__before"), *totals)
     inside = F.row_number().over(Window.partitionBy(*groups, "__bucket").orderBy(*order))
     numbered = marked.withColumn("__inside", inside)
     # the numbering has dealt the rows by just these columns: no further shuffle
@@ -45,9 +55,9 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column], bucket: Column
     return joined.withColumn(rank, F.col("__before") + F.col("__inside")).drop("__bucket", "__before", "__inside")
 
 
-def shuffled_rank(df: DataFrame, groups: list[str], key: str, seed: int) -> DataFrame:
+def shuffled_rank(df: DataFrame, groups: list[str], key: str, seed: int, overall: str | None = None) -> DataFrame:
     order = df.withColumn("__key", shuffle_key(seed, F.col(key)))
-    return ranked(order, groups, [F.col("__key"), F.col(key)], hash_bucket(F.col("__key"))).drop("__key")
+    return ranked(order, groups, [F.col("__key"), F.col(key)], hash_bucket(F.col("__key")), overall=overall).drop("__key")
 
 
 def sample_exact(df: DataFrame, groups: list[str], key: str, wanted: Column, seed: int = 42) -> DataFrame:
@@ -64,9 +74,9 @@ def mix_by_ratio(df: DataFrame, key: str, korean: float = 0.7, english: float =
     """int(target * ratio) rows of each language, or all it has.  Without a target
     the number of rows there are."""
     check_ratios(korean, english)
-    total = df.count() if target is None else target
-    wanted = F.when(F.col(language) == "ko", int(total * korean)).otherwise(int(total * english))
-    return sample_exact(df, [language], key, wanted, seed)
+    total = F.lit(target) if target is not None else F.col("__every")
+    wanted = F.floor(total * F.when(F.col(language) == "ko", float(korean)).otherwise(float(english)))
+    return shuffled_rank(df, [language], key, seed, overall="__every").where(F.col("rank") <= wanted).drop("rank", "total", "__every")
 
 
 def mix_prefix(df: DataFrame, position: str, korean: float = 0.7, english: float = 0.3, language: str = "language") -> DataFrame:
@@ -78,8 +88,10 @@ def mix_prefix(df: DataFrame, position: str, korean: float = 0.7, english: float
 
 
 def head_per_source(df: DataFrame, source: str, position: str, limit: int) -> DataFrame:
-    """The first rows of each source, counted before any filter."""
-    return ranked(df, [source], [F.col(position)], position_bucket(df, position)).where(F.col("rank") <= limit).drop("rank", "total")
+    """The first rows of each source, counted before any filter.  Each task keeps only its
+    first `limit` rows of a source before anything is shuffled."""
+    rank = F.row_number().over(Window.partitionBy(source).orderBy(position))
+    return df.withColumn("__rank", rank).where(F.col("__rank") <= limit).drop("__rank")
 
 
 def train_val_split(df: DataFrame, key: str, train: float = 0.9, seed: int = 42) -> DataFrame:

@@ -10,11 +10,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import HANGUL, strip, words
+from ..shared import Table
 
 #: Fixed values.
 GPT_SPLIT = r"'(?:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"
@@ -258,7 +259,7 @@ class _OnDriver:
 
 
 class _OnExecutors:
-    """The words as a checkpointed table of blocks, made anew by each call of merge()."""
+    """The words as a written table of blocks, made anew by each call of merge()."""
 
     _SCHEMA = "symbols binary, start binary, freq binary, pair array<bigint>, n array<bigint>"
 
@@ -269,7 +270,7 @@ class _OnExecutors:
                     block = Spelled.of(batch.slice(k, _BLOCK_WORDS), codes)
                     yield self._row(block, block.pairs())
 
-        self.table = _cut(counts.mapInArrow(spell, self._SCHEMA))
+        self.table = Table(counts.mapInArrow(spell, self._SCHEMA))
 
     @staticmethod
     def _row(block: Spelled, change: dict[int, int]) -> pa.RecordBatch:
@@ -278,7 +279,7 @@ class _OnExecutors:
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds)], names=list(row))
 
     def pairs(self) -> dict[int, int]:
-        each = self.table.select(F.explode(F.arrays_zip("pair", "n")).alias("x")).groupBy("x.pair").agg(F.sum("x.n").alias("n"))
+        each = self.table.read().select(F.explode(F.arrays_zip("pair", "n")).alias("x")).groupBy("x.pair").agg(F.sum("x.n").alias("n"))
         return {r["pair"]: r["n"] for r in each.collect()}
 
     def merge(self, merges: list[tuple[int, int, int]]) -> dict[int, int]:
@@ -290,16 +291,11 @@ class _OnExecutors:
                     block = Spelled(np.frombuffer(x["symbols"], np.int32).copy(), np.frombuffer(x["start"], np.int64), np.frombuffer(x["freq"], np.int64))
                     yield row(block, reduce(_add, (block.merge(*m) for m in merges), {}))
 
-        self.table = _cut(self.table.mapInArrow(step, self._SCHEMA))
+        before, self.table = self.table, Table(self.table.read().mapInArrow(step, self._SCHEMA))
+        before.drop()
         return self.pairs()
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Without lineage; in the checkpoint folder if there is one."""
-    spark = df.sparkSession
-    return df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def _next_merges(freq: dict[int, int], names: list[str], known: dict[str, int], most: int) -> list[int]:
     """The pairs that are merged next, one after the other, whatever the first of them
     change: no two share a symbol, so a pair that a merge makes is no more frequent than
@@ -396,28 +392,15 @@ def bpe_decode(ids: Column, vocab: dict[str, int]) -> Column:
 
 
 def morpheme_join(tokens: Column) -> Column:
-    """Particles and endings glued to the word before, punctuation to what precedes."""
-    tails, mark = {*PARTICLES, *ENDINGS}, re.compile(PUNCTUATION)
-
-    @F.pandas_udf("string")
-    def join(rows):
-        def one(row):
-            out, i = [], 0
-            while i < len(row):
-                if i + 1 < len(row) and row[i + 1] in tails:
-                    out.append(row[i] + row[i + 1])
-                    i += 2
-                    continue
-                if mark.match(row[i]) and out:
-                    out[-1] += row[i]
-                else:
-                    out.append(row[i])
-                i += 1
-            return " ".join(out)
-
-        return rows.map(lambda row: None if row is None else one(list(row)))
+    """Particles and endings glued to the word before, punctuation to what precedes.
 
-    return join(tokens)
+    Tokens hold no white space, so all of them are one string with line breaks between;
+    a tab then opens a word that has taken its tail, and such a word starts anew even if
+    it is a mark."""
+    joined = F.array_join(tokens, "\n")
+    tailed = F.regexp_replace(joined, rf"(?<![^\n])([^\n]+)\n({_suffix((*PARTICLES, *ENDINGS))})(?![^\n])", "\t$1$2")
+    marked = F.regexp_replace(tailed, rf"\n(?={PUNCTUATION})", "")
+    return F.translate(F.regexp_replace(marked, r"\t", ""), "\n", " ")
 
 
 def subwords(tokens: Column, vocab: set[str]) -> Column:
@@ -425,8 +408,9 @@ def subwords(tokens: Column, vocab: set[str]) -> Column:
     that begin in Hangul by known runs of 3 or 2 syllables, else single ones; other
     words by their longest known prefixes of up to 6 characters."""
     starts = re.compile(HANGUL)
+    shared = SparkSession.active().sparkContext.broadcast(frozenset(vocab))  # a vocabulary has a size set by its maker
 
-    def parts(word: str) -> list[str]:
+    def parts(word: str, vocab: frozenset[str]) -> list[str]:
         if word in vocab or len(word) <= 2:
             return [word]
         sizes = (3, 2) if starts.match(word) else range(6, 0, -1)
@@ -439,7 +423,7 @@ def subwords(tokens: Column, vocab: set[str]) -> Column:
 
     @F.pandas_udf("array<string>")
     def split(rows):
-        return rows.map(lambda row: None if row is None else [p for w in row for p in parts(w)])
+        return rows.map(lambda row: None if row is None else [p for w in row for p in parts(w, shared.value)])
 
     return split(tokens)
 

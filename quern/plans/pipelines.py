@@ -14,6 +14,7 @@ from ..operators.dedup import keep_first
 from ..operators.instructions import augment
 from ..operators.metrics import pipeline_counters
 from ..operators.order import mix_by_ratio, mix_prefix
+from ..shared import written
 from ..sources.readers import read_sources
 from ..sources.specs import SourceSpec
 
@@ -93,8 +94,8 @@ def clean_statistics(records: DataFrame, order: list[str], rules: T.DocumentRule
 
 
 def pretrain(records: DataFrame, key: str, order: list[str], config: PretrainConfig = PretrainConfig()) -> DataFrame:
-    """Clean, then mix by ratio."""
-    kept = clean(records, order, config.rules)
+    """Clean, then mix by ratio; what is kept is written once, since ranks read it twice."""
+    kept = written(clean(records, order, config.rules))
     return mix_by_ratio(kept, key, config.korean_ratio, config.english_ratio, config.target, config.seed)
 
 
@@ -117,24 +118,27 @@ def instruction_rows(raw: DataFrame, key: str) -> DataFrame:
 
 
 def instructions(raw: DataFrame, key: str, config: InstructionConfig = InstructionConfig()) -> DataFrame:
-    """Extracted, filtered, without copies, augmented up to the target, mixed."""
+    """Extracted, filtered, without copies, augmented up to the target, mixed.  Of one key
+    there may be a row and its variants, told apart by their source."""
     good = instruction_rows(raw, key).where("failure IS NULL").drop("failure")
     h = T.instruction_hash(F.col("instruction"), F.col("input"), F.col("output"))
-    rows = keep_first(good, [h], ["source", key])
+    rows = written(keep_first(good, [h], ["source", key]))
     if config.augment:
         have = {r["language"]: r["n"] for r in rows.groupBy("language").agg(F.count("*").alias("n")).where(F.col("language").isin(*SUPPORTED)).collect()}
         need = {k: max(0, int(config.target * r) - have.get(k, 0)) for k, r in (("ko", config.korean_ratio), ("en", config.english_ratio))}
         more = augment(rows, F.when(F.col("language") == "ko", need["ko"]).otherwise(need["en"]), key, config.seed)
         rows = rows.unionByName(more.withColumn("task_category", classify_task(F.col("instruction"))).select(*rows.columns))
-    return mix_by_ratio(rows, key, config.korean_ratio, config.english_ratio, config.target, config.seed)
+    named = written(rows.withColumn("__id", F.concat_ws("/", F.col(key).cast("string"), "source")))
+    return mix_by_ratio(named, "__id", config.korean_ratio, config.english_ratio, config.target, config.seed).drop("__id")
 
 
-def corpus(spark: SparkSession, specs: list[SourceSpec], mode: str = "full", korean: float = 0.7, english: float = 0.3, position: str = "pos") -> DataFrame:
+def corpus(spark: SparkSession, specs: list[SourceSpec], mode: str = "full", korean: float = 0.7, english: float = 0.3, failed: dict[str, str] | None = None, strict: bool = False) -> DataFrame:
     """Configured sources, first copy by priority within a language, then the first
-    share of each language."""
-    rows = read_sources(spark, specs, mode).withColumn("hash", T.raw_hash(F.col("text")))
+    share of each language, in order of the texts' hashes; `failed` and `strict` as in read_sources."""
+    rows = read_sources(spark, specs, mode, failed=failed, strict=strict).withColumn("hash", T.raw_hash(F.col("text")))
     kept = keep_first(rows, [F.col("language"), F.col("hash")], ["priority", "source", "text"])
-    return mix_prefix(kept.withColumn(position, F.crc32(F.col("hash").cast("binary"))), position, korean, english)
+    placed = written(kept.withColumn("pos", F.conv(F.substring("hash", 1, 15), 16, 10).cast("long")))
+    return mix_prefix(placed, "pos", korean, english)
 
 
 __all__ = ["RECIPES", "InstructionConfig", "PretrainConfig", "clean", "clean_statistics", "corpus", "counters", "instruction_rows", "instructions", "mark", "pipeline_counters", "pretrain", "recipe"]

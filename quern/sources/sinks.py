@@ -59,6 +59,14 @@ def read_vocabulary(spark: SparkSession, path: str) -> tuple[dict[str, int], lis
     return vocab, [(r["a"], r["b"]) for r in spark.read.parquet(f"{path}/merges").orderBy("rank").collect()]
 
 
+def write_chats(turns: DataFrame, path: str, force: bool = False) -> bool:
+    """conv_id, turn, role, text as one JSON object a conversation, as chat_history reads
+    them: its entries in order of turn.  A conversation is held as one row."""
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    chats = turns.groupBy("conv_id").agg(entries.alias("chat_history")).select(F.current_timestamp().cast("string").alias("session_start"), "chat_history")
+    return write(chats, path, format="json", force=force)
+
+
 def manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """file, bytes and modified of all files below a folder; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
@@ -69,8 +77,10 @@ def disk_usage(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.round(F.coalesce(F.sum("bytes"), F.lit(0)) / 1048576, 1).alias("megabytes"))
 
 
-def latest_checkpoint(files: DataFrame, needed: tuple[str, ...] = ("config.json", "model.bin")) -> DataFrame:
-    """The checkpoint-* folder last in string order that holds all the files needed."""
+def latest_checkpoint(files: DataFrame, needed: tuple[str, ...] = ("config.json",), weights: tuple[str, ...] = ("pytorch_model.bin", "model.bin")) -> DataFrame:
+    """The checkpoint-* folder last in string order that holds all the files needed and
+    weights under one of their usual names."""
     parts = files.select(F.regexp_extract("file", r"(checkpoint-[^/]+)/[^/]+$", 1).alias("checkpoint"), F.regexp_extract("file", r"([^/]+)$", 1).alias("name"))
-    whole = parts.where((F.col("checkpoint") != "") & F.col("name").isin(*needed)).groupBy("checkpoint").agg(F.count_distinct("name").alias("n"))
-    return whole.where(F.col("n") == len(needed)).agg(F.max("checkpoint").alias("checkpoint"))
+    kind = F.when(F.col("name").isin(*weights), "weights").when(F.col("name").isin(*needed), F.col("name"))
+    whole = parts.where(F.col("checkpoint") != "").groupBy("checkpoint").agg(F.count_distinct(kind).alias("n"))
+    return whole.where(F.col("n") == len(needed) + 1).agg(F.max("checkpoint").alias("checkpoint"))

@@ -29,6 +29,11 @@ def clean_stream(records: DataFrame, rules: T.DocumentRules = T.DocumentRules(),
     return passed.dropDuplicates(["hash"])
 
 
+def take(stream: DataFrame, n: int) -> DataFrame:
+    """The first n rows that come (append mode)."""
+    return stream.limit(n)
+
+
 def windowed_counts(events: DataFrame, ts: str, size: str, delay: str, *keys: str, slide: str | None = None) -> DataFrame:
     """Rows and value sums by tumbling or sliding window."""
     window = F.window(ts, size, slide) if slide else F.window(ts, size)
@@ -39,6 +44,22 @@ def session_counts(events: DataFrame, ts: str, gap: str, delay: str, *keys: str)
     return events.withWatermark(ts, delay).groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count("*").alias("n"))
 
 
+def run_updates(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Runs over what there is now in update mode; the last state of each key, from the
+    updates written as Parquet with the number of their batch."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
+    query.awaitTermination()
+    schema = stream.schema.add("__batch", "long").add("batch", "int")
+    updates = stream.sparkSession.read.schema(schema).parquet(path)
+    values = [c for c in stream.columns if c not in keys]
+    last = updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "__batch").alias("__last"))
+    return last.select(*keys, *[F.col("__last")[c].alias(c) for c in values])
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs over what there is now, into Parquet; returns that."""
     query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()

@@ -197,6 +197,29 @@ def test_morphemes(spark):
     assert column(spark, ["나는 집에서 살아요."], lambda t: tokens.morpheme_join(tokens.morphemes(t))) == ["나는 집에서 살아요."]
 
 
+def test_morphemes_joined_at_random(spark):
+    """A tail is taken by the token before it unless that one is a taken tail itself."""
+    rng = random.Random(7)
+    pool = ["이", "에서", "습니다", "집", "hello", ".", ",", "(", "12", "가나"]
+    rows = [[rng.choice(pool) for _ in range(rng.randrange(14))] for _ in range(400)] + [["word"] * 50_000 + ["이"]]
+    tails = {*tokens.PARTICLES, *tokens.ENDINGS}
+
+    def plain(row):
+        taken = [False] * len(row)
+        for i in range(1, len(row)):
+            taken[i] = row[i] in tails and not taken[i - 1]
+        out = ""
+        for i, t in enumerate(row):
+            heads = i + 1 < len(row) and taken[i + 1]
+            glued = taken[i] or (not heads and re.match(tokens.PUNCTUATION, t))
+            out += t if glued or not i else " " + t
+        return out
+
+    frame = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, r array<string>")
+    got = {r.k: r.x for r in frame.select("k", tokens.morpheme_join(F.col("r")).alias("x")).collect()}
+    assert got == {k: plain(r) for k, r in enumerate(rows)}
+
+
 def test_bpe(spark):
     frame = spark.createDataFrame([("low low low low low",), ("lower lower newest newest newest",), ("widest 한국어 abc",)], "text string")
     counts = tokens.word_counts(frame, tokens.pre_tokens(tokens.nfd(F.col("text"))))
@@ -312,6 +335,63 @@ def test_stream_equals_batch(spark, tmp_path):
     assert out.count() == 7
 
 
+def test_rows_in_order_however_positions_lie(spark):
+    """Quantile buckets: one far-off position doesn't put all others into one bucket."""
+    rng = random.Random(8)
+    positions = rng.sample(range(5000), 900) + [10**15, -(10**12)]
+    rows = [(p, "ab"[p % 2], f"v{p}") for p in positions]
+    frame = spark.createDataFrame(rows, "p long, g string, v string").repartition(5)
+    bucket = order.position_bucket(frame, "p", 64)
+    sizes = [r["count"] for r in frame.groupBy(bucket.alias("b")).count().collect()]
+    assert max(sizes) < 60
+    want = {(p, g): k for g in "ab" for k, p in enumerate(sorted(x for x, y, _ in rows if y == g), 1)}
+    got = order.ranked(frame, ["g"], [F.col("p")], order.position_bucket(frame, "p"), overall="all").collect()
+    assert {(r.p, r.g): r["rank"] for r in got} == want and {r["all"] for r in got} == {902}
+    after = dict(zip(sorted(positions), [*(f"v{p}" for p in sorted(positions)[1:]), None]))
+    assert {r.p: r.next for r in order.following(frame, "p", "v").collect()} == after
+    assert {(r.p, r.g) for r in order.head_per_source(frame, "g", "p", 9).collect()} == {k for k, n in want.items() if n <= 9}
+
+
+def test_limits_take_rows_as_they_stand_in_the_files(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    for part in range(3):
+        (tmp_path / "src" / f"part-{part}.json").write_text("".join(f'{{"text": "row {part} {k:04}"}}\n' for k in range(500)))
+    one = specs.SourceSpec("one", path=f"{tmp_path}/src", limits={"small": 600})
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("2k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {r.text for r in readers.read_source(spark, one, "small").collect()}
+            assert got == {f"row 0 {k:04}" for k in range(500)} | {f"row 1 {k:04}" for k in range(100)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_failed_sources_are_named(spark, tmp_path):
+    gone = specs.SourceSpec("gone", path=f"{tmp_path}/missing")
+    failed = {}
+    assert readers.read_sources(spark, [gone], failed=failed).count() == 0 and list(failed) == ["gone"]
+    with pytest.raises(Exception, match="missing"):
+        readers.read_sources(spark, [gone], strict=True)
+
+
+def test_chats_saved_and_loaded(spark, tmp_path):
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "bot", "yo"), (2, 0, "user", "a\nb")], "conv_id long, turn long, role string, text string")
+    assert sinks.write_chats(turns, f"{tmp_path}/chats")
+    back = spark.read.schema("chat_history array<struct<role:string,content:string>>").json(f"{tmp_path}/chats").select(F.posexplode("chat_history").alias("turn", "m")).select("turn", "m.role", "m.content")
+    assert sorted(map(tuple, back.collect())) == [(0, "user", "a\nb"), (0, "user", "hi"), (1, "bot", "yo")]
+
+
+def test_stream_takes_some_rows(spark, tmp_path):
+    rows = [(k, f"text {k}") for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/in")
+    stream = streaming.take(streaming.read_stream(spark, f"{tmp_path}/in", "doc_id long, text string", files_per_trigger=1), 13)
+    assert streaming.run_available(stream, f"{tmp_path}/out", f"{tmp_path}/cp").count() == 13
+    source = specs.SourceSpec("s", path=f"{tmp_path}/in", format="parquet", min_text_length=7, streaming=True)
+    made = readers.stream_source(spark, source, "doc_id long, text string")
+    assert streaming.run_available(made, f"{tmp_path}/out2", f"{tmp_path}/cp2").count() == 30
+
+
 def test_keep_first(spark):
     frame = spark.createDataFrame([(2, "a", None), (1, "a", "x"), (3, "b", "y")], "k int, h string, v string")
     got = {(r.k, r.copies) for r in dedup.keep_first(frame, [F.col("h")], ["k"], "copies").collect()}
