@@ -5,19 +5,21 @@ is asked for, en is en and all others are ko (a stand-in, not a detection)."""
 
 from __future__ import annotations
 
-import tempfile
+import unicodedata
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import instruct as I
 from ..functions import numbers as N
 from ..functions import text as T
 from ..functions.extract import configured_text, generic_text, instruction_fields, language_matches, text_by_source
 from ..operators import dedup, instructions, metrics, order, tokens
-from ..sources import readers, recipes, specs
+from ..shared import shared_dir
+from ..sources import readers, recipes, sinks, specs
 from ..streaming import clean as streaming
 from . import pipelines
 
@@ -198,11 +200,16 @@ def html_strip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(x).alias("h"), F.length(x).alias("n"))
 
 
-@query("SELECT doc_id, 'strict' AS level FROM documents WHERE length(text) BETWEEN 100 AND 5000 UNION ALL SELECT doc_id, 'permissive' FROM documents WHERE length(text) BETWEEN 20 AND 20000")
+def _level_sql(name: str, r: T.DocumentRules) -> str:
+    return rf"""SELECT doc_id, '{name}' AS level FROM documents LEFT JOIN runs USING (doc_id) WHERE length(text) BETWEEN {r.min_length} AND {r.max_length}
+  AND CASE WHEN lang = 'ko' THEN len(regexp_extract_all(text, '[가-힣]+')) >= {r.min_words_korean} ELSE len({W}) >= {r.min_words_other} END
+  AND NOT {R1.format('text')} AND NOT coalesce(run, false) AND {URLS.format('text')} <= {r.max_urls} AND {DIGITS.format('text')} <= {r.max_digit_ratio}"""
+
+
+@query(f"WITH {RUNS} " + " UNION ALL ".join(_level_sql(k, r) for k, r in T.LEVELS.items()))
 def quality_levels(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    parts = [docs.where(F.length(_text()).between(T.LEVELS[k].min_length, T.LEVELS[k].max_length)).select("doc_id", F.lit(k).alias("level")) for k in ("strict", "permissive")]
-    return parts[0].unionByName(parts[1])
+    fits = [F.when(T.document_failure(_text(), F.col("lang"), rules).isNull(), name) for name, rules in T.LEVELS.items()]
+    return readers.spread(_docs(spark, sf_dir).select("doc_id", "text", "lang")).select("doc_id", F.explode(F.array_compact(F.array(*fits))).alias("level"))
 
 
 # -------------------------------------------------------------------- extraction
@@ -249,11 +256,10 @@ def fixed_sources(spark, sf_dir):
     return readers.fixed_sources(frames, {"english": 25}, "doc_id").where(F.length("text") > 50).select("source", "doc_id")
 
 
-@query("SELECT doc_id FROM (SELECT * FROM (SELECT doc_id, text FROM documents WHERE lang <> 'en' ORDER BY doc_id LIMIT 50) UNION ALL SELECT * FROM (SELECT doc_id, text FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 50)) WHERE length(text) > 100")
+@query("SELECT md5(text) AS h FROM (SELECT * FROM (SELECT doc_id, text FROM documents WHERE lang <> 'en' ORDER BY doc_id LIMIT 5000) UNION ALL SELECT * FROM (SELECT doc_id, text FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 5000)) WHERE length(text) > 100")
 def tokenizer_sample(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    heads = [docs.where(test).orderBy("doc_id").limit(50) for test in ("lang <> 'en'", "lang = 'en'")]
-    return heads[0].unionByName(heads[1]).where(F.length(_text()) > 100).select("doc_id")
+    docs = _docs(spark, sf_dir).select("doc_id", "text", "lang")
+    return readers.tokenizer_sample(docs.where("lang <> 'en'"), docs.where("lang = 'en'"), "doc_id", spark).select(F.md5(_text()).alias("h"))
 
 
 _SPECS = [specs.SourceSpec(f"src{k}", priority=(k * 7) % 5, enabled=k % 4 != 3, license_type="cc" if k % 2 else "mit", commercial_use=k % 3 != 0, description=f"source {k}") for k in range(20)]
@@ -263,8 +269,10 @@ _REGISTRY = f"(VALUES {_SPEC_VALUES}) AS r(pos, name, enabled, priority, license
 
 @query(f"SELECT name, priority, license, row_number() OVER (ORDER BY coalesce(priority, 999), pos)::INT AS place FROM {_REGISTRY} WHERE coalesce(enabled, true)")
 def source_registry(spark, sf_dir):
-    rows = [(s.name, s.priority, s.license_type, k + 1) for k, s in enumerate(specs.active(_SPECS))]
-    return spark.createDataFrame(rows, "name string, priority int, license string, place int")
+    active = specs.active_frame(specs.registry_frame(spark, _SPECS))
+    # the registry is a table of settings, some dozens of rows
+    place = F.row_number().over(Window.orderBy(F.coalesce("priority", F.lit(999)), "position"))
+    return active.select("name", "priority", "license", place.alias("place"))
 
 
 @query(f"SELECT source, count(*) AS n FROM documents WHERE source IN (SELECT name FROM {_REGISTRY} WHERE commercial_use AND name NOT IN ('src2')) GROUP BY source")
@@ -388,12 +396,15 @@ def _meaningless(x: str) -> str:
     return f"({SPECIAL.format(x)} > 0.3 OR {DIGITS.format(x)} > 0.5 OR (len({WORDS.format(x)}) > 3 AND {DIVERSE.format(x)} < 0.3))"
 
 
-@query(
-    f"""WITH {_PAIRS} SELECT conv_id, CASE WHEN NOT length(instruction) BETWEEN 10 AND 500 THEN 'instruction_length' WHEN NOT length(output) BETWEEN 10 AND 2000 THEN 'output_length'
+_STATUS = (
+    f"""CASE WHEN NOT length(instruction) BETWEEN 10 AND 500 THEN 'instruction_length' WHEN NOT length(output) BETWEEN 10 AND 2000 THEN 'output_length'
   WHEN {_meaningless('instruction')} THEN 'instruction_pattern' WHEN {_meaningless('output')} THEN 'output_pattern' WHEN {R1.format('output')} THEN 'output_repetition'
   WHEN len({WORDS.format('output')}) < 3 THEN 'output_short' WHEN {" OR ".join(f"ends_with(output, '{e}')" for e in T.TRUNCATED)} THEN 'output_truncated'
-  WHEN ({" OR ".join("contains(lower(output), '" + p.replace("'", "''") + "')" for p in T.REFUSALS)}) AND len({WORDS.format('output')}) < 10 THEN 'output_refusal' ELSE 'passed' END AS status FROM pairs"""
+  WHEN ({" OR ".join("contains(lower(output), '" + p.replace("'", "''") + "')" for p in T.REFUSALS)}) AND len({WORDS.format('output')}) < 10 THEN 'output_refusal' ELSE 'passed' END"""
 )
+
+
+@query(f"WITH {_PAIRS} SELECT conv_id, {_STATUS} AS status FROM pairs")
 def instruction_quality(spark, sf_dir):
     return _pairs(spark, sf_dir).select("conv_id", F.coalesce(T.instruction_failure(F.col("instruction"), F.col("output")), F.lit("passed")).alias("status"))
 
@@ -420,20 +431,25 @@ def task_distribution(spark, sf_dir):
 @query(
     """WITH a AS (SELECT conv_id, list(text ORDER BY turn) AS x, list(role ORDER BY turn) AS r FROM conversations GROUP BY conv_id)
 SELECT conv_id, source, md5(i) AS i, md5(g) AS g, md5(o) AS o FROM (
-  SELECT conv_id, 'ultrachat' AS source, x[1] AS i, '' AS g, x[2] AS o FROM a WHERE conv_id % 4 = 0 AND len(x) >= 2
-  UNION ALL SELECT conv_id, 'evol', x[1], '', x[2] FROM a WHERE conv_id % 4 = 1 AND len(x) >= 2
-  UNION ALL SELECT conv_id, 'dolly', x[1], x[2], x[2] FROM a WHERE conv_id % 4 = 2
-  UNION ALL SELECT conv_id, 'oasst', x[1], '', x[2] FROM a WHERE conv_id % 4 = 3) WHERE i <> '' AND o <> ''""".replace("md5(i)", "md5(" + _STRIP.format("i") + ")").replace("md5(o)", "md5(" + _STRIP.format("o") + ")").replace("md5(g)", "md5(" + _STRIP.format("g") + ")")
+  SELECT conv_id, 'ultrachat' AS source, x[1] AS i, '' AS g, x[2] AS o FROM a WHERE conv_id % 8 = 0 AND len(x) >= 2
+  UNION ALL SELECT conv_id, 'evol', x[1], '', x[2] FROM a WHERE conv_id % 8 = 1 AND len(x) >= 2
+  UNION ALL SELECT conv_id, 'dolly', x[1], x[2], x[2] FROM a WHERE conv_id % 8 = 2
+  UNION ALL SELECT conv_id, 'oasst', x[1], '', x[2] FROM a WHERE conv_id % 8 = 3
+  UNION ALL SELECT conv_id, 'alpaca', x[1], x[3], x[2] FROM a WHERE conv_id % 8 = 4
+  UNION ALL SELECT conv_id, 'chatgpt', x[1], '', x[2] FROM a WHERE conv_id % 8 = 5
+  UNION ALL SELECT conv_id, 'sharegpt', x[1], '', x[2] FROM a WHERE conv_id % 8 = 6 AND len(x) >= 2
+  UNION ALL SELECT conv_id, 'other', x[1], coalesce(x[3], ''), x[2] FROM a WHERE conv_id % 8 = 7) WHERE i <> '' AND o <> ''""".replace("md5(i)", "md5(" + _STRIP.format("i") + ")").replace("md5(o)", "md5(" + _STRIP.format("o") + ")").replace("md5(g)", "md5(" + _STRIP.format("coalesce(g, '')") + ")")
 )
 def instruction_extract(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
-    x, k = F.col("x"), F.col("conv_id") % 4
+    x, k = F.col("x"), F.col("conv_id") % 8
     at = lambda i: F.get(x, F.lit(i))["text"]
     none = F.lit(None).cast("string")
     raw = turns.select(
-        "conv_id", F.element_at(F.array(*[F.lit(s) for s in ("ultrachat", "evol", "dolly", "oasst")]), k.cast("int") + 1).alias("source"),
-        F.when(k == 0, F.transform(x, lambda m: F.struct(m["text"].alias("content")))).alias("messages"), F.when(k == 1, F.transform(x, lambda m: F.struct(m["text"].alias("value")))).alias("conversations"),
-        F.when(k == 2, at(0)).alias("instruction"), F.when(k == 2, at(1)).alias("context"), F.when(k == 2, at(1)).alias("response"),
+        "conv_id", F.element_at(F.array(*[F.lit(s) for s in ("ultrachat", "evol", "dolly", "oasst", "alpaca", "chatgpt", "sharegpt", "other")]), k.cast("int") + 1).alias("source"),
+        F.when(k == 0, F.transform(x, lambda m: F.struct(m["text"].alias("content")))).alias("messages"), F.when(k.isin(1, 6), F.transform(x, lambda m: F.struct(m["text"].alias("value")))).alias("conversations"),
+        F.when(k.isin(2, 4, 5), at(0)).alias("instruction"), F.when(k == 4, at(2)).alias("input"), F.when(k.isin(4, 5), at(1)).alias("output"),
+        F.when(k == 7, at(0)).alias("question"), F.when(k == 7, at(1)).alias("answer"), F.when(k == 2, at(1)).when(k == 7, at(2)).alias("context"), F.when(k == 2, at(1)).alias("response"),
         F.when(k == 3, at(1)).alias("text"), F.when(k == 3, at(0)).alias("parent_text"), F.when(k == 3, "assistant").otherwise(none).alias("role"),
     )
     f = raw.select("conv_id", "source", instruction_fields(raw).alias("f")).where("f IS NOT NULL")
@@ -604,10 +620,19 @@ def punctuation_tokens(spark, sf_dir):
     return x.select("doc_id", F.size("x").alias("n"), F.size(F.filter("x", lambda y: y.rlike(f"^{tokens.SPLIT_PUNCTUATION}$"))).alias("marks"))
 
 
-@query(r"""SELECT doc_id, length(text)::INT AS n, length(regexp_replace(text, '[a-zA-Z0-9가-힣 .,!?:;_()\[\]{}"''-]', '', 'g'))::INT AS unknown FROM documents""")
+_CHAR = f"""CASE WHEN unicode(c) BETWEEN 44032 AND 55203 THEN unicode(c) - 44032 + 4 WHEN unicode(c) BETWEEN 97 AND 122 THEN unicode(c) - 97 + 11176
+  WHEN unicode(c) BETWEEN 65 AND 90 THEN unicode(c) - 65 + 11202 WHEN unicode(c) BETWEEN 48 AND 57 THEN unicode(c) - 48 + 11228
+  WHEN contains('{tokens.CHAR_PUNCTUATION.replace("'", "''")}', c) THEN instr('{tokens.CHAR_PUNCTUATION.replace("'", "''")}', c) - 1 + 11238 ELSE 1 END"""
+
+
+@query(
+    f"""WITH x AS (SELECT doc_id, list_transform(string_split(text, ''), lambda c: {_CHAR}) AS ids FROM documents)
+SELECT doc_id, len(ids)::INT AS n, len(list_filter(ids, lambda i: i = 1))::INT AS unknown, list_sum(ids)::BIGINT AS total, ids[1]::INT AS first FROM x"""
+)
 def char_token_ids(spark, sf_dir):
     ids = _docs(spark, sf_dir).select("doc_id", tokens.char_ids(_text()).alias("ids"))
-    return ids.select("doc_id", F.size("ids").alias("n"), F.size(F.filter("ids", lambda x: x == 1)).alias("unknown"))
+    total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, b: a + b)
+    return ids.select("doc_id", F.size("ids").alias("n"), F.size(F.filter("ids", lambda x: x == 1)).alias("unknown"), total.alias("total"), F.try_element_at("ids", F.lit(1)).cast("int").alias("first"))
 
 
 @query(f"WITH {_IDS} SELECT doc_id, len(x)::INT AS n, list_sum(x)::BIGINT AS total, md5(list_aggregate(list_transform(list_filter(x, lambda y: y > 2), lambda y: CASE WHEN y = 3 THEN '[UNK]' ELSE '[' || y || ']' END), 'string_agg', ' ')) AS h FROM (SELECT doc_id, list_concat([1::BIGINT], ids, [2::BIGINT]) AS x FROM ids) WHERE len(x) > 2")
@@ -617,10 +642,16 @@ def hash_round_trip(spark, sf_dir):
     return x.select("doc_id", F.size("x").alias("n"), total.alias("total"), F.md5(tokens.hash_decode(F.col("x"))).alias("h"))
 
 
-@query()
+# no Hangul stands in the documents: no word ends in a particle or an ending
+_MARKS = tokens.PUNCTUATION.replace("'", "''")
+_MORPHEMES = rf"""x AS (SELECT doc_id, list_transform(regexp_extract_all(text, '{_MARKS}|[0-9]+|[a-zA-Z]+|[^\s{_MARKS[1:-1]}]+'), lambda w: CASE WHEN regexp_matches(w, '^[a-zA-Z]+$') THEN lower(w) ELSE w END) AS m FROM documents)"""
+
+
+@query(f"WITH {_MORPHEMES} SELECT doc_id, (len(m) + 2)::INT AS n, len(m)::INT AS unknown, (3 + coalesce(list_sum(list_transform(m, lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 64536 + 1000)), 0))::BIGINT AS total FROM x")
 def morpheme_encode(spark, sf_dir):
-    x = _docs(spark, sf_dir).select("doc_id", tokens.morpheme_encode(_text()).alias("x"))
-    return x.select("doc_id", F.size("x").alias("n"), F.size(F.filter("x", lambda y: y >= 1000)).alias("unknown"))
+    x = readers.spread(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", tokens.morpheme_encode(_text()).alias("x"))
+    total = F.aggregate("x", F.lit(0).cast("long"), lambda a, b: a + b)
+    return x.select("doc_id", F.size("x").alias("n"), F.size(F.filter("x", lambda y: y >= 1000)).alias("unknown"), total.alias("total"))
 
 
 @query()
@@ -632,23 +663,44 @@ def bpe_encode(spark, sf_dir):
     return made.select("doc_id", F.size("ids").alias("n"), F.size(F.filter("ids", lambda x: x == 1)).alias("unknown"), F.md5(tokens.bpe_decode(F.col("ids"), vocab)).alias("h"))
 
 
-@query()
+@query(rf"WITH {_MORPHEMES} SELECT doc_id, len(m)::INT AS n, md5(regexp_replace(array_to_string(m, ' '), ' ({_MARKS})', '\1', 'g')) AS h FROM x")
 def morpheme_tokenize(spark, sf_dir):
     m = readers.spread(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", tokens.morphemes(_text()).alias("m"))
     return m.select("doc_id", F.size("m").alias("n"), F.md5(tokens.morpheme_join(F.col("m"))).alias("h"))
 
 
-@query()
+_COMPOSED = [c for c in map(chr, range(0xC0, 0x180)) if unicodedata.normalize("NFD", c) != c]
+
+
+def _decomposed(x: str) -> str:
+    """Nested replacements of the composed Latin letters; the documents have no others."""
+    for c in _COMPOSED:
+        x = f"replace({x}, '{c}', '{unicodedata.normalize('NFD', c)}')"
+    return x
+
+
+@query(rf"SELECT doc_id, md5(trim(regexp_replace({_decomposed('text')}, '\s+', ' ', 'g'))) AS h FROM documents")
 def nfd_normalize(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(tokens.nfd(_text())).alias("h"))
 
 
-@query()
+_PREFIX = " ".join(f"WHEN i + {n - 1} <= length(word) AND substr(word, i, {n}) IN (SELECT token FROM v) THEN {n}" for n in range(6, 0, -1))
+
+
+@query(
+    rf"""WITH RECURSIVE {_COUNTS}, v AS MATERIALIZED (SELECT token FROM counts ORDER BY freq DESC, token LIMIT 896),
+t AS MATERIALIZED (SELECT doc_id, unnest(x) AS word, unnest(range(len(x))) AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '([.!?,:;"''()\[\]{{}}])', ' \1 ', 'g'), '\s+'), lambda w: length(w) > 0) AS x FROM documents)),
+w AS (SELECT DISTINCT word FROM t WHERE length(word) > 2 AND word NOT IN (SELECT token FROM v)),
+walk AS (SELECT word, 1 AS i, '' AS parts FROM w UNION ALL
+  SELECT word, i + size, parts || ' ' || substr(word, i, size) FROM (SELECT word, i, parts, CASE {_PREFIX} ELSE 1 END AS size FROM walk WHERE i <= length(word)))
+SELECT doc_id, sum(length(p) - length(replace(p, ' ', '')) + 1)::INT AS n, md5(string_agg(p, ' ' ORDER BY pos)) AS h
+FROM (SELECT doc_id, pos, coalesce(substr(k.parts, 2), t.word) AS p FROM t LEFT JOIN (SELECT word, parts FROM walk WHERE i > length(word)) k USING (word)) GROUP BY doc_id"""
+)
 def subword_fallback(spark, sf_dir):
     # a vocabulary of a fixed size
     vocab = {r["token"] for r in tokens.vocabulary(_counts(spark, sf_dir), 1000, 4).select("token").collect()}
-    parts = _docs(spark, sf_dir).select("doc_id", tokens.subwords(tokens.punctuation_tokens(_text()), vocab).alias("p"))
-    return parts.select("doc_id", F.size("p").alias("n"))
+    parts = readers.spread(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", tokens.subwords(tokens.punctuation_tokens(_text()), vocab).alias("p"))
+    return parts.where(F.size("p") > 0).select("doc_id", F.size("p").alias("n"), F.md5(F.array_join("p", " ")).alias("h"))
 
 
 # ----------------------------------------------------------------------- metrics
@@ -780,8 +832,7 @@ def cosine_rate(spark, sf_dir):
 
 
 def _stream_dirs(spark: SparkSession) -> tuple[str, str]:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     return f"{at}/out", f"{at}/checkpoint"
 
 
@@ -814,3 +865,101 @@ def event_sessions(spark, sf_dir):
     return counted.groupBy("user_id", F.col("n").alias("session_size")).agg(F.count("*").alias("sessions"))
 
 
+
+
+@query("SELECT least(25, count(*))::BIGINT AS n FROM documents")
+def stream_take(spark, sf_dir):
+    stream = streaming.read_stream(spark, f"{sf_dir}/documents.parquet", "doc_id long, text string, lang string, source string, n_chars long").select("doc_id")
+    return streaming.run_available(streaming.take(stream, 25), *_stream_dirs(spark)).agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH w AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events WHERE event_id % 3 = 0)
+SELECT date_trunc('hour', ts)::VARCHAR AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, w
+WHERE event_id % 3 < 2 OR date_trunc('hour', ts) + INTERVAL 1 HOUR > mark GROUP BY 1, 2"""
+)
+def stream_event_windows(spark, sf_dir):
+    """Events that come in three deliveries, each over the whole time: in the third all
+    windows behind the first one's watermark are closed, and their late rows are dropped."""
+    events, at = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value"), f"{shared_dir(spark)}/deliveries-{uuid.uuid4().hex}"
+    for delivery in range(3):
+        events.where(F.col("event_id") % 3 == delivery).coalesce(1).write.mode("append").parquet(at)
+    stream = streaming.read_stream(spark, at, "event_id long, ts timestamp, event_type string, value double", files_per_trigger=1)
+    counted = streaming.windowed_counts(stream, "ts", "1 hour", "1 hour", "event_type")
+    hours = counted.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n", "total")
+    return streaming.run_updates(hours, *_stream_dirs(spark), ["hour", "event_type"]).select("hour", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# ----------------------------------------------------------------- whole pipelines
+
+
+@query(
+    _marked_sql(DETECT)
+    + """,
+k AS (SELECT doc_id, language, text, row_number() OVER (PARTITION BY language ORDER BY md5('42:' || doc_id), doc_id) AS rank, count(*) OVER () AS every FROM f WHERE rn = 1)
+SELECT doc_id, language, md5(text) AS h FROM k WHERE rank <= floor(every * CASE WHEN language = 'ko' THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END)"""
+)
+def pretrain_corpus(spark, sf_dir):
+    docs = readers.spread(_docs(spark, sf_dir).select("doc_id", "text", "source"))
+    return pipelines.pretrain(docs, "doc_id", ["source", "doc_id"]).select("doc_id", "language", F.md5(_text()).alias("h"))
+
+
+@query(
+    f"""WITH {_PAIRS}, st AS (SELECT *, {_STATUS} AS status, row_number() OVER (PARTITION BY ({_STATUS}) = 'passed', {_IHASH} ORDER BY conv_id) AS copy FROM pairs),
+rows AS (SELECT conv_id, instruction, '' AS input, output, CASE WHEN conv_id % 3 = 0 THEN 'ko' ELSE 'en' END AS language, 'chat' AS source FROM st WHERE status = 'passed' AND copy = 1),
+{_CANDIDATES},
+n AS (SELECT *, {HASH.format("(x || '  ' || output)")} AS h, md5('42:' || conv_id || '/' || method) AS o FROM c),
+f AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY o) AS first FROM n WHERE h NOT IN (SELECT {_IHASH} FROM rows)),
+r AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY o, h) AS rank FROM f WHERE first = 1),
+u AS (SELECT conv_id, source, language, instruction, output FROM rows UNION ALL SELECT conv_id, source, language, x, output FROM r
+  WHERE rank <= greatest(0, CASE WHEN language = 'ko' THEN 90 ELSE 60 END - (SELECT count(*) FROM rows WHERE rows.language = r.language))),
+m AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY md5('42:' || conv_id || '/' || source), conv_id || '/' || source) AS place FROM u)
+SELECT conv_id, source, language, md5(instruction) AS i, md5(output) AS o, {_TASK} AS task_category FROM m WHERE place <= CASE WHEN language = 'ko' THEN 90 ELSE 60 END"""
+)
+def instruction_build(spark, sf_dir):
+    raw = _rows(spark, sf_dir)
+    made = pipelines.instructions(raw, "conv_id", pipelines.InstructionConfig(target=150))
+    return made.select("conv_id", "source", "language", F.md5("instruction").alias("i"), F.md5("output").alias("o"), "task_category")
+
+
+@query(
+    r"""WITH r AS (
+  SELECT 'long_en' AS source, 'en' AS language, 2 AS priority, substr(x, 1, 2000) AS text, 100 AS least FROM d WHERE contains(lower(lang), 'en')
+  UNION ALL SELECT 'fr', 'ko', 1, x, 1 FROM d WHERE contains(lower(lang), 'fr')
+  UNION ALL SELECT 'every', 'ko', 3, substr(x, 1, 400), 50 FROM d
+  UNION ALL SELECT 'every_en', 'en', 3, substr(x, 1, 2000), 1 FROM d),
+h AS (SELECT *, md5(text) AS h FROM r WHERE length(text) >= least),
+k AS (SELECT *, row_number() OVER (PARTITION BY language, h ORDER BY priority, source) AS copy FROM h),
+p AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY ('0x' || substr(h, 1, 15))::BIGINT) AS rank, count(*) OVER (PARTITION BY language) AS total FROM k WHERE copy = 1)
+SELECT source, language, h FROM p WHERE rank <= floor(total * CASE WHEN language = 'ko' THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END)""".replace("WITH r AS", r"WITH d AS (SELECT lang, regexp_replace(text, '^\s+|\s+$', '', 'g') AS x FROM documents), r AS", 1)
+)
+def configured_corpus(spark, sf_dir):
+    at = dict(path=f"{sf_dir}/documents.parquet", format="parquet")
+    sources = [
+        specs.SourceSpec("long_en", language="en", priority=2, min_text_length=100, max_text_length=2000, filter_field="lang", filter_value="EN", **at),
+        specs.SourceSpec("fr", language="ko", priority=1, filter_field="lang", filter_value="fr", **at),
+        specs.SourceSpec("off", language="ko", priority=0, enabled=False, **at),
+        specs.SourceSpec("every", language="ko", priority=3, min_text_length=50, max_text_length=400, **at),
+        specs.SourceSpec("every_en", language="en", priority=3, max_text_length=2000, **at),
+        specs.SourceSpec("gone", path=f"{sf_dir}/no-such-table", format="parquet"),
+    ]
+    return pipelines.corpus(spark, sources).select("source", "language", F.col("hash").alias("h"))
+
+
+@query("SELECT lang AS language, count(*) AS n, sum(length(text))::BIGINT AS chars, sum(length(text))::BIGINT AS lengths, count(DISTINCT md5(text)) AS texts FROM documents GROUP BY lang")
+def json_corpus(spark, sf_dir):
+    """Written as JSON lines in folders by language, and read again."""
+    at = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    sinks.write_corpus(_docs(spark, sf_dir).withColumnRenamed("lang", "language"), at, format="json")
+    back = readers.json_lines(spark, at, "text string, length int", glob="*.json")
+    return back.groupBy("language").agg(F.count("*").alias("n"), F.sum(F.length(_text())).cast("long").alias("chars"), F.sum("length").alias("lengths"), F.count_distinct(F.md5(_text())).alias("texts"))
+
+
+@query(f"WITH {_PAIRS} SELECT conv_id, md5(instruction) AS i, md5(output) AS o FROM pairs WHERE instruction <> '' AND output <> ''")
+def json_instructions(spark, sf_dir):
+    """Raw instruction lines: written, read with their schema, and the fields taken."""
+    at = f"{shared_dir(spark)}/raw-{uuid.uuid4().hex}"
+    sinks.write(_pairs(spark, sf_dir).select(F.col("conv_id").cast("string").alias("context"), "instruction", F.col("output").alias("response")), at, format="json")
+    back = readers.json_lines(spark, at, schemas.RAW_INSTRUCTION, glob="*.json").withColumn("source", F.lit("dolly"))
+    f = back.select(instruction_fields(back).alias("f")).where("f IS NOT NULL")
+    return f.select(F.col("f.input").cast("long").alias("conv_id"), F.md5("f.instruction").alias("i"), F.md5("f.output").alias("o"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions import text as T
 from ..plans.pipelines import SUPPORTED, mark
@@ -53,7 +54,7 @@ def run_updates(stream: DataFrame, path: str, checkpoint: str, keys: list[str])
 
     query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
     query.awaitTermination()
-    schema = stream.schema.add("__batch", "long").add("batch", "int")
+    schema = StructType([*stream.schema.fields, StructField("__batch", LongType()), StructField("batch", IntegerType())])
     updates = stream.sparkSession.read.schema(schema).parquet(path)
     values = [c for c in stream.columns if c not in keys]
     last = updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "__batch").alias("__last"))
