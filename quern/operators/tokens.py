@@ -296,14 +296,41 @@ class _OnExecutors:
         return self.pairs()
 
 
+class _Name(tuple):
+    """A pair's symbols; the later in order comes first."""
+
+    def __lt__(self, other):
+        return tuple.__gt__(self, other)
+
+
+class _Frequent:
+    """The pairs in a heap by frequency, then name.  A changed count is a new entry; old
+    ones are passed over when they come up."""
+
+    def __init__(self, freq: dict[int, int], names: list[str]):
+        self.freq, self.names = freq, names
+        self.heap = [self._entry(p) for p in freq]
+        heapq.heapify(self.heap)
+
+    def _entry(self, p: int) -> tuple[int, _Name, int]:
+        return -self.freq[p], _Name((self.names[p >> 32], self.names[p & 0xFFFFFFFF])), p
+
+    def changed(self, pairs) -> None:
+        for p in pairs:
+            if self.freq.get(p, 0) > 0:
+                heapq.heappush(self.heap, self._entry(p))
+
+    def first(self) -> list[int]:
+        while self.heap and self.freq.get(self.heap[0][2], 0) != -self.heap[0][0]:
+            heapq.heappop(self.heap)
+        return [self.heap[0][2]] if self.heap and self.heap[0][0] < 0 else []
+
+
 def _next_merges(freq: dict[int, int], names: list[str], known: dict[str, int], most: int) -> list[int]:
     """The pairs that are merged next, one after the other, whatever the first of them
     change: no two share a symbol, so a pair that a merge makes is no more frequent than
     an old one that shares a symbol with the merged, and those all come later."""
     name = lambda p: (names[p >> 32], names[p & 0xFFFFFFFF])
-    if most == 1:
-        top = max(freq.values(), default=0)
-        return [max((p for p, n in freq.items() if n == top), key=name)] if top > 0 else []
     out, used = [], set()
     ranked = heapq.nlargest(4 * most, ((n, name(p), p) for p, n in freq.items() if n > 0))
     for k, (n, made, p) in enumerate(ranked):
@@ -338,9 +365,10 @@ def train_bpe(counts: DataFrame, vocab_size: int, driver_chars: int = 32_000_000
         vocab.setdefault(c, len(vocab))
     number = {c: k for k, c in enumerate(names)}
     merges: list[tuple[str, str]] = []
+    frequent = _Frequent(freq, names) if small else None
     while len(vocab) < vocab_size:
         todo = []
-        for p in _next_merges(freq, names, number, 1 if small else 64):
+        for p in frequent.first() if small else _next_merges(freq, names, number, 64):
             if len(vocab) >= vocab_size:
                 break
             a, b = p >> 32, p & 0xFFFFFFFF
@@ -353,10 +381,13 @@ def train_bpe(counts: DataFrame, vocab_size: int, driver_chars: int = 32_000_000
             todo.append((a, b, number[made]))
         if not todo:
             break
-        for p, n in words.merge(todo).items():
+        change = {p: n for p, n in words.merge(todo).items() if n}
+        for p, n in change.items():
             freq[p] = freq.get(p, 0) + n
             if not freq[p]:
                 del freq[p]
+        if small:
+            frequent.changed(change)
     return vocab, merges
 
 

@@ -658,7 +658,7 @@ def morpheme_encode(spark, sf_dir):
 def bpe_encode(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     counts = tokens.word_counts(docs, tokens.pre_tokens(tokens.nfd(_text())))
-    vocab, merges = tokens.train_bpe(counts, 600)
+    vocab, merges = tokens.train_bpe(counts, 32_000)
     made = docs.select("doc_id", tokens.bpe_encode(_text(), vocab, merges).alias("ids"))
     return made.select("doc_id", F.size("ids").alias("n"), F.size(F.filter("ids", lambda x: x == 1)).alias("unknown"), F.md5(tokens.bpe_decode(F.col("ids"), vocab)).alias("h"))
 
