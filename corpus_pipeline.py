@@ -20,7 +20,12 @@ from quern.llm.suffix_dedup import remove_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    Null and empty texts are scored as texts without words; equal texts are judged alike;
+    rows of one id are judged each by its text; without usable labels all rows have the
+    share of label 1 (a half without any) and stay or go together; an empty table gives an
+    empty table."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     score, verdict = (f"__{n}_{uuid.uuid4().hex[:8]}" for n in ("score", "verdict"))
     model = train(docs, labels)
@@ -28,12 +33,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays."""
+    """One document of each class of near copies stays: a row of the smallest doc_id.
+
+    Null and empty texts are one class; rows without doc_id stay only in classes without
+    any; rows alike in id and text are one; rows of one id and different texts are different
+    documents; an empty table gives an empty table."""
     return deduplicate(docs).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Characters covered by a repeated string of 200 bytes go; n_chars follows."""
+    """Characters covered by a repeated string of 200 bytes go; n_chars follows.
+
+    Every row stays, with an empty text where all of it is repeated (exact copies of 200
+    bytes or more, rows that stand twice); texts without removed bytes stay as they are,
+    null ones null; a character goes only if all its bytes do; an empty table gives an
+    empty table."""
     found = remove_repeats(docs, whole_characters=True, into="__repeats")
     changed = found.withColumn("text", F.when(F.col("__repeats.n_removed") == 0, F.col("text")).otherwise(F.col("__repeats.kept").cast("string")))
     if "n_chars" in docs.columns:
@@ -42,12 +56,18 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go.
+
+    Null and empty texts hold none and stay; equal texts go together; an empty benchmark
+    lets all stay; an empty table gives an empty table."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents left."""
+    """The pieces of all documents left.
+
+    Null and empty texts are one piece, the end mark; rows that stand twice are packed
+    twice; an empty table gives an empty table."""
     return pack(docs)
 
 
@@ -65,7 +85,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result written and read again."""
+    """All stages over documents, each one's result written and read again.  The written
+    tables of the stages but the last stay in the shared folder; an empty table of
+    documents gives an empty table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
