@@ -78,6 +78,58 @@ def test_stages(spark, folder, tmp_path):
     assert sum(r.length for r in kept["packing"]) == sum(len(encode(t or "")) + 1 for _, t in left)
 
 
+def test_stages_by_plain_loops(spark, folder, tmp_path):
+    """Each stage's result from what it was given, by loops over the texts."""
+    from collections import Counter
+    from zlib import crc32
+
+    import numpy as np
+    from test_classifiers import plain_score
+    from test_llm_operators import brute_classes, brute_repeats, plain_overlaps
+    from tokenizers import Tokenizer
+
+    at, item = folder
+    docs, rows = spark.read.parquet(f"{at}/documents.parquet"), None
+    # whole copies of the item go with the repeated passages; half of it is left to the benchmark stage
+    own = " ".join([*[f"own{k}" for k in range(30)], *item.split()[:20], *[f"more{k}" for k in range(30)]])
+    docs = docs.unionByName(spark.createDataFrame([(5000, own, "en", "half", len(own))], docs.schema))
+    library = Tokenizer.from_file(default_path())
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = [(r.doc_id, r.text) for r in docs.collect()]
+        texts = [t or "" for _, t in before]
+        stage(spark, docs, at).write.parquet(f"{tmp_path}/{k}")
+        made = spark.read.parquet(f"{tmp_path}/{k}").collect()
+        if name == "quality_classifier":
+            model = train(docs, spark.read.parquet(f"{at}/labels.parquet"))
+            rows = [(d, t) for d, t in before if plain_score(t, model) >= 0.3]
+        elif name == "minhash_near_dedup":
+            rows = [min((before[i] for i in c), key=lambda r: (r[0] is None, r[0])) for c in brute_classes(before)]
+        elif name == "suffix_array_dedup":
+            removed = list(brute_repeats([t.encode() for t in texts], 200))
+            assert sum(n for _, n, _, _ in removed) > 0 and all(t.isascii() for t in texts)
+            assert Counter((r.doc_id, len(r.text or "")) for r in made) == Counter((d, n - gone) for (d, _), (n, gone, _, _) in zip(before, removed))
+            assert all(r.n_chars == len(r.text or "") for r in made if (r.doc_id or 0) < 260)
+            rows = [(r.doc_id, r.text) for r in made]
+        elif name == "decontamination":
+            found = {d for d, _ in plain_overlaps(texts, [item])}
+            assert found
+            rows = [r for i, r in enumerate(before) if i not in found]
+        else:
+            expected = Counter()
+            for d, t in before:
+                ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+                start = 0
+                while start < len(ids):
+                    left = len(ids) - start
+                    length = min(2048, 1 << left.bit_length() - 1)
+                    expected[d, start, length, crc32(ids[start : start + length].tobytes()), len(ids)] += 1
+                    start += length
+            assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in made) == expected
+            break
+        assert Counter((r.doc_id, r.text) for r in made) == Counter(rows), name
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+
+
 def test_run_and_empty(spark, folder, tmp_path):
     at, _ = folder
     assert corpus_pipeline.run(spark, at).count() > 0
