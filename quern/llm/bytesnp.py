@@ -150,11 +150,12 @@ def words(raw: np.ndarray, offsets: np.ndarray, table: tuple[np.ndarray, np.ndar
     return Words(span_hash(prefix, start, end), doc, start, end, first)
 
 
-def stems(raw: np.ndarray, w: Words, table: tuple[np.ndarray, np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) of the first `size` bytes of every longer word."""
-    longer = np.flatnonzero(w.end - w.start > size)
-    prefix = prefix_hash(BYTE_CODE[table[1]][raw])
-    return w.doc[longer], span_hash(prefix, w.start[longer], w.start[longer] + size)
+def stems(raw: np.ndarray, w: Words, table: tuple[np.ndarray, np.ndarray], sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document, hash) of the first bytes of every longer word, for each size."""
+    prefix = prefix_hash(BYTE_CODE[table[1]][raw]) if sizes else None
+    for size in sizes:
+        longer = np.flatnonzero(w.end - w.start > size)
+        yield w.doc[longer], span_hash(prefix, w.start[longer], w.start[longer] + size)
 
 
 def word_hash(word: str) -> int:

@@ -65,21 +65,22 @@ _OFFSETS = dict(zip(_EDGES, np.concatenate([[0], np.cumsum([len(e) + 1 for e in
 N_STRUCTURE = sum(len(e) + 1 for e in _EDGES.values())
 
 
-def _is(chars: bytes) -> np.ndarray:
-    table = np.zeros(256, np.int64)
-    table[list(chars)] = 1
-    return table
-
-
-_CLASSES = {
-    "symbols": _is(b"#*$%&|<>"), "bang": _is(b"!"), "upper": _is(bytes(range(65, 91))), "lower": _is(bytes(range(97, 123))),
-    "digit": _is(b"0123456789"), "bar": _is(b"|"), "line": _is(b"\n"), "stop": _is(b".,;:?"), "tail": _is(bytes(range(0x80, 0xC0))),
+#: Kinds of bytes, none in two of them; "tail" are the bytes that continue a character.
+_KINDS = {
+    "symbol": b"#*$%&<>", "bar": b"|", "bang": b"!", "upper": bytes(range(65, 91)), "lower": bytes(range(97, 123)),
+    "digit": b"0123456789", "line": b"\n", "stop": b".,;:?", "tail": bytes(range(0x80, 0xC0)),
 }
+_KIND = np.zeros(256, np.int64)
+for _k, _chars in enumerate(_KINDS.values(), 1):
+    _KIND[list(_chars)] = _k
 
 
-def _per_doc(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(flags)])
-    return (total[offsets[1:]] - total[offsets[:-1]]).astype(float)
+def _kinds(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """How many bytes of each kind each document has."""
+    n, width = len(offsets) - 1, len(_KINDS) + 1
+    row = np.repeat(np.arange(n) * width, np.diff(offsets))
+    counts = np.bincount(row + _KIND[raw], minlength=n * width).reshape(n, width)
+    return dict(zip(_KINDS, counts[:, 1:].T))
 
 
 def features(texts: pa.Array, settings: Settings, structure: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +89,7 @@ def features(texts: pa.Array, settings: Settings, structure: bool) -> tuple[np.n
     raw, offsets = flat(texts)
     n = len(offsets) - 1
     w = words(raw, offsets, ALNUM_FOLDED)
-    terms = [(w.doc, w.hash), *(stems(raw, w, ALNUM_FOLDED, k) for k in settings.stems)]
+    terms = [(w.doc, w.hash), *stems(raw, w, ALNUM_FOLDED, settings.stems)]
     keys = [d.astype(U64) * U64(settings.buckets) + ((h + U64(k)) >> U64(8)) % U64(settings.buckets) for k, (d, h) in enumerate(terms)]
     key, times = np.unique(np.concatenate(keys), return_counts=True)
     doc, bucket = (key // U64(settings.buckets)).astype(np.int64), (key % U64(settings.buckets)).astype(np.int64)
@@ -97,7 +98,7 @@ def features(texts: pa.Array, settings: Settings, structure: bool) -> tuple[np.n
     if not structure:
         return np.concatenate([[0], np.cumsum(present)]), bucket, value
 
-    sums = {k: _per_doc(t[raw], offsets) for k, t in _CLASSES.items()}
+    sums = _kinds(raw, offsets)
     s = words(raw, offsets, SPACE_FOLDED)
     n_words = np.diff(s.first).astype(float)
     like = np.zeros(len(s.hash), np.int64)
@@ -109,7 +110,7 @@ def features(texts: pa.Array, settings: Settings, structure: bool) -> tuple[np.n
         "n_words": n_words,
         "n_chars": np.diff(offsets) - sums["tail"],
         "word_length": _per_doc_words(s.end - s.start, s.first) / one,
-        "symbols_per_word": sums["symbols"] / one,
+        "symbols_per_word": (sums["symbol"] + sums["bar"]) / one,
         "exclamations_per_word": sums["bang"] / one,
         "capitals": sums["upper"] / np.maximum(sums["upper"] + sums["lower"], 1),
         "digits": sums["digit"] / np.maximum(np.diff(offsets), 1),
