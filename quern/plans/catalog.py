@@ -263,8 +263,8 @@ def tokenizer_sample(spark, sf_dir):
 
 
 _SPECS = [specs.SourceSpec(f"src{k}", priority=(k * 7) % 5, enabled=k % 4 != 3, license_type="cc" if k % 2 else "mit", commercial_use=k % 3 != 0, description=f"source {k}") for k in range(20)]
-_SPEC_VALUES = ", ".join(f"({k}, '{s.name}', {s.enabled}, {s.priority}, '{s.license_type}', {s.commercial_use})" for k, s in enumerate(_SPECS))
-_REGISTRY = f"(VALUES {_SPEC_VALUES}) AS r(pos, name, enabled, priority, license, commercial_use)"
+_SPEC_VALUES = ", ".join(f"({k}, '{s.name}', '{s.description}', {s.enabled}, {s.priority}, '{s.license_type}', {s.commercial_use})" for k, s in enumerate(_SPECS))
+_REGISTRY = f"(VALUES {_SPEC_VALUES}) AS r(pos, name, description, enabled, priority, license, commercial_use)"
 
 
 @query(f"SELECT name, priority, license, row_number() OVER (ORDER BY coalesce(priority, 999), pos)::INT AS place FROM {_REGISTRY} WHERE coalesce(enabled, true)")
@@ -275,6 +275,11 @@ def source_registry(spark, sf_dir):
     return active.select("name", "priority", "license", place.alias("place"))
 
 
+@query(f"SELECT name, description, priority, enabled FROM {_REGISTRY}")
+def source_listing(spark, sf_dir):
+    return specs.listing(specs.registry_frame(spark, _SPECS))
+
+
 @query(f"SELECT source, count(*) AS n FROM documents WHERE source IN (SELECT name FROM {_REGISTRY} WHERE commercial_use AND name NOT IN ('src2')) GROUP BY source")
 def license_filter(spark, sf_dir):
     kept = specs.commercial_only(_docs(spark, sf_dir).select("source"), specs.registry_frame(spark, _SPECS), excluded=("src2",))
@@ -746,9 +751,9 @@ def distinct_bigrams(spark, sf_dir):
     return metrics.distinct_bigrams(readers.spread(_docs(spark, sf_dir).select("doc_id", "text")), "text", "doc_id")
 
 
-@query(f"SELECT round(exp(sum(loss * n) / sum(n)), 6) AS perplexity, round(exp(avg(loss)), 6) AS batch_perplexity FROM (SELECT 1 + (doc_id % 100) / 50.0::DOUBLE AS loss, len({W}) AS n FROM documents) WHERE n >= 10")
+@query(f"SELECT round(exp(sum(loss * n) / sum(n)), 6) AS perplexity, round(exp(avg(loss)), 6) AS batch_perplexity FROM (SELECT 1 + (doc_id % 100) / 50.0::DOUBLE AS loss, least(len({W}), 256) AS n FROM documents) WHERE n >= 10")
 def perplexity_weighted(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select((F.lit(1) + (F.col("doc_id") % 100) / F.lit(50.0)).alias("loss"), F.size(T.words(_text())).alias("n")).where("n >= 10")
+    rows = _docs(spark, sf_dir).select((F.lit(1) + (F.col("doc_id") % 100) / F.lit(50.0)).alias("loss"), F.size(F.slice(T.words(_text()), 1, 256)).alias("n")).where("n >= 10")  # cut to the longest sequence
     return metrics.perplexity(rows, "loss", "n")
 
 
@@ -963,3 +968,120 @@ def json_instructions(spark, sf_dir):
     back = readers.json_lines(spark, at, schemas.RAW_INSTRUCTION, glob="*.json").withColumn("source", F.lit("dolly"))
     f = back.select(instruction_fields(back).alias("f")).where("f IS NOT NULL")
     return f.select(F.col("f.input").cast("long").alias("conv_id"), F.md5("f.instruction").alias("i"), F.md5("f.output").alias("o"))
+
+
+# --------------------------------------------------------------- sources and sinks
+
+
+def _new_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/made-{uuid.uuid4().hex}"
+
+
+@query("SELECT 'whole' AS kind, count(*) FILTER (WHERE doc_id % 2 = 0) AS n, sum(length(text)) FILTER (WHERE doc_id % 2 = 0)::BIGINT AS chars FROM documents UNION ALL SELECT 'corrupt', count(*) FILTER (WHERE doc_id % 2 = 1), NULL FROM documents")
+def json_corrupt_lines(spark, sf_dir):
+    """Every other line is cut short: those are left out by the scan and listed by another."""
+    at, line = _new_folder(spark), F.to_json(F.struct("text"))
+    _docs(spark, sf_dir).select(F.when(F.col("doc_id") % 2 == 0, line).otherwise(F.substring(line, F.lit(1), F.length(line) - 2)).alias("value")).write.text(at)
+    whole = readers.json_lines(spark, at, "text string", glob="*.txt").agg(F.count("*").alias("n"), F.sum(F.length(_text())).cast("long").alias("chars"))
+    corrupt = readers.corrupt_lines(spark, at, "text string", glob="*.txt").agg(F.count("*").alias("n"), F.lit(None).cast("long").alias("chars"))
+    return whole.select(F.lit("whole").alias("kind"), "n", "chars").unionByName(corrupt.select(F.lit("corrupt").alias("kind"), "n", "chars"))
+
+
+@query("SELECT count(*) + sum(len(string_split(text, chr(10))))::BIGINT AS n, sum(length(text))::BIGINT + sum(length(replace(text, chr(10), '')))::BIGINT AS chars FROM documents")
+def vocabulary_texts(spark, sf_dir):
+    at, docs = _new_folder(spark), _docs(spark, sf_dir).select("text")
+    sinks.write_texts(docs, f"{at}/rows.jsonl")
+    sinks.write_texts(docs, f"{at}/lines.txt", as_lines=True)
+    return readers.vocabulary_texts(spark, [f"{at}/rows.jsonl", f"{at}/lines.txt"]).agg(F.count("*").alias("n"), F.sum(F.length(_text())).cast("long").alias("chars"))
+
+
+@query(f"SELECT md5({_list(readers.FALLBACK_SENTENCES)}[k % {len(readers.FALLBACK_SENTENCES)} + 1] || ' 샘플 ' || (k + 1) || '번째 문장입니다.') AS h FROM (SELECT unnest(range(1000)) AS k)")
+def training_fallback(spark, sf_dir):
+    return readers.training_lines(spark, f"{sf_dir}/no-such-folder").select(F.md5(_text()).alias("h"))
+
+
+@query("SELECT count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents")
+def training_file(spark, sf_dir):
+    at = _new_folder(spark)
+    sinks.write_texts(_docs(spark, sf_dir), f"{at}/mixed_pretraining.jsonl")
+    return readers.training_lines(spark, at).agg(F.count("*").alias("n"), F.sum(F.length(_text())).cast("long").alias("chars"))
+
+
+@query("SELECT unnest(['ko', 'en']) AS language, 3 AS n, 1 AS with_input")
+def sample_instruction_rows(spark, sf_dir):
+    return readers.sample_instructions(spark).groupBy("language").agg(F.count("*").cast("int").alias("n"), F.count_if(F.col("input") != "").cast("int").alias("with_input"))
+
+
+@query(f"WITH {_PAIRS} SELECT conv_id, turn, role, md5(text) AS h FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, text FROM conversations)")
+def chat_round_trip(spark, sf_dir):
+    at = _new_folder(spark)
+    sinks.write_chats(table(spark, sf_dir, "conversations"), at)
+    return readers.chat_history(spark, at, lines=True).select("conv_id", "turn", "role", F.md5(_text()).alias("h"))
+
+
+@query(f"WITH {_PAIRS} SELECT {_TASK} AS task_category, count(*) AS n FROM pairs GROUP BY 1")
+def task_sink(spark, sf_dir):
+    at, rows = _new_folder(spark), _rows(spark, sf_dir)
+    sinks.write_instructions(rows.withColumn("task_category", I.classify_task(F.col("instruction"))), at)
+    return spark.read.schema("task_category string, n long").json(f"{at}/task_distribution")
+
+
+@query(
+    _marked_sql(DETECT)
+    + """
+SELECT (SELECT count(*) FROM m) AS total_processed, (SELECT count(*) FROM m WHERE failure IS NOT NULL) AS filtered_out, (SELECT count(*) FROM f WHERE rn > 1) AS duplicates_removed, true AS dated"""
+)
+def statistics_sink(spark, sf_dir):
+    at = _new_folder(spark)
+    sinks.write_statistics(pipelines.counters(readers.spread(_docs(spark, sf_dir).select("doc_id", "text", "source")), ["source", "doc_id"]), at)
+    back = spark.read.schema("total_processed long, filtered_out long, duplicates_removed long, written string").json(at)
+    return back.select("total_processed", "filtered_out", "duplicates_removed", F.col("written").isNotNull().alias("dated"))
+
+
+@query(f"WITH {_COUNTS} SELECT token, (row_number() OVER (ORDER BY freq DESC, token) + 3)::INT AS id FROM counts ORDER BY freq DESC, token LIMIT 896")
+def vocabulary_sink(spark, sf_dir):
+    at = _new_folder(spark)
+    vocab = {r["token"]: r["id"] for r in tokens.vocabulary(_counts(spark, sf_dir), 1000, 4).collect()}  # a vocabulary of a fixed size
+    sinks.write_vocabulary(spark, vocab, [("a", "b")], at)
+    back, _ = sinks.read_vocabulary(spark, at)
+    return spark.createDataFrame(list(back.items()), "token string, id int")
+
+
+@query("SELECT 4 AS files, true AS some_bytes, false AS again, true AS forced, (SELECT count(*) FROM documents) AS n")
+def overwrite_policy(spark, sf_dir):
+    """Files and bytes of a corpus written once, not again, and again by force."""
+    at, docs = _new_folder(spark), _docs(spark, sf_dir).select("doc_id").repartition(4)
+    sinks.write(docs, at)
+    again, forced = sinks.write(docs, at), sinks.write(docs, at, force=True)
+    used = sinks.disk_usage(sinks.manifest(spark, at, "*.parquet"))
+    n = spark.read.parquet(at).agg(F.count("*").alias("n")).first()["n"]
+    return used.select(F.col("files").cast("int").alias("files"), (F.col("bytes") > 0).alias("some_bytes"), F.lit(again).alias("again"), F.lit(forced).alias("forced"), F.lit(n).alias("n"))
+
+
+@query("SELECT 'checkpoint-9' AS checkpoint")
+def newest_checkpoint(spark, sf_dir):
+    names = [(f"/m/checkpoint-{k}/{n}",) for k in (1, 9, 10) for n in ("config.json", "pytorch_model.bin")] + [("/m/checkpoint-99/config.json",)]
+    return sinks.latest_checkpoint(spark.createDataFrame(names, "file string"))
+
+
+@query("SELECT 'docs_en' AS source, 'en' AS language, true AS written, count(*) FILTER (WHERE lang = 'en' AND length(text) >= 100) AS n FROM documents UNION ALL SELECT 'docs_fr', 'ko', true, count(*) FILTER (WHERE lang = 'fr' AND length(text) >= 1) FROM documents")
+def ingest_sources(spark, sf_dir):
+    at, where = _new_folder(spark), dict(path=f"{sf_dir}/documents.parquet", format="parquet", filter_field="lang")
+    sources = [specs.SourceSpec("docs_en", language="en", min_text_length=100, filter_value="en", **where), specs.SourceSpec("docs_fr", language="ko", filter_value="fr", **where)]
+    listed = recipes.ingest(spark, sources, at)
+    counts = readers.json_lines(spark, f"{at}/*", "text string, source string, language string", glob="*.json")
+    counts = counts.groupBy("language").agg(F.count("*").alias("n"))
+    return listed.join(counts, "language").select("source", "language", "written", "n")
+
+
+@query(f"WITH {_COUNTS}, v AS (SELECT token FROM counts ORDER BY freq DESC, token LIMIT 896) SELECT token, freq FROM counts WHERE token NOT IN (SELECT token FROM v)")
+def vocab_uncovered(spark, sf_dir):
+    return tokens.uncovered(_docs(spark, sf_dir), T.words(_text()), tokens.vocabulary(_counts(spark, sf_dir), 1000, 4))
+
+
+@query(
+    f"""WITH {_COUNTS}, s AS (SELECT freq, unnest(range(1, length(token))) AS i, token FROM counts WHERE length(token) > 1)
+SELECT substr(token, i, 1) AS a, substr(token, i + 1, 1) AS b, sum(freq)::BIGINT AS freq FROM s GROUP BY 1, 2 ORDER BY 3 DESC, 1 DESC, 2 DESC LIMIT 1"""
+)
+def argmax_pair(spark, sf_dir):
+    return tokens.most_frequent_pair(tokens.pair_counts(_counts(spark, sf_dir)))

@@ -137,8 +137,12 @@ def corpus_records(raw: DataFrame) -> DataFrame:
     return raw.withColumn("text", text_by_source(raw)).where("text IS NOT NULL")
 
 
-def chat_history(spark: SparkSession, path: str) -> DataFrame:
-    """conv_id, turn, role, text of saved chats, one file each."""
+def chat_history(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """conv_id, turn, role, text of saved chats, one file each; with `lines` of files with
+    one chat a line, which name their conv_id."""
+    if lines:
+        rows = spark.read.schema("conv_id long, chat_history array<struct<role:string,content:string>>").json(path)
+        return rows.select("conv_id", F.posexplode("chat_history").alias("turn", "m")).select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("m.role").alias("role"), F.col("m.content").alias("text"))
     schema = "session_start string, settings map<string,string>, chat_history array<struct<role:string,content:string>>"
     files = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("conv_id", F.xxhash64(F.col("_metadata.file_path")))
     return files.select("conv_id", F.posexplode("chat_history").alias("turn", "m")).select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("m.role").alias("role"), F.col("m.content").alias("text"))

@@ -60,10 +60,10 @@ def read_vocabulary(spark: SparkSession, path: str) -> tuple[dict[str, int], lis
 
 
 def write_chats(turns: DataFrame, path: str, force: bool = False) -> bool:
-    """conv_id, turn, role, text as one JSON object a conversation, as chat_history reads
+    """conv_id, turn, role, text as one JSON object a conversation, a line each, as chat_history reads
     them: its entries in order of turn.  A conversation is held as one row."""
     entries = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    chats = turns.groupBy("conv_id").agg(entries.alias("chat_history")).select(F.current_timestamp().cast("string").alias("session_start"), "chat_history")
+    chats = turns.groupBy("conv_id").agg(entries.alias("chat_history")).select("conv_id", F.current_timestamp().cast("string").alias("session_start"), "chat_history")
     return write(chats, path, format="json", force=force)
 
 

@@ -61,6 +61,11 @@ def active_frame(registry: DataFrame) -> DataFrame:
     return registry.where(F.coalesce("enabled", F.lit(True))).orderBy(F.coalesce("priority", F.lit(999)), "position")
 
 
+def listing(registry: DataFrame) -> DataFrame:
+    """What there is: name, description, priority, enabled."""
+    return registry.select("name", "description", F.coalesce("priority", F.lit(999)).alias("priority"), F.coalesce("enabled", F.lit(True)).alias("enabled"))
+
+
 def license_manifest(registry: DataFrame) -> DataFrame:
     return registry.select("name", "license", "commercial_use")
 
