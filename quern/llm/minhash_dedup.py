@@ -17,6 +17,12 @@ members of the hub's buckets.  This goes by blocks of bounded size, whose signat
 meet in one numpy comparison; only pairs whose estimate comes near the threshold
 become rows.  So no bucket is expanded into pairs and none is cut short.
 
+A group of more than a block gets further hubs first, a few rounds of one comparison
+a member.  Jaccard distance is a metric: members linked to hub A can't be linked to
+members linked to hub B if the hubs lie further apart than both reach and the threshold
+together.  Such members need no comparison with each other, and only those that are left
+go into blocks.
+
 Verification: the Jaccard similarity of the two texts' sets of 64-bit shingle names.
 Classes are the connected components of the verified links, found by alternating
 large-star and small-star steps.  All this is between different texts: rows of equal
@@ -197,10 +203,16 @@ def _classes(docs: DataFrame, text: str, doc_id: str, size: int, similarity: flo
     compared = first.select("node", "signature").join(sets.read(), "node")
     marked = Table(_marked(grouped.read(), labels.read()))
     sizes = Table(_sizes(marked.read()))
+    rounds: list[Table] = []
+    if sizes.read().where(F.col("all_n") > _BLOCK).limit(1).count():
+        marked, sizes, rounds = _further_hubs(marked, sizes, links.read(), sets.read(), similarity)
     more = Table(_rest(marked.read(), sizes.read(), compared, similarity, margin, bands * rows_per_band))
-    classes = components(links.read().unionAll(more.read()))
+    found = links.read()
+    for table in (more, *rounds):
+        found = found.unionAll(table.read())
+    classes = components(found)
     out = Table(first.select("c1", "c2", "id", "rows", "node").join(classes.read(), "node", "left").select("c1", "c2", "id", "rows", F.coalesce("label", "node").alias("label")))
-    for table in (texts, grouped, sets, links, labels, marked, sizes, more, classes):
+    for table in (texts, grouped, sets, links, labels, marked, sizes, more, classes, *rounds):
         table.drop()
     return out
 
@@ -240,11 +252,16 @@ def deduplicate(
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs a, b whose shingle sets' Jaccard similarity reaches it."""
+    return _overlapping(pairs, sets).where(F.col("both") >= similarity * F.col("union")).select("a", "b")
+
+
+def _overlapping(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs a, b with the sizes of their sets' intersection and union."""
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("a_set"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("b_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     union = F.size("a_set") + F.size("b_set") - both
-    return pairs.join(left, "a").join(right, "b").where(both >= similarity * union).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").select(*pairs.columns, both.alias("both"), union.alias("union"))
 
 
 #: Shingles of a block, about.
@@ -266,6 +283,54 @@ def _sizes(marked: DataFrame) -> DataFrame:
     return sums.where("odd_n > 0 AND size > 1")
 
 
+#: Rounds of further hubs in a group of more than a block.
+_ROUNDS = 4
+
+
+def _further_hubs(marked: Table, sizes: Table, links: DataFrame, sets: DataFrame, similarity: float) -> tuple[Table, Table, list[Table]]:
+    """(members, sizes, links found): in groups of more than a block, odd are only the
+    members that have to meet all others.
+
+    To begin with those are all that aren't linked to the hub itself.  Each round takes one
+    of them as a hub, links what is near it, and if it lies far enough from the group's
+    earlier hubs, lets those members go: linked to it or to an earlier one, two members are
+    of one class or too far apart."""
+    large = sizes.read().where(F.col("all_n") > _BLOCK).select("hub")
+    inside = marked.read().join(large, "hub")
+    direct = links.select(F.col("a").alias("node"), F.col("b").alias("hub"))
+    left = Table(inside.select("hub", "node").join(direct, ["hub", "node"], "left_anti"))
+    reach = 1 - similarity
+    hubs = large.select("hub", F.col("hub").alias("earlier"), F.lit(reach).alias("reach"))
+    found: list[Table] = []
+    used: list[Table] = []
+    for turn in range(_ROUNDS):
+        place = F.xxhash64("node", F.lit(turn))
+        picked = Table(left.read().groupBy("hub").agg(F.min_by("node", place).alias("b"), F.count("*").alias("size")).where("size > 1").select("hub", "b"))
+        pairs = left.read().join(picked.read(), "hub").select("hub", F.col("node").alias("a"), "b").where("a != b")
+        near = Table(_overlapping(pairs, sets).where(F.col("both") >= similarity * F.col("union")))
+        own = picked.read().join(near.read().groupBy("hub").agg(F.max(1 - F.col("both") / F.col("union")).alias("own")), "hub", "left")
+        apart = _overlapping(own.select("hub", "b", F.coalesce("own", F.lit(0.0)).alias("own")).join(hubs, "hub").withColumnRenamed("earlier", "a").where("a != b"), sets)
+        gap = 1 - F.col("both") / F.col("union") - F.col("own") - F.col("reach")
+        far = Table(apart.groupBy("hub", "b").agg(F.min(gap).alias("gap"), F.max("own").alias("reach")).where(F.col("gap") > reach + 1e-9).select("hub", "b", "reach"))
+        gone = near.read().join(far.read().select("hub"), "hub", "left_semi").select("hub", F.col("a").alias("node"))
+        gone = gone.unionAll(far.read().select("hub", F.col("b").alias("node")))
+        following = Table(left.read().join(gone, ["hub", "node"], "left_anti"))
+        used.append(Table(hubs.unionByName(far.read().select("hub", F.col("b").alias("earlier"), "reach"))))
+        hubs = used[-1].read()
+        found.append(Table(near.read().select("a", "b")))
+        for table in (left, picked, near, far):
+            table.drop()
+        left = following
+    met = left.read().select("hub", "node", F.lit(True).alias("met"))
+    odd = F.when(F.col("large"), F.coalesce("met", F.lit(False))).otherwise(F.col("odd"))
+    every = marked.read().join(large.select("hub", F.lit(True).alias("large")), "hub", "left").join(met, ["hub", "node"], "left")
+    again = Table(every.select("node", "n", "hub", "label", F.coalesce(odd, F.col("odd")).alias("odd")))
+    counted = Table(_sizes(again.read()))
+    for table in (marked, sizes, left, *used):
+        table.drop()
+    return again, counted, found
+
+
 def _rest(marked: DataFrame, sizes: DataFrame, compared: DataFrame, similarity: float, margin: float, registers: int) -> DataFrame:
     """The further links a, b: in each hub's group, of odd members with any other
     member of another class.  A pair is looked at if its estimate is at least

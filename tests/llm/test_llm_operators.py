@@ -284,6 +284,34 @@ def test_near_duplicates_on_awkward_tables(spark, docs, empty):
     assert kept.columns == docs.columns and minhash_dedup.near_duplicates(empty).count() == 0 and minhash_dedup.deduplicate(empty).count() == 0
 
 
+def test_further_hubs_of_large_groups(spark, monkeypatch):
+    """Families that share some text, so that they meet in buckets: the classes are those of
+    all pairs, and members of families far apart don't go into blocks."""
+    rng = random.Random(27)
+    common, rows = words(rng, 60, 10**6), []
+    for family in range(6):
+        base = words(rng, 120, 10**6)
+        for _ in range(25):
+            text = edited(rng, " ".join(base), rng.randrange(0, 4))
+            rows.append((len(rows), " ".join([*common, *text.split()]) if family < 4 else text))
+    for k in range(40):  # a chain, each like the next, and lone texts with the common part
+        rows.append((len(rows), " ".join(words(random.Random(99), 300, 10**6)[4 * k : 4 * k + 150])))
+        rows.append((len(rows), " ".join([*common, *words(rng, 100, 10**6)])))
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    place = {d: i for i, (d, _) in enumerate(rows)}
+    seen = []
+    rest = minhash_dedup._rest
+    monkeypatch.setattr(minhash_dedup, "_rest", lambda marked, *more: seen.append(marked.where("odd").count()) or rest(marked, *more))
+    for block in (200_000, 2_000):
+        monkeypatch.setattr(minhash_dedup, "_BLOCK", block)
+        got = defaultdict(set)
+        for r in minhash_dedup.near_duplicates(frame, bands=40, rows_per_band=2).collect():
+            got[r.class_id].add(place[r.doc_id])
+        assert sorted(sorted(m) for m in got.values()) == brute_classes(rows)
+    assert seen[1] < seen[0]
+
+
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_near_duplicates_ids_of_any_kind(spark, kind):
     rng = random.Random(17)
