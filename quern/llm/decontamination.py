@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 from .bytesnp import ALNUM_FOLDED, U64, Words, flat, mix, pieces, words
 from .common import Table, text_names, text_or_empty
 
-#: Items of fewer tokens match nothing; no mask has a longer run of
-#: tokens that count; so many hits or tokens are held at a time.
-LEAST_ITEM, LONGEST_RUN, AT_ONCE = 5, 4, 1 << 20
+#: No mask has a longer run of tokens that count; so many hits or tokens
+#: are held at a time.
+LONGEST_RUN, AT_ONCE = 4, 1 << 20
 
 
 @lru_cache(1 << 14)
-def masks(tokens: int, least_tokens: int = 13, share: float = 0.8) -> tuple[str, ...]:
+def masks(tokens: int, least_tokens: int = 13, share: float = 0.8, least_item: int = 5) -> tuple[str, ...]:
     """Masks (1: the token counts) of which one fits every lawful stretch of an item.
 
     k substitutions leave k + 1 runs of equal tokens at most, the longest of them with
@@ -55,7 +55,7 @@ def masks(tokens: int, least_tokens: int = 13, share: float = 0.8) -> tuple[str,
         if matches + k > tokens:
             break
         found.append((-(-matches // (k + 1)), k > 0 and matches % (k + 1) == 0))
-    if tokens < LEAST_ITEM or not found:
+    if tokens < least_item or not found:
         return ()
     r = min(found)[0]
     if r >= LONGEST_RUN:
@@ -83,12 +83,12 @@ class _Seeds:
     """The seeds of one block of items: sorted by seed and the seed one place before,
     with a bit table in front."""
 
-    def __init__(self, texts: list[str], least_tokens: int = 13, share: float = 0.8, names: tuple = ((), ())):
+    def __init__(self, texts: list[str], least_tokens: int = 13, share: float = 0.8, least_item: int = 5, names: tuple = ((), ())):
         raw, offsets = flat(pa.array(texts, pa.string()))
         w = words(raw, offsets, ALNUM_FOLDED)
         self.hash, self.first, self.size, self.names = w.hash, w.first, np.diff(w.first), [np.array(n, np.int64) for n in names]
         self.least = share * np.minimum(least_tokens, self.size)
-        own = [masks(n, least_tokens, share) for n in self.size.tolist()]
+        own = [masks(n, least_tokens, share, least_item) for n in self.size.tolist()]
         self.masks = sorted({m for ms in own for m in ms})
         found = [(np.empty(0, U64), np.empty(0, U64), np.empty(0, bool), np.empty(0, np.int64), np.empty(0, np.int64))]
         for number, mask in enumerate(self.masks):
@@ -255,21 +255,22 @@ def lawful_stretch(equal: np.ndarray, share: float = 0.8) -> tuple[int, int, int
 _OVERLAP = "i1 long, i2 long, doc_first long, item_first int, n_tokens int, n_matched int"
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", least_tokens: int = 13, share: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", least_tokens: int = 13, share: float = 0.8, least_item: int = 5, block_bytes: int = 8 << 20) -> DataFrame:
     """One row per document row and benchmark item that overlap: doc_id, item_id,
     doc_first (word of the document), item_first, n_tokens and n_matched of the
     stretch reported.
 
     A stretch counts if at least `share` of its tokens match, and matches are at
     least that share of least_tokens (of the item's tokens where it has fewer).
-    Items of fewer than 5 tokens can't be told from chance and match nothing.  Null
+    Items of fewer than least_item tokens can't be told from chance and match nothing;
+    with least_item=1 they match where all their tokens stand in a row.  Null
     and empty texts overlap nothing; repeated rows and items are reported each; an
     empty table on either side gives no rows.  block_bytes bounds the benchmark
     text held at a time (one item at least)."""
     source = docs.select(F.struct(F.col(doc_id).alias("doc_id")).alias("kept"), F.col(text).alias("text"))
     kept = source.schema["kept"].dataType.simpleString()
     found = docs.sparkSession.createDataFrame([], f"kept {kept}, {_OVERLAP}")
-    for seeds, last in _blocks(benchmark, item_text, block_bytes, least_tokens, share):
+    for seeds, last in _blocks(benchmark, item_text, block_bytes, least_tokens, share, least_item):
         part = source.mapInArrow(_finder(seeds, share), f"kept {kept}, {_OVERLAP}")
         if not last:
             part = Table(part).read()
@@ -280,7 +281,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_i
     return found.join(items, ["i1", "i2"]).select("kept.doc_id", "item_id", "doc_first", "item_first", "n_tokens", "n_matched")
 
 
-def _blocks(benchmark: DataFrame, item_text: str, block_bytes: int, least_tokens: int, share: float):
+def _blocks(benchmark: DataFrame, item_text: str, block_bytes: int, least_tokens: int, share: float, least_item: int):
     """(broadcast seeds, is it the last block) of the different benchmark texts, some
     block_bytes at a time."""
     i1, i2 = text_names(item_text)
@@ -289,7 +290,7 @@ def _blocks(benchmark: DataFrame, item_text: str, block_bytes: int, least_tokens
     for block in range(blocks):
         own = texts.read().where(F.pmod("i1", F.lit(blocks)) == block).toArrow().sort_by([("i1", "ascending"), ("i2", "ascending")])
         names = (own.column("i1").to_pylist(), own.column("i2").to_pylist())
-        yield benchmark.sparkSession.sparkContext.broadcast(_Seeds(own.column("text").to_pylist(), least_tokens, share, names)), block == blocks - 1
+        yield benchmark.sparkSession.sparkContext.broadcast(_Seeds(own.column("text").to_pylist(), least_tokens, share, least_item, names)), block == blocks - 1
     texts.drop()
 
 
@@ -328,12 +329,12 @@ def _finder(shared, share: float):
     return rows
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text", least_tokens: int = 13, share: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text", least_tokens: int = 13, share: float = 0.8, least_item: int = 5, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of docs, all columns, that overlap no benchmark item, by the rules
     of overlaps(); rows without words stay.  Nothing is shuffled; of a benchmark of
     several blocks each works on what the one before it left, as a written table."""
     left, columns, written = docs, docs.columns, None
-    for seeds, last in _blocks(benchmark, item_text, block_bytes, least_tokens, share):
+    for seeds, last in _blocks(benchmark, item_text, block_bytes, least_tokens, share, least_item):
         source = left.select(F.struct("*").alias("row"), F.col(text).alias("text"))
 
         def rows(batches, shared=seeds):

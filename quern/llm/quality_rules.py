@@ -76,7 +76,8 @@ def _repeated_words(words: Column, window: int) -> Column:
 
 
 def metrics(text: Column, window: int = 5) -> Column:
-    """A struct of all counts; null text counts as empty."""
+    """A struct of all counts; null text counts as empty.  Windows for n_repeat_words are
+    compared by 64-bit hashes."""
     text = F.coalesce(text, F.lit(""))
     words = F.array_remove(F.split(text, SPACES), "")
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))

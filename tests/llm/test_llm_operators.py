@@ -185,6 +185,13 @@ def test_overlaps_against_every_offset(vocabulary):
     assert decontamination._best(*decontamination.flat(pa.array(texts)), seeds, 0.8) == plain_overlaps(texts, items)
 
 
+def test_short_items_where_asked(spark):
+    docs = spark.createDataFrame([(0, "yes"), (1, "The Answer is 42 then"), (2, "answer 42"), (3, "a b c x")], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, "answer is 42"), (1, "yes"), (2, "a b c d")], "item_id long, text string")
+    assert decontamination.overlaps(docs, bench).count() == 0
+    assert {(r.doc_id, r.item_id, r.doc_first, r.n_matched) for r in decontamination.overlaps(docs, bench, least_item=1).collect()} == {(0, 1, 0, 1), (1, 0, 1, 3)}
+
+
 def test_one_word_that_fills_text_and_items_is_cheap():
     import time
 
