@@ -21,8 +21,3 @@ def duplicate_statistics(df: DataFrame, key: Column, group: str) -> DataFrame:
     one group's keys."""
     per_key = df.select(F.col(group), key.alias("__k")).groupBy(group, "__k").agg(F.count("*").alias("n"))
     return per_key.groupBy(group).agg(F.sum("n").alias("seen"), F.count("*").alias("unique"), (F.sum("n") - F.count("*")).alias("removed"))
-
-
-def exclude_known(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not among the known ones."""
-    return df.join(known.select(key).distinct(), key, "left_anti")

@@ -14,22 +14,6 @@ def _share(a: Column, b: Column, digits: int = 3) -> Column:
     return F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), digits)
 
 
-def pipeline_counters(marked: DataFrame) -> DataFrame:
-    """One row of counters from a frame with status and language: every language but
-    ko counts as English."""
-    n = lambda test: F.count_if(test)
-    status, korean = F.col("status"), F.col("language") == "ko"
-    seen = status != "empty"
-    kept = status == "kept"
-    return marked.agg(
-        n(seen).alias("total_processed"), n(kept & korean).alias("korean_texts"), n(kept & ~korean).alias("english_texts"),
-        n(status == "filtered").alias("filtered_out"), n(status == "duplicate").alias("duplicates_removed"),
-    ).withColumns({
-        "korean_ratio": _share(F.col("korean_texts"), F.col("korean_texts") + F.col("english_texts")),
-        "english_ratio": _share(F.col("english_texts"), F.col("korean_texts") + F.col("english_texts")),
-    })
-
-
 def achievement(counts: DataFrame, n: str, target: int) -> DataFrame:
     return counts.withColumn("achieved", F.col(n) >= target).withColumn("achievement", F.round(F.col(n) * 100.0 / target, 1))
 

@@ -12,7 +12,6 @@ from ..functions.extract import instruction_fields
 from ..functions.instruct import classify_task
 from ..operators.dedup import keep_first
 from ..operators.instructions import augment
-from ..operators.metrics import pipeline_counters
 from ..operators.order import mix_by_ratio, mix_prefix
 from ..shared import written
 from ..sources.readers import read_sources
@@ -141,4 +140,4 @@ def corpus(spark: SparkSession, specs: list[SourceSpec], mode: str = "full", kor
     return mix_prefix(placed, "pos", korean, english)
 
 
-__all__ = ["RECIPES", "InstructionConfig", "PretrainConfig", "clean", "clean_statistics", "corpus", "counters", "instruction_rows", "instructions", "mark", "pipeline_counters", "pretrain", "recipe"]
+__all__ = ["RECIPES", "InstructionConfig", "PretrainConfig", "clean", "clean_statistics", "corpus", "counters", "instruction_rows", "instructions", "mark", "pretrain", "recipe"]

@@ -10,14 +10,4 @@ RAW_INSTRUCTION = (
     "conversations array<struct<value:string>>, messages array<struct<content:string>>"
 )
 
-DOCUMENT = "text string, language string, source string, length int"
 INSTRUCTION = "instruction string, input string, output string, language string, source string, task_category string"
-VOCABULARY = "token string, id int"
-MERGES = "rank int, a string, b string"
-CHAT = "conv_id long, turn long, role string, text string"
-
-SOURCE_SPEC = (
-    "name string, config string, split string, description string, text_field string, limits struct<small:long,full:long>, "
-    "min_text_length int, max_text_length int, streaming boolean, enabled boolean, priority int, "
-    "license struct<type:string,commercial_use:boolean,description:string>, fallback struct<description:string,action:string>, filter map<string,string>"
-)
