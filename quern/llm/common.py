@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
+
 #: Settings while a table is written: shuffle files go when the query ends, and Arrow
 #: batches stay small, since each task holds some of them in both processes.
 _WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is
-    unset and the master is local (tests on one machine) a temporary folder, set as
-    checkpoint folder.  Without either a cluster has no such folder: an error."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
-
-
 @contextmanager
 def _while_writing(spark: SparkSession):
     before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
@@ -42,23 +26,13 @@ def _while_writing(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-class Table:
+class Table(shared.Table):
     """A written table in the shared folder: cuts lineage like checkpoint(), keeps
     columns compressed, survives the loss of executors and can be dropped."""
 
     def __init__(self, df: DataFrame):
-        spark = df.sparkSession
-        self.path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
-        with _while_writing(spark):
-            df.write.parquet(self.path)
-        self.spark, self.schema = spark, df.schema
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        with _while_writing(df.sparkSession):
+            super().__init__(df)
 
 
 def text_or_empty(column: str | Column) -> Column:
