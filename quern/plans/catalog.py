@@ -1085,3 +1085,46 @@ SELECT substr(token, i, 1) AS a, substr(token, i + 1, 1) AS b, sum(freq)::BIGINT
 )
 def argmax_pair(spark, sf_dir):
     return tokens.most_frequent_pair(tokens.pair_counts(_counts(spark, sf_dir)))
+
+
+@query("SELECT count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents")
+def text_encoding(spark, sf_dir):
+    at = _new_folder(spark)
+    sinks.write_texts(_docs(spark, sf_dir), at, encoding="UTF-16LE")
+    back = spark.read.schema("text string").option("encoding", "UTF-16LE").option("lineSep", "\n").json(at)
+    return back.agg(F.count("*").alias("n"), F.sum(F.length(_text())).cast("long").alias("chars"))
+
+
+@query(rf"SELECT doc_id, 0 AS unknown, md5(regexp_replace(trim(regexp_replace({_decomposed('text')}, '\s+', ' ', 'g')), ' ([0-9])', '\1', 'g')) AS h FROM documents")
+def bpe_round_trip(spark, sf_dir):
+    """Decoded ids are the normalized text; a lone blank before a number is no piece."""
+    docs = readers.spread(_docs(spark, sf_dir).select("doc_id", "text"))
+    vocab, merges = tokens.train_bpe(tokens.word_counts(docs, tokens.pre_tokens(tokens.nfd(_text()))), 1000)
+    ids = docs.select("doc_id", tokens.bpe_encode(_text(), vocab, merges).alias("ids"))
+    return ids.select("doc_id", F.size(F.filter("ids", lambda x: x == 1)).alias("unknown"), F.md5(tokens.bpe_decode(F.col("ids"), vocab)).alias("h"))
+
+
+@query(
+    f"""WITH {_COUNTS}, {_IDS}, top AS (SELECT token FROM counts ORDER BY freq DESC, token LIMIT 100),
+k AS (SELECT map_from_entries(list((id, token))) AS known FROM (SELECT {_ID.format('token')} AS id, min(token) AS token FROM top GROUP BY 1))
+SELECT doc_id, md5(list_aggregate(list_transform(list_filter(ids, lambda y: y > 2), lambda y: coalesce(known[y], CASE WHEN y = 3 THEN '[UNK]' ELSE '[' || y || ']' END)), 'string_agg', ' ')) AS h FROM ids, k WHERE len(ids) > 0"""
+)
+def hash_decode_known(spark, sf_dir):
+    """Ids of the hundred most frequent words are shown as the word."""
+    top = _counts(spark, sf_dir).orderBy(F.desc("freq"), "token").limit(100).groupBy(tokens.stable_id(F.col("token")).alias("id")).agg(F.min("token").alias("token"))
+    known = {r["id"]: r["token"] for r in top.collect()}
+    shown = tokens.hash_decode(F.col("x"), known)
+    return readers.spread(_docs(spark, sf_dir)).select("doc_id", tokens.hash_encode(_text()).alias("x")).where(F.size("x") > 2).select("doc_id", F.md5(shown).alias("h"))
+
+
+@query("SELECT * FROM (VALUES ('korean', 'korean'), ('improved_korean', 'improved_korean'), ('pretrained', 'korean'), ('other', 'korean')) AS t(asked, used)")
+def tokenizer_choice(spark, sf_dir):
+    rows = [(kind, tokens.choose(kind)[0]) for kind in ("korean", "improved_korean", "pretrained", "other")]
+    return spark.createDataFrame(rows, "asked string, used string")
+
+
+@query("SELECT * FROM (VALUES (0, ''), (1, 'missing: batch_size'), (2, 'must be positive: learning_rate'), (3, 'd_model must be a multiple of n_heads')) AS t(k, errors)")
+def config_check(spark, sf_dir):
+    whole = {"vocab_size": 8, "d_model": 12, "n_heads": 4, "n_layers": 1, "max_seq_len": 8, "learning_rate": 0.1, "batch_size": 2}
+    cases = [whole, {k: v for k, v in whole.items() if k != "batch_size"}, whole | {"learning_rate": 0}, whole | {"n_heads": 5}]
+    return spark.createDataFrame([(k, "; ".join(recipes.config_errors(c))) for k, c in enumerate(cases)], "k int, errors string")

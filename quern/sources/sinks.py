@@ -18,11 +18,11 @@ def unique_name(base: str, now: datetime | None = None) -> str:
     return f"{base}_{(now or datetime.now(timezone.utc)).strftime('%Y%m%d_%H%M%S')}"
 
 
-def write(df: DataFrame, path: str, *, format: str = "parquet", force: bool = False, partition_by: tuple[str, ...] = ()) -> bool:
+def write(df: DataFrame, path: str, *, format: str = "parquet", force: bool = False, partition_by: tuple[str, ...] = (), options: dict[str, str] | None = None) -> bool:
     """Writes unless the output is there already; force replaces it.  True if written."""
     if not force and exists(df.sparkSession, path):
         return False
-    writer = df.write.format(format).mode("overwrite" if force else "errorifexists")
+    writer = df.write.format(format).options(**(options or {})).mode("overwrite" if force else "errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
     return True
 
@@ -44,8 +44,9 @@ def write_statistics(stats: DataFrame, path: str, force: bool = True) -> bool:
     return write(stats.withColumn("written", F.current_timestamp().cast("string")).coalesce(1), path, format="json", force=force)
 
 
-def write_texts(df: DataFrame, path: str, as_lines: bool = False, force: bool = False) -> bool:
-    return write(df.select("text"), path, format="text" if as_lines else "json", force=force)
+def write_texts(df: DataFrame, path: str, as_lines: bool = False, force: bool = False, encoding: str = "UTF-8") -> bool:
+    """The texts alone, as lines or as JSON lines, in an encoding (of JSON lines)."""
+    return write(df.select("text"), path, format="text" if as_lines else "json", force=force, options={} if as_lines else {"encoding": encoding})
 
 
 def write_vocabulary(spark: SparkSession, vocab: dict[str, int], merges: list[tuple[str, str]], path: str, force: bool = True) -> None:
