@@ -255,10 +255,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return _overlapping(pairs, sets).where(F.col("both") >= similarity * F.col("union")).select("a", "b")
 
 
-def _overlapping(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs a, b with the sizes of their sets' intersection and union."""
+def _overlapping(pairs: DataFrame, sets: DataFrame, b_sets: DataFrame | None = None) -> DataFrame:
+    """The pairs a, b with the sizes of their sets' intersection and union; b_sets: a
+    smaller table that has those of all b."""
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("a_set"))
-    right = sets.select(F.col("node").alias("b"), F.col("set").alias("b_set"))
+    right = (sets if b_sets is None else b_sets).select(F.col("node").alias("b"), F.col("set").alias("b_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     union = F.size("a_set") + F.size("b_set") - both
     return pairs.join(left, "a").join(right, "b").select(*pairs.columns, both.alias("both"), union.alias("union"))
@@ -302,14 +303,21 @@ def _further_hubs(marked: Table, sizes: Table, links: DataFrame, sets: DataFrame
     reach = 1 - similarity
     hubs = large.select("hub", F.col("hub").alias("earlier"), F.lit(reach).alias("reach"))
     found: list[Table] = []
-    used: list[Table] = []
+    # what the rounds need of the sets; the lists of ids are written, so that Spark knows
+    # their size and sends them to the sets where they are small, not the sets around
+    ids = Table(inside.select("node").unionAll(large.select(F.col("hub").alias("node"))).distinct())
+    own_sets = Table(sets.join(ids.read(), "node", "left_semi"))
+    sets = own_sets.read()
+    used: list[Table] = [ids, own_sets]
     for turn in range(_ROUNDS):
         place = F.xxhash64("node", F.lit(turn))
         picked = Table(left.read().groupBy("hub").agg(F.min_by("node", place).alias("b"), F.count("*").alias("size")).where("size > 1").select("hub", "b"))
-        pairs = left.read().join(picked.read(), "hub").select("hub", F.col("node").alias("a"), "b").where("a != b")
-        near = Table(_overlapping(pairs, sets).where(F.col("both") >= similarity * F.col("union")))
+        picked_sets = Table(sets.join(picked.read().select(F.col("b").alias("node")).distinct(), "node", "left_semi"))
+        pairs = Table(left.read().join(picked.read(), "hub").select("hub", F.col("node").alias("a"), "b").where("a != b"))
+        near = Table(_overlapping(pairs.read(), sets, picked_sets.read()).where(F.col("both") >= similarity * F.col("union")))
         own = picked.read().join(near.read().groupBy("hub").agg(F.max(1 - F.col("both") / F.col("union")).alias("own")), "hub", "left")
-        apart = _overlapping(own.select("hub", "b", F.coalesce("own", F.lit(0.0)).alias("own")).join(hubs, "hub").withColumnRenamed("earlier", "a").where("a != b"), sets)
+        to_hubs = Table(own.select("hub", "b", F.coalesce("own", F.lit(0.0)).alias("own")).join(hubs, "hub").withColumnRenamed("earlier", "a").where("a != b"))
+        apart = _overlapping(to_hubs.read(), sets, picked_sets.read())
         gap = 1 - F.col("both") / F.col("union") - F.col("own") - F.col("reach")
         far = Table(apart.groupBy("hub", "b").agg(F.min(gap).alias("gap"), F.max("own").alias("reach")).where(F.col("gap") > reach + 1e-9).select("hub", "b", "reach"))
         gone = near.read().join(far.read().select("hub"), "hub", "left_semi").select("hub", F.col("a").alias("node"))
@@ -318,7 +326,7 @@ def _further_hubs(marked: Table, sizes: Table, links: DataFrame, sets: DataFrame
         used.append(Table(hubs.unionByName(far.read().select("hub", F.col("b").alias("earlier"), "reach"))))
         hubs = used[-1].read()
         found.append(Table(near.read().select("a", "b")))
-        for table in (left, picked, near, far):
+        for table in (left, picked, picked_sets, pairs, near, to_hubs, far):
             table.drop()
         left = following
     met = left.read().select("hub", "node", F.lit(True).alias("met"))
