@@ -1128,3 +1128,22 @@ def config_check(spark, sf_dir):
     whole = {"vocab_size": 8, "d_model": 12, "n_heads": 4, "n_layers": 1, "max_seq_len": 8, "learning_rate": 0.1, "batch_size": 2}
     cases = [whole, {k: v for k, v in whole.items() if k != "batch_size"}, whole | {"learning_rate": 0}, whole | {"n_heads": 5}]
     return spark.createDataFrame([(k, "; ".join(recipes.config_errors(c))) for k, c in enumerate(cases)], "k int, errors string")
+
+
+#: Korean sentences with their morphemes, the text joined again, and the ids of the marks,
+#: particles and endings.
+_KOREAN = [
+    ("나는 학교에서 공부합니다.", "나는|학교|에서|공부|합니다|.", "나는 학교에서 공부합니다.", "1,9,36,2"),
+    ("집으로부터까지 갔다", "집으로부터|까지|갔다", "집으로부터까지 갔다", "1,18,2"),
+    ("한다고 했습니다", "한다고|했|습니다", "한다고 했습니다", "1,32,2"),
+    ("Hello 세계와 123!", "hello|세계|와|123|!", "hello 세계와 123!", "1,12,2"),
+    ("이", "이", "이", "1,4,2"),
+    ("학생들에게 책을", "학생들|에게|책|을", "학생들에게 책을", "1,23,6,2"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({_q(row)})" for row in _KOREAN) + ") AS t(text, morphemes, joined, ids)")
+def morphemes_of_korean(spark, sf_dir):
+    m = spark.createDataFrame([(t,) for t, *_ in _KOREAN], "text string").select("text", tokens.morphemes(_text()).alias("m"), tokens.morpheme_encode(_text()).alias("x"))
+    ids = F.array_join(F.transform(F.filter("x", lambda i: i < 1000), lambda i: i.cast("string")), ",")
+    return m.select("text", F.array_join("m", "|").alias("morphemes"), tokens.morpheme_join(F.col("m")).alias("joined"), ids.alias("ids"))
