@@ -642,6 +642,21 @@ def test_length_histogram(spark, docs, empty):
     assert token_counts.histogram(empty).count() == 0
 
 
+def test_ids_of_any_kind(spark, docs):
+    """Negative and string ids, ids that stand for several texts, through operators 4, 5, 8 and 9."""
+    rng = random.Random(35)
+    long = " ".join(words(rng, 200))
+    rows = [(-3, long), (-3, "other"), (7, long[:400] + " own end"), (None, "mit license"), (-(2**63), ""), (2**63 - 1, None)]
+    for kind in ("long", "string"):
+        name = lambda d: None if d is None else d if kind == "long" else f"k{d}"  # noqa: E731, B023
+        frame = spark.createDataFrame([(name(d), t) for d, t in rows], f"doc_id {kind}, text string").repartition(3)
+        assert Counter(r.doc_id for r in sharding.shard(frame, shards=3).collect()) == Counter(name(d) for d, _ in rows)
+        gone = {(r.doc_id, r.text): r.repeats.n_removed for r in suffix_dedup.remove_repeats(frame).collect()}
+        assert gone[name(-3), long] == gone[name(7), rows[2][1]] == 400 and sum(gone.values()) == 800 and len(gone) == len(rows)
+        assert Counter((r.doc_id, r.doc_tokens) for r in packing.pack(frame).where("start = 0").collect()) == Counter((name(d), len(encode.encoder(encode.default_path())(t or "")) + 1) for d, t in rows)
+        assert {(r.doc_id, r.labels) for r in license_scan.scan(frame).collect() if r.labels} == {(None, "mit")}
+
+
 # ------------------------------------------------------------------- op9
 
 
