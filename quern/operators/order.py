@@ -8,6 +8,8 @@ BUCKETS rows for each group.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +34,9 @@ def position_bucket(df: DataFrame, position: str, buckets: int = BUCKETS) -> Col
     bounds = sorted(set(found or ()))
     if not bounds:
         return F.lit(0)
-    table, n = F.array(*[F.lit(b) for b in bounds]), len(bounds)
+    kind, n = df.schema[position].dataType.simpleString(), len(bounds)
+    # one literal where JSON has the type, which Spark folds to a constant
+    table = F.from_json(F.lit(json.dumps(bounds)), f"array<{kind}>") if kind in ("int", "bigint") else F.array(*[F.lit(b) for b in bounds])
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
     # how many bounds are at or below the position, by binary search
     below = lambda at, step: (at + step <= n) & (F.get(table, at + step - 1) <= F.col(position))

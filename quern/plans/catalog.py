@@ -909,6 +909,27 @@ def pretrain_corpus(spark, sf_dir):
     return pipelines.pretrain(docs, "doc_id", ["source", "doc_id"]).select("doc_id", "language", F.md5(_text()).alias("h"))
 
 
+@query(
+    _marked_sql(DETECT)
+    + f""",
+k AS (SELECT language, text, row_number() OVER (PARTITION BY language ORDER BY md5('42:' || doc_id), doc_id) AS rank, count(*) OVER () AS every FROM f WHERE rn = 1),
+c AS (SELECT language, count(*) AS n, sum(length(text))::BIGINT AS chars FROM k WHERE rank <= floor(every * CASE WHEN language = 'ko' THEN 0.8::DOUBLE ELSE 0.2::DOUBLE END) GROUP BY language)
+SELECT language, n, chars, (SELECT count(*) FROM m) AS total_processed, (SELECT count(*) FROM f WHERE rn = 1) AS kept, 20 AS licences, 5 AS outputs FROM c"""
+)
+def prepared_folder(spark, sf_dir):
+    """A whole run by a preset: the corpus and the files beside it, read again."""
+    at = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    docs = readers.spread(_docs(spark, sf_dir).select("doc_id", "text", "source"))
+    made = pipelines.prepare(docs, at, "doc_id", ["source", "doc_id"], pipelines.recipe("korean_heavy"), specs.registry_frame(spark, _SPECS))
+    n_outputs = made.where("there").count()
+    corpus = spark.read.parquet(f"{at}/corpus").groupBy("language").agg(F.count("*").alias("n"), F.sum("length").cast("long").alias("chars"))
+    one = lambda name, schema, value: spark.read.schema(schema).json(f"{at}/{name}").agg(value).first()[0]
+    return corpus.select(
+        "language", "n", "chars", F.lit(one("preprocessing_stats", "total_processed long", F.sum("total_processed"))).alias("total_processed"),
+        F.lit(one("language_distribution", "n long", F.sum("n"))).alias("kept"), F.lit(one("license_manifest", "name string", F.count("*"))).cast("int").alias("licences"), F.lit(n_outputs).cast("int").alias("outputs"),
+    )
+
+
 @query(
     f"""WITH {_PAIRS}, st AS (SELECT *, {_STATUS} AS status, row_number() OVER (PARTITION BY ({_STATUS}) = 'passed', {_IHASH} ORDER BY conv_id) AS copy FROM pairs),
 rows AS (SELECT conv_id, instruction, '' AS input, output, CASE WHEN conv_id % 3 = 0 THEN 'ko' ELSE 'en' END AS language, 'chat' AS source FROM st WHERE status = 'passed' AND copy = 1),

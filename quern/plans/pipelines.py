@@ -12,10 +12,12 @@ from ..functions.extract import instruction_fields
 from ..functions.instruct import classify_task
 from ..operators.dedup import keep_first
 from ..operators.instructions import augment
+from ..operators.metrics import distribution, profile, quality_issues
 from ..operators.order import mix_by_ratio, mix_prefix
 from ..shared import written
+from ..sources import sinks
 from ..sources.readers import read_sources
-from ..sources.specs import SourceSpec
+from ..sources.specs import SourceSpec, license_manifest
 
 SUPPORTED = ("ko", "en")
 
@@ -30,7 +32,7 @@ class PretrainConfig:
 
 
 #: Presets of the mixing ratio.
-RECIPES = {"commercial": (0.5, 0.5), "performance": (0.5, 0.5), "korean_focused": (0.7, 0.3)}
+RECIPES = {"commercial": (0.5, 0.5), "performance": (0.5, 0.5), "korean_focused": (0.7, 0.3), "korean_heavy": (0.8, 0.2)}
 
 
 def recipe(name: str, **changes) -> PretrainConfig:
@@ -98,6 +100,34 @@ def pretrain(records: DataFrame, key: str, order: list[str], config: PretrainCon
     return mix_by_ratio(kept, key, config.korean_ratio, config.english_ratio, config.target, config.seed)
 
 
+#: What prepare() writes below its folder: the corpus and the files that describe it.
+OUTPUTS = ("corpus", "preprocessing_stats", "language_distribution", "quality_analysis", "license_manifest")
+
+
+def prepare(records: DataFrame, path: str, key: str, order: list[str], config: PretrainConfig = PretrainConfig(), registry: DataFrame | None = None, stats_only: bool = False, force: bool = False) -> DataFrame:
+    """Cleans and mixes the records into path/corpus and writes statistics beside it;
+    stats_only leaves the corpus out, force replaces what is there.  Returns outputs()."""
+    kept = written(clean(records, order, config.rules))
+    if not stats_only:
+        mixed = mix_by_ratio(kept, key, config.korean_ratio, config.english_ratio, config.target, config.seed)
+        sinks.write_corpus(mixed, f"{path}/corpus", force=force)
+    described = {
+        "preprocessing_stats": counters(records, order, config.rules),
+        "language_distribution": distribution(kept, "language"),
+        "quality_analysis": quality_issues(profile(kept, "text", key)),
+        "license_manifest": license_manifest(registry) if registry is not None else None,
+    }
+    for name, frame in described.items():
+        if frame is not None:
+            sinks.write(frame, f"{path}/{name}", format="json", force=force)
+    return outputs(records.sparkSession, path)
+
+
+def outputs(spark: SparkSession, path: str) -> DataFrame:
+    """name, there: which of the outputs a folder has."""
+    return spark.createDataFrame([(name, sinks.exists(spark, f"{path}/{name}")) for name in OUTPUTS], "name string, there boolean")
+
+
 @dataclass(frozen=True)
 class InstructionConfig:
     target: int = 100_000
@@ -138,6 +168,3 @@ def corpus(spark: SparkSession, specs: list[SourceSpec], mode: str = "full", kor
     kept = keep_first(rows, [F.col("language"), F.col("hash")], ["priority", "source", "text"])
     placed = written(kept.withColumn("pos", F.conv(F.substring("hash", 1, 15), 16, 10).cast("long")))
     return mix_prefix(placed, "pos", korean, english)
-
-
-__all__ = ["RECIPES", "InstructionConfig", "PretrainConfig", "clean", "clean_statistics", "corpus", "counters", "instruction_rows", "instructions", "mark", "pretrain", "recipe"]
