@@ -390,3 +390,19 @@ def _compared(similarity: float, margin: float, registers: int):
 
 def op2_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: All pairs that share a shingle, exactly.
+SQL = r"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min(doc_id), text) AS id, coalesce(text, '') AS text, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY text),
+w AS (SELECT id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t),
+g AS MATERIALIZED (SELECT DISTINCT id, md5(array_to_string(w[i:i + 4], ' ')) AS k FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+sizes AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+shared AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM g a JOIN g b ON a.k = b.k AND a.id < b.id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE 5 * shared.n >= 4 * (x.n + y.n - shared.n)),
+sides AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT id, id AS other FROM t UNION SELECT reach.id, sides.b FROM reach JOIN sides ON reach.other = sides.a),
+labels AS (SELECT id, min(other) AS label FROM reach GROUP BY id),
+classes AS (SELECT label, min(doc_id) AS class_id, sum(n)::BIGINT AS class_size FROM labels JOIN t USING (id) GROUP BY label)
+SELECT d.doc_id, class_id, class_size FROM documents d JOIN t ON t.text = coalesce(d.text, '') JOIN labels USING (id) JOIN classes USING (label)
+"""

@@ -325,3 +325,22 @@ def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(docs.select("doc_id", "text")).select(
         "doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", F.sha2("repeats.kept", 256).alias("kept_sha256")
     )
+
+
+#: Every string of 200 bytes in hexadecimal, by its md5.
+SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+s AS MATERIALIZED (SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS k FROM (SELECT r, x, unnest(range(n - 199)) AS i FROM d WHERE n >= 200)),
+p AS (SELECT r, i FROM s WHERE k IN (SELECT k FROM s GROUP BY k HAVING count(*) > 1)),
+o AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS opens FROM p),
+spans AS (SELECT r, min(i) AS a, max(i) + 200 AS z FROM (SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS span FROM o) GROUP BY r, span),
+gaps AS (
+  SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS f, a AS t FROM spans
+  UNION ALL SELECT r, max(z), max(n) FROM spans JOIN d USING (r) GROUP BY r
+  UNION ALL SELECT r, 0, n FROM d WHERE r NOT IN (SELECT r FROM spans)
+),
+kept AS (SELECT r, string_agg(substr(x, (2 * f + 1)::BIGINT, (2 * (t - f))::BIGINT), '' ORDER BY f) AS h FROM gaps JOIN d USING (r) GROUP BY r),
+gone AS (SELECT r, sum(z - a) AS removed, count(*) AS spans FROM spans GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN gone USING (r)
+"""
