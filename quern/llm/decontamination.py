@@ -358,3 +358,43 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+
+
+_TOKENS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Every item laid over every document at every offset with enough equal tokens.
+SQL = f"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {_TOKENS} AS w FROM documents),
+dt AS MATERIALIZED (SELECT r, unnest(range(len(w))) AS p, unnest(w) AS x FROM doc),
+item AS (SELECT row_number() OVER () AS i, item_id, {_TOKENS} AS w FROM benchmark),
+it AS MATERIALIZED (SELECT i, len(w) AS size, unnest(range(len(w))) AS q, unnest(w) AS x FROM item WHERE len(w) >= 5),
+offsets AS MATERIALIZED (SELECT r, i, p - q AS diag FROM dt JOIN it USING (x) GROUP BY r, i, p - q, size HAVING 5 * count(*) >= 4 * least(13, size)),
+cells AS (SELECT o.r, o.i, o.diag, it.q, it.size, (dt.x = it.x)::INT AS eq FROM offsets o JOIN it ON it.i = o.i JOIN dt ON dt.r = o.r AND dt.p = o.diag + it.q),
+sums AS (
+  SELECT *, sum(3 * eq - 2) OVER d AS gain, sum(3 * eq - 2) OVER d - (3 * eq - 2) AS gain_before,
+    sum(5 * eq - 4) OVER d AS excess, sum(5 * eq - 4) OVER d - (5 * eq - 4) AS excess_before, sum(eq) OVER d AS hits, sum(eq) OVER d - eq AS hits_before
+  FROM cells WINDOW d AS (PARTITION BY r, i, diag ORDER BY q)
+),
+low AS MATERIALIZED (SELECT *, min(gain_before) OVER (PARTITION BY r, i, diag ORDER BY q) AS least_before FROM sums),
+ends AS (SELECT r, i, diag, q AS last, least_before, hits FROM low QUALIFY row_number() OVER (PARTITION BY r, i, diag ORDER BY gain - least_before DESC, q) = 1),
+best AS (
+  SELECT r, i, diag, max(size) AS size, max(low.q) AS first, max(last) AS last, max(ends.hits) - arg_max(low.hits_before, low.q) AS matched
+  FROM ends JOIN low USING (r, i, diag) WHERE low.q <= last AND low.gain_before = ends.least_before GROUP BY r, i, diag
+),
+lawful AS (
+  SELECT r, i, diag, z.q AS last, min(s.q) AS first, max(z.hits) - arg_min(s.hits_before, s.q) AS matched
+  FROM low z JOIN low s USING (r, i, diag) WHERE s.q <= z.q AND s.excess_before <= z.excess GROUP BY r, i, diag, z.q
+),
+longest AS (SELECT * FROM lawful QUALIFY row_number() OVER (PARTITION BY r, i, diag ORDER BY matched DESC, last) = 1),
+other AS (
+  SELECT r, i, diag, min(low.q) AS first, max(low.q) AS last, max(matched) AS matched
+  FROM longest JOIN low USING (r, i, diag) WHERE low.q BETWEEN first AND last AND eq = 1 GROUP BY r, i, diag
+),
+picked AS (
+  SELECT r, i, diag, size, CASE WHEN ok THEN b.first ELSE o.first END AS first, CASE WHEN ok THEN b.last ELSE o.last END AS last, CASE WHEN ok THEN b.matched ELSE o.matched END AS matched
+  FROM (SELECT *, 5 * matched >= 4 * greatest(least(13, size), last + 1 - first) AS ok FROM best) b LEFT JOIN other o USING (r, i, diag)
+)
+SELECT doc_id, item_id, (diag + first)::BIGINT AS doc_first, first::INT AS item_first, (last + 1 - first)::INT AS n_tokens, matched::INT AS n_matched
+FROM (SELECT * FROM picked WHERE 5 * matched >= 4 * least(13, size) QUALIFY row_number() OVER (PARTITION BY r, i ORDER BY matched DESC, diag + first, first DESC, last - first DESC) = 1)
+JOIN doc USING (r) JOIN item USING (i)
+"""

@@ -394,7 +394,7 @@ def op2_minhash_dedup(spark, sf_dir: str) -> DataFrame:
 
 #: All pairs that share a shingle, exactly.
 SQL = r"""
-WITH RECURSIVE t AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min(doc_id), text) AS id, coalesce(text, '') AS text, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY text),
+WITH RECURSIVE t AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min(doc_id), text) AS id, text, min(doc_id) AS doc_id, count(*) AS n FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) GROUP BY text),
 w AS (SELECT id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t),
 g AS MATERIALIZED (SELECT DISTINCT id, md5(array_to_string(w[i:i + 4], ' ')) AS k FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
 sizes AS (SELECT id, count(*) AS n FROM g GROUP BY id),

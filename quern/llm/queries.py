@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_dedup": minhash_dedup.SQL, "op3_quality_rules": quality_rules.SQL, "op4_sharding": sharding.SQL, "op5_suffix_dedup": suffix_dedup.SQL}
+    return {"op1_decontamination": decontamination.SQL, "op2_minhash_dedup": minhash_dedup.SQL, "op3_quality_rules": quality_rules.SQL, "op4_sharding": sharding.SQL, "op5_suffix_dedup": suffix_dedup.SQL}
