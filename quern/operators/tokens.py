@@ -402,12 +402,16 @@ def train_bpe(counts: DataFrame, vocab_size: int, driver_chars: int = 32_000_000
 
 
 def bpe_encode(t: Column, vocab: dict[str, int], merges: list[tuple[str, str]]) -> Column:
-    """bos, the ids of each piece after all merges, eos."""
+    """bos, the ids of each piece after all merges, eos.  Texts are split where they are
+    merged, one at a time, by the pattern of pre_tokens(); white space is single blanks there."""
     ranks = {p: k for k, p in enumerate(merges)}
+    pattern = GPT_SPLIT
 
     @F.pandas_udf("array<int>")
-    def encode(pieces):
-        known: dict[str, list[int]] = {}
+    def encode(texts):
+        import regex
+
+        split, known = regex.compile(pattern), {}
 
         def ids(piece):
             if piece not in known:
@@ -416,9 +420,12 @@ def bpe_encode(t: Column, vocab: dict[str, int], merges: list[tuple[str, str]])
                 known[piece] = [vocab.get(s, 1) for s in merge(list(piece), ranks)]
             return known[piece]
 
-        return pieces.map(lambda row: None if row is None else [2, *(i for piece in row for i in ids(piece)), 3])
+        def one(text):
+            return np.array([2, *(i for piece in split.findall(text) if not piece.isspace() for i in ids(piece)), 3], np.int32)
+
+        return texts.map(lambda t: None if t is None else one(t))
 
-    return encode(pre_tokens(nfd(t)))
+    return encode(nfd(t))
 
 
 def bpe_decode(ids: Column, vocab: dict[str, int]) -> Column:

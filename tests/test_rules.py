@@ -220,6 +220,18 @@ def test_morphemes_joined_at_random(spark):
     assert got == {k: plain(r) for k, r in enumerate(rows)}
 
 
+def test_pieces_are_the_same_in_both_places(spark):
+    """The encoder's split is that of the native pre_tokens, over normalized texts."""
+    rng = random.Random(9)
+    parts = ["a", "Bc", "é", "한국", " ", "12345", "!?", "'s", "'LL", "_", "😀", "\u0301", "\u3000", "\xa0", "\n", "ⅷ", "-"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(20))) for _ in range(800)]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    letters = sorted({c for t in texts for c in unicodedata.normalize("NFD", t)})
+    vocab = {c: k + 4 for k, c in enumerate(letters)}
+    got = frame.select("k", tokens.pre_tokens(tokens.nfd(F.col("t"))).alias("p"), tokens.bpe_encode(F.col("t"), vocab, []).alias("x")).collect()
+    assert all(r.x == [2, *(vocab[c] for p in r.p for c in p), 3] for r in got)
+
+
 def test_bpe(spark):
     frame = spark.createDataFrame([("low low low low low",), ("lower lower newest newest newest",), ("widest 한국어 abc",)], "text string")
     counts = tokens.word_counts(frame, tokens.pre_tokens(tokens.nfd(F.col("text"))))
