@@ -40,22 +40,30 @@ def recipe(name: str, **changes) -> PretrainConfig:
     return PretrainConfig(korean_ratio=korean, english_ratio=english, **changes)
 
 
-def mark(records: DataFrame, rules: T.DocumentRules = T.DocumentRules(), detect: bool = True) -> DataFrame:
-    """Records (text, and if there language) with language, failure and hash."""
+def judged(records: DataFrame, rules: T.DocumentRules = T.DocumentRules(), detect: bool = True) -> DataFrame:
+    """Records (text, and if there language) with language and failure."""
     own = T.missing_to_null(F.col("language")) if "language" in records.columns else F.lit(None).cast("string")
     detected = T.detect_language(F.col("text"))
     language = F.coalesce(own, detected) if not detect else detected
     marked = records.withColumn("language", language)
-    failed = marked.withColumn("failure", T.document_failure(F.col("text"), F.col("language"), rules))
-    return failed.withColumn("hash", F.when(F.col("failure").isNull(), T.text_hash(F.col("text"))))
+    return marked.withColumn("failure", T.document_failure(F.col("text"), F.col("language"), rules))
+
+
+def mark(records: DataFrame, rules: T.DocumentRules = T.DocumentRules(), detect: bool = True) -> DataFrame:
+    """All records with language, failure, and the hash of those that pass."""
+    return judged(records, rules, detect).withColumn("hash", F.when(F.col("failure").isNull(), T.text_hash(F.col("text"))))
+
+
+def passing(records: DataFrame, rules: T.DocumentRules = T.DocumentRules(), detect: bool = True) -> DataFrame:
+    """The records that pass, with language and hash; the rules are evaluated once."""
+    return judged(records, rules, detect).where("failure IS NULL").drop("failure").withColumn("hash", T.text_hash(F.col("text")))
 
 
 def clean(records: DataFrame, order: list[str], rules: T.DocumentRules = T.DocumentRules(), detect: bool = True) -> DataFrame:
     """The records kept: rules passed, first of their hash, language supported; with
     `copies`.  The first of a hash is found before the language is looked at, so an
     unsupported first copy takes the others with it."""
-    passed = mark(records, rules, detect).where("failure IS NULL").drop("failure")
-    return keep_first(passed, [F.col("hash")], order, "copies").where(F.col("language").isin(*SUPPORTED))
+    return keep_first(passing(records, rules, detect), [F.col("hash")], order, "copies").where(F.col("language").isin(*SUPPORTED))
 
 
 def _firsts(records: DataFrame, order: list[str], rules: T.DocumentRules, detect: bool) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions import text as T
-from ..plans.pipelines import SUPPORTED, mark
+from ..plans.pipelines import SUPPORTED, passing
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, format: str = "parquet", files_per_trigger: int = 16) -> DataFrame:
@@ -24,7 +24,7 @@ def clean_stream(records: DataFrame, rules: T.DocumentRules = T.DocumentRules(),
     """Rules per row, then the first row of each hash.  With a time column the state of
     hashes is dropped `delay` behind the newest row; without one it keeps every hash,
     which suits bounded runs only."""
-    passed = mark(records, rules).where("failure IS NULL").where(F.col("language").isin(*SUPPORTED))
+    passed = passing(records, rules).where(F.col("language").isin(*SUPPORTED))
     if ts:
         return passed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["hash"])
     return passed.dropDuplicates(["hash"])
