@@ -196,10 +196,12 @@ def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
 
 class Spelled:
     """A block of words as one array of symbol numbers.  Word k has the places from
-    start[k] to before start[k + 1], filled with -1 behind its symbols."""
+    start[k] to before start[k + 1], filled with -1 behind its symbols.  With an index a
+    merge reads only the words that had the pair at some time."""
 
     def __init__(self, symbols: np.ndarray, start: np.ndarray, freq: np.ndarray):
         self.symbols, self.start, self.freq = symbols, start, freq
+        self.index: dict[int, list[np.ndarray]] | None = None
 
     @classmethod
     def of(cls, batch: pa.RecordBatch, codes: np.ndarray) -> Spelled:
@@ -216,7 +218,7 @@ class Spelled:
 
     def merge(self, a: int, b: int, new: int) -> dict[int, int]:
         """Replaces the pair wherever it stands, from the left; how the counts change."""
-        at = np.flatnonzero((self.symbols[:-1] == a) & (self.symbols[1:] == b))
+        at = self._places(a, b)
         if a == b and len(at):
             opens = np.concatenate([[True], np.diff(at) > 1])
             at = at[(at - at[np.maximum.accumulate(np.where(opens, np.arange(len(at)), 0))]) % 2 == 0]
@@ -237,8 +239,37 @@ class Spelled:
         out = np.full(len(symbols), -1, np.int32)
         out[(first[owner] + rank - rank[first][owner])[keep]] = symbols[keep]
         self.symbols[place] = out
+        if self.index is not None:
+            self._note(out, word[owner], (out[:-1] == new) | (out[1:] == new))
         return _add(change, _pairs(out, weight))
 
+    def indexed(self) -> Spelled:
+        self.index = {}
+        self._note(self.symbols, np.repeat(np.arange(len(self.freq)), np.diff(self.start)), True)
+        return self
+
+    def _note(self, symbols: np.ndarray, word: np.ndarray, where) -> None:
+        """Which words have which pairs, for the neighbours at these places."""
+        at = np.flatnonzero((symbols[:-1] >= 0) & (symbols[1:] >= 0) & where)
+        key = symbols[at].astype(np.int64) << 32 | symbols[at + 1]
+        order = np.argsort(key, kind="stable")
+        key, words = key[order], word[at[order]].astype(np.int32)
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        for p, some in zip(key[first].tolist(), np.split(words, first[1:]) if len(first) else ()):
+            self.index.setdefault(p, []).append(some)
+
+    def _places(self, a: int, b: int) -> np.ndarray:
+        if self.index is None:
+            return np.flatnonzero((self.symbols[:-1] == a) & (self.symbols[1:] == b))
+        had = self.index.pop(a << 32 | b, None)
+        if had is None:
+            return np.empty(0, np.int64)
+        words = np.unique(np.concatenate(had))
+        low, size = self.start[words], self.start[words + 1] - self.start[words]
+        place = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        here = self.symbols[place]
+        return place[np.flatnonzero((here[:-1] == a) & (here[1:] == b))]
+
 
 def _pairs(symbols: np.ndarray, weight: np.ndarray) -> dict[int, int]:
     """The summed weights of neighbours, by first symbol << 32 | second."""
@@ -259,7 +290,7 @@ class _OnDriver:
     """The words in the driver's memory."""
 
     def __init__(self, counts: DataFrame, codes: np.ndarray):
-        self.blocks = [Spelled.of(x, codes) for x in counts.toArrow().to_batches(_BLOCK_WORDS)]
+        self.blocks = [Spelled.of(x, codes).indexed() for x in counts.toArrow().to_batches(_BLOCK_WORDS)]
 
     def pairs(self) -> dict[int, int]:
         return reduce(_add, (x.pairs() for x in self.blocks), {})
