@@ -201,7 +201,7 @@ class Spelled:
 
     def __init__(self, symbols: np.ndarray, start: np.ndarray, freq: np.ndarray):
         self.symbols, self.start, self.freq = symbols, start, freq
-        self.index: dict[int, list[np.ndarray]] | None = None
+        self.index: dict[int, list[tuple[np.ndarray, np.ndarray]]] | None = None
 
     @classmethod
     def of(cls, batch: pa.RecordBatch, codes: np.ndarray) -> Spelled:
@@ -240,30 +240,30 @@ class Spelled:
         out[(first[owner] + rank - rank[first][owner])[keep]] = symbols[keep]
         self.symbols[place] = out
         if self.index is not None:
-            self._note(out, word[owner], (out[:-1] == new) | (out[1:] == new))
+            self._note(new, out, word[owner], (out[:-1] == new) | (out[1:] == new))
         return _add(change, _pairs(out, weight))
 
     def indexed(self) -> Spelled:
         self.index = {}
-        self._note(self.symbols, np.repeat(np.arange(len(self.freq)), np.diff(self.start)), True)
+        self._note(-1, self.symbols, np.repeat(np.arange(len(self.freq)), np.diff(self.start)), True)
         return self
 
-    def _note(self, symbols: np.ndarray, word: np.ndarray, where) -> None:
-        """Which words have which pairs, for the neighbours at these places."""
+    def _note(self, made: int, symbols: np.ndarray, word: np.ndarray, where) -> None:
+        """Which words have which pairs, for the neighbours at these places: two arrays
+        for each merge, kept by the symbol that it made (-1: at the beginning)."""
         at = np.flatnonzero((symbols[:-1] >= 0) & (symbols[1:] >= 0) & where)
         key = symbols[at].astype(np.int64) << 32 | symbols[at + 1]
         order = np.argsort(key, kind="stable")
-        key, words = key[order], word[at[order]].astype(np.int32)
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        for p, some in zip(key[first].tolist(), np.split(words, first[1:]) if len(first) else ()):
-            self.index.setdefault(p, []).append(some)
+        self.index.setdefault(made, []).append((key[order], word[at[order]].astype(np.int32)))
 
     def _places(self, a: int, b: int) -> np.ndarray:
         if self.index is None:
             return np.flatnonzero((self.symbols[:-1] == a) & (self.symbols[1:] == b))
-        had = self.index.pop(a << 32 | b, None)
-        if had is None:
-            return np.empty(0, np.int64)
+        # a pair came up when the later of its symbols was made, or was there from the beginning
+        pair, had = a << 32 | b, [np.empty(0, np.int32)]
+        for key, words in (chunk for made in {-1, a, b} for chunk in self.index.get(made, ())):
+            low, high = np.searchsorted(key, [pair, pair + 1])
+            had.append(words[low:high])
         words = np.unique(np.concatenate(had))
         low, size = self.start[words], self.start[words + 1] - self.start[words]
         place = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -290,7 +290,7 @@ class _OnDriver:
     """The words in the driver's memory."""
 
     def __init__(self, counts: DataFrame, codes: np.ndarray):
-        self.blocks = [Spelled.of(x, codes).indexed() for x in counts.toArrow().to_batches(_BLOCK_WORDS)]
+        self.blocks = [Spelled.of(x, codes).indexed() for x in counts.toArrow().combine_chunks().to_batches(10 * _BLOCK_WORDS)]
 
     def pairs(self) -> dict[int, int]:
         return reduce(_add, (x.pairs() for x in self.blocks), {})
