@@ -437,12 +437,13 @@ def bpe_encode(t: Column, vocab: dict[str, int], merges: list[tuple[str, str]])
     merged, one at a time, by the pattern of pre_tokens(); white space is single blanks there."""
     ranks = {p: k for k, p in enumerate(merges)}
     pattern = GPT_SPLIT
+    known: dict[str, list[int]] = {}  # of a task, through all its batches
 
     @F.pandas_udf("array<int>")
     def encode(texts):
         import regex
 
-        split, known = regex.compile(pattern), {}
+        split = regex.compile(pattern)
 
         def ids(piece):
             if piece not in known:
