@@ -11,13 +11,14 @@ from .. import shared
 
 #: Settings while a table is written: shuffle files go when the query ends, and Arrow
 #: batches stay small, since each task holds some of them in both processes.
-_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 @contextmanager
-def _while_writing(spark: SparkSession):
-    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
-    for k, v in _WHILE_WRITING.items():
+def _while_writing(spark: SparkSession, arrow_rows: int):
+    settings = _WHILE_WRITING | {"spark.sql.execution.arrow.maxRecordsPerBatch": str(arrow_rows)}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -28,10 +29,11 @@ def _while_writing(spark: SparkSession):
 
 class Table(shared.Table):
     """A written table in the shared folder: cuts lineage like checkpoint(), keeps
-    columns compressed, survives the loss of executors and can be dropped."""
+    columns compressed, survives the loss of executors and can be dropped.  arrow_rows:
+    rows of an Arrow batch, fewer where a row is large."""
 
-    def __init__(self, df: DataFrame):
-        with _while_writing(df.sparkSession):
+    def __init__(self, df: DataFrame, arrow_rows: int = 1000):
+        with _while_writing(df.sparkSession, arrow_rows):
             super().__init__(df)
 
 

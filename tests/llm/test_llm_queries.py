@@ -20,8 +20,9 @@ def canonical(rows):
 
 def same(spark, name, at, files):
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
-        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{at}/{table}.parquet{files}'")
+    for table in ("documents", "benchmark", "embeddings", "conversations"):
+        if os.path.exists(f"{at}/{table}.parquet"):
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{at}/{table}.parquet{files}'")
     frame = queries.queries()[name](spark, at)
     columns = sorted(frame.columns)
     ours = canonical([r[c] for c in columns] for r in frame.collect())
@@ -63,6 +64,13 @@ def awkward(spark, tmp_path_factory):
     rows = [(k, t, "en", "s", 1) for k, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(k, t) for k, t in enumerate([*items, None, ""])], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spots = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(12)]
+    near = [[x + rng.gauss(0, 0.15) for x in rng.choice(spots)] for _ in range(80)]
+    odd = [None, [], [0.0] * 6, [1.0, None, 0.0, 0.0, 0.0, 0.0], [float("nan")] * 6, [float("inf")] * 6, near[0], near[0], [2 * x for x in near[1]]]
+    spark.createDataFrame([(k, e, 0) for k, e in enumerate([*near, *odd])], "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{at}/embeddings.parquet")
+    said = lambda: rng.choice([None, "", "a", "a b", "c\n d", "é"])
+    turns = [(c, rng.choice([None, *range(9)]), rng.choice(["user", None, "x"]), said()) for c in range(0, 300, 2) for _ in range(rng.randrange(1, 6))]
+    spark.createDataFrame([*turns, (None, 1, "user", "a")], "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{at}/conversations.parquet")
     return at
 
 
