@@ -17,7 +17,7 @@ from ..functions import instruct as I
 from ..functions import numbers as N
 from ..functions import text as T
 from ..functions.extract import configured_text, generic_text, instruction_fields, language_matches, text_by_source
-from ..operators import dedup, instructions, metrics, order, tokens
+from ..operators import bpe, dedup, instructions, metrics, order, tokens
 from ..shared import shared_dir
 from ..sources import readers, recipes, sinks, specs
 from ..streaming import clean as streaming
@@ -659,13 +659,61 @@ def morpheme_encode(spark, sf_dir):
     return x.select("doc_id", F.size("x").alias("n"), F.size(F.filter("x", lambda y: y >= 1000)).alias("unknown"), total.alias("total"))
 
 
+#: A small vocabulary by rule: letters, then merges whose parts come before them.
+_FEW_MERGES = [tuple(m.split()) for m in ("t h", "th e", "e r", "i n", "a n", "e n", "o n", "in g", "an d", "t i", "ti on", "the r", "r e", "e s", "d e", "en t", "s t", "l a", "ing s", "q u")]
+_FEW_IDS = {**bpe.BPE_SPECIALS, **{c: k + 4 for k, c in enumerate("abcdefghijklmnopqrstuvwxyz")}, **{a + b: k + 30 for k, (a, b) in enumerate(_FEW_MERGES)}}
+_SPELLED = "'<' || array_to_string(list_filter(string_split({}, ''), lambda c: c <> ''), '><') || '>'"
+_MERGED = "{}"
+for _a, _b in _FEW_MERGES:
+    _MERGED = f"replace({_MERGED}, '<{_a}><{_b}>', '<{_a}{_b}>')"
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, trim(regexp_replace(lower(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g')), ' +', ' ', 'g')) AS text FROM documents),
+p AS (SELECT doc_id, list_transform(regexp_extract_all(text, ' ?[a-z]+'), lambda w: {_MERGED.format(_SPELLED.format('w'))}) AS p FROM d),
+s AS (SELECT doc_id, regexp_extract_all(array_to_string(p, ''), '<([^>]*)>', 1) AS s FROM p),
+v AS (SELECT map_from_entries([{', '.join(f"('{t}', {i})" for t, i in _FEW_IDS.items())}]) AS v)
+SELECT doc_id, len(s) + 2 AS n, len(list_filter(s, lambda x: x = ' ')) AS unknown, md5(array_to_string(list_concat([2], list_transform(s, lambda x: coalesce(v[x], 1)), [3]), ',')) AS h FROM s, v"""
+)
+def bpe_encode_known(spark, sf_dir):
+    """Letters of all texts by a small vocabulary; blanks before words have no id there."""
+    letters = F.lower(F.regexp_replace("text", "[^a-zA-Z]+", " "))
+    ids = readers.spread(_docs(spark, sf_dir)).select("doc_id", bpe.bpe_encode(letters, _FEW_IDS, _FEW_MERGES).alias("ids"))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n"), F.size(F.filter("ids", lambda x: x == 1)).cast("long").alias("unknown"), F.md5(F.array_join("ids", ",")).alias("h"))
+
+
+@query(
+    r"""WITH RECURSIVE words AS (
+  SELECT token, count(*)::BIGINT AS freq FROM (SELECT unnest(regexp_extract_all(text, '[a-zA-Z]+')) AS token FROM documents) GROUP BY token
+),
+steps AS (
+  SELECT 0 AS step, NULL::VARCHAR AS a, NULL::VARCHAR AS b, NULL::BIGINT AS n,
+    (SELECT list({'s': '<' || array_to_string(list_filter(string_split(token, ''), lambda c: c <> ''), '><') || '>', 'f': freq}) FROM words) AS w
+  UNION ALL
+  SELECT step + 1, p.a, p.b, p.n, list_transform(w, lambda x: {'s': replace(x.s, '<' || p.a || '><' || p.b || '>', '<' || p.a || p.b || '>'), 'f': x.f})
+  FROM steps, LATERAL (
+    SELECT z[1] AS a, z[2] AS b, sum(f)::BIGINT AS n FROM (
+      SELECT x.f AS f, unnest(list_zip(s[1:len(s) - 1], s[2:])) AS z FROM (SELECT x, regexp_extract_all(x.s, '<([^>]*)>', 1) AS s FROM (SELECT unnest(w) AS x))
+    ) GROUP BY 1, 2 ORDER BY n DESC, a DESC, b DESC LIMIT 1
+  ) p WHERE step < 24
+)
+SELECT step::INT AS step, a, b FROM steps WHERE step > 0"""
+)
+def bpe_merges(spark, sf_dir):
+    """The first merges over all words of letters, in rounds on the executors."""
+    counts = tokens.word_counts(_docs(spark, sf_dir), F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0)))
+    size = len(bpe.BPE_SPECIALS) + tokens.alphabet(counts).count() + 24
+    merges = bpe.train_bpe(counts, size, driver_chars=0)[1]
+    return spark.createDataFrame([(k + 1, *m) for k, m in enumerate(merges)], "step int, a string, b string")
+
+
 @query()
 def bpe_encode(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     counts = tokens.word_counts(docs, tokens.pre_tokens(tokens.nfd(_text())))
-    vocab, merges = tokens.train_bpe(counts, 32_000)
-    made = docs.select("doc_id", tokens.bpe_encode(_text(), vocab, merges).alias("ids"))
-    return made.select("doc_id", F.size("ids").alias("n"), F.size(F.filter("ids", lambda x: x == 1)).alias("unknown"), F.md5(tokens.bpe_decode(F.col("ids"), vocab)).alias("h"))
+    vocab, merges = bpe.train_bpe(counts, 32_000)
+    made = docs.select("doc_id", bpe.bpe_encode(_text(), vocab, merges).alias("ids"))
+    return made.select("doc_id", F.size("ids").alias("n"), F.size(F.filter("ids", lambda x: x == 1)).alias("unknown"), F.md5(bpe.bpe_decode(F.col("ids"), vocab)).alias("h"))
 
 
 @query(rf"WITH {_MORPHEMES} SELECT doc_id, len(m)::INT AS n, md5(regexp_replace(array_to_string(m, ' '), ' ({_MARKS})', '\1', 'g')) AS h FROM x")
@@ -1120,9 +1168,9 @@ def text_encoding(spark, sf_dir):
 def bpe_round_trip(spark, sf_dir):
     """Decoded ids are the normalized text; a lone blank before a number is no piece."""
     docs = readers.spread(_docs(spark, sf_dir).select("doc_id", "text"))
-    vocab, merges = tokens.train_bpe(tokens.word_counts(docs, tokens.pre_tokens(tokens.nfd(_text()))), 1000)
-    ids = docs.select("doc_id", tokens.bpe_encode(_text(), vocab, merges).alias("ids"))
-    return ids.select("doc_id", F.size(F.filter("ids", lambda x: x == 1)).alias("unknown"), F.md5(tokens.bpe_decode(F.col("ids"), vocab)).alias("h"))
+    vocab, merges = bpe.train_bpe(tokens.word_counts(docs, tokens.pre_tokens(tokens.nfd(_text()))), 1000)
+    ids = docs.select("doc_id", bpe.bpe_encode(_text(), vocab, merges).alias("ids"))
+    return ids.select("doc_id", F.size(F.filter("ids", lambda x: x == 1)).alias("unknown"), F.md5(bpe.bpe_decode(F.col("ids"), vocab)).alias("h"))
 
 
 @query(

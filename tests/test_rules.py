@@ -8,6 +8,7 @@ import unicodedata
 from collections import Counter
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from quern.functions import instruct as I
 from quern.functions import numbers as N
 from quern.functions import text as T
 from quern.functions.extract import generic_text, instruction_fields, text_by_source
-from quern.operators import dedup, instructions, metrics, order, tokens
+from quern.operators import bpe, dedup, instructions, metrics, order, tokens
 from quern.plans import pipelines
 from quern.sources import readers, recipes, sinks, specs
 from quern.streaming import clean as streaming
@@ -228,18 +229,18 @@ def test_pieces_are_the_same_in_both_places(spark):
     frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
     letters = sorted({c for t in texts for c in unicodedata.normalize("NFD", t)})
     vocab = {c: k + 4 for k, c in enumerate(letters)}
-    got = frame.select("k", tokens.pre_tokens(tokens.nfd(F.col("t"))).alias("p"), tokens.bpe_encode(F.col("t"), vocab, []).alias("x")).collect()
+    got = frame.select("k", tokens.pre_tokens(tokens.nfd(F.col("t"))).alias("p"), bpe.bpe_encode(F.col("t"), vocab, []).alias("x")).collect()
     assert all(r.x == [2, *(vocab[c] for p in r.p for c in p), 3] for r in got)
 
 
 def test_bpe(spark):
     frame = spark.createDataFrame([("low low low low low",), ("lower lower newest newest newest",), ("widest 한국어 abc",)], "text string")
     counts = tokens.word_counts(frame, tokens.pre_tokens(tokens.nfd(F.col("text"))))
-    vocab, merges = tokens.train_bpe(counts, 60)
+    vocab, merges = bpe.train_bpe(counts, 60)
     assert ("o", "w") in merges and len(vocab) <= 60 and vocab["<eos>"] == 3
-    back = frame.select(tokens.bpe_decode(tokens.bpe_encode(F.col("text"), vocab, merges), vocab)).first()[0]
+    back = frame.select(bpe.bpe_decode(bpe.bpe_encode(F.col("text"), vocab, merges), vocab)).first()[0]
     assert back == "low low low low low"
-    assert tokens.merge(list("aaa"), {("a", "a"): 0}) == ["aa", "a"]
+    assert bpe.merge(list("aaa"), {("a", "a"): 0}) == ["aa", "a"]
     assert column(spark, ["한 é  x "], tokens.nfd) == [unicodedata.normalize("NFD", "한 é x")]
 
 
@@ -258,23 +259,65 @@ def brute_bpe(freqs, size):
             break
         merges.append(max(pairs, key=lambda p: (pairs[p], p)))
         vocab.setdefault("".join(merges[-1]), len(vocab))
-        spelled = {w: tokens.merge(x, {merges[-1]: 0}) for w, x in spelled.items()}
+        spelled = {w: bpe.merge(x, {merges[-1]: 0}) for w, x in spelled.items()}
     return vocab, merges
 
 
-@pytest.mark.parametrize("driver_chars", [10**9, 0])
-def test_bpe_trains_on_all_words(spark, driver_chars):
+#: On the driver; in rounds; with all pairs of a count beyond the bound; with segments beyond theirs.
+BOUNDS = [(10**9, 20_000, 2_000_000), (0, 20_000, 2_000_000), (0, 2, 2_000_000), (0, 20_000, 60), (0, 12, 700)]
+
+
+@pytest.mark.parametrize("bounds", BOUNDS)
+def test_bpe_trains_on_all_words(spark, bounds):
     rng = random.Random(31)
-    freqs = {"".join(rng.choice("aaabcdé😀") for _ in range(rng.randrange(1, 12))): rng.randrange(1, 9) for _ in range(300)}
+    freqs = {"".join(rng.choice("aaabcdé😀") for _ in range(rng.randrange(1, 12))): rng.randrange(1, 9) for _ in range(200)}
     counts = spark.createDataFrame(list(freqs.items()) + [("", 5)], "token string, freq long").repartition(3)
-    assert tokens.train_bpe(counts, 60, driver_chars=driver_chars) == brute_bpe(freqs, 60)
-    assert tokens.train_bpe(counts.where("false"), 60, driver_chars=driver_chars) == (tokens.BPE_SPECIALS, [])
+    assert bpe.train_bpe(counts, 40, *bounds) == brute_bpe(freqs, 40)
+    assert bpe.train_bpe(counts.where("false"), 40, *bounds) == (tokens.BPE_SPECIALS, [])
+
+
+def test_bpe_trains_to_the_end(spark):
+    """Until no word has a pair, over several blocks; symbols made in two ways end a round."""
+    rng = random.Random(5)
+    freqs = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))): rng.choice([1, 1, 2, 40]) for _ in range(90)}
+    counts = spark.createDataFrame(list(freqs.items()), "token string, freq long").repartition(6)
+    assert bpe.train_bpe(counts, 10**6, driver_chars=0) == brute_bpe(freqs, 10**6)
+
+
+def test_encoder_merges_as_the_plain_loop():
+    """Trained merges and any others, short pieces and long ones."""
+    rng = random.Random(6)
+    for turn in range(40):
+        letters = "abcé"[: rng.randrange(1, 5)]
+        made = [*letters]
+        merges = []
+        for _ in range(rng.randrange(0, 14)):
+            merges.append((rng.choice(made), rng.choice(made)))
+            made.append("".join(merges[-1]))
+        if turn % 3 == 0:
+            rng.shuffle(merges)
+        vocab = {s: k + 4 for k, s in enumerate(dict.fromkeys(made[: rng.randrange(1, len(made) + 1)]))}
+        pieces = ["".join(rng.choice(letters + "xx"[: turn % 3]) for _ in range(rng.choice([0, 1, 2, 5, 9, 64, 65, 300]))) for _ in range(60)]
+        ids, size = bpe.Encoder(vocab, merges)(pieces)
+        ranks = {p: k for k, p in enumerate(merges)}
+        want = [[vocab.get(s, 1) for s in bpe.merge(list(p), ranks)] for p in pieces]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == want
+
+
+def test_long_pieces_are_encoded_in_time():
+    import time
+
+    merges = [("a", "b"), ("ab", "ab"), ("abab", "abab"), ("b", "a")]
+    began = time.perf_counter()
+    ids, size = bpe.Encoder({}, merges)(["ab" * 100_000, "a" * 200_000, "ba" * 100_000])
+    assert size.tolist() == [25_000, 200_000, 25_003]
+    assert time.perf_counter() - began < 20
 
 
 def test_bpe_counts_pairs_of_rare_words(spark):
     often = spark.range(50_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("token"), F.lit(2).cast("long").alias("freq"))
     rare = spark.range(150_000).select(F.concat(F.lit("zy"), F.col("id").cast("string")).alias("token"), F.lit(1).cast("long").alias("freq"))
-    assert tokens.train_bpe(often.unionByName(rare), 18)[1][0] == ("z", "y")
+    assert bpe.train_bpe(often.unionByName(rare), 18)[1][0] == ("z", "y")
 
 
 
