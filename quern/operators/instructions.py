@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import instruct as I
 from ..functions.text import instruction_hash, strip
+from ..shared import written
 from .order import shuffle_key
 
 
@@ -52,10 +53,11 @@ def candidates(rows: DataFrame, key: str = "conv_id") -> DataFrame:
 def augment(rows: DataFrame, needed: Column, key: str = "conv_id", seed: int = 42) -> DataFrame:
     """`needed` (by language) variants that equal no row and no other variant, in
     shuffled order: as many as there are, where the walk at random gave up earlier."""
-    from .order import hash_bucket, ranked
+    from .order import first_rows
 
     h = instruction_hash(F.col("instruction"), F.col("input"), F.col("output"))
-    fresh = candidates(rows, key).withColumn("h", h).join(rows.select(h.alias("h")).distinct(), "h", "left_anti")
+    unseen = candidates(rows, key).withColumn("h", h).join(rows.select(h.alias("h")).distinct(), "h", "left_anti")
     order = shuffle_key(seed, F.concat_ws("/", F.col(key).cast("string"), "method"))
-    one = fresh.withColumn("__order", order).groupBy("h").agg(F.min_by(F.struct(*fresh.columns, "__order"), "__order").alias("r")).select("r.*")
-    return ranked(one, ["language"], [F.col("__order"), F.col("h")], hash_bucket(F.col("__order"))).where(F.col("rank") <= needed).drop("rank", "total", "__order", "h")
+    one = unseen.withColumn("__order", order).groupBy("h").agg(F.min_by(F.struct(*unseen.columns, "__order"), "__order").alias("r")).select("r.*")
+    # the variants are made once, and read thrice
+    return first_rows(written(one), ["language"], F.col("__order"), 32, lambda total, every: needed, "__first").where("__first").drop("__first", "__order", "h")

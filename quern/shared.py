@@ -40,3 +40,15 @@ class Table:
 def written(df: DataFrame) -> DataFrame:
     """The same rows from a written table, which stays until the folder is emptied."""
     return Table(df).read()
+
+
+def fresh(df: DataFrame, *stems: str) -> dict[str, str]:
+    """A column name for each stem that df doesn't have (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, {}
+    for stem in stems:
+        name = f"__{stem}"
+        while name.lower() in taken or name.lower() + "_" in taken:
+            name += "_"
+        out[stem] = name
+        taken.add(name.lower())
+    return out

@@ -8,6 +8,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import fresh
 from . import sinks
 from .readers import read_source
 from .specs import SourceSpec
@@ -46,7 +47,12 @@ def merge_weighted(frames: dict[str, tuple[DataFrame, float]]) -> DataFrame:
     """The rows of each frame int(weight) times, with its name as source."""
     from ..operators.order import replicate
 
-    parts = [replicate(df.withColumns({"source": F.lit(name), "__w": F.lit(float(w))}), "__w").drop("__w", "copy") for name, (df, w) in frames.items()]
+    def copies(name: str, df: DataFrame, weight: float) -> DataFrame:
+        x = fresh(df, "weight", "copy")
+        weighted = df.withColumns({"source": F.lit(name), x["weight"]: F.lit(float(weight))})
+        return replicate(weighted, x["weight"], x["copy"]).drop(*x.values())
+
+    parts = [copies(name, df, weight) for name, (df, weight) in frames.items()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)

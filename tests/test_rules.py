@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import unicodedata
@@ -482,3 +483,54 @@ def test_recipes_ingest_and_config(spark, tmp_path):
     assert config.n_heads == 7 and recipes.config_errors({"vocab_size": 0, "d_model": 8, "n_heads": 3}) == [
         "missing: n_layers", "missing: max_seq_len", "missing: learning_rate", "missing: batch_size", "must be positive: vocab_size", "d_model must be a multiple of n_heads",
     ]
+
+
+@pytest.mark.parametrize("most", [5, 10**6])
+def test_first_rows_of_groups_by_radix(spark, most):
+    """Against sorting: groups of any size (null too), keys that many rows share, rows that are alike."""
+    rng = random.Random(19)
+    rows = [(rng.choice([*range(300), None, 7, 7, 7]), rng.choice(["ko", "en", None, "x"]), rng.randrange(3), k % 5) for k in range(1500)] + [(7, "ko", 1, 1)] * 400 + [(9, "one", 0, 0)]
+    frame = spark.createDataFrame(rows, "id long, language string, rank int, total int").repartition(4)
+    for share in (0.001, 0.3, 1.0):
+        marked = order.first_rows(frame, ["language"], order.shuffle_key(1, F.col("id")), 32, lambda total, every: F.floor(total * share), "__flag", most)
+        got = marked.collect()
+        assert Counter(tuple(r)[:4] for r in got) == Counter(rows)
+        for g in ("ko", "en", None, "x", "one"):
+            mine = [(hashlib.md5(f"1:{r[0]}".encode()).hexdigest() if r[0] is not None else "0" * 32, r[4]) for r in got if r[1] == g]
+            want = min(len(mine), int(len(mine) * share))
+            assert sum(f for _, f in mine) == want
+            assert max((k for k, f in mine if f), default="") <= min((k for k, f in mine if not f), default="g")
+
+
+def test_order_keeps_columns_of_any_name(spark):
+    names = ["rank", "total", "copy", "flag", "__flag", "__key", "__g0", "__g0_", "__last", "every", "need", "prefix", "n", "w", "__bucket", "__weight", "__copy", "last"]
+    rows = [(k, "ko" if k % 3 else "en", *[k * 10 + j for j in range(len(names))]) for k in range(60)]
+    frame = spark.createDataFrame(rows, "id long, language string, " + ", ".join(f"{c} long" for c in names))
+    whole = {r[0]: r for r in rows}
+
+    def same(out, more=()):
+        assert out.columns == ["id", "language", *names, *more]
+        got = out.collect()
+        assert all(tuple(r)[: 2 + len(names)] == whole[r["id"]] for r in got)
+        return len(got)
+
+    assert same(order.mix_by_ratio(frame, "id", target=20)) == 14 + 6
+    assert same(order.sample_exact(frame, ["language"], "id", F.when(F.col("language") == "ko", 5).otherwise(3))) == 8
+    assert same(order.mix_prefix(frame, "id")) == 28 + 6
+    assert same(order.mix_prefix(frame.withColumn("id", F.col("id").cast("double")), "id").withColumn("id", F.col("id").cast("long"))) == 28 + 6
+    assert same(order.train_val_split(frame, "id"), ["split"]) == 60
+    assert same(order.rank_shards(frame, "id", 8), ["shard"]) == 60
+    assert same(order.batches(frame, "id", 25), ["batch"]) == 50
+    assert same(order.head_per_source(frame, "language", "id", 4)) == 8
+    merged = recipes.merge_weighted({"a": (frame, 2.5), "b": (frame, 0.5)})
+    assert merged.columns == ["id", "language", *names, "source"] and merged.count() == 120
+    after = order.following(frame, "id", "copy")
+    assert after.columns == ["id", "language", *names, "next"] and after.where("next IS NULL").count() == 1
+
+
+def test_ranks_of_a_key_that_many_rows_share(spark):
+    frame = spark.range(500).select(F.when(F.col("id") < 300, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v")).repartition(3)
+    got = order.shuffled_rank(frame, "k", 3, "r", "t", most=10).collect()
+    assert sorted(r["r"] for r in got) == list(range(1, 501)) and {r["t"] for r in got} == {500}
+    keys = [hashlib.md5(f"3:{r['k']}".encode()).hexdigest() for r in sorted(got, key=lambda r: r["r"])]
+    assert keys == sorted(keys)
