@@ -154,6 +154,27 @@ def _kept(marked: DataFrame, flag: str) -> DataFrame:
     return marked.where(F.col(flag)).drop(flag)
 
 
+def position_digits(df: DataFrame, position: str) -> tuple[Column, int] | None:
+    """Positions that are whole numbers as digits, null first, and how many; else None."""
+    if df.schema[position].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return None
+    low, high = (x or 0 for x in df.agg(F.min(position), F.max(position)).first())
+    if high - low >= (1 << 63) - 1:
+        return None
+    width = len(f"{high - low + 1:x}")
+    above = F.lpad(F.lower(F.hex(F.col(position).cast("long") - F.lit(low) + 1)), width, "0")
+    return F.coalesce(above, F.lit("0" * width)), width
+
+
+def head(df: DataFrame, position: str, limit: int) -> DataFrame:
+    """The first `limit` rows by position.  Whole numbers: a filter, once the position of
+    the last row is found; others are sorted."""
+    if digits := position_digits(df, position):
+        flag = fresh(df, "flag")["flag"]
+        return _kept(first_rows(df, [], *digits, lambda total, every: F.lit(limit), flag), flag)
+    return df.orderBy(position).limit(limit)
+
+
 # -------------------------------------------------------------- ranks of all rows
 
 
@@ -215,12 +236,8 @@ def mix_prefix(df: DataFrame, position: str, korean: float = 0.7, english: float
     numbers or others): a share of each language, not a mix of that ratio."""
     share = F.when(F.col(language) == "ko", korean / (korean + english)).otherwise(english / (korean + english))
     x = fresh(df, "flag", "rank", "total")
-    if df.schema[position].dataType.typeName() in ("byte", "short", "integer", "long"):
-        low, high = df.agg(F.min(position), F.max(position)).first()
-        width = len(f"{(high or 0) - (low or 0):x}")
-        if (high or 0) - (low or 0) < 1 << 63:
-            first = F.coalesce(F.lpad(F.lower(F.hex(F.col(position).cast("long") - F.lit(low or 0))), width, "0"), F.lit("0" * width))
-            return _kept(first_rows(df, [language], first, width, lambda total, every: F.floor(total * share), x["flag"]), x["flag"])
+    if digits := position_digits(df, position):
+        return _kept(first_rows(df, [language], *digits, lambda total, every: F.floor(total * share), x["flag"]), x["flag"])
     out = ranked(df, [language], [F.col(position)], position_bucket(df, position), x["rank"], x["total"])
     return out.where(F.col(x["rank"]) <= F.floor(F.col(x["total"]) * share)).drop(x["rank"], x["total"])
 

@@ -943,6 +943,69 @@ def stream_event_windows(spark, sf_dir):
     return streaming.run_updates(hours, *_stream_dirs(spark), ["hour", "event_type"]).select("hour", "event_type", "n", F.round("total", 4).alias("total"))
 
 
+_DELIVERED = "event_id long, ts timestamp, user_id long, event_type string, value double"
+
+
+def _deliveries(spark, sf_dir, parts: int) -> str:
+    """The events in so many files that come one after the other, each over the whole time."""
+    events, at = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"), _new_folder(spark)
+    for delivery in range(parts):
+        events.where(F.col("event_id") % parts == delivery).coalesce(1).write.mode("append").parquet(at)
+    return at
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+SELECT user_id, min(ts)::VARCHAR AS start, (max(ts) + INTERVAL 30 MINUTE)::VARCHAR AS last, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, session"""
+)
+def stream_sessions(spark, sf_dir):
+    """Events in three deliveries: later ones lie between, before and behind the sessions of the
+    first, which grow and join in the state.  A last row far ahead closes them all."""
+    at, (far, one) = _deliveries(spark, sf_dir, 3), table(spark, sf_dir, "events").agg(F.max("ts"), F.max("user_id")).first()
+    spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), (F.lit(far) + F.expr("INTERVAL 900 DAYS")).alias("ts"), F.lit(one + 1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value")).write.mode("append").parquet(at)
+    stream = streaming.read_stream(spark, at, _DELIVERED, files_per_trigger=1)
+    sessions = streaming.session_updates(stream, "ts", "30 minutes", "800 days", "user_id")
+    path, checkpoint = _stream_dirs(spark)
+    streaming.run_stopping(sessions, path, checkpoint)
+    shown = lambda c: F.regexp_replace(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"), r"\.?0*$", "")
+    text = lambda c: F.when(F.date_format(c, "SSSSSS") == "000000", F.date_format(c, "yyyy-MM-dd HH:mm:ss")).otherwise(shown(c))
+    return streaming.batches_written(spark, path, sessions.schema).select("user_id", text("start").alias("start"), text("end").alias("last"), "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY event_id % 4, event_id) = 1")
+def stream_restarted(spark, sf_dir):
+    """The first event of a user and hour, of four deliveries; the run stops after each of the first
+    two and goes on from its checkpoint.  State of keys behind the watermark is dropped."""
+    at = _deliveries(spark, sf_dir, 4)
+    path, checkpoint = _stream_dirs(spark)
+    schema = None
+    for stop_after in (1, 1, None):
+        stream = streaming.read_stream(spark, at, _DELIVERED, files_per_trigger=1).withColumn("hour", F.date_trunc("hour", "ts"))
+        # a file is one partition of rows in order of event_id, of which the first of a key stays
+        first = stream.withWatermark("hour", "800 days").dropDuplicatesWithinWatermark(["user_id", "hour"])
+        schema = first.schema
+        streaming.run_stopping(first, path, checkpoint, stop_after)
+    return streaming.batches_written(spark, path, schema).select("event_id", "user_id")
+
+
+@query("SELECT text, 'docs' AS source, 'en' AS language FROM (SELECT trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text, lang FROM documents ORDER BY doc_id LIMIT 300) WHERE lang = 'en' AND length(text) >= 100")
+def source_head(spark, sf_dir):
+    """The first 300 rows of the files, then the rules."""
+    spec = specs.SourceSpec("docs", path=f"{sf_dir}/documents.parquet", format="parquet", language="en", limits={"full": 300}, min_text_length=100, filter_field="lang", filter_value="en")
+    return readers.read_source(spark, spec)
+
+
+@query("SELECT text, 'docs' AS source, 'en' AS language FROM (SELECT trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM documents ORDER BY doc_id % 4, doc_id LIMIT 120) WHERE length(text) >= 100")
+def source_stream_head(spark, sf_dir):
+    """The documents in four deliveries, read as a stream up to a limit."""
+    at, docs = _new_folder(spark), _docs(spark, sf_dir)
+    for delivery in range(4):
+        docs.where(F.col("doc_id") % 4 == delivery).coalesce(1).sortWithinPartitions("doc_id").write.mode("append").parquet(at)
+    spec = specs.SourceSpec("docs", path=at, format="parquet", language="en", limits={"full": 120}, min_text_length=100, streaming=True)
+    return readers.stream_head(spark, spec, "doc_id long, text string, lang string, source string, n_chars long", *_stream_dirs(spark))
+
+
 # ----------------------------------------------------------------- whole pipelines
 
 
@@ -1143,7 +1206,7 @@ def ingest_sources(spark, sf_dir):
     return listed.join(counts, "language").select("source", "language", "written", "n")
 
 
-@query(f"WITH {_COUNTS}, v AS (SELECT token FROM counts ORDER BY freq DESC, token LIMIT 896) SELECT token, freq FROM counts WHERE token NOT IN (SELECT token FROM v)")
+@query(f"WITH {_COUNTS}, v AS (SELECT token FROM counts ORDER BY freq DESC, token LIMIT 896) SELECT token, freq FROM counts ANTI JOIN v USING (token)")
 def vocab_uncovered(spark, sf_dir):
     return tokens.uncovered(_docs(spark, sf_dir), T.words(_text()), tokens.vocabulary(_counts(spark, sf_dir), 1000, 4))
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 import logging
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.extract import configured_text, language_matches, text_by_source
-from ..operators.order import head_per_source
+from ..operators.order import head, head_per_source
+from ..shared import fresh
 from .specs import SourceSpec, active
 
 log = logging.getLogger(__name__)
@@ -87,19 +88,71 @@ def tokenizer_sample(korean: DataFrame | None, english: DataFrame | None, positi
     where a language can't be had."""
     if korean is None or english is None:
         return spark.createDataFrame([(t,) for t in FALLBACK_TOKENIZER_TEXTS], "text string")
-    heads = [d.orderBy(position).limit(rows).select("text") for d in (korean, english)]
+    heads = [head(d, position, rows).select("text") for d in (korean, english)]
     return heads[0].unionByName(heads[1]).where(F.length("text") > longer_than)
 
 
+def head_in_files(spark: SparkSession, format: str, path: str, field: str, limit: int) -> DataFrame:
+    """The first `limit` rows as they stand in the files, by file and place.  Files are counted in
+    order, one, then as many again, until there are enough rows (Parquet by its footers);
+    files before the one with the last row are taken whole, and of that one the rows before
+    a row index, or where the format has none the splits before one, of which alone rows are numbered."""
+    raw = spark.read.format(format).load(path)
+    files = sorted(raw.inputFiles())
+    if not files:
+        return raw.limit(limit)
+    base = {} if len(files) == 1 else {"basePath": path}
+    load = lambda some: spark.read.format(format).schema(raw.schema).options(**base).load(some)
+    at, taken, total = F.col("_metadata.file_path"), 0, 0
+    counts: dict[str, int] = {}
+    while taken < len(files) and total < limit:
+        more = files[taken : taken + max(1, taken)]
+        taken += len(more)
+        # text formats parse a row as the scan below does only where a field is asked for
+        counted = load(more).groupBy(at.alias("file")).agg(F.count("*").alias("n"), *([] if format == "parquet" else [F.count(field)]))
+        counts |= {r["file"]: r["n"] for r in counted.collect()}
+        total = sum(counts.values())
+    leading, before, last = load(files[:taken]), 0, None
+    for file in sorted(counts):
+        if before + counts[file] > limit:
+            last = file
+            break
+        before += counts[file]
+    if last is None:
+        return leading
+    need, whole, own = limit - before, leading.where(at < last), leading.where(at == last)
+    if format == "parquet":
+        return leading.where((at < last) | (at == last) & (F.col("_metadata.row_index") < need))
+    start = F.col("_metadata.file_block_start")
+    split = 0
+    for block, n in sorted(tuple(r) for r in own.groupBy(start.alias("b")).agg(F.count("*"), F.count(field)).select("b", "count(1)").collect()):
+        split = block
+        if n > need:
+            break
+        need -= n
+        split = block + 1
+    x = fresh(raw, "place", "number")
+    placed = own.where(start == split).withColumn(x["place"], F.monotonically_increasing_id())
+    # the rows of one split
+    numbered = placed.withColumn(x["number"], F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(x["place"])))
+    return whole.unionByName(own.where(start < split)).unionByName(numbered.where(F.col(x["number"]) <= need).drop(*x.values()))
+
+
 def read_source(spark: SparkSession, spec: SourceSpec, mode: str = "full", position: str | None = None) -> DataFrame:
     """text, source, language of one source: raw rows up to the limit, the language
     filter, the text field stripped and cut, then the minimum length.  The limit takes
     the first rows by position, or without one by their place in the files."""
-    raw = spark.read.format(spec.format).load(spec.path)
     limit = spec.limits.get(mode)
-    if limit is not None:
-        place = [position] if position else ["_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()]
-        raw = raw.orderBy(*place).limit(limit)
+    if limit is None:
+        raw = spark.read.format(spec.format).load(spec.path)
+    elif position:
+        raw = head(spark.read.format(spec.format).load(spec.path), position, limit)
+    else:
+        raw = head_in_files(spark, spec.format, spec.path, spec.text_field, limit)
+    return _of_source(raw, spec)
+
+
+def _of_source(raw: DataFrame, spec: SourceSpec) -> DataFrame:
     if spec.filter_field and spec.filter_value:
         raw = raw.where(language_matches(F.col(spec.filter_field), spec.filter_value))
     text = configured_text(F.col(spec.text_field), spec.max_text_length)
@@ -150,12 +203,46 @@ def chat_history(spark: SparkSession, path: str, lines: bool = False) -> DataFra
 
 def stream_source(spark: SparkSession, spec: SourceSpec, schema: str, files_per_trigger: int = 16) -> DataFrame:
     """The rows of a source marked for streaming, as they come: the same columns and rules
-    as read_source, without its limit (see streaming.clean.take)."""
+    as read_source, without its limit (see stream_head)."""
+    return _of_source(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(spec.format).load(spec.path), spec)
+
+
+def stream_head(spark: SparkSession, spec: SourceSpec, schema: str, path: str, checkpoint: str, mode: str = "full", files_per_trigger: int = 1) -> DataFrame:
+    """A source read as a stream up to its limit: the first raw rows in order of the files' arrival, then of
+    their place, with read_source's rules.  The stream stops as soon as it has them, so
+    later files are never opened; run again on the same checkpoint it goes on where it was."""
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(spec.format).load(spec.path)
-    if spec.filter_field and spec.filter_value:
-        raw = raw.where(language_matches(F.col(spec.filter_field), spec.filter_value))
-    text = configured_text(F.col(spec.text_field), spec.max_text_length)
-    return raw.select(text.alias("text"), F.lit(spec.name).alias("source"), F.lit(spec.language).alias("language")).where(F.length("text") >= max(1, spec.min_text_length))
+    limit = spec.limits.get(mode)
+    x = fresh(raw, "file", "block", "row")
+    index = F.col("_metadata.row_index") if spec.format == "parquet" else F.monotonically_increasing_id()
+    placed = raw.withColumns({x["file"]: F.col("_metadata.file_path"), x["block"]: F.col("_metadata.file_block_start"), x["row"]: index})
+    started: list = []
+
+    def counted(below: int) -> int:
+        """Raw rows in the batches before this one, by what they have written."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/counts")
+        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            return 0
+        return spark.read.schema("n long, batch long").parquet(f"{path}/counts").where(F.col("batch") < below).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def save(batch: DataFrame, number: int) -> None:
+        left = None if limit is None else limit - counted(number)
+        if left is None or left > 0:
+            rows = batch if left is None else batch.orderBy(*[x[k] for k in ("file", "block", "row")]).limit(left)
+            # a batch that is done again replaces what it wrote before
+            _of_source(rows, spec).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+            read = min(batch.count(), left if left is not None else 1 << 62)
+            spark.createDataFrame([(read,)], "n long").write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+            left = None if left is None else left - read
+        if left is not None and left <= 0:
+            started[0].stop()
+
+    started.append(placed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start())
+    started[0].awaitTermination()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/rows")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], "text string, source string, language string")
+    return spark.read.schema("text string, source string, language string").parquet(f"{path}/rows").select("text", "source", "language")
 
 
 def sample_instructions(spark: SparkSession) -> DataFrame:

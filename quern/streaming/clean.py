@@ -45,6 +45,38 @@ def session_counts(events: DataFrame, ts: str, gap: str, delay: str, *keys: str)
     return events.withWatermark(ts, delay).groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count("*").alias("n"))
 
 
+def session_updates(events: DataFrame, ts: str, gap: str, delay: str, *keys: str) -> DataFrame:
+    """start, last, n, total of each session and key, for run_sessions: the state keeps a session open until
+    the watermark has passed its last event by the gap, and a row between two open sessions
+    makes them one."""
+    window = F.session_window(ts, gap).alias("w")
+    counted = events.withWatermark(ts, delay).groupBy(window, *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return counted.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")
+
+
+def run_stopping(stream: DataFrame, path: str, checkpoint: str, stop_after: int | None = None) -> bool:
+    """Runs over what there is now, in append mode, each batch written under its number, so a batch that is
+    done again replaces itself: every row is there once however often the run stops.  With
+    stop_after it stops after so many batches; True if it came to the end.  Run again on
+    the same checkpoint it takes up offsets and state where they were."""
+    done, running = [], []
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        done.append(number)
+        if stop_after is not None and len(done) >= stop_after:
+            running[0].stop()
+
+    running.append(stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start())
+    running[0].awaitTermination()
+    return stop_after is None or len(done) < stop_after
+
+
+def batches_written(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What run_stopping has written, of all its runs."""
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
 def run_updates(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
     """Runs over what there is now in update mode; the last state of each key, from the
     updates written as Parquet with the number of their batch."""

@@ -534,3 +534,32 @@ def test_ranks_of_a_key_that_many_rows_share(spark):
     assert sorted(r["r"] for r in got) == list(range(1, 501)) and {r["t"] for r in got} == {500}
     keys = [hashlib.md5(f"3:{r['k']}".encode()).hexdigest() for r in sorted(got, key=lambda r: r["r"])]
     assert keys == sorted(keys)
+
+
+def test_limits_read_leading_files_only(spark, tmp_path):
+    """Of Parquet: a filter on the scan of the leading files, no sort and no exchange."""
+    at = f"{tmp_path}/many"
+    for part in range(6):
+        spark.range(part * 100, part * 100 + 100, 1, 1).selectExpr("id AS `_rank`", "concat('row ', id) AS text").coalesce(1).write.parquet(f"{at}/p={part}")
+    for limit in (0, 1, 100, 250, 600, 900):
+        spec = specs.SourceSpec("s", path=at, format="parquet", limits={"full": limit})
+        out = readers.read_source(spark, spec)
+        assert {r.text for r in out.collect()} == {f"row {k}" for k in range(min(limit, 600))}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "TakeOrdered" not in plan and "Sort" not in plan
+    assert len(readers.head_in_files(spark, "parquet", at, "text", 150).inputFiles()) == 2
+    by_position = readers.read_source(spark, specs.SourceSpec("s", path=at, format="parquet", limits={"full": 7}), position="_rank")
+    assert {r.text for r in by_position.collect()} == {f"row {k}" for k in range(7)}
+    assert order.head(spark.range(9).selectExpr("cast(id AS string) AS p"), "p", 4).count() == 4
+
+
+def test_stream_stops_at_the_limit_and_goes_on(spark, tmp_path):
+    for part in range(5):
+        spark.range(part * 10, part * 10 + 10, 1, 1).selectExpr("concat('row ', id) AS text").write.mode("append").parquet(f"{tmp_path}/in")
+    spec = specs.SourceSpec("s", path=f"{tmp_path}/in", format="parquet", limits={"full": 25, "small": None})
+    out = readers.stream_head(spark, spec, "text string", f"{tmp_path}/out", f"{tmp_path}/cp")
+    assert sorted(r.text for r in out.collect()) == sorted(f"row {k}" for k in range(25))
+    assert len(list((tmp_path / "out" / "rows").glob("batch=*"))) == 3
+    again = readers.stream_head(spark, spec, "text string", f"{tmp_path}/out", f"{tmp_path}/cp")
+    assert again.count() == 25
+    assert readers.stream_head(spark, spec, "text string", f"{tmp_path}/out2", f"{tmp_path}/cp2", mode="small").count() == 50
