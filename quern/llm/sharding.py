@@ -33,11 +33,15 @@ def _key() -> Column:
 
 
 def _splitters(rows: DataFrame, n: int, sample: int, seed: int) -> list:
-    """n - 1 quantile boundaries of a sample of at most `sample` keys, drawn with
+    """n - 1 quantile boundaries of a sample of about `sample` keys (at most, on average), drawn with
     probability by size: each row gets an exponential arrival time at the rate of
-    its size, and the earliest are the sample."""
+    its size, and those before a time that follows from the whole size are the sample."""
     uniform = (F.shiftrightunsigned(F.xxhash64(*_KEY, F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    drawn = rows.select(*_KEY, (-F.log(uniform) / F.col("size")).alias("arrival")).orderBy("arrival", *_KEY).limit(sample)
+    arrival = -F.log(uniform) / F.col("size")
+    # a row of size s arrives before t with probability 1 - exp(-s t), about s t, so a filter
+    # leaves about `sample` rows, of which no task has to hold more than its own
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    drawn = rows.select(*_KEY, arrival.alias("arrival")).where(F.col("arrival") < sample / max(total, 1))
     ordered = drawn.agg(F.sort_array(F.collect_list(_key())).alias("k"))
     at = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda j: F.get("k", F.floor(j * F.size("k") / n).cast("int")))
     found = ordered.select(F.array_distinct(F.array_compact(at)).alias("s")).first()
