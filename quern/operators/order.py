@@ -86,10 +86,18 @@ def _kth(keys: DataFrame, groups: list[str], wanted, digits: int, most: int) ->
     """groups, last, ties, tied of each group that has more rows than wanted(total, every):
     the key of its last wanted row, how many of the rows with that key are wanted, and how many
     there are.  keys: the groups' columns and key, strings of that many digits."""
-    size = _DIGITS
+    whole, size = Window.partitionBy(*groups), _DIGITS
+    every = keys.count()
+    if every <= most:  # few rows: sorted at once
+        same = keys.groupBy(*groups, "key").agg(F.count("*").alias("tied"))
+        need = wanted(F.col("total"), F.lit(every)).cast("long")
+        before = F.coalesce(F.sum("tied").over(whole.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = same.withColumns({"total": F.sum("tied").over(whole), "before": before}).withColumn("need", need).where("need < total")
+        found = placed.where("need > before AND need <= before + tied OR need <= 0 AND before = 0")
+        some = F.col("need") > 0
+        none = F.lit(0).cast("long")
+        return written(found.select(*groups, F.when(some, F.col("key")).otherwise("").alias("last"), F.when(some, F.col("need") - F.col("before")).otherwise(none).alias("ties"), F.when(some, F.col("tied")).otherwise(none).alias("tied")))
     counts = Table(keys.groupBy(*groups, F.substring("key", 1, size).alias("prefix")).agg(F.count("*").alias("n")))
-    every = counts.read().agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    whole = Window.partitionBy(*groups)
     start = counts.read().withColumn("total", F.sum("n").over(whole))
     start = start.withColumn("need", wanted(F.col("total"), F.lit(every)).cast("long")).where("need < total")
 

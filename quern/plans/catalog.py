@@ -943,6 +943,15 @@ def stream_event_windows(spark, sf_dir):
     return streaming.run_updates(hours, *_stream_dirs(spark), ["hour", "event_type"]).select("hour", "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("SELECT doc_id, lang, md5(text) AS h FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+def json_array_file(spark, sf_dir):
+    """Written as one JSON array, replaced by another one, and read again."""
+    at, docs = f"{_new_folder(spark)}.json", _docs(spark, sf_dir).select("doc_id", "lang", "text")
+    sinks.write_json_array(docs.where("doc_id % 5 = 0"), at, position="doc_id")
+    sinks.write_json_array(docs.where("doc_id % 2 = 0 OR doc_id % 3 = 0"), at, position="doc_id", force=True)
+    return readers.json_array(spark, at, "doc_id long, lang string, text string").select("doc_id", "lang", F.md5("text").alias("h"))
+
+
 _DELIVERED = "event_id long, ts timestamp, user_id long, event_type string, value double"
 
 

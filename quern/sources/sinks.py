@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +19,90 @@ def unique_name(base: str, now: datetime | None = None) -> str:
     return f"{base}_{(now or datetime.now(timezone.utc)).strftime('%Y%m%d_%H%M%S')}"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _beside(path: str, what: str) -> str:
+    return f"{path.rstrip('/')}.{what}-{uuid.uuid4().hex[:12]}"
+
+
+def replaced(spark: SparkSession, path: str, make) -> None:
+    """make(folder) writes to a folder beside path, which then takes path's place.  Until the
+    new output is whole the old one stays where it is; if the swap fails it is put back."""
+    staged = _beside(path, "new")
+    to, files = _hadoop(spark, path)
+    new, old = _hadoop(spark, staged)[0], _hadoop(spark, _beside(path, "old"))[0]
+    try:
+        make(staged)
+    except BaseException:
+        files.delete(new, True)
+        raise
+    before = files.exists(to)
+    if before and not files.rename(to, old):
+        files.delete(new, True)
+        raise OSError(f"{path} can't be moved away")
+    if not files.rename(new, to):
+        if before:
+            files.rename(old, to)
+        files.delete(new, True)
+        raise OSError(f"{path} can't be put in place")
+    if before:
+        files.delete(old, True)
+
+
 def write(df: DataFrame, path: str, *, format: str = "parquet", force: bool = False, partition_by: tuple[str, ...] = (), options: dict[str, str] | None = None) -> bool:
-    """Writes unless the output is there already; force replaces it.  True if written."""
-    if not force and exists(df.sparkSession, path):
+    """Writes unless the output is there already; force replaces it, by a folder written
+    beside it first, so a job that fails leaves the old output.  True if written."""
+    there = exists(df.sparkSession, path)
+    if there and not force:
+        return False
+
+    def make(to: str) -> None:
+        writer = df.write.format(format).options(**(options or {})).mode("errorifexists")
+        (writer.partitionBy(*partition_by) if partition_by else writer).save(to)
+
+    if there:
+        replaced(df.sparkSession, path, make)
+    else:
+        make(path)
+    return True
+
+
+def write_json_array(df: DataFrame, path: str, *, position: str | None = None, force: bool = False) -> bool:
+    """One file that is one valid JSON array of the rows, in order of position (a column, which stays)
+    or as they stand in their partitions.  Tasks write their parts, a comma before each row; the parts
+    are then joined in order under the final name, in buffers of 1 MB."""
+    spark = df.sparkSession
+    if not force and exists(spark, path):
         return False
-    writer = df.write.format(format).options(**(options or {})).mode("overwrite" if force else "errorifexists")
-    (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
+    ordered = df.orderBy(position) if position else df
+    parts = _beside(path, "parts")
+    folder, files = _hadoop(spark, parts)
+
+    def make(to: str) -> None:
+        row = F.to_json(F.struct(*[f"`{c}`" for c in df.columns]), {"ignoreNullFields": "false"})
+        ordered.select(F.concat(F.lit(","), row).alias("value")).write.text(parts)
+        out = files.create(_hadoop(spark, to)[0], True)
+        try:
+            out.write(bytearray(b"[\n"))
+            names = sorted(str(s.getPath()) for s in files.listStatus(folder) if s.getPath().getName().startswith("part-") and s.getLen())
+            for k, name in enumerate(names):
+                source = files.open(_hadoop(spark, name)[0])
+                try:
+                    source.seek(0 if k else 1)  # no comma before the first row
+                    spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+                finally:
+                    source.close()
+            out.write(bytearray(b"]\n"))
+        finally:
+            out.close()
+
+    try:
+        replaced(spark, path, make)
+    finally:
+        files.delete(folder, True)
     return True
 
 

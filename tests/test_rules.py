@@ -563,3 +563,29 @@ def test_stream_stops_at_the_limit_and_goes_on(spark, tmp_path):
     again = readers.stream_head(spark, spec, "text string", f"{tmp_path}/out", f"{tmp_path}/cp")
     assert again.count() == 25
     assert readers.stream_head(spark, spec, "text string", f"{tmp_path}/out2", f"{tmp_path}/cp2", mode="small").count() == 50
+
+
+def test_a_failed_write_leaves_the_old_output(spark, tmp_path):
+    at = f"{tmp_path}/out"
+    assert sinks.write(spark.range(5), at) and not sinks.write(spark.range(7), at)
+    fails = spark.range(9).select(F.when(F.col("id") == 8, F.raise_error(F.lit("no"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="no"):
+        sinks.write(fails, at, force=True)
+    assert spark.read.parquet(at).count() == 5
+    # an output may be made of what it replaces
+    assert sinks.write(spark.read.parquet(at).unionByName(spark.range(3)), at, force=True)
+    assert spark.read.parquet(at).count() == 8 and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_json_array_is_one_valid_file_in_order(spark, tmp_path):
+    import json
+
+    at = f"{tmp_path}/all.json"
+    rows = [(k, None if k % 5 == 0 else f'"q",\n[{k}] é 한') for k in range(200)]
+    frame = spark.createDataFrame(rows, "k long, t string").repartition(7)
+    assert sinks.write_json_array(frame, at, position="k") and not sinks.write_json_array(frame, at)
+    text = (tmp_path / "all.json").read_text(encoding="utf-8")
+    assert [(r["k"], r["t"]) for r in json.loads(text)] == rows
+    assert Counter(map(tuple, readers.json_array(spark, at, "k long, t string").collect())) == Counter(rows)
+    assert sinks.write_json_array(frame.where("false"), at, force=True) and json.loads((tmp_path / "all.json").read_text()) == []
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["all.json"]
