@@ -25,7 +25,6 @@ import heapq
 import json
 import unicodedata
 from collections import defaultdict
-from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -37,7 +36,7 @@ from pyspark.sql import functions as F
 from ..shared import Table
 from .tokens import BPE_SPECIALS, GPT_SPLIT, alphabet, decode_spacing
 
-_BLOCK_WORDS = 100_000
+_BLOCK_WORDS = 50_000
 _LONG = 64
 
 # --------------------------------------------------------------------- training
@@ -145,6 +144,35 @@ class Spelled:
         found = pa.table([spelled, pa.array(weight)], names=["segment", "freq"]).group_by("segment").aggregate([("freq", "sum")]).combine_chunks()
         return pa.RecordBatch.from_arrays([found.column("segment").combine_chunks(), found.column("freq_sum").combine_chunks()], names=["segment", "freq"])
 
+    def merge_all(self, merges: list[tuple[int, int, int]]) -> dict[int, int]:
+        """The merges one after the other, over all words together: each turn every word merges
+        its first pair in order of the merges.  A pair that a merge makes comes after it, so
+        that is the same.  Words without a pair left are dropped; how the counts change."""
+        keys = np.array([a << 32 | b for a, b, _ in merges], np.int64)
+        order = np.argsort(keys, kind="stable")
+        inside = self.symbols >= 0
+        owner = np.repeat(np.arange(len(self.freq)), np.diff(self.start))[inside]
+        symbols = self.symbols[inside].astype(np.int64)
+        # words that have any of the pairs
+        near = np.flatnonzero(owner[:-1] == owner[1:])
+        found = _known(symbols[near] << 32 | symbols[near + 1], keys[order])[1]
+        touched = np.zeros(len(self.freq), bool)
+        touched[owner[near[found]]] = True
+        old, still = touched[owner], ~touched[owner]
+        change = {p: -n for p, n in _pairs_of(symbols[old], owner[old], self.freq).items()}
+        done = _merge_by_rank(symbols[old], owner[old], keys[order], order, np.array([m[2] for m in merges], np.int64)[order])
+        owners, parts = (np.concatenate([x[k] for x in done] or [np.empty(0, np.int64)]) for k in (0, 1))
+        by = np.argsort(owners, kind="stable")
+        owners, parts = owners[by], parts[by]
+        _add(change, _pairs_of(parts, owners, self.freq))
+        owners, parts = np.concatenate([owner[still], owners]), np.concatenate([symbols[still], parts])
+        by = np.argsort(owners, kind="stable")
+        size = np.bincount(owners, minlength=len(self.freq))
+        keep = size > 1
+        whole = Spelled._of_symbols(parts[by][np.repeat(keep, size)], size[keep], self.freq[keep])
+        self.symbols, self.start, self.freq = whole.symbols, whole.start, whole.freq
+        return {p: n for p, n in change.items() if n}
+
     def indexed(self) -> Spelled:
         self.index = {}
         self._note(-1, self.symbols, np.repeat(np.arange(len(self.freq)), np.diff(self.start)), True)
@@ -182,6 +210,50 @@ def _pairs(symbols: np.ndarray, weight: np.ndarray) -> dict[int, int]:
     return dict(zip(key.tolist(), total.tolist()))
 
 
+def _pairs_of(symbols: np.ndarray, owner: np.ndarray, freq: np.ndarray) -> dict[int, int]:
+    """The same of symbols with the numbers of their words."""
+    near = owner[:-1] == owner[1:]
+    key, of = np.unique((symbols[:-1] << 32 | symbols[1:])[near], return_inverse=True)
+    total = np.zeros(len(key), np.int64)
+    np.add.at(total, of, freq[owner[:-1][near]])
+    return dict(zip(key.tolist(), total.tolist()))
+
+
+def _known(key: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the sorted keys, whether it is there)."""
+    if not len(keys):
+        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return at, keys[at] == key
+
+
+def _merge_by_rank(symbols: np.ndarray, owner: np.ndarray, keys: np.ndarray, ranks: np.ndarray, made: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(owner, symbol) of words of any number together (owners ascending): each turn merges every
+    word's pair of lowest rank, from the left; words without any are done.  keys: the pairs, sorted,
+    with their ranks and what they make."""
+    out, none = [], int(ranks.max(initial=-1)) + 1
+    while len(symbols):
+        rank, at = np.full(len(symbols), none, np.int64), np.zeros(len(symbols), np.int64)
+        near = np.flatnonzero(owner[:-1] == owner[1:])
+        at[near], there = _known(symbols[near] << 32 | symbols[near + 1], keys)
+        known = near[there]
+        rank[known] = ranks[at[known]]
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        best = np.repeat(np.minimum.reduceat(rank, first), np.diff(first, append=len(owner)))
+        live = best < none
+        out.append((owner[~live], symbols[~live]))
+        owner, symbols, at, hit = owner[live], symbols[live], at[live], np.flatnonzero((rank == best)[live])
+        # of places that overlap (a pair of equals) every second from the left
+        opens = np.diff(hit, prepend=-2) > 1
+        start = hit[np.maximum.accumulate(np.where(opens, np.arange(len(hit)), 0))] if len(hit) else hit
+        hit = hit[(hit - start) % 2 == 0]
+        symbols[hit] = made[at[hit]]
+        keep = np.ones(len(symbols), bool)
+        keep[hit + 1] = False
+        owner, symbols = owner[keep], symbols[keep]
+    return out
+
+
 def _add(to: dict[int, int], more: dict[int, int]) -> dict[int, int]:
     for p, n in more.items():
         to[p] = to.get(p, 0) + n
@@ -354,9 +426,8 @@ class _Blocks:
             for batch in batches:
                 for row in batch.select(["symbols", "start", "freq"]).to_pylist():
                     block = of(row)
-                    block = block.indexed() if len(merges) > 20 else block
-                    change = reduce(_add, (block.merge(*m) for m in merges), {})
-                    yield to_row(block.compact(), {p: n for p, n in change.items() if n})
+                    change = block.merge_all(merges)
+                    yield to_row(block, change)
 
         old = self.table, self.pairs
         self.table = Table(old[0].read().mapInArrow(step, self._SCHEMA))
@@ -481,7 +552,7 @@ class Encoder:
         long = np.flatnonzero(size > _LONG)
         first = np.cumsum(size) - size
         short = np.repeat(size <= _LONG, size)
-        out = self._merged(symbols[short], np.repeat(np.arange(len(pieces)), size)[short])
+        out = _merge_by_rank(symbols[short], np.repeat(np.arange(len(pieces)), size)[short], self.keys, self.rank, self.made)
         for k in long.tolist():
             whole = np.array(_heap_merge(symbols[first[k] : first[k] + size[k]].tolist(), self.ranks), np.int64)
             out.append((np.full(len(whole), k), whole))
@@ -489,34 +560,6 @@ class Encoder:
         order = np.argsort(owner, kind="stable")
         return self.ids[symbols[order]], np.bincount(owner, minlength=len(pieces))
 
-    def _merged(self, symbols: np.ndarray, owner: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(piece, symbol) of pieces of any number together: each turn merges every piece's pair of
-        lowest rank, pieces without any are done."""
-        out, none = [], int(self.rank.max(initial=-1)) + 1
-        while len(symbols):
-            rank = np.full(len(symbols), none, np.int64)
-            at = np.full(len(symbols), 0, np.int64)
-            if none:
-                near = np.flatnonzero(owner[:-1] == owner[1:])
-                key = symbols[near] << 32 | symbols[near + 1]
-                at[near] = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                known = near[self.keys[at[near]] == key]
-                rank[known] = self.rank[at[known]]
-            first = np.flatnonzero(np.diff(owner, prepend=-1))
-            best = np.repeat(np.minimum.reduceat(rank, first), np.diff(first, append=len(owner)))
-            live = best < none
-            out.append((owner[~live], symbols[~live]))
-            owner, symbols, at, hit = owner[live], symbols[live], at[live], np.flatnonzero((rank == best)[live])
-            # of places that overlap (a pair of equals) every second from the left
-            opens = np.diff(hit, prepend=-2) > 1
-            start = hit[np.maximum.accumulate(np.where(opens, np.arange(len(hit)), 0))] if len(hit) else hit
-            hit = hit[(hit - start) % 2 == 0]
-            symbols[hit] = self.made[at[hit]]
-            keep = np.ones(len(symbols), bool)
-            keep[hit + 1] = False
-            owner, symbols = owner[keep], symbols[keep]
-        return out
-
 
 class _Cache:
     """What a task has encoded: words by number, and their ids one after the other.  Pieces hold no blank
@@ -559,9 +602,8 @@ def bpe_encode(t: Column, vocab: dict[str, int], merges: list[tuple[str, str]])
     shared = SparkSession.active().sparkContext.broadcast(Encoder(vocab, merges))  # of a size set by the vocabulary's maker
     pattern, kept = GPT_SPLIT, {}
 
-    @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        if "cache" not in kept or len(kept["cache"].number) > 500_000:
+    def some(texts: pa.Array) -> pa.Array:
+        if "cache" not in kept or len(kept["cache"].number) > 200_000:
             kept["cache"] = _Cache(shared.value, pattern)
         cache = kept["cache"]
         number, of, per_text = cache.number, [], []
@@ -582,6 +624,11 @@ def bpe_encode(t: Column, vocab: dict[str, int], merges: list[tuple[str, str]])
         out[np.arange(len(flat)) + np.repeat(2 * np.arange(len(length)) + 1, length - 2)] = flat
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out), mask=texts.is_null() if texts.null_count else None)
 
+    @F.arrow_udf("array<int>")
+    def encode(texts: pa.Array) -> pa.Array:
+        # a few texts at a time, so that words and ids of a whole batch are never held at once
+        return pa.concat_arrays([some(texts.slice(k, 250)) for k in range(0, max(1, len(texts)), 250)])
+
     return encode(t)
 
 
