@@ -37,6 +37,18 @@ class Table(shared.Table):
             super().__init__(df)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that begin like these and that no column of df has."""
+    there = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in there:
+            name += "_"
+        there.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

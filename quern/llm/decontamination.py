@@ -35,34 +35,58 @@ from pyspark.sql import functions as F
 from .bytesnp import ALNUM_FOLDED, U64, Words, flat, mix, pieces, words
 from .common import Table, text_names, text_or_empty
 
-#: No mask has a longer run of tokens that count; so many hits or tokens
-#: are held at a time.
-LONGEST_RUN, AT_ONCE = 4, 1 << 20
+#: No mask has more tokens that count; so many hits or tokens are held at a
+#: time.
+HEAVIEST, AT_ONCE = 5, 1 << 20
+
+
+def _misses(family: tuple[str, ...], longest: int, need: int, part: Fraction) -> bool:
+    """Is there a lawful stretch of up to `longest` tokens that no mask of the family fits?
+
+    Of the stretches that none fits so far only the most matches for each way to end are kept."""
+    tail = max(map(len, family)) - 1
+    most = {"": 0}
+    for size in range(1, longest + 1):
+        following: dict[str, int] = {}
+        for end, matches in most.items():
+            for token in "01":
+                seen = end + token
+                if any(len(seen) >= len(m) and all(t >= c for t, c in zip(seen[-len(m) :], m)) for m in family):
+                    continue
+                kept = seen[max(0, len(seen) - tail) :]
+                following[kept] = max(following.get(kept, 0), matches + int(token))
+        most = following
+        if max(most.values(), default=-1) >= max(need, part * size):
+            return True
+    return False
+
+
+@lru_cache(1 << 10)
+def _family(longest: int, need: int, part: Fraction) -> tuple[str, ...]:
+    for weight in range(HEAVIEST, 1, -1):
+        family = tuple("1" * k + "0" + "1" * (weight - k) for k in range(1, weight))
+        if not _misses(family, longest, need, part):
+            for mask in family:
+                fewer = tuple(m for m in family if m != mask)
+                if fewer and not _misses(fewer, longest, need, part):
+                    family = fewer
+            return family
+    # stretches of one or two tokens have no place to ignore
+    return ("11",) if not _misses(("11",), longest, need, part) else ("1",)
 
 
 @lru_cache(1 << 14)
 def masks(tokens: int, least_tokens: int = 13, share: float = 0.8, least_item: int = 5) -> tuple[str, ...]:
-    """Masks (1: the token counts) of which one fits every lawful stretch of an item.
+    """Masks (1: the token counts, 0: it is ignored) of which one fits every lawful stretch
+    of an item: the heaviest family that does, of masks with an ignored place inside.
 
-    k substitutions leave k + 1 runs of equal tokens at most, the longest of them with
-    at least ceil(matches / (k + 1)) tokens; r is the least of these over all lawful
-    stretches.  Where a stretch has no longer run than r only if all its runs have r
-    tokens, a run of r + 1 or two runs of r around one substitution are in all."""
-    part = Fraction(str(share)).limit_denominator(10_000)
-    need, found = max(1, math.ceil(part * min(least_tokens, tokens))), []
-    for k in range(tokens + 1 if part < 1 else 1):
-        matches = max(need, -(-k * part.numerator // (part.denominator - part.numerator))) if k else need
-        if matches + k > tokens:
-            break
-        found.append((-(-matches // (k + 1)), k > 0 and matches % (k + 1) == 0))
-    if tokens < least_item or not found:
+    A lawful stretch of twice the length that the least matches need, or more, can be cut in
+    two such that one part is lawful, so only shorter ones are looked at."""
+    if tokens < max(1, least_item):
         return ()
-    r = min(found)[0]
-    if r >= LONGEST_RUN:
-        return ("1" * LONGEST_RUN,)
-    if all(even for run, even in found if run == r):
-        return "1" * (r + 1), "1" * r + "0" + "1" * r
-    return ("1" * r,)
+    part = Fraction(str(share)).limit_denominator(10_000)
+    need = max(1, math.ceil(part * min(least_tokens, tokens)))
+    return _family(min(tokens, 2 * math.ceil(need / part)), need, part)
 
 
 def _masked(hashes: np.ndarray, doc: np.ndarray, mask: str, number: int) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +287,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_i
     A stretch counts if at least `share` of its tokens match, and matches are at
     least that share of least_tokens (of the item's tokens where it has fewer).
     Items of fewer than least_item tokens can't be told from chance and match nothing;
-    with least_item=1 they match where all their tokens stand in a row.  Null
+    with least_item=1 they match where all their tokens stand in a row (so seeds of one
+    or two tokens ignore no place).  Null
     and empty texts overlap nothing; repeated rows and items are reported each; an
     empty table on either side gives no rows.  block_bytes bounds the benchmark
     text held at a time (one item at least)."""
@@ -357,7 +382,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+    return overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"), least_item=1)
 
 
 _TOKENS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -367,7 +392,7 @@ SQL = f"""
 WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {_TOKENS} AS w FROM documents),
 dt AS MATERIALIZED (SELECT r, unnest(range(len(w))) AS p, unnest(w) AS x FROM doc),
 item AS (SELECT row_number() OVER () AS i, item_id, {_TOKENS} AS w FROM benchmark),
-it AS MATERIALIZED (SELECT i, len(w) AS size, unnest(range(len(w))) AS q, unnest(w) AS x FROM item WHERE len(w) >= 5),
+it AS MATERIALIZED (SELECT i, len(w) AS size, unnest(range(len(w))) AS q, unnest(w) AS x FROM item),
 offsets AS MATERIALIZED (SELECT r, i, p - q AS diag FROM dt JOIN it USING (x) GROUP BY r, i, p - q, size HAVING 5 * count(*) >= 4 * least(13, size)),
 cells AS (SELECT o.r, o.i, o.diag, it.q, it.size, (dt.x = it.x)::INT AS eq FROM offsets o JOIN it ON it.i = o.i JOIN dt ON dt.r = o.r AND dt.p = o.diag + it.q),
 sums AS (

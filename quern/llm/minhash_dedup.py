@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesnp import SPACE_FOLDED, U64, combine, flat, mix, pieces, window_names, words
-from .common import Table, text_or_empty, text_names, u64
+from .common import Table, fresh, text_or_empty, text_names, u64
 
 # ---------------------------------------------------------------- signatures
 
@@ -240,12 +240,12 @@ def deduplicate(
 ) -> DataFrame:
     """One row of docs for each class of near_duplicates, all columns: a row of its
     smallest doc_id (without any, a row without; several texts of that id: the one of the
-    smaller hash; rows alike in both: any of them)."""
+    smaller hash; rows alike in both: any of them).  Further columns may have any names."""
     texts = _classes(docs, text, doc_id, size, similarity, bands, rows_per_band, margin)
     stays = texts.read().groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "c1", "c2")).alias("s"))
-    stay = stays.select(F.col("s.c1").alias("__c1"), F.col("s.c2").alias("__c2"), F.xxhash64("s.id").alias("__spread"))
+    keys = fresh(docs, "c1", "c2", "spread")
+    stay = stays.select(*[c.alias(k) for c, k in zip((F.col("s.c1"), F.col("s.c2"), F.xxhash64("s.id")), keys)])
     c1, c2 = text_names(text)
-    keys = ["__c1", "__c2", "__spread"]
     rows = docs.withColumns(dict(zip(keys, (c1, c2, F.xxhash64(doc_id)))))
     return rows.join(stay, keys, "left_semi").dropDuplicates(keys).drop(*keys)
 

@@ -74,8 +74,12 @@ def pack(docs: DataFrame, *, longest: int = 2048, end_id: int = 1, text: str = "
 
 def write_buckets(docs: DataFrame, path: str, **settings) -> None:
     """The pieces with their ids as Parquet under path/bucket=K: sequences of one
-    length lie together, so a batch of any bucket needs no padding."""
-    pack(docs, with_ids=True, **settings).write.partitionBy("bucket").parquet(path)
+    length lie together, so a batch of any bucket needs no padding.
+
+    Null and empty texts are one piece, the end mark; repeated rows are packed each; an
+    empty table gives an empty folder.  Rows of a bucket come together in few files, large
+    buckets in several."""
+    pack(docs, with_ids=True, **settings).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:

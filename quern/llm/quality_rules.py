@@ -113,7 +113,8 @@ def judge(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...] = RULE
     names of the rules not met) and kept.
 
     Null and empty texts have no words: base_failed, not kept.  Repeated rows are
-    judged alike; further columns stay; an empty table gives an empty table."""
+    judged alike; further columns stay (one of the name of `into` is replaced); an empty
+    table gives an empty table."""
     counts = docs.withColumn(into, metrics(F.col(text)))
     c = F.col(into)
     base = (c["n_words"] < 10) | (c["n_repeat_words"] * 100 > c["n_words"] * 20)

@@ -124,7 +124,10 @@ def shard(
 
 
 def write_shards(docs: DataFrame, path: str, *, shards: int = 24, text: str = "text", doc_id: str = "doc_id", files_per_shard: int = 1, slots_per_file: int = 1_000_000) -> None:
-    """The rows as Parquet under path/shard=K, in slot order within each file."""
+    """The rows as Parquet under path/shard=K, in slot order within each file.
+
+    Null texts count 8 bytes and are kept as null; repeated rows and ties lie side by
+    side, each written once; an empty table gives an empty folder."""
     assigned = shard(docs, shards=shards, text=text, doc_id=doc_id, carry=tuple(docs.columns))
     part = F.floor(F.col("slot") / slots_per_file)
     assigned.select("carried.*", F.col("shard").alias("shard"), F.col("slot").alias("__slot")).withColumn("__part", F.floor(F.col("__slot") / slots_per_file)).repartition(

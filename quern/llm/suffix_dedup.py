@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesnp import BYTE_CODE, U64, combine, flat, mix, pieces
-from .common import Table, let, text_or_empty, u64
+from .common import Table, fresh, let, text_or_empty, u64
 
 Q = 96
 
@@ -297,16 +297,16 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, text: str = "text", do
     Null or empty text: 0 bytes, nothing removed.  Texts shorter than `length`
     keep all.  Repeated rows and exact copies of `length` bytes or more lose
     everything.  Null doc_ids are allowed; further columns stay, whatever their
-    names.  whole_characters: spans shrink to whole code points (the kept bytes
+    names (one of the name of `into` is replaced).  whole_characters: spans shrink to whole code points (the kept bytes
     are then valid UTF-8).  An empty table gives an empty table."""
-    spans = repeated_spans(docs, length=length, text=text, doc_id=doc_id).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans"))
+    key1, key2, own = fresh(docs, "key1", "key2", "spans")
+    spans = repeated_spans(docs, length=length, text=text, doc_id=doc_id).select(F.col("k1").alias(key1), F.col("k2").alias(key2), F.col("spans").alias(own))
     value = text_or_empty(text)
-    keyed = docs.withColumns({"__key1": F.xxhash64(value), "__key2": F.xxhash64(doc_id)})
-    joined = keyed.join(spans, (F.col("__key1") == F.col("__k1")) & (F.col("__key2") == F.col("__k2")), "left")
+    joined = docs.withColumns({key1: F.xxhash64(value), key2: F.xxhash64(doc_id)}).join(spans, [key1, key2], "left")
     raw = value.cast("binary")
-    found = F.coalesce("__spans", F.array().cast("array<struct<from:int,to:int>>"))
+    found = F.coalesce(own, F.array().cast("array<struct<from:int,to:int>>"))
     if whole_characters:
-        found = F.when(F.col("__spans").isNull(), found).otherwise(_whole_characters(raw, found))
+        found = F.when(F.col(own).isNull(), found).otherwise(_whole_characters(raw, found))
     result = let(
         F.struct(raw.alias("raw"), found.alias("spans")),
         lambda x: F.struct(
@@ -317,7 +317,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, text: str = "text", do
             F.when(F.size(x["spans"]) == 0, x["raw"]).otherwise(_kept(x["raw"], x["spans"])).alias("kept"),
         ),
     )
-    return joined.withColumn(into, result).drop("__key1", "__key2", "__k1", "__k2", "__spans")
+    return joined.withColumn(into, result).drop(key1, key2, own)
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -144,7 +144,7 @@ def test_extra_columns_with_clashing_names(spark, folder, tmp_path):
         spark.read.parquet(f"{at}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
     from pyspark.sql import functions as F
 
-    wide = spark.read.parquet(f"{at}/documents.parquet").withColumns({c: F.lit(1) for c in ("score", "predicted", "quality", "node", "row", "label", "repeats", "kept", "size", "bucket")})
+    wide = spark.read.parquet(f"{at}/documents.parquet").withColumns({c: F.lit(1) for c in ("score", "predicted", "quality", "node", "row", "label", "repeats", "kept", "size", "bucket", "verdict", "__repeats", "__c1", "__c2", "__spread", "__key1", "__k1", "__spans", "c1", "c2", "spread", "key1", "key1_", "spans")})
     wide.write.parquet(f"{tmp_path}/documents.parquet")
     docs = wide
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):

@@ -125,7 +125,23 @@ def test_masks_fit_every_lawful_pattern():
                 for gone in itertools.combinations(range(1, n - 1), k):
                     pattern = "".join("01"[i not in gone] for i in range(n))
                     assert any(f.search(pattern) for f in fit), (tokens, pattern)
-    assert decontamination.masks(4) == () and decontamination.masks(500) == ("1111", "1110111")
+    assert decontamination.masks(4) == () and decontamination.masks(500) == decontamination.masks(26)
+
+
+def test_masks_ignore_a_place_at_every_length():
+    for tokens in range(1, 60):
+        family = decontamination.masks(tokens, least_item=1)
+        assert family and all(("0" in m) == (tokens > 2) and len(m) <= tokens for m in family)
+    assert decontamination.masks(9, share=1.0) and all("0" in m for m in decontamination.masks(100, 50, 0.9))
+
+
+def test_short_items_match_where_they_are_asked_for(spark):
+    items = {1: "alpha", 2: "beta gamma", 3: "one two three", 4: "one two three four", 9: "", 10: None}
+    texts = {0: "x alpha y", 1: "beta zz gamma", 2: "beta gamma", 3: "q one two three r", 4: "one two xx four one two three four", 5: None, 6: ""}
+    docs, bench = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.doc_first, r.n_tokens) for r in decontamination.overlaps(docs, bench, least_item=1).collect()}
+    assert got == {(0, 1, 1, 1), (2, 2, 0, 2), (3, 3, 1, 3), (4, 3, 4, 3), (4, 4, 4, 4)}
+    assert not decontamination.overlaps(docs, bench).count()
 
 
 def test_overlaps_find_every_lawful_substitution(spark):
