@@ -6,12 +6,10 @@ All but the last return the columns of documents, whatever they are.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Table
+from quern.llm.common import Table, fresh
 from quern.llm.decontamination import decontaminate
 from quern.llm.minhash_dedup import deduplicate
 from quern.llm.packing import pack
@@ -27,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     share of label 1 (a half without any) and stay or go together; an empty table gives an
     empty table."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    score, verdict = (f"__{n}_{uuid.uuid4().hex[:8]}" for n in ("score", "verdict"))
+    score, verdict = fresh(docs, "score", "verdict")
     model = train(docs, labels)
     return classify(docs, model, score=score, predicted=verdict).where(F.col(verdict) == 1).select(*docs.columns)
 
@@ -48,10 +46,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     bytes or more, rows that stand twice); texts without removed bytes stay as they are,
     null ones null; a character goes only if all its bytes do; an empty table gives an
     empty table."""
-    found = remove_repeats(docs, whole_characters=True, into="__repeats")
-    changed = found.withColumn("text", F.when(F.col("__repeats.n_removed") == 0, F.col("text")).otherwise(F.col("__repeats.kept").cast("string")))
+    (repeats,) = fresh(docs, "repeats")
+    found = remove_repeats(docs, whole_characters=True, into=repeats)
+    unchanged, kept = F.col(repeats)["n_removed"] == 0, F.col(repeats)["kept"]
+    changed = found.withColumn("text", F.when(unchanged, F.col("text")).otherwise(kept.cast("string")))
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("__repeats.n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        changed = changed.withColumn("n_chars", F.when(unchanged, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return changed.select(*docs.columns)
 
 
@@ -86,8 +86,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each one's result written and read again.  The written
-    tables of the stages but the last stay in the shared folder; an empty table of
-    documents gives an empty table."""
+    tables of the stages but the last stay in the shared folder.  Null and empty texts pass
+    all stages as the first of their class, if the classifier keeps them; rows that stand
+    twice are one after the second stage; ties are settled there by the smaller doc_id,
+    then by a hash of the text; an empty table of documents gives an empty table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
