@@ -20,8 +20,10 @@ become rows.  So no bucket is expanded into pairs and none is cut short.
 A group of more than a block gets further hubs first, a few rounds of one comparison
 a member.  Jaccard distance is a metric: members linked to hub A can't be linked to
 members linked to hub B if the hubs lie further apart than both reach and the threshold
-together.  Such members need no comparison with each other, and only those that are left
-go into blocks.
+together.  Such members need no comparison with each other.  If more than a block is left
+still, as where a template makes texts similar but not near duplicates, they meet by their
+rarest shingles (a prefix filter), and only those that may be linked by frequent shingles
+alone go into blocks.
 
 Verification: the Jaccard similarity of the two texts' sets of 64-bit shingle names.
 Classes are the connected components of the verified links, found by alternating
@@ -37,7 +39,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesnp import SPACE_FOLDED, U64, combine, flat, mix, pieces, window_names, words
@@ -206,6 +208,9 @@ def _classes(docs: DataFrame, text: str, doc_id: str, size: int, similarity: flo
     rounds: list[Table] = []
     if sizes.read().where(F.col("all_n") > _BLOCK).limit(1).count():
         marked, sizes, rounds = _further_hubs(marked, sizes, links.read(), sets.read(), similarity)
+    if sizes.read().where(F.col("odd_n") > _BLOCK).limit(1).count():
+        marked, sizes, alike = _by_rare_shingles(marked, sizes, sets.read(), first.select("node", "signature"), similarity, margin, bands * rows_per_band)
+        rounds.append(alike)
     more = Table(_rest(marked.read(), sizes.read(), compared, similarity, margin, bands * rows_per_band))
     found = links.read()
     for table in (more, *rounds):
@@ -339,6 +344,74 @@ def _further_hubs(marked: Table, sizes: Table, links: DataFrame, sets: DataFrame
     return again, counted, found
 
 
+#: Members of a posting, at most, whose pairs are estimated one by one.
+_POSTING = 256
+
+
+def _by_rare_shingles(marked: Table, sizes: Table, sets: DataFrame, signatures: DataFrame, similarity: float, margin: float, registers: int) -> tuple[Table, Table, Table]:
+    """(members, sizes, links found): in groups with more than a block of odd members, odd
+    are only those that may have a link by frequent shingles alone.
+
+    With the shingles of a set in one order, rare ones first, two sets of n and m <= n that
+    reach the similarity t have their first common shingle among the first n - ceil(t * n) + 1 of the
+    larger and the first m - ceil(2 * t / (1 + t) * m) + 1 of the smaller.  So a template that many
+    texts share makes no candidates where they have more of their own than that, which is
+    so whenever it makes them less similar than t."""
+    large = sizes.read().where(F.col("odd_n") > _BLOCK).select("hub")
+    members = Table(marked.read().join(large, "hub").groupBy("node").agg(F.max("odd").alias("odd"), F.any_value("n").alias("n"), F.any_value("label").alias("label")))
+    shingled = members.read().select("node", "n", "odd").join(sets, "node").select("node", "n", "odd", F.explode("set").alias("shingle"))
+    times = Table(shingled.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1"))
+    own = Window.partitionBy("node")
+    # shingles of no other member stand first in the order and are left out
+    place = F.row_number().over(own.orderBy("times", "shingle")) - F.count("*").over(own)
+
+    def within(share: float):
+        return F.col("place") <= 1 - F.ceil(F.col("n") * share - 1e-9)
+
+    placed = shingled.join(times.read(), "shingle").withColumn("place", place).where(within(similarity))
+    first = Table(placed.select("node", "odd", "shingle", within(2 * similarity / (1 + similarity)).alias("short")))
+    counts = [F.count("*").alias("members"), F.count_if("odd").alias("odds"), F.count_if(F.col("short") & F.col("odd")).alias("short_odd"), F.count_if(F.col("short") & ~F.col("odd")).alias("short_even")]
+    lists = Table(first.read().groupBy("shingle").agg(*counts).where("members > 1 AND odds > 0 AND short_odd + short_even > 0").select("shingle", "members", "short_even"))
+    frequent = first.read().join(lists.read().where(F.col("members") > _POSTING), "shingle")
+    hot = Table(frequent.where(F.col("odd") & (F.col("short") | (F.col("short_even") > 0))).select("node").distinct())
+    few = first.read().select("node", "shingle").join(lists.read().where(F.col("members") <= _POSTING).select("shingle"), "shingle", "left_semi")
+    row = F.struct("node", "n", "label", "odd", "signature")
+    postings = few.join(members.read().join(signatures, "node"), "node").groupBy("shingle").agg(F.collect_list(row).alias("members"))
+    pairs = Table(postings.select("members").mapInArrow(_estimated(similarity, margin, registers), "a long, b long").distinct())
+    found = Table(_verified(pairs.read(), sets, similarity))
+    every = marked.read().join(large.withColumn("large", F.lit(True)), "hub", "left").join(hot.read().withColumn("hot", F.lit(True)), "node", "left")
+    odd = F.when(F.col("large"), F.col("odd") & F.coalesce("hot", F.lit(False))).otherwise(F.col("odd"))
+    again = Table(every.select("node", "n", "hub", "label", odd.alias("odd")))
+    counted = Table(_sizes(again.read()))
+    for table in (marked, sizes, members, times, first, lists, hot, pairs):
+        table.drop()
+    return again, counted, found
+
+
+def _estimated(similarity: float, margin: float, registers: int):
+    """The pairs of a posting, one of them odd, whose estimate comes near the similarity."""
+
+    def rows(batches):
+        for batch in batches:
+            lists = batch.column("members")
+            starts, flat_rows = np.asarray(lists.offsets), lists.flatten()
+            starts = starts - starts[0]
+            node, n, label = (np.asarray(flat_rows.field(k)) for k in ("node", "n", "label"))
+            odd = np.asarray(flat_rows.field("odd").cast(pa.int8())).astype(bool)
+            signature = np.frombuffer(b"".join(flat_rows.field("signature").to_pylist()), np.uint16).reshape(-1, registers)
+            found = [np.empty((0, 2), np.int64)]
+            for low, high in zip(starts[:-1], starts[1:]):
+                i, j = (x + low for x in np.triu_indices(high - low, 1))
+                ask = (label[i] != label[j]) & (odd[i] | odd[j]) & (np.minimum(n[i], n[j]) >= np.maximum(n[i], n[j]) * similarity)
+                i, j = i[ask], j[ask]
+                near = (signature[i] == signature[j]).sum(axis=1) >= (similarity - margin) * registers
+                found.append(np.stack([node[i[near]], node[j[near]]], axis=1))
+            pairs = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1)), pa.array(pairs.min(axis=1))], names=["a", "b"])
+
+    return rows
+
+
 def _rest(marked: DataFrame, sizes: DataFrame, compared: DataFrame, similarity: float, margin: float, registers: int) -> DataFrame:
     """The further links a, b: in each hub's group, of odd members with any other
     member of another class.  A pair is looked at if its estimate is at least

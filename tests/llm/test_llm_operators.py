@@ -335,6 +335,30 @@ def test_further_hubs_of_large_groups(spark, monkeypatch):
     assert seen[1] < seen[0]
 
 
+def test_texts_of_one_template_meet_by_rare_shingles(spark, monkeypatch):
+    """Texts that share a template at similarities of 0.66 to 0.78, near copies among them: the
+    classes are those of all pairs, and few texts go into blocks."""
+    rng = random.Random(28)
+    template, rows = words(rng, 170, 10**6), []
+    for k in range(120):
+        rows.append((len(rows), " ".join([*template, *words(rng, 25 if k % 2 else 42, 10**6)])))
+        if k % 4 == 0:
+            rows.append((len(rows), edited(rng, rows[-1][1], rng.randrange(1, 6))))
+    for _ in range(30):  # of one class, whose own words are frequent
+        rows.append((len(rows), edited(rng, " ".join([*template, *words(random.Random(5), 30, 10**6)]), rng.randrange(0, 2))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen, rest = [], minhash_dedup._rest
+    monkeypatch.setattr(minhash_dedup, "_rest", lambda marked, *more: seen.append(marked.where("odd").select("node").distinct().count()) or rest(marked, *more))
+    for block, posting in ((10**9, 256), (2_000, 256), (2_000, 8)):
+        monkeypatch.setattr(minhash_dedup, "_BLOCK", block)
+        monkeypatch.setattr(minhash_dedup, "_POSTING", posting)
+        got = defaultdict(set)
+        for r in minhash_dedup.near_duplicates(frame, bands=40, rows_per_band=2).collect():
+            got[r.class_id].add(r.doc_id)
+        assert sorted(sorted(m) for m in got.values()) == brute_classes(rows)
+    assert seen[0] > 100 and seen[1] < seen[0] / 4 and seen[2] < seen[0]  # groups within a block aren't filtered
+
+
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_near_duplicates_ids_of_any_kind(spark, kind):
     rng = random.Random(17)
