@@ -356,7 +356,7 @@ def test_texts_of_one_template_meet_by_rare_shingles(spark, monkeypatch):
         for r in minhash_dedup.near_duplicates(frame, bands=40, rows_per_band=2).collect():
             got[r.class_id].add(r.doc_id)
         assert sorted(sorted(m) for m in got.values()) == brute_classes(rows)
-    assert seen[0] > 100 and seen[1] < seen[0] / 4 and seen[2] < seen[0]  # groups within a block aren't filtered
+    assert seen[0] > 100 and seen[1] < seen[0] / 4 and seen[2] < seen[0]
 
 
 @pytest.mark.parametrize("kind", ["long", "string"])
