@@ -774,6 +774,115 @@ def test_every_template_is_told_from_those_it_shares_text_with(spark):
     assert one.labels == "b" and one.score == 1.0
 
 
+def plain_chains(matches, gap):
+    """Chains by trying every lawful row of matches; None where two rows cover the most."""
+    out = []
+    for template in sorted({m[2] for m in matches}):
+        own = sorted((a, n, t) for a, n, k, t in matches if k == template)
+
+        def follows(x, y):
+            (a, n, t), (b, m, u) = own[x], own[y]
+            return a < b and t < u and a + n < b + m and t + n < u + m and b - a - n <= gap and u - t - n <= gap
+
+        covered = lambda row: len({p for k in row for p in range(own[k][2], own[k][2] + own[k][1])})
+        best = []
+        for end in range(len(own)):
+            rows, open_rows = [], [(end,)]
+            while open_rows:
+                row = open_rows.pop()
+                rows.append(row)
+                open_rows += [(k, *row) for k in range(len(own)) if follows(k, row[0])]
+            most = max(map(covered, rows))
+            top = [r for r in rows if covered(r) == most]
+            if len(top) > 1:
+                return None
+            best.append((most, top[0]))
+        used = set()
+        for most, row in sorted(best, key=lambda b: (-b[0], b[1][-1])):
+            if row[-1] in used:
+                continue
+            free = list(itertools.takewhile(lambda k: k not in used, reversed(row)))
+            used |= set(free)
+            rest = row[: len(row) - len(free)]
+            out.append((template, own[free[-1]][0], own[free[0]][0] + own[free[0]][1] - 1, most - (covered(rest) if rest else 0)))
+    return out
+
+
+def plain_license_scan(text, templates, phrases, least, gap, coverage):
+    """base labels, labels, score and spans of one text, every chain held against every other."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda c: c[0].lower(), t or ""))
+    own, sizes = split(text), [len(split(t)) for t in templates.values()]
+    chains = plain_chains(plain_matches(own, [split(t) for t in templates.values()], least), gap)
+    if chains is None:
+        return None
+    stay = []
+    for c in sorted((c for c in chains if c[3] >= coverage * sizes[c[0]]), key=lambda c: (-c[3], -c[3] / sizes[c[0]], c[0], c[1])):
+        if all(2 * len(set(range(c[1], c[2] + 1)) & set(range(o[1], o[2] + 1))) <= c[2] - c[1] + 1 for o in stay):
+            stay.append(c)
+    base = {label for phrase, label in phrases.items() for i in range(len(own)) if own[i : i + len(split(phrase))] == split(phrase)}
+    names = list(templates)
+    spans = sorted((a, k, names[k], b, n / sizes[k]) for k, a, b, n in stay)
+    score = max([0.5 if base else 0.0, *(min(1.0, s[4]) for s in spans)])
+    return ",".join(sorted(base)), ",".join(sorted(base | {s[2] for s in spans})), score, [(s[2], s[0], s[3], s[4]) for s in spans]
+
+
+def hold_license_scan(spark, texts, **how):
+    templates, phrases = how.pop("templates", license_scan.TEMPLATES), how.pop("phrases", license_scan.PHRASES)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    law = {"least": 6, "gap": 8, "coverage": 0.25} | how
+    compared = found = 0
+    for r in license_scan.scan(frame, templates=templates, phrases=phrases, **how).collect():
+        plain = plain_license_scan(texts[r.doc_id], templates, phrases, **law)
+        if plain is not None:
+            got = [(s.label, s.first_word, s.last_word, s.coverage) for s in r.spans]
+            assert (r.base_labels, r.labels, r.score, got) == plain, (r, plain)
+            compared, found = compared + 1, found + len(got)
+    return compared, found
+
+
+def test_license_chains_labels_and_scores_by_all_chains(spark):
+    """Small alphabets, so that matches cross, overlap and repeat."""
+    rng = random.Random(91)
+    for alphabet in (5, 9, 30):
+        draw = lambda n: [f"t{rng.randrange(alphabet)}" for _ in range(n)]
+        bodies = [draw(rng.randrange(8, 26)) for _ in range(4)]
+        bodies[1] += bodies[0][2:12]
+        bodies[3] = bodies[2][:6] + draw(5) + bodies[2][6:]
+        templates = {label: " ".join(b) for label, b in zip("abcd", bodies)}
+        texts = [None, "", "t0", *templates.values()]
+        for _ in range(120):
+            made = []
+            for _ in range(rng.randrange(1, 4)):
+                b = rng.choice(bodies)
+                lo = rng.randrange(len(b) - 4)
+                piece = b[lo : lo + rng.randrange(4, 30)]
+                for _ in range(rng.randrange(3)):
+                    at = rng.randrange(len(piece))
+                    piece = rng.choice([piece[:at] + draw(rng.randrange(1, 5)) + piece[at:], piece[:at] + piece[at + 1 :], piece]) or piece
+                made += draw(rng.randrange(4)) + piece
+            texts.append(" ".join(made))
+        phrases = {"t1 t2": "x", "t0": "y"}
+        compared, found = hold_license_scan(spark, texts, templates=templates, phrases=phrases, least=3, gap=3, coverage=0.3)
+        assert compared > 40 and found > 40, (alphabet, compared, found)
+
+
+def test_license_query_parameters_by_all_chains(spark):
+    """The query's own templates, whole, cut, mixed and with words put in, out and exchanged."""
+    rng = random.Random(92)
+    texts = [None, ""]
+    for text in license_scan.TEMPLATES.values():
+        for _ in range(4):
+            w = text.split()
+            for _ in range(rng.randrange(5)):
+                at = rng.randrange(len(w))
+                w = rng.choice([[*w[:at], *words(rng, rng.randrange(1, 12)), *w[at:]], w[:at] + w[at + 3 :], w[: at + 20], [*w[:at], "changed", *w[at + 1 :]]])
+            other = rng.choice(list(license_scan.TEMPLATES.values())).split()
+            lo = rng.randrange(len(other))
+            texts.append(" ".join([*words(rng, rng.randrange(5)), *w, *rng.choice([[], ["under", "the", "MIT", "License"]]), *other[lo : lo + 30]]))
+    compared, found = hold_license_scan(spark, texts)
+    assert compared > 100 and found > 100, (compared, found)
+
+
 def test_license_templates_are_found(spark, docs, empty):
     body = license_scan.TEMPLATES["bsd"].replace("binary", "object", 1)
     rows = [(0, "intro words here " + body + " and more"), (1, "nothing of that kind"), (2, license_scan.TEMPLATES["mit"] + " " + license_scan.TEMPLATES["mpl"])]
