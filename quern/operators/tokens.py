@@ -280,5 +280,5 @@ def choose(kind: str, path: str | None = None):
     if kind == "pretrained" and path and os.path.exists(path):
         return kind, lambda t: pretrained_encode(t, path)
     if kind == "improved_korean":
-        return kind, lambda t: _framed(F.transform(punctuation_tokens(t), stable_id), None)
+        return kind, lambda t: _framed(F.transform(punctuation_tokens(t), lambda w: stable_id(w)), None)
     return "korean", morpheme_encode

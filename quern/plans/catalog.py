@@ -5,6 +5,7 @@ is asked for, en is en and all others are ko (a stand-in, not a detection)."""
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import uuid
 from collections.abc import Callable
@@ -267,17 +268,31 @@ _SPEC_VALUES = ", ".join(f"({k}, '{s.name}', '{s.description}', {s.enabled}, {s.
 _REGISTRY = f"(VALUES {_SPEC_VALUES}) AS r(pos, name, description, enabled, priority, license, commercial_use)"
 
 
-@query(f"SELECT name, priority, license, row_number() OVER (ORDER BY coalesce(priority, 999), pos)::INT AS place FROM {_REGISTRY} WHERE coalesce(enabled, true)")
+#: One row a source of the documents, in order of its first document; some leave their settings out.
+_SOURCES = """(SELECT source AS name, 'from document ' || pos AS description, CASE WHEN pos % 6 <> 0 THEN pos % 4 <> 3 END AS enabled, CASE WHEN pos % 7 <> 0 THEN (pos * 7) % 5 END::INT AS priority,
+  CASE WHEN pos % 2 = 1 THEN 'cc' ELSE 'mit' END AS license, pos % 3 <> 0 AS commercial_use, pos FROM (SELECT source, min(doc_id) AS pos FROM documents GROUP BY source)) AS r"""
+
+
+def _sources(spark, sf_dir):
+    pos = F.col("position")
+    return _docs(spark, sf_dir).groupBy("source").agg(F.min("doc_id").alias("position")).select(
+        "position", F.col("source").alias("name"), F.concat(F.lit("from document "), pos.cast("string")).alias("description"),
+        F.when(pos % 6 != 0, pos % 4 != 3).alias("enabled"), F.when(pos % 7 != 0, pos * 7 % 5).cast("int").alias("priority"),
+        F.when(pos % 2 == 1, "cc").otherwise("mit").alias("license"), (pos % 3 != 0).alias("commercial_use"),
+    )
+
+
+@query(f"SELECT name, priority, license, row_number() OVER (ORDER BY coalesce(priority, 999), pos)::INT AS place FROM {_SOURCES} WHERE coalesce(enabled, true)")
 def source_registry(spark, sf_dir):
-    active = specs.active_frame(specs.registry_frame(spark, _SPECS))
-    # the registry is a table of settings, some dozens of rows
+    active = specs.active_frame(_sources(spark, sf_dir))
+    # the registry is a table of settings, one row a source
     place = F.row_number().over(Window.orderBy(F.coalesce("priority", F.lit(999)), "position"))
     return active.select("name", "priority", "license", place.alias("place"))
 
 
-@query(f"SELECT name, description, priority, enabled FROM {_REGISTRY}")
+@query(f"SELECT name, description, coalesce(priority, 999) AS priority, coalesce(enabled, true) AS enabled FROM {_SOURCES}")
 def source_listing(spark, sf_dir):
-    return specs.listing(specs.registry_frame(spark, _SPECS))
+    return specs.listing(_sources(spark, sf_dir))
 
 
 @query(f"SELECT source, count(*) AS n FROM documents WHERE source IN (SELECT name FROM {_REGISTRY} WHERE commercial_use AND name NOT IN ('src2')) GROUP BY source")
@@ -286,9 +301,9 @@ def license_filter(spark, sf_dir):
     return kept.groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT name, license, commercial_use FROM {_REGISTRY}")
+@query(f"SELECT name, license, commercial_use FROM {_SOURCES}")
 def license_manifest(spark, sf_dir):
-    return specs.license_manifest(specs.registry_frame(spark, _SPECS))
+    return specs.license_manifest(_sources(spark, sf_dir))
 
 
 @query("SELECT source, doc_id FROM (SELECT 'a' AS source, doc_id FROM documents WHERE lang = 'fr' UNION ALL SELECT 'a', doc_id FROM documents WHERE lang = 'fr' UNION ALL SELECT 'b', doc_id FROM documents WHERE lang = 'es')")
@@ -876,9 +891,10 @@ def format_values(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", N.format_number(n).alias("number"), N.format_time(k * F.lit(0.25) + 0.125).alias("time"))
 
 
-@query("SELECT step, round(CASE WHEN step < 100 THEN step / 100.0::DOUBLE ELSE greatest(0, 0.5 * (1 + cos(pi() * (step - 100) / 900.0::DOUBLE))) END, 6) AS rate FROM (SELECT unnest(range(0, 1100)) AS step)")
+@query("SELECT o_orderkey, round(CASE WHEN o_orderkey < 100 THEN o_orderkey / 100.0::DOUBLE ELSE greatest(0, 0.5 * (1 + cos(pi() * (o_orderkey - 100) / 900.0::DOUBLE))) END, 6) AS rate FROM orders")
 def cosine_rate(spark, sf_dir):
-    return spark.range(1100).select(F.col("id").alias("step"), F.round(N.cosine_rate(F.col("id"), 100, 1000), 6).alias("rate"))
+    """Order keys stand in for steps."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(N.cosine_rate(F.col("o_orderkey"), 100, 1000), 6).alias("rate"))
 
 
 # --------------------------------------------------------------------- streaming
@@ -1103,10 +1119,10 @@ def json_corpus(spark, sf_dir):
 
 @query(f"WITH {_PAIRS} SELECT conv_id, md5(instruction) AS i, md5(output) AS o FROM pairs WHERE instruction <> '' AND output <> ''")
 def json_instructions(spark, sf_dir):
-    """Raw instruction lines: written, read with their schema, and the fields taken."""
+    """Raw instruction lines: written under their source's name, read with their schema, and the fields taken by that name."""
     at = f"{shared_dir(spark)}/raw-{uuid.uuid4().hex}"
-    sinks.write(_pairs(spark, sf_dir).select(F.col("conv_id").cast("string").alias("context"), "instruction", F.col("output").alias("response")), at, format="json")
-    back = readers.json_lines(spark, at, schemas.RAW_INSTRUCTION, glob="*.json").withColumn("source", F.lit("dolly"))
+    sinks.write(_pairs(spark, sf_dir).select(F.col("conv_id").cast("string").alias("context"), "instruction", F.col("output").alias("response")), f"{at}/instruction_raw_dolly.jsonl", format="json")
+    back = readers.instruction_lines(spark, at)
     f = back.select(instruction_fields(back).alias("f")).where("f IS NOT NULL")
     return f.select(F.col("f.input").cast("long").alias("conv_id"), F.md5("f.instruction").alias("i"), F.md5("f.output").alias("o"))
 
@@ -1136,9 +1152,12 @@ def vocabulary_texts(spark, sf_dir):
     return readers.vocabulary_texts(spark, [f"{at}/rows.jsonl", f"{at}/lines.txt"]).agg(F.count("*").alias("n"), F.sum(F.length(_text())).cast("long").alias("chars"))
 
 
-@query(f"SELECT md5({_list(readers.FALLBACK_SENTENCES)}[k % {len(readers.FALLBACK_SENTENCES)} + 1] || ' 샘플 ' || (k + 1) || '번째 문장입니다.') AS h FROM (SELECT unnest(range(1000)) AS k)")
+@query(f"SELECT md5(text) AS h FROM documents UNION ALL SELECT md5({_list(readers.FALLBACK_SENTENCES)}[k % {len(readers.FALLBACK_SENTENCES)} + 1] || ' 샘플 ' || (k + 1) || '번째 문장입니다.') FROM (SELECT unnest(range(1000)) AS k)")
 def training_fallback(spark, sf_dir):
-    return readers.training_lines(spark, f"{sf_dir}/no-such-folder").select(F.md5(_text()).alias("h"))
+    """Two training folders: one with its file, one without, which gives the made-up rows."""
+    at = _new_folder(spark)
+    sinks.write_texts(_docs(spark, sf_dir), f"{at}/mixed_pretraining.jsonl")
+    return readers.training_lines(spark, at).unionByName(readers.training_lines(spark, f"{at}/none")).select(F.md5(_text()).alias("h"))
 
 
 @query("SELECT count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents")
@@ -1148,9 +1167,11 @@ def training_file(spark, sf_dir):
     return readers.training_lines(spark, at).agg(F.count("*").alias("n"), F.sum(F.length(_text())).cast("long").alias("chars"))
 
 
-@query("SELECT unnest(['ko', 'en']) AS language, 3 AS n, 1 AS with_input")
+@query(f"WITH {_ROWS} SELECT language, count(*)::INT AS n, count(*) FILTER (WHERE input <> '')::INT AS with_input, count(DISTINCT md5(instruction))::INT AS instructions FROM (SELECT language, input, instruction FROM rows UNION ALL SELECT 'ko', unnest(['', 'x', '']), unnest(['k1', 'k2', 'k3']) UNION ALL SELECT 'en', unnest(['', 'x', '']), unnest(['e1', 'e2', 'e3'])) GROUP BY language")
 def sample_instruction_rows(spark, sf_dir):
-    return readers.sample_instructions(spark).groupBy("language").agg(F.count("*").cast("int").alias("n"), F.count_if(F.col("input") != "").cast("int").alias("with_input"))
+    """The sample pairs beside those of the conversations."""
+    rows = _rows(spark, sf_dir).unionByName(readers.sample_instructions(spark), allowMissingColumns=True)
+    return rows.groupBy("language").agg(F.count("*").cast("int").alias("n"), F.count_if(F.col("input") != "").cast("int").alias("with_input"), F.count_distinct(F.md5("instruction")).cast("int").alias("instructions"))
 
 
 @query(f"WITH {_PAIRS} SELECT conv_id, turn, role, md5(text) AS h FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, text FROM conversations)")
@@ -1199,10 +1220,13 @@ def overwrite_policy(spark, sf_dir):
     return used.select(F.col("files").cast("int").alias("files"), (F.col("bytes") > 0).alias("some_bytes"), F.lit(again).alias("again"), F.lit(forced).alias("forced"), F.lit(n).alias("n"))
 
 
-@query("SELECT 'checkpoint-9' AS checkpoint")
+@query("SELECT max(c) AS checkpoint FROM (SELECT 'checkpoint-' || user_id AS c FROM events GROUP BY user_id HAVING bool_or(event_id % 5 = 0) AND bool_or(event_id % 5 IN (1, 2)) AND user_id % 4 <> 1)")
 def newest_checkpoint(spark, sf_dir):
-    names = [(f"/m/checkpoint-{k}/{n}",) for k in (1, 9, 10) for n in ("config.json", "pytorch_model.bin")] + [("/m/checkpoint-99/config.json",)]
-    return sinks.latest_checkpoint(spark.createDataFrame(names, "file string"))
+    """Events stand in for files: a user's are those of a checkpoint, some of them without weights."""
+    name = F.element_at(F.array(*[F.lit(n) for n in ("config.json", "pytorch_model.bin", "model.bin", "optimizer.pt", "log.txt")]), (F.col("event_id") % 5 + 1).cast("int"))
+    weights = name.endswith(".bin") & (F.col("user_id") % 4 == 1)
+    files = table(spark, sf_dir, "events").where(~weights).select(F.concat(F.lit("/m/checkpoint-"), F.col("user_id").cast("string"), F.lit("/"), name).alias("file"))
+    return sinks.latest_checkpoint(files)
 
 
 @query("SELECT 'docs_en' AS source, 'en' AS language, true AS written, count(*) FILTER (WHERE lang = 'en' AND length(text) >= 100) AS n FROM documents UNION ALL SELECT 'docs_fr', 'ko', true, count(*) FILTER (WHERE lang = 'fr' AND length(text) >= 1) FROM documents")
@@ -1258,17 +1282,47 @@ def hash_decode_known(spark, sf_dir):
     return readers.spread(_docs(spark, sf_dir)).select("doc_id", tokens.hash_encode(_text()).alias("x")).where(F.size("x") > 2).select("doc_id", F.md5(shown).alias("h"))
 
 
-@query("SELECT * FROM (VALUES ('korean', 'korean'), ('improved_korean', 'improved_korean'), ('pretrained', 'korean'), ('other', 'korean')) AS t(asked, used)")
+@query("SELECT asked, used, count(*) AS n, count(*) AS framed FROM documents JOIN (VALUES (0, 'korean', 'korean'), (1, 'improved_korean', 'improved_korean'), (2, 'pretrained', 'korean'), (3, 'other', 'korean')) AS t(k, asked, used) ON doc_id % 4 = k GROUP BY 1, 2")
 def tokenizer_choice(spark, sf_dir):
-    rows = [(kind, tokens.choose(kind)[0]) for kind in ("korean", "improved_korean", "pretrained", "other")]
-    return spark.createDataFrame(rows, "asked string, used string")
+    """A quarter of the documents goes through each encoder that may be asked for."""
+    docs, parts = _docs(spark, sf_dir), []
+    for k, kind in enumerate(("korean", "improved_korean", "pretrained", "other")):
+        used, encode = tokens.choose(kind)
+        ids = docs.where(F.col("doc_id") % 4 == k).select(encode(_text()).alias("x"))
+        framed = F.count_if((F.get("x", F.lit(0)) == 1) & (F.element_at("x", -1) == 2))
+        parts.append(ids.select(F.lit(kind).alias("asked"), F.lit(used).alias("used"), "x").groupBy("asked", "used").agg(F.count("*").alias("n"), framed.alias("framed")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query("SELECT * FROM (VALUES (0, ''), (1, 'missing: batch_size'), (2, 'must be positive: learning_rate'), (3, 'd_model must be a multiple of n_heads')) AS t(k, errors)")
+@query(
+    """SELECT p_partkey, concat_ws('; ', CASE WHEN n_heads IS NULL THEN 'missing: n_heads' END, CASE WHEN batch_size IS NULL THEN 'missing: batch_size' END, CASE WHEN vocab_size <= 0 THEN 'must be positive: vocab_size' END,
+  CASE WHEN rate <= 0 THEN 'must be positive: learning_rate' END, CASE WHEN n_heads <> 0 AND p_size % n_heads <> 0 THEN 'd_model must be a multiple of n_heads' END) AS errors
+FROM (SELECT p_partkey, p_size, p_partkey % 5 AS vocab_size, CASE WHEN p_partkey % 11 <> 0 THEN p_partkey % 4 END AS n_heads, p_retailprice - 901 AS rate, CASE WHEN p_partkey % 3 <> 0 THEN 4 END AS batch_size FROM part)"""
+)
 def config_check(spark, sf_dir):
-    whole = {"vocab_size": 8, "d_model": 12, "n_heads": 4, "n_layers": 1, "max_seq_len": 8, "learning_rate": 0.1, "batch_size": 2}
-    cases = [whole, {k: v for k, v in whole.items() if k != "batch_size"}, whole | {"learning_rate": 0}, whole | {"n_heads": 5}]
-    return spark.createDataFrame([(k, "; ".join(recipes.config_errors(c))) for k, c in enumerate(cases)], "k int, errors string")
+    """Parts stand in for settings of runs."""
+    k = F.col("p_partkey")
+    runs = table(spark, sf_dir, "part").select(
+        "p_partkey", (k % 5).alias("vocab_size"), F.col("p_size").alias("d_model"), F.when(k % 11 != 0, k % 4).alias("n_heads"), F.lit(2).alias("n_layers"),
+        F.col("p_size").alias("max_seq_len"), (F.col("p_retailprice") - 901).alias("learning_rate"), F.when(k % 3 != 0, 4).alias("batch_size"),
+    )
+    return runs.select("p_partkey", recipes.config_errors_of(runs).alias("errors"))
+
+
+@query(
+    f"""SELECT {LANG2} AS language, 'docs_' || {LANG2} AS source, CASE WHEN {LANG2} = 'ko' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS share, CASE WHEN {LANG2} = 'ko' THEN 2 ELSE 1 END AS priority,
+  count(*) FILTER (WHERE length(text) > 0) AS n FROM documents GROUP BY ALL"""
+)
+def recipe_sources(spark, sf_dir):
+    """A recipe in JSON without a ratio: its datasets read, shares by their target sizes."""
+    at, docs = _new_folder(spark), _two(_docs(spark, sf_dir))
+    for language in ("ko", "en"):
+        sinks.write(docs.where(F.col("language") == language).select("text"), f"{at}/{language}", format="json")
+    part = lambda language, size, priority: {"target_size_gb": size, "datasets": [{"name": f"docs_{language}", "path": f"{at}/{language}", "priority": priority}]}
+    shares, found = recipes.load_recipe(json.dumps({"korean_component": part("ko", 6, 2), "english_component": part("en", 4, 1)}))
+    rows = readers.read_sources(spark, found, strict=True).groupBy("language", "source", "priority").agg(F.count("*").alias("n"))
+    share = F.when(F.col("language") == "ko", shares["ko"]).otherwise(shares["en"])
+    return rows.select("language", "source", F.round(share, 6).alias("share"), "priority", "n")
 
 
 #: Korean sentences with their morphemes, the text joined again, and the ids of the marks,
@@ -1283,8 +1337,11 @@ _KOREAN = [
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({_q(row)})" for row in _KOREAN) + ") AS t(text, morphemes, joined, ids)")
+@query("SELECT doc_id, text, morphemes, joined, ids FROM (SELECT doc_id FROM documents) JOIN (VALUES " + ", ".join(f"({k}, {_q(row)})" for k, row in enumerate(_KOREAN)) + f") AS t(k, text, morphemes, joined, ids) ON doc_id % {len(_KOREAN)} = k")
 def morphemes_of_korean(spark, sf_dir):
-    m = spark.createDataFrame([(t,) for t, *_ in _KOREAN], "text string").select("text", tokens.morphemes(_text()).alias("m"), tokens.morpheme_encode(_text()).alias("x"))
+    """The documents hold no Korean: each gets one of the sentences."""
+    sentence = F.get(F.array(*[F.lit(t) for t, *_ in _KOREAN]), (F.col("doc_id") % len(_KOREAN)).cast("int"))
+    texts = _docs(spark, sf_dir).select("doc_id", sentence.alias("text"))
+    m = texts.select("doc_id", "text", tokens.morphemes(_text()).alias("m"), tokens.morpheme_encode(_text()).alias("x"))
     ids = F.array_join(F.transform(F.filter("x", lambda i: i < 1000), lambda i: i.cast("string")), ",")
-    return m.select("text", F.array_join("m", "|").alias("morphemes"), tokens.morpheme_join(F.col("m")).alias("joined"), ids.alias("ids"))
+    return m.select("doc_id", "text", F.array_join("m", "|").alias("morphemes"), tokens.morpheme_join(F.col("m")).alias("joined"), ids.alias("ids"))

@@ -34,12 +34,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def json_lines(spark: SparkSession, path: str, schema: str = schemas.RAW, glob: str = "*.jsonl", strip_prefix: str = "") -> DataFrame:
-    """All matching files; source is the file's name without its ending (and prefix).
-    Lines that aren't JSON objects are left out."""
+def json_lines(spark: SparkSession, path: str, schema: str = schemas.RAW, glob: str = "*.jsonl", strip_prefix: str = "", named: str | None = None) -> DataFrame:
+    """All matching files; source is the file's name without its ending (and prefix), or the
+    first group of the pattern `named` in its whole path.  Lines that aren't JSON objects are left out."""
     corrupt = "_corrupt"
     rows = spark.read.schema(f"{schema}, {corrupt} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt).option("pathGlobFilter", glob).json(path)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
+    name = F.regexp_extract(F.col("_metadata.file_path"), named, 1) if named else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
     return rows.where(F.col(corrupt).isNull()).withColumn("source", F.regexp_replace(name, f"^{strip_prefix}", "")).drop(corrupt)
 
 
@@ -51,7 +51,8 @@ def corrupt_lines(spark: SparkSession, path: str, schema: str = schemas.RAW, glo
 
 
 def instruction_lines(spark: SparkSession, path: str) -> DataFrame:
-    return json_lines(spark, path, schemas.RAW_INSTRUCTION, "instruction_raw_*.jsonl", "instruction_raw_")
+    """instruction_raw_<source>.jsonl below a folder: files, or folders of that name with the parts that Spark wrote."""
+    return json_lines(spark, f"{path}/instruction_raw_*.jsonl", schemas.RAW_INSTRUCTION, "*", named=r"/instruction_raw_([^/]*)\.jsonl(?:/[^/]*)?$")
 
 
 def json_array(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import fresh
@@ -80,11 +80,24 @@ class ModelConfig:
         return cls(**json.loads(text))
 
 
+_NEEDED = ("vocab_size", "d_model", "n_heads", "n_layers", "max_seq_len", "learning_rate", "batch_size")
+_POSITIVE = ("vocab_size", "learning_rate")
+
+
 def config_errors(config: dict) -> list[str]:
     """What is missing or out of range."""
-    needed = ("vocab_size", "d_model", "n_heads", "n_layers", "max_seq_len", "learning_rate", "batch_size")
-    errors = [f"missing: {k}" for k in needed if k not in config]
-    errors += [f"must be positive: {k}" for k in ("vocab_size", "learning_rate") if k in config and config[k] <= 0]
+    errors = [f"missing: {k}" for k in _NEEDED if k not in config]
+    errors += [f"must be positive: {k}" for k in _POSITIVE if k in config and config[k] <= 0]
     if config.get("n_heads") and "d_model" in config and config["d_model"] % config["n_heads"]:
         errors.append("d_model must be a multiple of n_heads")
     return errors
+
+
+def config_errors_of(settings: DataFrame) -> Column:
+    """The same for a table with a row for each run's settings, as one text; a setting that is
+    null or has no column is missing.  No errors give an empty text."""
+    known = lambda k: F.col(k) if k in settings.columns else F.lit(None).cast("double")
+    errors = [F.when(known(k).isNull(), f"missing: {k}") for k in _NEEDED]
+    errors += [F.when(known(k) <= 0, f"must be positive: {k}") for k in _POSITIVE]
+    errors.append(F.when(known("d_model") % F.nullif(known("n_heads"), F.lit(0)) != 0, "d_model must be a multiple of n_heads"))
+    return F.concat_ws("; ", *errors)

@@ -483,6 +483,13 @@ def test_recipes_ingest_and_config(spark, tmp_path):
     assert config.n_heads == 7 and recipes.config_errors({"vocab_size": 0, "d_model": 8, "n_heads": 3}) == [
         "missing: n_layers", "missing: max_seq_len", "missing: learning_rate", "missing: batch_size", "must be positive: vocab_size", "d_model must be a multiple of n_heads",
     ]
+    whole = {"vocab_size": 8, "d_model": 12, "n_heads": 4, "n_layers": 1, "max_seq_len": 8, "learning_rate": 0.1, "batch_size": 2}
+    cases = [whole, whole | {"n_heads": 5}, whole | {"n_heads": 0}, whole | {"learning_rate": 0.0, "vocab_size": -1}, whole | {"batch_size": None, "d_model": None}]
+    table = spark.createDataFrame([(k, *c.values()) for k, c in enumerate(cases)], "k int, vocab_size int, d_model int, n_heads int, n_layers int, max_seq_len int, learning_rate double, batch_size int")
+    told = {r.k: r.errors for r in table.select("k", recipes.config_errors_of(table).alias("errors")).collect()}
+    assert told == {k: "; ".join(recipes.config_errors({n: v for n, v in c.items() if v is not None})) for k, c in enumerate(cases)} and told[0] == ""
+    few = table.select("k", "d_model")
+    assert few.select(recipes.config_errors_of(few).alias("e")).first().e.startswith("missing: vocab_size; missing: n_heads")
 
 
 @pytest.mark.parametrize("most", [5, 10**6])
