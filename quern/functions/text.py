@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .repeats import repeats_udf
+
 SPACE = r"(?U)[\s\x1c-\x1f]"
 NON_SPACE = r"(?U)[^\s\x1c-\x1f]"
 HANGUL = "[가-힣]"
@@ -81,10 +83,7 @@ def enough_words(t: Column, language: Column, korean: int = 5, other: int = 8) -
 
 def repeated_sentence(t: Column, parts: int = 3, times: int = 3, longer_than: int = 10) -> Column:
     """Some sentence of more than that many characters stands that often in the text."""
-    often = lambda s: (F.length(s) > longer_than) & ((F.length(t) - F.length(F.replace(t, s, F.lit("")))) >= F.length(s) * times)
-    return F.when(F.length(t) < times * longer_than, F.lit(False)).otherwise(
-        (F.size(sentences(t)) >= parts) & F.exists(F.array_distinct(sentences(t)), often)
-    )
+    return repeats_udf(parts, times, longer_than)(t)
 
 
 def repeated_word_run(t: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import unicodedata
 from collections import Counter
 from datetime import datetime
@@ -57,6 +58,24 @@ def test_language_boundary(spark):
     assert column(spark, ["가" + "a" * 4, "가" + "a" * 5, "   ", "", "가 나 ab"], T.detect_language) == ["ko", "en", "en", "en", "ko"]
 
 
+def test_repeated_sentence_of_long_texts(spark, monkeypatch):
+    """Equal to plain searches, and linear in the length: each sentence was looked for in all of the text before."""
+    from quern.functions import repeats
+
+    rng = random.Random(4)
+    for most in (0, repeats._PLAIN):
+        monkeypatch.setattr(repeats, "_PLAIN", most)
+        for _ in range(500):
+            w = [rng.choice(["ab", "가나", "the ferry", "b c", "12"]) for _ in range(rng.choice([2, 4, 8]))]
+            t = "".join(rng.choice(w) + rng.choice([" ", " ", ". ", "! ", "", "b."]) for _ in range(rng.choice([5, 20, 60, 200])))
+            parts = re.split(r"[.!?]\s+", t)
+            assert repeats.repeats(t.encode()) == (len(parts) >= 3 and any(len(s) > 10 and t.count(s) >= 3 for s in parts)), t
+    long = [f"sentence of its own, number {rng.random()}, in a row of them" for _ in range(24_000)]
+    began = time.time()
+    assert column(spark, [". ".join(long), ". ".join([*long, "x" + long[7] + "y", long[7] + "z", "end"]), None], T.repeated_sentence) == [False, True, None]
+    assert time.time() - began < 15
+
+
 def test_word_minimum(spark):
     rows = [("가 나 다 라", "ko"), ("가 나 다 라 마", "ko"), ("a b c d e f g", "en"), ("a b c d e f g h", "fr")]
     frame = spark.createDataFrame(rows, "t string, l string")
