@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -181,17 +182,26 @@ def morpheme_join(tokens: Column) -> Column:
     return F.translate(F.regexp_replace(marked, r"\t", ""), "\n", " ")
 
 
-def subwords(tokens: Column, vocab: set[str]) -> Column:
-    """Tokens outside of the vocabulary in parts: two characters or fewer stay; words
-    that begin in Hangul by known runs of 3 or 2 syllables, else single ones; other
-    words by their longest known prefixes of up to 6 characters."""
+class _Parts(dict):
+    """word -> its parts, each word split once; of a bounded size."""
+
     starts = re.compile(HANGUL)
-    shared = SparkSession.active().sparkContext.broadcast(frozenset(vocab))  # a vocabulary has a size set by its maker
 
-    def parts(word: str, vocab: frozenset[str]) -> list[str]:
+    def __init__(self, vocab: frozenset[str], made):
+        super().__init__()
+        self.vocab, self.made = vocab, made
+
+    def __missing__(self, word: str):
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = out = self.made(self.split(word))
+        return out
+
+    def split(self, word: str) -> list[str]:
+        vocab = self.vocab
         if word in vocab or len(word) <= 2:
             return [word]
-        sizes = (3, 2) if starts.match(word) else range(6, 0, -1)
+        sizes = (3, 2) if self.starts.match(word) else range(6, 0, -1)
         out, i = [], 0
         while i < len(word):
             size = next((n for n in sizes if i + n <= len(word) and word[i : i + n] in vocab), 1)
@@ -199,13 +209,41 @@ def subwords(tokens: Column, vocab: set[str]) -> Column:
             i += size
         return out
 
-    @F.pandas_udf("array<string>")
-    def split(rows):
-        return rows.map(lambda row: None if row is None else [p for w in row for p in parts(w, shared.value)])
+
+#: Rows that a UDF holds at once as Python objects.
+_ROWS = 250
+
+
+def subwords(tokens: Column, vocab: set[str]) -> Column:
+    """Tokens outside of the vocabulary in parts: two characters or fewer stay; words
+    that begin in Hangul by known runs of 3 or 2 syllables, else single ones; other
+    words by their longest known prefixes of up to 6 characters."""
+    shared = SparkSession.active().sparkContext.broadcast(frozenset(vocab))  # a vocabulary has a size set by its maker
+    kept: dict = {}
+
+    @F.arrow_udf("array<string>")
+    def split(rows: pa.Array) -> pa.Array:
+        parts = kept.setdefault("parts", _Parts(shared.value, tuple))
+        some = ([None if row is None else [p for w in row for p in parts[w]] for row in rows.slice(k, _ROWS).to_pylist()] for k in range(0, max(1, len(rows)), _ROWS))
+        return pa.concat_arrays([pa.array(x, pa.list_(pa.string())) for x in some])
 
     return split(tokens)
 
 
+def subword_text(t: Column, vocab: set[str]) -> Column:
+    """The parts of all punctuation tokens of a text as one line, a blank between two: as subwords() has them, but
+    texts alone go to Python and back, not arrays of words."""
+    shared = SparkSession.active().sparkContext.broadcast(frozenset(vocab))
+    kept: dict = {}
+
+    @F.arrow_udf("string")
+    def split(texts: pa.Array) -> pa.Array:
+        parts = kept.setdefault("parts", _Parts(shared.value, " ".join))
+        some = ([None if x is None else " ".join([parts[w] for w in x.split()]) for x in texts.slice(k, _ROWS).to_pylist()] for k in range(0, max(1, len(texts)), _ROWS))
+        return pa.concat_arrays([pa.array(x, pa.string()) for x in some])
+
+    return split(F.regexp_replace(t, f"({SPLIT_PUNCTUATION})", " $1 "))
+
 
 # ------------------------------------------------- encoders with specials, choice
 

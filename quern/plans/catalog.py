@@ -767,8 +767,10 @@ FROM (SELECT doc_id, pos, coalesce(substr(k.parts, 2), t.word) AS p FROM t LEFT
 def subword_fallback(spark, sf_dir):
     # a vocabulary of a fixed size
     vocab = {r["token"] for r in tokens.vocabulary(_counts(spark, sf_dir), 1000, 4).select("token").collect()}
-    parts = readers.spread(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", tokens.subwords(tokens.punctuation_tokens(_text()), vocab).alias("p"))
-    return parts.where(F.size("p") > 0).select("doc_id", F.size("p").alias("n"), F.md5(F.array_join("p", " ")).alias("h"))
+    # texts without a word are left out by the text itself: a filter on the parts would split all words twice
+    docs = readers.spread(_docs(spark, sf_dir).select("doc_id", "text")).where(_text().rlike(T.NON_SPACE))
+    parts = docs.select("doc_id", tokens.subword_text(_text(), vocab).alias("p"))
+    return parts.select("doc_id", (F.length("p") - F.length(F.replace("p", F.lit(" "), F.lit(""))) + 1).alias("n"), F.md5("p").alias("h"))
 
 
 # ----------------------------------------------------------------------- metrics

@@ -341,6 +341,18 @@ def test_bpe_counts_pairs_of_rare_words(spark):
 
 
 
+def test_subwords_of_texts(spark):
+    """Whole texts give what arrays of words give, each word once; the query runs one UDF over them (two before)."""
+    from quern.plans import catalog
+
+    vocab = {"한국어", "한국", "pre", "fix", "es", "the", "Straße"}
+    texts = [*TEXTS, "한국어말 한국인 prefixes zz 한국어", "prefixes, the.prefixes\x1cthe\u2003(한국인)! prefixes", " . ", None]
+    whole, arrays = column(spark, texts, lambda t: tokens.subword_text(t, vocab), lambda t: F.array_join(tokens.subwords(tokens.punctuation_tokens(t), vocab), " "))
+    assert whole == arrays and whole[-1] is None
+    plan = catalog.subword_fallback(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1
+
+
 def test_subwords(spark):
     vocab = {"한국어", "한국", "pre", "fix", "p"}
     assert column(spark, ["한국어말 한국인 prefixes zz 한국어"], lambda t: tokens.subwords(tokens.punctuation_tokens(t), vocab)) == [["한국어", "말", "한국", "인", "pre", "fix", "e", "s", "zz", "한국어"]]
