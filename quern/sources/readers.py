@@ -7,6 +7,7 @@ import logging
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from .. import schemas
 from ..functions.extract import configured_text, language_matches, text_by_source
@@ -56,7 +57,20 @@ def instruction_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_array(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A file that is one JSON array: of objects, or of strings as column text."""
+    """A file that is one JSON array: of objects, or of strings as column text.  Where the brackets
+    have lines of their own and no element spans lines (as write_json_array lays it out) lines are
+    parsed, by as many tasks as the file has splits; any other layout is one task a file."""
+    element = StructType.fromDDL(schema) if schema else StringType()
+    lines = spark.read.text(path)
+    # a comma stands before or after an element
+    value = F.btrim("value", F.lit(" \t\r,"))
+    parsed = F.from_json(F.concat(F.lit("["), value, F.lit("]")), ArrayType(element))
+    outer = value.isin("[", "]", "")
+    n = lambda c: F.count_if(c)
+    other = lines.groupBy(F.col("_metadata.file_path")).agg(n(value == "[").alias("opens"), n(value == "]").alias("closes"), n(~outer & parsed.isNull()).alias("cut"))
+    if other.where("opens != 1 OR closes != 1 OR cut > 0").isEmpty():
+        rows = lines.where(~outer).select(F.explode(parsed).alias("text"))
+        return rows.select("text.*") if schema else rows
     if schema:
         return spark.read.schema(schema).option("multiLine", True).json(path)
     whole = spark.read.text(path, wholetext=True)

@@ -615,6 +615,28 @@ def test_a_failed_write_leaves_the_old_output(spark, tmp_path):
     assert spark.read.parquet(at).count() == 8 and [p.name for p in tmp_path.iterdir()] == ["out"]
 
 
+def test_json_array_is_read_in_splits(spark, tmp_path):
+    """One task read a whole array before; arrays in any other layout still give the same rows."""
+    import json
+
+    at, schema = f"{tmp_path}/all.json", "k long, t string"
+    rows = [(k, None if k % 5 == 0 else f'"q",\n[{k}] ]é 한') for k in range(20_000)]
+    sinks.write_json_array(spark.createDataFrame(rows, schema).repartition(7), at, position="k")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        back = readers.json_array(spark, at, schema)
+        assert back.rdd.getNumPartitions() > 4 and Counter(map(tuple, back.collect())) == Counter(rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    some = [{"k": k, "t": t} for k, t in rows[:9]]
+    for text in (json.dumps(some), json.dumps(some, indent=2), "[\n" + ",\n".join(map(json.dumps, some)) + "\n]", "[\n" + json.dumps(some)[1:-1] + "\n]\n", '[\n{"k": 0, "t":\nnull}\n' + "".join("," + json.dumps(x) + "\n" for x in some[1:]) + "]", "[]", "[\n]"):
+        (tmp_path / "one.json").write_text(text)
+        assert Counter(map(tuple, readers.json_array(spark, f"{tmp_path}/one.json", schema).collect())) == Counter(rows[:9] if len(text) > 5 else []), text
+    for text in ('["a", "b,"]', '[\n"a",\n"b,"\n]', '[\n"a"\n,"b,"\n]'):
+        (tmp_path / "one.json").write_text(text)
+        assert sorted(r.text for r in readers.json_array(spark, f"{tmp_path}/one.json").collect()) == ["a", "b,"]
+
+
 def test_json_array_is_one_valid_file_in_order(spark, tmp_path):
     import json
 
