@@ -1025,12 +1025,14 @@ def source_head(spark, sf_dir):
 
 @query("SELECT text, 'docs' AS source, 'en' AS language FROM (SELECT trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM documents ORDER BY doc_id % 4, doc_id LIMIT 120) WHERE length(text) >= 100")
 def source_stream_head(spark, sf_dir):
-    """The documents in four deliveries, read as a stream up to a limit."""
-    at, docs = _new_folder(spark), _docs(spark, sf_dir)
-    for delivery in range(4):
-        docs.where(F.col("doc_id") % 4 == delivery).coalesce(1).sortWithinPartitions("doc_id").write.mode("append").parquet(at)
+    """The documents in four deliveries, each in files in order of doc_id, read as a stream up to a limit."""
+    at, docs, dirs = _new_folder(spark), _docs(spark, sf_dir), _stream_dirs(spark)
     spec = specs.SourceSpec("docs", path=at, format="parquet", language="en", limits={"full": 120}, min_text_length=100, streaming=True)
-    return readers.stream_head(spark, spec, "doc_id long, text string, lang string, source string, n_chars long", *_stream_dirs(spark))
+    out = None
+    for delivery in range(4):
+        docs.where(F.col("doc_id") % 4 == delivery).repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("append").parquet(at)
+        out = readers.stream_head(spark, spec, "doc_id long, text string, lang string, source string, n_chars long", *dirs, files_per_trigger=1_000_000)
+    return out
 
 
 # ----------------------------------------------------------------- whole pipelines
