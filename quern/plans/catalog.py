@@ -973,12 +973,21 @@ def json_array_file(spark, sf_dir):
 _DELIVERED = "event_id long, ts timestamp, user_id long, event_type string, value double"
 
 
-def _deliveries(spark, sf_dir, parts: int) -> str:
-    """The events in so many files that come one after the other, each over the whole time."""
+def _deliveries(spark, sf_dir, parts: int, rows_a_file: int = 500_000) -> tuple[str, int]:
+    """The events in deliveries that come one after the other, each over the whole time, and in how many files
+    each: a user and hour of a delivery lies in one file, in order of event_id, and in one row group, which
+    tasks never divide."""
     events, at = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"), _new_folder(spark)
-    for delivery in range(parts):
-        events.where(F.col("event_id") % parts == delivery).coalesce(1).write.mode("append").parquet(at)
-    return at
+    key, delivery = [F.col("user_id"), F.date_trunc("hour", "ts")], F.col("event_id") % parts
+    files = max(1, events.count() // (parts * rows_a_file))
+    # all deliveries have as many files, or one each, so that a trigger takes a whole one
+    if files > 1 and events.select(delivery, F.pmod(F.hash(*key), F.lit(files))).distinct().count() < parts * files:
+        files = 1
+    for k in range(parts):
+        rows = events.where(delivery == k)
+        rows = rows.repartition(files, *key) if files > 1 else rows.coalesce(1)
+        rows.sortWithinPartitions("event_id").write.option("parquet.block.size", 1 << 30).mode("append").parquet(at)
+    return at, files
 
 
 @query(
@@ -989,9 +998,9 @@ SELECT user_id, min(ts)::VARCHAR AS start, (max(ts) + INTERVAL 30 MINUTE)::VARCH
 def stream_sessions(spark, sf_dir):
     """Events in three deliveries: later ones lie between, before and behind the sessions of the
     first, which grow and join in the state.  A last row far ahead closes them all."""
-    at, (far, one) = _deliveries(spark, sf_dir, 3), table(spark, sf_dir, "events").agg(F.max("ts"), F.max("user_id")).first()
+    (at, files), (far, one) = _deliveries(spark, sf_dir, 3), table(spark, sf_dir, "events").agg(F.max("ts"), F.max("user_id")).first()
     spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), (F.lit(far) + F.expr("INTERVAL 900 DAYS")).alias("ts"), F.lit(one + 1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value")).write.mode("append").parquet(at)
-    stream = streaming.read_stream(spark, at, _DELIVERED, files_per_trigger=1)
+    stream = streaming.read_stream(spark, at, _DELIVERED, files_per_trigger=files)
     sessions = streaming.session_updates(stream, "ts", "30 minutes", "800 days", "user_id")
     path, checkpoint = _stream_dirs(spark)
     streaming.run_stopping(sessions, path, checkpoint)
@@ -1004,12 +1013,12 @@ def stream_sessions(spark, sf_dir):
 def stream_restarted(spark, sf_dir):
     """The first event of a user and hour, of four deliveries; the run stops after each of the first
     two and goes on from its checkpoint.  State of keys behind the watermark is dropped."""
-    at = _deliveries(spark, sf_dir, 4)
+    at, files = _deliveries(spark, sf_dir, 4)
     path, checkpoint = _stream_dirs(spark)
     schema = None
     for stop_after in (1, 1, None):
-        stream = streaming.read_stream(spark, at, _DELIVERED, files_per_trigger=1).withColumn("hour", F.date_trunc("hour", "ts"))
-        # a file is one partition of rows in order of event_id, of which the first of a key stays
+        stream = streaming.read_stream(spark, at, _DELIVERED, files_per_trigger=files).withColumn("hour", F.date_trunc("hour", "ts"))
+        # a key's rows of a delivery are in one file, in order of event_id, and its first one stays
         first = stream.withWatermark("hour", "800 days").dropDuplicatesWithinWatermark(["user_id", "hour"])
         schema = first.schema
         streaming.run_stopping(first, path, checkpoint, stop_after)

@@ -591,6 +591,42 @@ def test_limits_read_leading_files_only(spark, tmp_path):
     assert order.head(spark.range(9).selectExpr("cast(id AS string) AS p"), "p", 4).count() == 4
 
 
+def test_deliveries_of_several_files(spark, tmp_path, monkeypatch):
+    """One task wrote each delivery before, and a batch was one file."""
+    from functools import partial
+
+    from quern.plans import catalog
+
+    data, made = "/root/testdata/sf0.001", catalog._deliveries
+    before = [Counter(map(tuple, q(spark, data).collect())) for q in (catalog.stream_sessions, catalog.stream_restarted)]
+    at, files = made(spark, data, 3, 20)
+    assert files > 4
+    rows = spark.read.parquet(at).select("event_id", "user_id", F.date_trunc("hour", "ts").alias("hour"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")).collect()
+    assert len({r.file for r in rows}) == 3 * files and len(rows) == spark.read.parquet(f"{data}/events.parquet").count()
+    assert len({(r.event_id % 3, r.user_id, r.hour, r.file) for r in rows}) == len({(r.event_id % 3, r.user_id, r.hour) for r in rows})
+    rows.sort(key=lambda r: (r.file, r.row))
+    assert all(a.file != b.file or a.event_id < b.event_id for a, b in zip(rows, rows[1:]))
+    monkeypatch.setattr(catalog, "_deliveries", partial(made, rows_a_file=50))
+    assert [Counter(map(tuple, q(spark, data).collect())) for q in (catalog.stream_sessions, catalog.stream_restarted)] == before
+    # buckets without a row: one file a delivery
+    spark.range(40).selectExpr("id AS event_id", "timestamp'2024-01-01' AS ts", "1L AS user_id", "'a' AS event_type", "1D AS value").write.parquet(f"{tmp_path}/events.parquet")
+    assert made(spark, str(tmp_path), 2, 5)[1] == 1
+
+
+def test_delivered_documents_in_several_files(spark, tmp_path, monkeypatch):
+    from quern.plans import catalog
+
+    monkeypatch.setattr(catalog, "_new_folder", lambda s: f"{tmp_path}/in")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = catalog.source_stream_head(spark, "/root/testdata/sf0.001")
+        docs = sorted(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect(), key=lambda r: (r.doc_id % 4, r.doc_id))
+        assert Counter(r.text for r in got.collect()) == Counter(t for r in docs[:120] if len(t := r.text.strip()) >= 100)
+        assert len(list((tmp_path / "in").glob("part-*"))) > 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_stream_stops_at_the_limit_and_goes_on(spark, tmp_path):
     for part in range(5):
         spark.range(part * 10, part * 10 + 10, 1, 1).selectExpr("concat('row ', id) AS text").write.mode("append").parquet(f"{tmp_path}/in")
