@@ -104,14 +104,17 @@ def _suffix(parts: tuple[str, ...]) -> str:
 def morphemes(t: Column) -> Column:
     """Punctuation marks, numbers, lower-cased Latin runs, and other words with one
     particle, or else one ending, split off."""
-    other = r"(?:(?!" + PUNCTUATION + r")(?U)[^\s])+"
+    other = r"[^\s" + PUNCTUATION[1:-1] + "]+"
     raw = F.regexp_extract_all(t, F.lit(f"{PUNCTUATION}|(?U)\\d+|[a-zA-Z]+|{other}"), F.lit(0))
 
     def split(w: Column) -> Column:
         particle = F.regexp_extract(w, f"^.+?({_suffix(PARTICLES)})$", 1)
         ending = F.regexp_extract(w, f"^.+?({_suffix(ENDINGS)})$", 1)
         tail = F.when(particle != "", particle).otherwise(ending)
-        return F.when(w.rlike("^[a-zA-Z]+$"), F.array(F.lower(w))).when(tail == "", F.array(w)).otherwise(F.array(F.substring(w, F.lit(1), F.length(w) - F.length(tail)), tail))
+        first = F.ascii(w)  # only a Latin run begins in a Latin letter
+        latin, hangul = first.between(65, 90) | first.between(97, 122), F.right(w, F.lit(1)).between("가", "힣")
+        # all tails end in Hangul; the patterns are for such words alone
+        return F.when(latin, F.array(F.lower(w))).when(~hangul, F.array(w)).when(tail == "", F.array(w)).otherwise(F.array(F.substring(w, F.lit(1), F.length(w) - F.length(tail)), tail))
 
     return F.flatten(F.transform(raw, split))
 
@@ -285,8 +288,11 @@ def morpheme_vocabulary(extra: tuple[str, ...] = ()) -> dict[str, int]:
 
 def morpheme_encode(t: Column, vocab: dict[str, int] | None = None, max_length: int | None = None, size: int = 65536) -> Column:
     """Morphemes by vocabulary id, others by a stable id from 1,000 on."""
-    known = vocabulary_map(vocab or morpheme_vocabulary())
-    one = lambda w: F.coalesce(F.try_element_at(known, w), stable_id(w, size - 1000, 1000))
+    vocab = vocab or morpheme_vocabulary()
+    known, firsts = vocabulary_map(vocab), sorted({k[:1] for k in vocab})
+    # a map is searched entry by entry, so only for words that begin as one of its own
+    found = lambda w: F.when(F.left(w, F.lit(1)).isin(firsts), F.try_element_at(known, w))
+    one = lambda w: F.coalesce(found(w), stable_id(w, size - 1000, 1000))
     return _framed(F.transform(morphemes(t), one), max_length)
 
 

@@ -341,6 +341,28 @@ def test_bpe_counts_pairs_of_rare_words(spark):
 
 
 
+def test_morphemes_against_plain_loop(spark):
+    """Words that end in no Hangul skip the tails' patterns, words that begin as no known one the search of the map."""
+
+    def plain(t):
+        out = []
+        for w in re.findall(rf"{tokens.PUNCTUATION}|\d+|[a-zA-Z]+|(?:(?!{tokens.PUNCTUATION})\S)+", t):
+            if re.fullmatch("[a-zA-Z]+", w):
+                out.append(w.lower())
+                continue
+            tail = next((m[1] for p in (tokens.PARTICLES, tokens.ENDINGS) if (m := re.fullmatch(f"(?s).+?({tokens._suffix(p)})", w))), "")
+            out += [w[: len(w) - len(tail)], tail] if tail else [w]
+        return out
+
+    texts = ["학교에서 공부를 했습니다. Hello세계 세계Hello 12개를 <pad> a를 를 때문에 가격이다! É École 가É", "사과를을 먹습니까 <s>한테 x입니다 한다 ABC를", "", "Zz9를 9Zz을"]
+    expected = [plain(t) for t in texts]
+    vocab = {**tokens.morpheme_vocabulary(), "hello": 900, "<": 901}
+    known, all_ids = column(spark, texts, tokens.morphemes, lambda t: tokens.morpheme_encode(t, vocab))
+    assert known == expected
+    hashed = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64536 + 1000
+    assert all_ids == [[1, *(vocab.get(w, hashed(w)) for w in x), 2] for x in expected]
+
+
 def test_subwords_of_texts(spark):
     """Whole texts give what arrays of words give, each word once; the query runs one UDF over them (two before)."""
     from quern.plans import catalog
