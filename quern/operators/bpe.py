@@ -22,22 +22,24 @@ arrays; pieces of more than 64 symbols by a heap over linked symbols.
 from __future__ import annotations
 
 import heapq
-import json
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import HANGUL
 from ..shared import Table
 from .tokens import BPE_SPECIALS, GPT_SPLIT, alphabet, decode_spacing
 
 _BLOCK_WORDS = 50_000
 _LONG = 64
+_MOST_WORDS = 200_000
 
 # --------------------------------------------------------------------- training
 
@@ -232,17 +234,20 @@ def _merge_by_rank(symbols: np.ndarray, owner: np.ndarray, keys: np.ndarray, ran
     word's pair of lowest rank, from the left; words without any are done.  keys: the pairs, sorted,
     with their ranks and what they make."""
     out, none = [], int(ranks.max(initial=-1)) + 1
+    rank, at = np.full(len(symbols), none, np.int64), np.zeros(len(symbols), np.int64)
+    near = np.flatnonzero(owner[:-1] == owner[1:])
     while len(symbols):
-        rank, at = np.full(len(symbols), none, np.int64), np.zeros(len(symbols), np.int64)
-        near = np.flatnonzero(owner[:-1] == owner[1:])
+        # the pairs that came up in the last turn; the others' ranks are known
         at[near], there = _known(symbols[near] << 32 | symbols[near + 1], keys)
         known = near[there]
         rank[known] = ranks[at[known]]
         first = np.flatnonzero(np.diff(owner, prepend=-1))
         best = np.repeat(np.minimum.reduceat(rank, first), np.diff(first, append=len(owner)))
         live = best < none
-        out.append((owner[~live], symbols[~live]))
-        owner, symbols, at, hit = owner[live], symbols[live], at[live], np.flatnonzero((rank == best)[live])
+        if not live.all():
+            out.append((owner[~live], symbols[~live]))
+            owner, symbols, rank, at, best = owner[live], symbols[live], rank[live], at[live], best[live]
+        hit = np.flatnonzero(rank == best)
         # of places that overlap (a pair of equals) every second from the left
         opens = np.diff(hit, prepend=-2) > 1
         start = hit[np.maximum.accumulate(np.where(opens, np.arange(len(hit)), 0))] if len(hit) else hit
@@ -250,7 +255,12 @@ def _merge_by_rank(symbols: np.ndarray, owner: np.ndarray, keys: np.ndarray, ran
         symbols[hit] = made[at[hit]]
         keep = np.ones(len(symbols), bool)
         keep[hit + 1] = False
-        owner, symbols = owner[keep], symbols[keep]
+        owner, symbols, rank, at = owner[keep], symbols[keep], rank[keep], at[keep]
+        here = hit - np.arange(len(hit))
+        near = np.concatenate([here, here[here > 0] - 1])
+        rank[near] = none
+        near = near[near + 1 < len(owner)]
+        near = near[owner[near] == owner[near + 1]]
     return out
 
 
@@ -561,34 +571,92 @@ class Encoder:
         return self.ids[symbols[order]], np.bincount(owner, minlength=len(pieces))
 
 
+#: Pieces that open a word and have no ids: before a number, and before a text's first word.
+_BLANK = (" ", " \n")
+
+
 class _Cache:
-    """What a task has encoded: words by number, and their ids one after the other.  Pieces hold no blank
-    but as their first character, so a text's pieces are those of its words, each with the
+    """What a task has encoded: words by number, and their ids one after the other; pieces likewise.  Pieces
+    hold no blank but as their first character, so a text's pieces are those of its words, each with the
     blank before it; a text's first word (marked by a line break) has none."""
 
     def __init__(self, encoder: Encoder, pattern: str):
         import regex
 
         self.encoder, self.split = encoder, regex.compile(pattern).findall
-        self.number: defaultdict[str, int] = defaultdict()
-        self.number.default_factory = self.number.__len__
+        self.number, self.piece = _numbers(), _numbers(_BLANK)
         self.ids, self.size = np.empty(0, np.int32), np.empty(0, np.int64)
+        self.piece_ids, self.piece_size = np.empty(0, np.int32), np.zeros(len(_BLANK), np.int64)
+        self.opens = np.ones(len(_BLANK), bool)
 
     def extend(self) -> None:
         """Encodes the words that are numbered, but not encoded yet."""
         ids, size = [self.ids], [self.size]
         new = list(islice(self.number, len(self.size), None))
         for k in range(0, len(new), 20_000):
-            found = [[p for p in self.split(w[1:] if w[0] == "\n" else " " + w) if p != " "] for w in new[k : k + 20_000]]
-            pieces: defaultdict[str, int] = defaultdict()
-            pieces.default_factory = pieces.__len__
-            of = np.array([pieces[p] for x in found for p in x], np.int64)
-            flat, n = self.encoder(list(pieces))
-            ids.append(_gather(flat, n, of))
-            ends = np.concatenate([[0], np.cumsum(n[of])])[np.concatenate([[0], np.cumsum([len(x) for x in found])])]
+            # all words in one search: a piece that begins with a blank opens a word
+            found = self.split(" " + " ".join(new[k : k + 20_000]))
+            of = np.fromiter(map(self.piece.__getitem__, found), np.int64, len(found))
+            self._extend_pieces()
+            ids.append(_gather(self.piece_ids, self.piece_size, of))
+            ends = np.concatenate([[0], np.cumsum(self.piece_size[of])])[np.append(np.flatnonzero(self.opens[of]), len(of))]
             size.append(np.diff(ends))
         self.ids, self.size = np.concatenate(ids), np.concatenate(size)
 
+    def _extend_pieces(self) -> None:
+        new = list(islice(self.piece, len(self.piece_size), None))
+        if new:
+            ids, size = self.encoder(new)
+            self.piece_ids, self.piece_size = np.concatenate([self.piece_ids, ids]), np.concatenate([self.piece_size, size])
+            self.opens = np.concatenate([self.opens, [p[0] == " " for p in new]])
+
+
+def _numbers(first: tuple[str, ...] = ()) -> defaultdict[str, int]:
+    """Gives each new key the next number."""
+    out: defaultdict[str, int] = defaultdict(None, {x: k for k, x in enumerate(first)})
+    out.default_factory = out.__len__
+    return out
+
+
+def _words(text: str | None) -> list[str]:
+    """Words of the text as tokens.nfd() normalizes it, the first marked by a line break."""
+    words = unicodedata.normalize("NFD", text).split() if text else []
+    if words:
+        words[0] = "\n" + words[0]
+    return words
+
+
+def piece_counts(df: DataFrame, t: Column) -> DataFrame:
+    """token, freq of all texts' pieces: tokens.word_counts() of tokens.pre_tokens() of tokens.nfd().  Each task
+    counts words, some _MOST_WORDS at a time, and splits each different one (see _Cache) once."""
+    pattern = GPT_SPLIT
+
+    def count(batches):
+        import regex
+
+        split, words = regex.compile(pattern).findall, Counter()
+
+        def pieces() -> pa.RecordBatch:
+            number = _numbers(_BLANK)
+            found = split(" " + " ".join(words))
+            of = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
+            opens = np.array([p[0] == " " for p in number])
+            freq = np.zeros(len(number), np.int64)
+            np.add.at(freq, of, np.fromiter(words.values(), np.int64, len(words))[np.cumsum(opens[of]) - 1])
+            return pa.RecordBatch.from_arrays([pa.array(number, pa.string()), pa.array(freq)], names=["token", "n"]).slice(len(_BLANK))
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 250):
+                for text in batch.column(0).slice(k, 250).to_pylist():
+                    words.update(_words(text))
+                if len(words) > _MOST_WORDS:
+                    yield pieces()
+                    words.clear()
+        if words:
+            yield pieces()
+
+    return df.select(t.alias("text")).mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("freq"))
+
 
 def _gather(values: np.ndarray, size: np.ndarray, of: np.ndarray) -> np.ndarray:
     """The lists numbered `of`, one after the other, of lists of these sizes in `values`."""
@@ -603,15 +671,13 @@ def bpe_encode(t: Column, vocab: dict[str, int], merges: list[tuple[str, str]])
     pattern, kept = GPT_SPLIT, {}
 
     def some(texts: pa.Array) -> pa.Array:
-        if "cache" not in kept or len(kept["cache"].number) > 200_000:
+        if "cache" not in kept or len(kept["cache"].number) > _MOST_WORDS:
             kept["cache"] = _Cache(shared.value, pattern)
         cache = kept["cache"]
         number, of, per_text = cache.number, [], []
         for text in texts.to_pylist():
-            words = unicodedata.normalize("NFD", text).split() if text else []
-            if words:
-                words[0] = "\n" + words[0]
-            of += [number[w] for w in words]
+            words = _words(text)
+            of += map(number.__getitem__, words)
             per_text.append(len(words))
         cache.extend()
         of = np.array(of, np.int64)
@@ -634,8 +700,23 @@ def bpe_encode(t: Column, vocab: dict[str, int], merges: list[tuple[str, str]])
 
 def bpe_decode(ids: Column, vocab: dict[str, int]) -> Column:
     """Specials and unknown ids out, pieces joined, scripts spaced."""
-    names = [""] * (max(vocab.values(), default=0) + 1)
+    names = [""] * (max(vocab.values(), default=0) + 2)
     for token, i in vocab.items():
         names[i] = "" if token in BPE_SPECIALS else token
-    table = F.from_json(F.lit(json.dumps(names)), "array<string>")  # folded to a constant
-    return decode_spacing(F.array_join(F.transform(ids, lambda i: F.coalesce(F.get(table, i), F.lit(""))), ""))
+    shared = SparkSession.active().sparkContext.broadcast(pa.array(names, pa.string()))  # the last: ids that the vocabulary doesn't have
+
+    def some(ids: pa.Array) -> pa.Array:
+        flat, size = ids.flatten(), pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        number = flat.fill_null(-1).to_numpy(zero_copy_only=False)
+        none = len(shared.value) - 1
+        taken = shared.value.take(pa.array(np.where((number >= 0) & (number < none), number, none)))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, taken, mask=ids.is_null() if ids.null_count else None), "")
+
+    @F.arrow_udf("string")
+    def joined(ids: pa.Array, _: pa.Array) -> pa.Array:
+        return pa.concat_arrays([some(ids.slice(k, 250)) for k in range(0, max(1, len(ids)), 250)])
+
+    # by its second argument it isn't chained to bpe_encode(), which would then run once more for the ids
+    text = joined(ids, F.lit(0))
+    return F.when(F.regexp_like(text, F.lit(HANGUL)), decode_spacing(text)).otherwise(text)

@@ -725,8 +725,7 @@ def bpe_merges(spark, sf_dir):
 @query()
 def bpe_encode(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id", "text")
-    counts = tokens.word_counts(docs, tokens.pre_tokens(tokens.nfd(_text())))
-    vocab, merges = bpe.train_bpe(counts, 32_000)
+    vocab, merges = bpe.train_bpe(bpe.piece_counts(docs, _text()), 32_000)
     made = docs.select("doc_id", bpe.bpe_encode(_text(), vocab, merges).alias("ids"))
     return made.select("doc_id", F.size("ids").alias("n"), F.size(F.filter("ids", lambda x: x == 1)).alias("unknown"), F.md5(bpe.bpe_decode(F.col("ids"), vocab)).alias("h"))
 
@@ -1277,7 +1276,7 @@ def text_encoding(spark, sf_dir):
 def bpe_round_trip(spark, sf_dir):
     """Decoded ids are the normalized text; a lone blank before a number is no piece."""
     docs = readers.spread(_docs(spark, sf_dir).select("doc_id", "text"))
-    vocab, merges = bpe.train_bpe(tokens.word_counts(docs, tokens.pre_tokens(tokens.nfd(_text()))), 1000)
+    vocab, merges = bpe.train_bpe(bpe.piece_counts(docs, _text()), 1000)
     ids = docs.select("doc_id", bpe.bpe_encode(_text(), vocab, merges).alias("ids"))
     return ids.select("doc_id", F.size(F.filter("ids", lambda x: x == 1)).alias("unknown"), F.md5(bpe.bpe_decode(F.col("ids"), vocab)).alias("h"))
 

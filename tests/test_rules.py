@@ -253,6 +253,49 @@ def test_pieces_are_the_same_in_both_places(spark):
     assert all(r.x == [2, *(vocab[c] for p in r.p for c in p), 3] for r in got)
 
 
+def test_piece_counts_are_those_of_all_texts(spark, monkeypatch):
+    """Words are counted before they are split: first words, numbers, marks, empty and null texts; several counts a task."""
+    monkeypatch.setattr(bpe, "_MOST_WORDS", 40)
+    rng = random.Random(10)
+    parts = ["a", "Bc", "é", "한국", " ", " ", "12345", "!?", "'s", "_", "😀", "\u0301", "\u3000", "\xa0", "\x1c", "\r\n", "ⅷ", "-"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(20))) for _ in range(900)] + ["", None, " \n", "7", " 7"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    want = tokens.word_counts(frame, tokens.pre_tokens(tokens.nfd(F.col("t"))))
+    assert sorted(bpe.piece_counts(frame, F.col("t")).collect()) == sorted(want.collect())
+    assert bpe.piece_counts(frame.where("false"), F.col("t")).collect() == []
+
+
+def test_a_task_merges_a_piece_once():
+    """Also where it stands in several words, or in a later batch; the ids are those of the words alone."""
+    plain, seen = bpe.Encoder({"a": 4, "b": 5, "ab": 6, " ": 7, " ab": 8, ",": 9, "1": 10}, [("a", "b"), (" ", "ab")]), []
+
+    def encoder(pieces):
+        seen.extend(pieces)
+        return plain(pieces)
+
+    cache, got = bpe._Cache(encoder, tokens.GPT_SPLIT), []
+    for batch in (["\nab,", "ab", "ab,", "11"], ["ab1", "\n11", "\n,ab", "ab,,"]):
+        for w in batch:
+            cache.number[w]
+        cache.extend()
+    for ids in np.split(cache.ids, np.cumsum(cache.size)[:-1]):
+        got.append(ids.tolist())
+    assert got == [[6, 9], [8], [8, 9], [10, 10], [8, 10], [10, 10], [9, 6], [8, 9, 9]]
+    assert len(seen) == len(set(seen))
+
+
+def test_bpe_decode_of_any_ids(spark):
+    """Specials, unknown, null and negative ids give nothing; null and empty lists; scripts are spaced; one string a row."""
+    vocab = {**tokens.BPE_SPECIALS, "ab": 4, "한": 6, " c": 7}
+    rows = [[2, 4, 6, 4, 3], [], None, [5, 8, 99, -1, None, 4], [7, 1, 0, 7], [6, 6]]
+    frame = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, ids array<int>").repartition(1)
+    got = {r.k: r.x for r in frame.select("k", bpe.bpe_decode(F.col("ids"), vocab).alias("x")).collect()}
+    assert got == {0: "ab 한 ab", 1: "", 2: None, 3: "ab", 4: " c c", 5: "한한"}
+    encoded = frame.select(bpe.bpe_encode(F.lit("ab"), vocab, [("a", "b")]).alias("x"))
+    plan = encoded.select(F.size("x"), bpe.bpe_decode(F.col("x"), vocab))._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.count("encode(") for line in plan.splitlines() if "EvalPython" in line) == 1
+
+
 def test_bpe(spark):
     frame = spark.createDataFrame([("low low low low low",), ("lower lower newest newest newest",), ("widest 한국어 abc",)], "text string")
     counts = tokens.word_counts(frame, tokens.pre_tokens(tokens.nfd(F.col("text"))))
