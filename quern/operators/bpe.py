@@ -24,7 +24,7 @@ from __future__ import annotations
 import heapq
 import unicodedata
 from collections import Counter, defaultdict
-from itertools import islice
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +34,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import HANGUL
-from ..shared import Table
+from ..shared import Table, fresh
 from .tokens import BPE_SPECIALS, GPT_SPLIT, alphabet, decode_spacing
 
-_BLOCK_WORDS = 50_000
+#: Symbols, or pairs, of a row of the tables of training; such rows of a block.
+_PAGE, _BLOCK_PAGES = 1_000, 500
 _LONG = 64
 _MOST_WORDS = 200_000
+#: Texts, and bytes of texts, that are worked on at a time.
+_SOME, _SOME_BYTES = 250, 1 << 20
 
 # --------------------------------------------------------------------- training
 
@@ -130,6 +133,19 @@ class Spelled:
         raw, offsets = _binary(segments)
         return cls._of_symbols(np.frombuffer(raw, np.int32), np.diff(offsets) // 4, np.asarray(freq))
 
+    def pages(self) -> tuple[pa.Array, pa.Array]:
+        """The words in rows of some _PAGE symbols (or one longer word): symbols, each word's
+        ending with -1, and frequencies, as bytes."""
+        end = np.append(np.flatnonzero(np.diff(self.start[:-1] // _PAGE)) + 1, len(self.freq)) if len(self.freq) else np.empty(0, np.int64)
+        end = np.concatenate([[0], end])
+        return _bytes(self.symbols, self.start[end]), _bytes(self.freq, end)
+
+    @classmethod
+    def of_pages(cls, symbols: pa.Array, freq: pa.Array) -> Spelled:
+        symbols = np.frombuffer(_binary(symbols)[0], np.int32).copy()
+        start = np.concatenate([[0], np.flatnonzero(symbols < 0) + 1])
+        return cls(symbols, start, np.frombuffer(_binary(freq)[0], np.int64))
+
     def segments(self, pairs: np.ndarray) -> pa.RecordBatch:
         """segment, freq: the longest runs of symbols of which any two neighbours are one
         of the pairs (sorted), with their words' frequencies summed."""
@@ -140,8 +156,7 @@ class Spelled:
         first, last = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
         size = last - first + 1
         take = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
-        offsets = (4 * np.concatenate([[0], np.cumsum(size)])).astype(np.int32)
-        spelled = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(self.symbols[take].tobytes())])
+        spelled = _bytes(self.symbols[take], np.concatenate([[0], np.cumsum(size)]))
         weight = self.freq[np.searchsorted(self.start, first, "right") - 1]
         found = pa.table([spelled, pa.array(weight)], names=["segment", "freq"]).group_by("segment").aggregate([("freq", "sum")]).combine_chunks()
         return pa.RecordBatch.from_arrays([found.column("segment").combine_chunks(), found.column("freq_sum").combine_chunks()], names=["segment", "freq"])
@@ -270,6 +285,12 @@ def _add(to: dict[int, int], more: dict[int, int]) -> dict[int, int]:
     return to
 
 
+def _bytes(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A binary array of the stretches of values between the offsets."""
+    offsets = (values.itemsize * offsets).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
 def _binary(values: pa.Array) -> tuple[memoryview, np.ndarray]:
     """The bytes of a binary array, and its offsets."""
     if isinstance(values, pa.ChunkedArray):
@@ -359,35 +380,46 @@ def _plain_loop(words: Spelled, made: _Made, above: int = 0, whole: bool = True)
 
 
 class _Blocks:
-    """All words in blocks, and how often each pair occurs, as written tables."""
+    """All words, and how often each pair occurs, as written tables.  A row of the words' table is a page of
+    words, or one of changes of counts.  Readers and Arrow take thousands of rows at once, so pages are
+    small; a task joins some to a block for its work."""
 
-    _SCHEMA = "symbols binary, start binary, freq binary, pair array<bigint>, n array<bigint>"
+    _SCHEMA = "symbols binary, freq binary, pair array<bigint>, n array<bigint>"
 
     def __init__(self, counts: DataFrame, letters: list[str]):
-        codes, to_row = np.array([ord(c) for c in letters], np.uint32), self._row
+        codes, to_rows = np.array([ord(c) for c in letters], np.uint32), self._rows
 
         def spell(batches):
             for batch in batches:
-                for k in range(0, batch.num_rows, _BLOCK_WORDS):
-                    block = Spelled.of(batch.slice(k, _BLOCK_WORDS), codes).compact()
-                    yield to_row(block, block.pairs())
+                block = Spelled.of(batch, codes).compact()
+                yield from to_rows(block, block.pairs())
 
         self.table = Table(counts.mapInArrow(spell, self._SCHEMA))
         self.pairs = Table(self._counted(self.table.read()))
 
     @staticmethod
-    def _row(block: Spelled, change: dict[int, int]) -> pa.RecordBatch:
-        row = {"symbols": block.symbols.tobytes(), "start": block.start.tobytes(), "freq": block.freq.tobytes(), "pair": list(change), "n": list(change.values())}
-        kinds = [pa.binary()] * 3 + [pa.list_(pa.int64())] * 2
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds)], names=list(row))
+    def _rows(block: Spelled, change: dict[int, int]):
+        symbols, freq = block.pages()
+        pair, n = (np.fromiter(x, np.int64, len(change)) for x in (change.keys(), change.values()))
+        offsets = pa.array(np.append(np.arange(0, len(pair), _PAGE), len(pair)), pa.int32())
+        pair, n = (pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (pair, n))
+        names = ["symbols", "freq", "pair", "n"]
+        yield pa.RecordBatch.from_arrays([symbols, freq, *[pa.nulls(len(symbols), pair.type)] * 2], names=names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(pair), pa.binary())] * 2, pair, n], names=names)
+
+    def _each(self, work, schema: str) -> DataFrame:
+        """The rows that work() makes of each block."""
+
+        def of_blocks(batches):
+            for batch in batches:
+                for k in range(0, batch.num_rows, _BLOCK_PAGES):
+                    yield from work(Spelled.of_pages(*batch.slice(k, _BLOCK_PAGES).columns))
 
-    @staticmethod
-    def _of(row: dict) -> Spelled:
-        return Spelled(np.frombuffer(row["symbols"], np.int32).copy(), np.frombuffer(row["start"], np.int64), np.frombuffer(row["freq"], np.int64))
+        return self.table.read().where("symbols IS NOT NULL").select("symbols", "freq").mapInArrow(of_blocks, schema)
 
     @staticmethod
     def _counted(blocks: DataFrame, before: DataFrame | None = None) -> DataFrame:
-        each = blocks.select(F.explode(F.arrays_zip("pair", "n")).alias("x")).select("x.pair", "x.n")
+        each = blocks.where("pair IS NOT NULL").select(F.explode(F.arrays_zip("pair", "n")).alias("x")).select("x.pair", "x.n")
         both = each if before is None else each.unionAll(before)
         return both.groupBy("pair").agg(F.sum("n").alias("n")).where("n > 0")
 
@@ -405,14 +437,10 @@ class _Blocks:
         have more than `most` symbols in all."""
         pairs = np.sort(np.asarray(self.pairs.read().where(F.col("n") >= least).select("pair").toArrow().column(0)))
 
-        of = self._of
-
-        def cut(batches):
-            for batch in batches:
-                for row in batch.select(["symbols", "start", "freq"]).to_pylist():
-                    yield of(row).segments(pairs)
+        def cut(block: Spelled):
+            yield block.segments(pairs)
 
-        table = Table(self.table.read().mapInArrow(cut, "segment binary, freq long").groupBy("segment").agg(F.sum("freq").alias("freq")))
+        table = Table(self._each(cut, "segment binary, freq long").groupBy("segment").agg(F.sum("freq").alias("freq")))
         try:
             if (table.read().agg(F.sum(F.octet_length("segment"))).first()[0] or 0) > 4 * most:
                 return None
@@ -430,17 +458,14 @@ class _Blocks:
         return [(r["n"], (r["a_name"], r["b_name"]), r["pair"]) for r in rows]
 
     def merge(self, merges: list[tuple[int, int, int]]) -> None:
-        of, to_row = self._of, self._row
+        to_rows = self._rows
 
-        def step(batches):
-            for batch in batches:
-                for row in batch.select(["symbols", "start", "freq"]).to_pylist():
-                    block = of(row)
-                    change = block.merge_all(merges)
-                    yield to_row(block, change)
+        def step(block: Spelled):
+            change = block.merge_all(merges)
+            yield from to_rows(block, change)
 
         old = self.table, self.pairs
-        self.table = Table(old[0].read().mapInArrow(step, self._SCHEMA))
+        self.table = Table(self._each(step, self._SCHEMA))
         self.pairs = Table(self._counted(self.table.read(), old[1].read()))
         for table in old:
             table.drop()
@@ -612,10 +637,9 @@ class _Cache:
 
 
 def _numbers(first: tuple[str, ...] = ()) -> defaultdict[str, int]:
-    """Gives each new key the next number."""
-    out: defaultdict[str, int] = defaultdict(None, {x: k for k, x in enumerate(first)})
-    out.default_factory = out.__len__
-    return out
+    """Gives each new key the next number.  (The count is an object of its own: with the dictionary's own length,
+    it would hold itself, and be freed only when the collector of cycles happens to run.)"""
+    return defaultdict(count(len(first)).__next__, {x: k for k, x in enumerate(first)})
 
 
 def _words(text: str | None) -> list[str]:
@@ -631,7 +655,7 @@ def piece_counts(df: DataFrame, t: Column) -> DataFrame:
     counts words, some _MOST_WORDS at a time, and splits each different one (see _Cache) once."""
     pattern = GPT_SPLIT
 
-    def count(batches):
+    def counted(batches):
         import regex
 
         split, words = regex.compile(pattern).findall, Counter()
@@ -646,8 +670,8 @@ def piece_counts(df: DataFrame, t: Column) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(number, pa.string()), pa.array(freq)], names=["token", "n"]).slice(len(_BLANK))
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 250):
-                for text in batch.column(0).slice(k, 250).to_pylist():
+            for texts in _some(batch.column(0)):
+                for text in texts.to_pylist():
                     words.update(_words(text))
                 if len(words) > _MOST_WORDS:
                     yield pieces()
@@ -655,7 +679,20 @@ def piece_counts(df: DataFrame, t: Column) -> DataFrame:
         if words:
             yield pieces()
 
-    return df.select(t.alias("text")).mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("freq"))
+    return df.select(t.alias("text")).mapInArrow(counted, "token string, n long").groupBy("token").agg(F.sum("n").alias("freq"))
+
+
+def _some(values: pa.Array):
+    """Slices of at most _SOME rows and, but for a longer one, _SOME_BYTES bytes (of lists: numbers of 4 bytes)."""
+    lists = pa.types.is_list(values.type)
+    size = pc.list_value_length(values) if lists else pc.binary_length(values)
+    total = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False), dtype=np.int64) * (4 if lists else 1)
+    k = 0
+    while k < len(values):
+        most = (total[k - 1] if k else 0) + _SOME_BYTES
+        end = max(k + 1, min(k + _SOME, int(np.searchsorted(total, most, "right"))))
+        yield values.slice(k, end - k)
+        k = end
 
 
 def _gather(values: np.ndarray, size: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -664,13 +701,12 @@ def _gather(values: np.ndarray, size: np.ndarray, of: np.ndarray) -> np.ndarray:
     return values[np.repeat((np.cumsum(size) - size)[of] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
-def bpe_encode(t: Column, vocab: dict[str, int], merges: list[tuple[str, str]]) -> Column:
-    """bos, the ids of each piece after all merges, eos.  Texts are normalized as by tokens.nfd() and split
-    by the pattern of tokens.pre_tokens(), blank pieces left out; a task merges a piece once."""
+def _encoding(vocab: dict[str, int], merges: list[tuple[str, str]]):
+    """What gives texts their ids, some at a time, in a task."""
     shared = SparkSession.active().sparkContext.broadcast(Encoder(vocab, merges))  # of a size set by the vocabulary's maker
     pattern, kept = GPT_SPLIT, {}
 
-    def some(texts: pa.Array) -> pa.Array:
+    def encode(texts: pa.Array) -> pa.Array:
         if "cache" not in kept or len(kept["cache"].number) > _MOST_WORDS:
             kept["cache"] = _Cache(shared.value, pattern)
         cache = kept["cache"]
@@ -690,22 +726,17 @@ def bpe_encode(t: Column, vocab: dict[str, int], merges: list[tuple[str, str]])
         out[np.arange(len(flat)) + np.repeat(2 * np.arange(len(length)) + 1, length - 2)] = flat
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out), mask=texts.is_null() if texts.null_count else None)
 
-    @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        # a few texts at a time, so that words and ids of a whole batch are never held at once
-        return pa.concat_arrays([some(texts.slice(k, 250)) for k in range(0, max(1, len(texts)), 250)])
-
-    return encode(t)
+    return encode
 
 
-def bpe_decode(ids: Column, vocab: dict[str, int]) -> Column:
-    """Specials and unknown ids out, pieces joined, scripts spaced."""
+def _decoding(vocab: dict[str, int]):
+    """What joins the pieces of ids, some lists at a time, in a task."""
     names = [""] * (max(vocab.values(), default=0) + 2)
     for token, i in vocab.items():
         names[i] = "" if token in BPE_SPECIALS else token
     shared = SparkSession.active().sparkContext.broadcast(pa.array(names, pa.string()))  # the last: ids that the vocabulary doesn't have
 
-    def some(ids: pa.Array) -> pa.Array:
+    def decode(ids: pa.Array) -> pa.Array:
         flat, size = ids.flatten(), pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
         number = flat.fill_null(-1).to_numpy(zero_copy_only=False)
         none = len(shared.value) - 1
@@ -713,10 +744,53 @@ def bpe_decode(ids: Column, vocab: dict[str, int]) -> Column:
         offsets = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
         return pc.binary_join(pa.ListArray.from_arrays(offsets, taken, mask=ids.is_null() if ids.null_count else None), "")
 
+    return decode
+
+
+def _spaced(text: Column) -> Column:
+    return F.when(F.regexp_like(text, F.lit(HANGUL)), decode_spacing(text)).otherwise(text)
+
+
+def bpe_encode(t: Column, vocab: dict[str, int], merges: list[tuple[str, str]]) -> Column:
+    """bos, the ids of each piece after all merges, eos.  Texts are normalized as by tokens.nfd() and split
+    by the pattern of tokens.pre_tokens(), blank pieces left out; a task merges a piece once."""
+    some = _encoding(vocab, merges)
+
+    @F.arrow_udf("array<int>")
+    def encode(texts: pa.Array) -> pa.Array:
+        # a few texts at a time, so that words of a whole batch are never held at once
+        return pa.concat_arrays([some(x) for x in _some(texts)] or [pa.array([], pa.list_(pa.int32()))])
+
+    return encode(t)
+
+
+def bpe_decode(ids: Column, vocab: dict[str, int]) -> Column:
+    """Specials and unknown ids out, pieces joined, scripts spaced."""
+    some = _decoding(vocab)
+
     @F.arrow_udf("string")
     def joined(ids: pa.Array, _: pa.Array) -> pa.Array:
-        return pa.concat_arrays([some(ids.slice(k, 250)) for k in range(0, max(1, len(ids)), 250)])
+        return pa.concat_arrays([some(x) for x in _some(ids)] or [pa.array([], pa.string())])
 
     # by its second argument it isn't chained to bpe_encode(), which would then run once more for the ids
-    text = joined(ids, F.lit(0))
-    return F.when(F.regexp_like(text, F.lit(HANGUL)), decode_spacing(text)).otherwise(text)
+    return _spaced(joined(ids, F.lit(0)))
+
+
+def bpe_coded(df: DataFrame, keep: list[str], t: Column, vocab: dict[str, int], merges: list[tuple[str, str]]) -> DataFrame:
+    """The columns `keep` with `ids`, as bpe_encode() of t, and `decoded`, as bpe_decode() of them.  One Python worker
+    a task does both and hands over a few rows at a time; the two columns need two, with all ids of a batch in each."""
+    encode, decode = _encoding(vocab, merges), _decoding(vocab)
+    names = [*keep, "ids", "decoded"]
+    schema = df.select(*keep, F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("string").alias("decoded")).schema
+
+    def code(batches):
+        for batch in batches:
+            *kept, texts = batch.columns
+            k = 0
+            for some in _some(texts):
+                ids = encode(some)
+                yield pa.RecordBatch.from_arrays([*(x.slice(k, len(some)) for x in kept), ids, decode(ids)], names=names)
+                k += len(some)
+
+    made = df.select(*keep, t.alias(fresh(df, "text")["text"])).mapInArrow(code, schema)
+    return made.withColumn("decoded", _spaced(F.col("decoded")))

@@ -1277,8 +1277,8 @@ def bpe_round_trip(spark, sf_dir):
     """Decoded ids are the normalized text; a lone blank before a number is no piece."""
     docs = readers.spread(_docs(spark, sf_dir).select("doc_id", "text"))
     vocab, merges = bpe.train_bpe(bpe.piece_counts(docs, _text()), 1000)
-    ids = docs.select("doc_id", bpe.bpe_encode(_text(), vocab, merges).alias("ids"))
-    return ids.select("doc_id", F.size(F.filter("ids", lambda x: x == 1)).alias("unknown"), F.md5(bpe.bpe_decode(F.col("ids"), vocab)).alias("h"))
+    made = bpe.bpe_coded(docs, ["doc_id"], _text(), vocab, merges)
+    return made.select("doc_id", F.size(F.filter("ids", lambda x: x == 1)).alias("unknown"), F.md5("decoded").alias("h"))
 
 
 @query(

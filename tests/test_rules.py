@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import random
 import re
 import time
 import unicodedata
+import weakref
 from collections import Counter
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,6 +287,57 @@ def test_a_task_merges_a_piece_once():
     assert len(seen) == len(set(seen))
 
 
+def test_a_dropped_cache_is_freed_at_once():
+    """Also with the collector of cycles off: a task drops many, each of some 200,000 words."""
+    class Word(str):
+        pass
+
+    cache, word = bpe._Cache(bpe.Encoder({"a": 4}, []), tokens.GPT_SPLIT), Word("\naa")
+    seen = weakref.ref(word)
+    gc.disable()
+    try:
+        assert cache.number[word] == 0 and cache.number["b"] == 1 and cache.piece["c"] == len(bpe._BLANK)
+        cache.extend()
+        del cache, word
+        assert seen() is None
+    finally:
+        gc.enable()
+
+
+def test_training_rows_are_small(spark):
+    """Readers and Arrow take thousands of rows at once, so no row holds a block of words, or all its pairs."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 9))) for _ in range(9_000)] + ["k" * 5_000]
+    counts = spark.createDataFrame([(w, 1 + k % 7) for k, w in enumerate(dict.fromkeys(words))], "token string, freq long").repartition(2)
+    table = bpe._Blocks(counts, list("abcdefghijk"))
+    for merges in ([], [(0, 1, 11), (2, 3, 12)]):
+        if merges:
+            table.merge(merges)
+        rows = table.table.read().select(F.octet_length("symbols"), F.octet_length("freq"), F.size("pair")).collect()
+        assert len(rows) > 20 and all((r[0] or 0) <= 4 * (bpe._PAGE + 5_001) and (r[1] or 0) <= 8 * bpe._PAGE and (r[2] or 0) <= bpe._PAGE for r in rows)
+        # one row has the longest word
+        assert sum((r[0] or 0) > 4 * (bpe._PAGE + 10) for r in rows) == 1
+
+
+def test_bpe_coded(spark, monkeypatch):
+    """The same as both columns, in small parts: long, empty and null texts."""
+    monkeypatch.setattr(bpe, "_SOME", 7)
+    monkeypatch.setattr(bpe, "_SOME_BYTES", 300)
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(["ab", "b", " ", "한", "é", "7", "\n", "?"]) for _ in range(rng.choice([0, 3, 20, 400]))) for _ in range(120)] + [None, "", " "]
+    parts = list(bpe._some(pa.array(texts, pa.string()).slice(1)))
+    assert [x for p in parts for x in p.to_pylist()] == texts[1:]
+    assert all(len(p) == 1 or len(p) <= 7 and sum(len((x or "").encode()) for x in p.to_pylist()) <= 300 for p in parts)
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").repartition(2)
+    vocab = {**tokens.BPE_SPECIALS, "a": 4, "b": 5, "ab": 6, " ": 7, "7": 8, "\u1112": 9, "\u1161\u11ab": 10, "\u1161": 11, "\u11ab": 12}
+    merges = [("a", "b"), ("\u1161", "\u11ab")]
+    ids = bpe.bpe_encode(F.col("text"), vocab, merges)
+    want = frame.select("k", ids.alias("ids")).withColumn("decoded", bpe.bpe_decode(F.col("ids"), vocab))
+    got = bpe.bpe_coded(frame, ["k"], F.col("text"), vocab, merges)
+    assert got.columns == ["k", "ids", "decoded"] and sorted(got.collect()) == sorted(want.collect())
+    assert bpe.bpe_coded(frame.where("false"), ["k"], F.col("text"), vocab, merges).collect() == []
+
+
 def test_bpe_decode_of_any_ids(spark):
     """Specials, unknown, null and negative ids give nothing; null and empty lists; scripts are spaced; one string a row."""
     vocab = {**tokens.BPE_SPECIALS, "ab": 4, "한": 6, " c": 7}
