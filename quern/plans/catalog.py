@@ -726,8 +726,8 @@ def bpe_merges(spark, sf_dir):
 def bpe_encode(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     vocab, merges = bpe.train_bpe(bpe.piece_counts(docs, _text()), 32_000)
-    made = docs.select("doc_id", bpe.bpe_encode(_text(), vocab, merges).alias("ids"))
-    return made.select("doc_id", F.size("ids").alias("n"), F.size(F.filter("ids", lambda x: x == 1)).alias("unknown"), F.md5(bpe.bpe_decode(F.col("ids"), vocab)).alias("h"))
+    made = bpe.bpe_coded(docs, ["doc_id"], _text(), vocab, merges)
+    return made.select("doc_id", F.size("ids").alias("n"), F.size(F.filter("ids", lambda x: x == 1)).alias("unknown"), F.md5("decoded").alias("h"))
 
 
 @query(rf"WITH {_MORPHEMES} SELECT doc_id, len(m)::INT AS n, md5(regexp_replace(array_to_string(m, ' '), ' ({_MARKS})', '\1', 'g')) AS h FROM x")
